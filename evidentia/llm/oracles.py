@@ -36,3 +36,35 @@ FROM x GROUP BY conv_id
 """
 
 SQL = {"op4_warc": WARC, "op9_chat_format": CHAT}
+
+#: Documents with ASCII letters lower-cased and their words.
+WORDS = r"""
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+"""
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE {WORDS},
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w),
+t AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s),
+h AS (SELECT doc_id, n, md5_number_lower(g) AS g FROM t),
+o AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS un, b.n AS vn, count(*) AS shared FROM h a JOIN h b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM o WHERE 100 * shared >= 75 * (un + vn - shared)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.id WHERE r.c < l.v)
+SELECT s.doc_id, len(ss)::BIGINT AS n_shingles, least(s.doc_id, (SELECT min(c) FROM r WHERE r.id = s.doc_id)) AS component_id FROM s
+"""
+
+SUBSTRING = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50),
+g AS (SELECT doc_id, i, md5_number(array_to_string(ws[i:i + 49], ' ')) AS g FROM p),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) < doc_id AS hit FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM m WHERE hit),
+k AS (SELECT doc_id, count(*) AS n_removed, list(i) AS gone FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+f AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+SQL |= {"op5_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING}
