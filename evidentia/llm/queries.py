@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import byte_bpe, chat, language_id, oracles, set_join, substring_dedup, url_filter, warc
+from evidentia.llm import byte_bpe, chat, language_id, oracles, set_join, substring_dedup, suffix_dedup, url_filter, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -19,6 +19,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -48,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_warc, op5_ngram_join, op6_substring_dedup, op9_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_warc, op5_ngram_join, op6_substring_dedup, op9_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
