@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +126,21 @@ def language_id(docs: DataFrame, per_language: int = 200, landmarks: int = 64) -
     """doc_id, held_out, lang_pred, score of every whole text."""
     model = train(docs, ~held_out_rows(), per_language, landmarks=landmarks)
     return predict(docs, model).select("doc_id", held_out_rows().alias("held_out"), "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The rows of docs, unchanged, whose text scores min_score or more for a learned language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            good = np.zeros(len(texts), bool)
+            known = [i for i, t in enumerate(texts) if m and t is not None and LETTER.search(t)]
+            for at in range(0, len(known), BATCH):
+                own = known[at : at + BATCH]
+                good[own] = m.scores([texts[i] for i in own]).max(1) >= min_score
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)

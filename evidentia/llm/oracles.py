@@ -68,3 +68,15 @@ FROM w LEFT JOIN k USING (doc_id) LEFT JOIN f USING (doc_id)
 """
 
 SQL |= {"op5_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING}
+
+EMBEDDINGS = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND list_sum(list_transform(embedding, lambda v: abs(v))) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.id WHERE r.c < l.v),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE u = vec_id)::BIGINT AS n_links, least(c, vec_id) AS component_id, least(c, vec_id) = vec_id AS kept
+FROM embeddings JOIN c ON id = vec_id
+"""
+
+SQL |= {"op7_embedding_dedup": EMBEDDINGS}

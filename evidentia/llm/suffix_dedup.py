@@ -274,17 +274,17 @@ def merged(spans: list[np.ndarray]) -> list[int]:
     return np.stack([flat[first, 0], ends], 1).ravel().tolist()
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, _rid, n_bytes, n_removed, n_spans, spans (removed byte offsets start, end, ...) and kept (the bytes left)
-    of every whole text."""
-    rows = with_row_key(docs)
-    parts = repeated_spans(rows, length, text_bytes(docs))
+def suffix_dedup(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (removed byte offsets start, end, ...), kept (the bytes left) of every
+    whole text, and the string columns named in carry."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rid"), *carry)
+    parts = repeated_spans(with_row_key(docs), length, text_bytes(docs))
     spans = parts.groupBy("_rid").agg(F.collect_list("spans").alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, rid, text, own in zip(batch["doc_id"].astype("Int64"), batch["_rid"], batch["text"], batch["spans"], strict=True):
+            for text, own in zip(batch["text"], batch["spans"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 runs = [] if own is None or not len(own) else merged(list(own))
                 kept, last = [], 0
@@ -292,8 +292,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
                     kept.append(raw[last:a])
                     last = b
                 kept = b"".join([*kept, raw[last:]])
-                out.append((doc_id, rid, len(raw), len(raw) - len(kept), len(runs) // 2, runs, kept))
-            yield pd.DataFrame(out, columns=["doc_id", "_rid", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                out.append((len(raw), len(raw) - len(kept), len(runs) // 2, runs, kept))
+            done = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            yield pd.concat([batch[["doc_id", *carry]].astype({"doc_id": "Int64"}).reset_index(drop=True), done], axis=1)
 
-    both = rows.join(spans, "_rid", "left").select("doc_id", "_rid", "text", "spans")
-    return both.mapInPandas(cut, "doc_id long, _rid long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary")
+    both = keyed.join(spans, "_rid", "left").select("doc_id", "text", "spans", *carry)
+    more = "".join(f"{c} string, " for c in carry)
+    return both.mapInPandas(cut, f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary")
