@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import keyblocks as kb
-from evidentia.llm.common import chunks, only
+from evidentia.llm.common import chunks, only, saved
 
 BLOCK = 32
 MOST_BYTES = 64 << 20
@@ -78,15 +78,15 @@ def passages(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, start, of_word
 
 
-def summed(docs: DataFrame, per_chunk, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of per_chunk(tokens) over all chunks of documents: in each task first, then slice by slice in Spark. Only the
-    sum, of a fixed shape, comes to the driver."""
+def summed(rows: DataFrame, parts_of, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that parts_of(batches) yields: in each task first, then slice by slice in Spark. Only the sum,
+    of a fixed shape, comes to the driver."""
     edges = np.linspace(0, shape[0], SLICES + 1).astype(int)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(shape)
-        for chunk in chunks(batches):
-            total += per_chunk(Tokens(chunk["text"]))
+        for part in parts_of(batches):
+            total += part
         salt = TaskContext.get().partitionId() % 16
         for k in range(SLICES):
             part = total[edges[k] : edges[k + 1]]
@@ -99,7 +99,7 @@ def summed(docs: DataFrame, per_chunk, shape: tuple[int, int]) -> np.ndarray:
             total = total + np.frombuffer(x, np.float32)
         return total.astype(np.float32).tobytes()
 
-    parts = docs.select("text").mapInPandas(run, "slice int, salt int, data binary")
+    parts = rows.mapInPandas(run, "slice int, salt int, data binary")
     parts = parts.groupBy("slice", "salt").applyInPandas(lambda g: pd.DataFrame({"slice": [g["slice"].iloc[0]], "data": [add(g)]}), "slice int, data binary")
     parts = parts.groupBy("slice").applyInPandas(lambda g: pd.DataFrame({"slice": [g["slice"].iloc[0]], "data": [add(g)]}), "slice int, data binary")
     out = np.zeros(shape)
@@ -121,15 +121,17 @@ def document_frequency(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray,
     """Passages that hold each word, and the number of passages."""
     plain, n = docs.sparkSession.sparkContext.broadcast(Vocabulary(words)), len(words)
 
-    def frequency(tokens: Tokens) -> np.ndarray:
-        text, _, of_word = passages(tokens)
-        at, number = plain.value.find(tokens.hashes)
-        pairs = np.sort(of_word[at] * n + number)
-        out = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % n, minlength=n + 1).astype(float)
-        out[n] = len(text)
-        return out[:, None]
+    def frequency(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for chunk in chunks(batches):
+            tokens = Tokens(chunk["text"])
+            text, _, of_word = passages(tokens)
+            at, number = plain.value.find(tokens.hashes)
+            pairs = np.sort(of_word[at] * n + number)
+            out = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % n, minlength=n + 1).astype(float)
+            out[n] = len(text)
+            yield out[:, None]
 
-    df = summed(docs, frequency, (n + 1, 1)).ravel()
+    df = summed(docs.select("text"), frequency, (n + 1, 1)).ravel()
     return df[:n], int(df[n])
 
 
@@ -146,22 +148,33 @@ def latent_space(docs: DataFrame, words: np.ndarray, idf: np.ndarray, items: np.
     """The word vectors of the latent space: idf times right singular vectors. The items' own rows join the passages' with
     as much weight, so that items that leaked seldom or never have their directions too."""
     sc, n = docs.sparkSession.sparkContext, len(words)
+    known = sc.broadcast(Vocabulary(words))
+
+    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks(batches):
+            tokens = Tokens(chunk["text"])
+            text, _, of_word = passages(tokens)
+            at, number = known.value.find(tokens.hashes)
+            yield pd.DataFrame({"n": [len(text)], "passage": [of_word[at].astype(np.uint32).tobytes()], "number": [number.astype(np.uint32).tobytes()]})
+
+    # the known words of all passages; both rounds read these few
+    table = saved(docs.select("text").mapInPandas(compact, "n int, passage binary, number binary"), "passages")
     rank = min(rank, n)
     weight_of_items = max(1.0, n_passages / max(1, len(items)))
     z = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0]
     for _ in range(2):
-        shared = sc.broadcast((Vocabulary(words, idf), (idf[:, None] * z).astype(np.float32)))
-
-        def product(tokens: Tokens, shared=shared) -> np.ndarray:
-            vocabulary, weighted = shared.value
-            text, _, of_word = passages(tokens)
-            at, number = vocabulary.find(tokens.hashes)
-            az = weighted_sums(of_word[at], weighted[number], len(text))
-            # transposed product: words in order of their number, each with its passage's row
-            order = np.argsort(number, kind="stable")
-            return weighted_sums(number[order], az[of_word[at][order]], n) * vocabulary.idf[:, None]
-
-        y, before = summed(docs, product, (n, rank)) + weight_of_items * (items.T @ (items @ z)), z
+        shared = sc.broadcast((idf[:, None] * z).astype(np.float32))
+
+        def product(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[np.ndarray]:
+            for batch in batches:
+                for size, passage, number in zip(batch["n"], batch["passage"], batch["number"], strict=True):
+                    passage, number = np.frombuffer(passage, np.uint32), np.frombuffer(number, np.uint32)
+                    az = weighted_sums(passage, shared.value[number], size)
+                    # transposed product: words in order of their number, each with its passage's row
+                    order = np.argsort(number, kind="stable")
+                    yield weighted_sums(number[order], az[passage[order]], n) * idf[:, None]
+
+        y, before = summed(table, product, (n, rank)) + weight_of_items * (items.T @ (items @ z)), z
         z = np.linalg.qr(y)[0]
     # y = A'A q for the last q: the small matrix of the Rayleigh-Ritz step
     values, vectors = np.linalg.eigh((before.T @ y + y.T @ before) / 2)
@@ -204,6 +217,27 @@ class Items:
     vectors: np.ndarray
 
 
+def word_lists(rows_of_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items that hold each word: where a word's items begin, and all of them."""
+    word, item = np.nonzero(rows_of_items.T)
+    return np.searchsorted(word, np.arange(rows_of_items.shape[1] + 1)), item
+
+
+def candidates(passage: np.ndarray, number: np.ndarray, text: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(item, passage) where the item and the passage with its next one share two words at least; a pair that shares fewer
+    cannot pass the checks of words that follow the cosine."""
+    begin, item = lists
+    counts = begin[number + 1] - begin[number]
+    at = np.repeat(begin[number] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+    of, which = np.repeat(passage, counts), item[at]
+    back = (of > 0) & (text[np.maximum(of - 1, 0)] == text[of]) if len(of) else np.zeros(0, bool)
+    n = int(item.max()) + 1 if len(item) else 1
+    keys = np.sort(np.concatenate([of * n + which, (of[back] - 1) * n + which[back]]))
+    starts, sizes = kb.group_sizes(keys)
+    keys = keys[starts[sizes > 1]]
+    return keys % n, keys // n
+
+
 def closest_share(masks: dict[int, int], size: int, words: list[int], least: float) -> tuple[float, int, int]:
     """Share of an item that the best stretch of about its length covers, and that stretch; 0 below least."""
     if common_subsequence(masks, size, words) < least * size:
@@ -239,28 +273,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_rank: int = 512, min_cosin
     answers = [Tokens([rows[i][1][answer_start(rows[i][1]) :]]).hashes.tolist() for i in good]
     items = rows_of_items @ vectors
     items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((Vocabulary(vocabulary, idf), vectors.astype(np.float32), Items([rows[i][0] for i in good], [words[i] for i in good], answers, items.astype(np.float32))))
+    shared = spark.sparkContext.broadcast((Vocabulary(vocabulary, idf), vectors.astype(np.float32), Items([rows[i][0] for i in good], [words[i] for i in good], answers, items.astype(np.float32)), word_lists(rows_of_items)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, vectors, items = shared.value
+        vocabulary, vectors, items, lists = shared.value
         masks: dict[int, tuple] = {}
         for chunk in chunks(batches):
             t, ids, out = Tokens(chunk["text"]), chunk["doc_id"].astype("Int64"), {}
             text, start, of_word = passages(t)
             at, number = vocabulary.find(t.hashes)
+            pair, row = candidates(of_word[at], number, text, lists)
             own = weighted_sums(of_word[at], vectors[number], len(text))
-            after = np.zeros_like(own)
-            if len(text) > 1:
-                after[:-1] = own[1:] * (text[1:] == text[:-1])[:, None]
-            own += after
-            for a in range(0, len(own), 4096):
-                part = own[a : a + 4096]
-                cosine = (part @ items.vectors.T) / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
-                for p, i in zip(*np.nonzero(cosine >= min_cosine), strict=True):
+            for a in range(0, len(pair), 8192):
+                which, p = np.unique(row[a : a + 8192], return_inverse=True)
+                both = own[which] + own[np.minimum(which + 1, len(text) - 1)] * (text[np.minimum(which + 1, len(text) - 1)] == text[which])[:, None] * (which + 1 < len(text))[:, None]
+                norm = np.maximum(np.linalg.norm(both, axis=1), 1e-12)
+                cosine = np.einsum("ij,ij->i", both[p], items.vectors[pair[a : a + 8192]]) / norm[p]
+                for c in np.flatnonzero(cosine >= min_cosine):
+                    i, w = int(pair[a + c]), which[p[c]]
                     if i not in masks:
                         masks[i] = (masks_of(items.words[i]), masks_of(items.answers[i]))
-                    size, k = len(items.words[i]), text[a + p]
-                    s = start[a + p]
+                    size, k, s = len(items.words[i]), text[w], start[w]
                     region = t.hashes[max(t.first[k], s - size) : min(t.first[k + 1], s + 2 * BLOCK + size)].tolist()
                     share, begin, end = closest_share(masks[i][0], size, region, min_share)
                     if share < min_share:
@@ -268,7 +301,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_rank: int = 512, min_cosin
                     region = region[-begin:end]
                     answer = common_subsequence(masks[i][1], len(items.answers[i]), region) / max(1, len(items.answers[i]))
                     if answer >= min_answer or share >= sure_share:
-                        out[k, i] = max(out.get((k, i), (0, 0, 0)), (share, answer, float(cosine[p, i])))
+                        out[k, i] = max(out.get((k, i), (0, 0, 0)), (share, answer, float(cosine[c])))
             yield pd.DataFrame({"doc_id": pd.array([ids.iloc[k] for k, _ in out], "Int64"), "item_id": pd.array([items.ids[i] for _, i in out], "Int64"), "cosine": [v[2] for v in out.values()], "lcs_share": [v[0] for v in out.values()], "answer_share": [v[1] for v in out.values()]})
 
     return docs.mapInPandas(search, schema)
