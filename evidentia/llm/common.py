@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +35,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns of df, whatever else it has."""
+    """The named columns of df, whatever else it has. Arrow batches are kept small, so long texts need little memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 

@@ -30,7 +30,7 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 @lru_cache(maxsize=4)
