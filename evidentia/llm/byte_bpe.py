@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import only
+from evidentia.llm.common import give_back, only
 
 #: A text longer than this is encoded piece by piece.
 PIECE_CHARS = 1 << 16
@@ -37,6 +37,12 @@ def encoding(rank_bytes: bytes, pattern: str) -> tiktoken.Encoding:
     return _encoders[key]
 
 
+def release() -> None:
+    """Drops the encoder: a worker that goes on to other stages needs none of its memory."""
+    _encoders.clear()
+    give_back()
+
+
 def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     """Parts of the text, cut at the first safe boundary after each `limit` characters."""
     start = 0
@@ -84,6 +90,7 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                 ids = encode(text, coder)
                 out.append((doc_id, len(ids), hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(), hashlib.sha256(coder.decode_bytes(ids)).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return only(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +71,17 @@ def chunks(batches: Iterator[pd.DataFrame], column: str = "text", limit: int = C
     held = [x for x in held if len(x)]
     if held:
         yield pd.concat(held, ignore_index=True)
+    held = batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system; a Python worker lives on after its task, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

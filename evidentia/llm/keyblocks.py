@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import CHUNK_BYTES, chunks, mixed
+from evidentia.llm.common import CHUNK_BYTES, chunks, give_back, mixed
 
 ROW = "bucket int, chunk long, kind string, a binary, b binary, c binary"
 #: Entries that one bucket should hold, and the fewest bits of the key that choose the bucket.
-BUCKET_KEYS, LEAST_BITS = 1 << 21, 6
+BUCKET_KEYS, LEAST_BITS = 1 << 20, 6
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -198,7 +198,9 @@ def answered(rows: DataFrame, answer: Callable[[int, pd.DataFrame], Iterator[tup
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= 1 << bits:
             return group[["chunk", "kind", "a", "b", "c"]]
-        return pd.DataFrame(list(answer(int(key[0]), group)), columns=["chunk", "kind", "a", "b", "c"])
+        out = pd.DataFrame(list(answer(int(key[0]), group)), columns=["chunk", "kind", "a", "b", "c"])
+        give_back()
+        return out
 
     return rows.groupBy("bucket").applyInPandas(run, "chunk long, kind string, a binary, b binary, c binary")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import only
+from evidentia.llm.common import give_back, only
 
 #: Slots per n-gram length (n = 1, 2, 3, 4); n = 1 is exact.
 SLOTS = (256, 4096, 16384, 16384)
@@ -142,5 +142,6 @@ def recognised(docs: DataFrame, model: Model | None, min_score: float) -> DataFr
                 own = known[at : at + BATCH]
                 good[own] = m.scores([texts[i] for i in own]).max(1) >= min_score
             yield batch.filter(pa.array(good))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import keyblocks as kb
-from evidentia.llm.common import chunks, text_bytes, with_row_key
+from evidentia.llm.common import chunks, give_back, text_bytes, with_row_key
 
 GRAM = 32
 WIDTH = 6
@@ -258,6 +258,7 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
         ends = at[np.append(a[1:] - 1, len(at) - 1)] + length if len(at) else at
         begins, counts = kb.group_sizes(rid[a])
         rows = [(rid[a[s]], int(key[0]), np.stack([at[a[s : s + n]], ends[s : s + n]], 1).ravel().astype(np.int32)) for s, n in zip(begins, counts, strict=True)]
+        give_back()
         return pd.DataFrame(rows, columns=["_rid", "_part", "spans"])
 
     pieces = docs.join(segments, "_rid").select("_rid", "text", "segments").mapInPandas(cut, "part long, rids binary, places binary, data binary")
