@@ -1,0 +1,257 @@
+"""The operators of the llm subpackage on small tables: nulls, empty and long texts, ties, repeated rows, extra columns."""
+
+import base64
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.llm import byte_bpe, chat, decontaminate, embedding_dedup, language_id, set_join, substring_dedup, suffix_dedup, url_filter, warc
+from evidentia.llm.common import components
+
+DOCS = "doc_id long, text string, lang string, _rid int, chunk string"
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def words(seed, n, most=9):
+    r = np.random.default_rng(seed)
+    return " ".join("".join(r.choice(list("abcdefghiklmnoprstu"), r.integers(2, most))) for _ in range(n))
+
+
+def documents(spark):
+    """Nulls in each column, empty and short texts, copies, near copies, a shared passage, repeats in one text, a long text."""
+    base, passage = words(1, 300), words(2, 70)
+    near = base.split()
+    near[7] = near[150] = "changed"
+    texts = [base, base, " ".join(near), None, "", "  \n ", "one two", "one two", "ONE two", words(3, 80) + " " + passage, passage + "\n" + words(4, 90), "é" * 450, "ab" * 700, words(5, 30000), base + " tail", "日本語 " * 200]
+    rows = [(i, t, "en" if i % 2 else None, i, "x") for i, t in enumerate(texts)]
+    rows += [(None, base, "en", 1, "x"), (0, base, "en", 2, "y"), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+def test_language_id_learns_and_rejects(spark):
+    rows = [(i, words(i, 40) + (" the and of" if i % 2 else " der und die"), "en" if i % 2 else "de", None, None) for i in range(60)]
+    rows = [(i, t.replace("a", "ü") if lang == "de" else t, lang, a, b) for i, t, lang, a, b in rows] + [(100, None, "en", 0, ""), (101, "12 ..", "de", 0, ""), (None, "the and of", None, 0, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in language_id.language_id(df).collect()}
+    assert len(got) == 63 and got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and got[100]["score"] == 0
+    assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") and 0 <= got[i]["score"] <= 1 for i in range(60))
+    import zlib
+
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(60)) and got[None]["held_out"] is False
+    model = language_id.train(df, ~language_id.held_out_rows())
+    kept = language_id.recognised(df, model, 0.2)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= set(range(60)) and 100 not in {r["doc_id"] for r in kept.collect()}
+    empty = language_id.language_id(df.limit(0))
+    assert empty.count() == 0
+    assert {r["lang_pred"] for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def brute_suffix(texts):
+    raws = [(t or "").encode() for t in texts]
+    count = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - 199):
+            if count[r[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept = bytes(np.frombuffer(r, np.uint8)[~gone])
+        out.append((len(r), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_against_brute_force(spark):
+    df = documents(spark)
+    own = df.select("doc_id", "text")
+    want = Counter(zip([r[0] for r in rows_of(own)], brute_suffix([r[1] for r in rows_of(own)])))
+    got = Counter((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"])) for r in suffix_dedup.suffix_dedup(df).select("*", F.sha2("kept", 256).alias("h")).collect())
+    assert got == want
+    assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_substring_dedup_against_brute_force(spark):
+    df = documents(spark)
+    rows = rows_of(df)
+    first = {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            first[key] = min(first.get(key, 1 << 62), 1 << 62 if i is None else i)
+    want = Counter()
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < (1 << 62 if i is None else i):
+                gone[k : k + 50] = True
+        want[i, len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone) if not g).decode()] += 1
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == want
+    assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
+
+
+def brute_join(rows):
+    sets = {}
+    for i, t in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in (t or "")).encode().split()
+        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    comp = {i: i for i in sets if i is not None}
+    changed = True
+    while changed:
+        changed = False
+        for i in comp:
+            for j in comp:
+                if i != j and comp[i] != comp[j] and any(x and 100 * len(x & y) >= 75 * len(x | y) for x in sets[i] for y in sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+                    changed = True
+    return Counter((i, len(s), comp.get(i)) for i, own in sets.items() for s in own)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_ngram_join_against_brute_force(spark, seed):
+    rows = [(r["doc_id"], r["text"], None, None, None) for r in documents(spark).collect() if r["doc_id"] != 0 or seed == 0]
+    r = np.random.default_rng(seed)
+    base = words(50 + seed, 120).split()
+    for i in range(60):  # near copies of one base, and of each other
+        own = list(base)
+        for k in r.choice(120, r.integers(1, 8), replace=False):
+            own[k] = f"w{r.integers(1000)}"
+        rows.append((1000 + i, " ".join(own), None, None, None))
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in set_join.ngram_jaccard_join(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_join([x[:2] for x in rows])
+
+
+def test_ngram_join_of_an_empty_table(spark):
+    assert set_join.ngram_jaccard_join(documents(spark).limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (105, 101), (7, 7)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 105: 100}
+
+
+def merged_bytes(piece, ranks):
+    parts = [bytes([b]) for b in piece]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_byte_bpe_against_merges_by_rank(spark):
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    df = documents(spark)
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.bpe_digests(df, RANKS, public_tokenizers.PATTERN).collect())
+    want = Counter()
+    for i, t in rows_of(df):
+        ids = [x for m in regex.findall(public_tokenizers.PATTERN, t or "") for x in merged_bytes(m.encode(), ranks)]
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert got == want
+    assert "".join(byte_bpe.pieces("ab cd ef gh", 3)) == "ab cd ef gh" and len(list(byte_bpe.pieces("ab cd ef gh", 3))) > 1
+    back = byte_bpe.bpe_decode(byte_bpe.bpe_encode(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert Counter(bytes(r["decoded"]) for r in back.collect()) == Counter((t or "").encode() for _, t in rows_of(df))
+
+
+def test_warc_round_trip(spark):
+    rows = [(3, "http://a/\n b", "<p>é</p>", "x"), (1, None, "<p>é</p>", "x"), (7, "u", None, "x"), (8, "u", "", "x"), (None, "u", "solo", "x"), (9, "u", "<p>\r\n\r\nx</p>" * 90000, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    got = {r["page_id"]: r for r in warc.warc_round_trip(df).collect()}
+    for page, _, html, _ in rows:
+        payload = (html or "").encode()
+        assert got[page]["payload_bytes"] == len(payload) and got[page]["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert bytes(got[page]["payload"]) == (payload if got[page]["record_type"] == "response" else b"")
+    assert (got[3]["record_type"], got[3]["refers_to"], got[1]["record_type"]) == ("revisit", 1, "response") and got[8]["refers_to"] == 7
+    assert {r["record_type"] for r in warc.warc_round_trip(df, 5).where("page_id IN (7, 8)").collect()} == {"response"}
+    assert warc.warc_round_trip(df.limit(0)).count() == 0
+
+
+def test_chat_windows(spark):
+    rows = [(1, 0, "system", "be # good", 0), (1, 1, "user", "\\### Assistant: </turn> ok", 0)] + [(1, k, "assistant" if k % 2 == 0 else "user", words(k, 60) + "\\l<", 0) for k in range(2, 30)]
+    rows += [(2, None, None, None, 0), (2, 1, "assis: tant", "x\ny", 0), (None, 1, "assistant", "é</turn>\n### user: ", 0), (3, 1, "assistant", "a", 0), (3, 1, "assistant", "a", 0), (4, 0, "assistant", words(9, 3000), 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int")
+    windows = chat.chat_windows(df)
+    got = {r["conv_id"]: r for r in chat.chat_digest(windows).collect()}
+    by = {}
+    for c, turn, role, text, _ in rows:
+        by.setdefault(c, []).append((-1 if turn is None else turn, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+    own = windows.where("conv_id = 1").orderBy("window").collect()
+    assert len(own) > 3 and all(w["formatted"].startswith("### system: be \\h good</turn>\n") for w in own) and any(w["n_repeated"] > 1 for w in own)
+    assert chat.chat_windows(df.limit(0)).count() == 0
+
+
+def test_url_filter(spark):
+    urls = ["https://WWW.Example.NET/en/1?x", "https://a.example.com/de/", "http://badexample.com/de/", "x.org/fr/1", None, "http://q.org/fr/a#b", "http://x.net", "https://blog.cheap-pills.example.com/en/4", "https://www.theatre.example.com/en/4", "http://net/a", "", "http://a.org?x://y/z"]
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(None, None, None)], "page_id long, url string, rule string")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.url_filter(df).collect()}
+    assert got[0] == ("www.example.net", "/en/1", "example.net/en/", "allow") and got[1][2:] == ("example.com/de/", "block")
+    assert got[2][2] is None and got[3][:3] == ("", "", None) and got[4][:2] == ("", "") and got[5] == ("q.org", "/fr/a", "org/fr/", "allow")
+    assert got[6][:3] == ("x.net", "", None) and got[7][3] == "block" and got[8][3] == "allow" and got[9][2:] == ("net/", "block") and got[11][:2] == ("a.org", "")
+    assert url_filter.url_filter(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((40, 16))
+    x = [(centres[k % 40] + r.standard_normal(16) * 0.12).tolist() for k in range(400)]
+    x += [x[0], x[0], (np.array(x[0]) * 7).tolist(), [0.0] * 16, None, [None] + [1.0] * 15, [float("nan")] * 16, [1.0, 2.0], []]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)] + [(None, x[0], 1)], "vec_id long, embedding array<double>, cid int")
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in enumerate(x) if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
+    near = {i: {j for j in good if j != i and good[i] @ good[j] >= 0.95} for i in good}
+    comp = {i: i for i in range(len(x))}
+    for _ in range(60):
+        comp |= {i: min([comp[i], *(comp[j] for j in near[i])]) for i in good}
+    result = embedding_dedup.embedding_dedup(df)
+    got = {row["vec_id"]: (row["n_links"], row["component_id"], row["kept"]) for row in result.collect()}
+    assert got.pop(None) == (0, None, False)
+    assert got == {i: (len(near.get(i, ())), comp[i], comp[i] == i) for i in range(len(x))}
+    audit = embedding_dedup.audit_recall(df, result, every=1).first()
+    assert audit["n_found"] >= 0.9 * audit["n_true"] > 0
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_decontamination(spark):
+    items = [(k, words(100 + k, 40).replace(" ", ". ", 1)) for k in range(8)] + [(90, None), (91, ""), (None, words(300, 40))]
+    changed = items[1][1].split()
+    for k in range(0, 40, 5):
+        changed[k] = "other"
+    texts = [words(1, 200) + " " + items[0][1].upper() + " " + words(2, 50), words(3, 90) + " " + " ".join(changed), words(4, 400), None, "", items[2][1], items[2][1], words(7, 100) + " " + items[10][1]]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, items[3][1], None, None, None)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == {(0, 0), (1, 1), (5, 2), (6, 2), (7, None), (None, 3)}
+    assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_subsequence():
+    r = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = r.integers(0, 6, 30).tolist(), r.integers(0, 6, 40).tolist()
+        assert decontaminate.common_subsequence(decontaminate.masks_of(a), len(a), b) == brute_lcs(a, b)
