@@ -167,6 +167,11 @@ def shard_links(group: pd.DataFrame, shard: int, floor: float) -> pd.DataFrame:
     return pd.DataFrame({"cid": ids, "links": found @ copies, "v": ids[label]})
 
 
+def bound(value, f):
+    """f(value), with value worked out once and not at each place where f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, cid, copies) of the rows that can link, and (cid, copies, unit) of each distinct vector."""
     rows = only(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -174,10 +179,10 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("embedding") == (size["n"] if size else 0)).withColumn("h", F.xxhash64("embedding"))
     kinds = rows.groupBy("h", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
-    top = F.array_max(F.transform("embedding", F.abs))
-    scaled = F.transform("embedding", lambda v: v / top)
-    norm = F.sqrt(F.aggregate(F.transform(scaled, lambda v: v * v), F.lit(0.0), lambda a, b: a + b))
-    nodes = saved(kinds.select("h", "embedding", "cid", "copies", F.transform(scaled, lambda v: v / norm).alias("unit")), "nodes")
+    scaled = bound(F.array_max(F.transform("embedding", F.abs)), lambda top: F.transform("embedding", lambda v: v / top))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    unit = bound(scaled, lambda x: bound(norm(x), lambda n: F.transform(x, lambda v: v / n)))
+    nodes = saved(kinds.select("h", "embedding", "cid", "copies", unit.alias("unit")), "nodes")
     members = rows.join(nodes.select("h", "embedding", "cid", "copies"), ["h", "embedding"]).select("vec_id", "cid", "copies")
     return members, nodes.select("cid", "copies", "unit")
 
