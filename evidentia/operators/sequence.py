@@ -116,7 +116,7 @@ def cds_translation_check(features: DataFrame, genomes: DataFrame) -> DataFrame:
     dna = F.substring(F.upper("sequence"), F.col("start"), F.col("end") - F.col("start") + 1)
     dna = F.when(F.col("complement"), F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna)
     rows = rows.withColumn("dna", dna)
-    codons = F.when(F.length("dna") >= 3, F.transform(F.sequence(F.lit(0), F.floor(F.length("dna") / 3).cast("int") - 1), lambda k: F.substring(F.col("dna"), k * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    codons = F.regexp_extract_all("dna", F.lit(r"[\s\S]{3}"), F.lit(0))
     rows = rows.withColumn("protein", F.regexp_replace(translated(codons), r"\*$", ""))
     return rows.select("accession", "feature_no", F.length("dna").cast("long").alias("bases"), F.length("protein").cast("long").alias("residues"), F.sha2("protein", 256).alias("protein_sha256"), (F.col("protein") == F.col("translation")).alias("ok"))
 

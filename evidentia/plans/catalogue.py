@@ -72,13 +72,13 @@ QUERIES = {
     "f6_features_in_region": regions,
     "f9_citation_check": lambda s, d: t(s, d, "pages").select("page_id", F.col("url").rlike("^https?://").alias("is_citation")),
     "f10_validate_html": lambda s, d: t(s, d, "pages").select("page_id", tx.content_ok(F.lit("text/html"), F.col("html")).alias("ok")),
-    "f10_validate_json": lambda s, d: t(s, d, "events").select("event_id", tx.content_ok(F.lit("application/json"), F.when(F.col("event_id") % 5 == 0, F.col("props").substr(2, 100)).otherwise(F.col("props"))).alias("ok")),
+    "f10_validate_json": lambda s, d: t(s, d, "events").select("event_id", tx.content_ok(F.lit("application/json"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))).alias("ok")),
     "j5_with_category": lambda s, d: ca.with_category(t(s, d, "nation"), t(s, d, "region").where("r_regionkey <> 2").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")[0].select("n_nationkey", "r_name"),
     "j15_case_index": lambda s, d: ca.case_index(t(s, d, "conversations").select(F.col("conv_id").alias("case_id")).distinct().select("case_id", F.concat(F.lit("README-"), "case_id").alias("readme"), F.lit("prompt").alias("prompt")), t(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), F.col("role").alias("path"))).withColumn("paths", F.array_join("paths", ",")),
     "w5_dedupe_keep_first": lambda s, d: ca.dedupe_keep_first(t(s, d, "documents"), ["text"], F.when(F.col("lang") == "en", 0).otherwise(1), F.col("doc_id")).select("doc_id"),
     "w6_number_claims": lambda s, d: ca.number_claims(t(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("role").alias("kind"), F.col("turn").alias("ordinal"))).select("case_id", "ordinal", "claim_id"),
     "u1_unique_statements": lambda s, d: hashed(ca.unique_statements(claims_input(s, d)).select("case_id", "statement", F.col("ordinal").cast("long").alias("ordinal")), "statement"),
-    "u2_statements_not_in_section": lambda s, d: ca.statements_not_in_section(t(s, d, "benchmark").select((F.col("item_id") % 20).alias("case_id"), "item_id", F.substring("text", 1, 12).alias("statement")), t(s, d, "documents").select((F.col("doc_id") % 20).alias("case_id"), "doc_id", F.col("text").alias("section_text"))).groupBy("item_id").agg(F.count("*").alias("missing")),
+    "u2_statements_not_in_section": lambda s, d: ca.statements_not_in_section(t(s, d, "benchmark").select((F.col("item_id") % 20).alias("case_id"), "item_id", F.col("text").alias("statement")), t(s, d, "documents").select((F.col("doc_id") % 20).alias("case_id"), "doc_id", F.col("text").alias("section_text"))).groupBy("item_id").agg(F.count("*").alias("missing")),
     "t1_markdown_sections": lambda s, d: hashed(sectioned(s, d), "body"),
     "t2_clean_markdown": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(tx.clean_markdown(F.concat(F.lit("- **x** `y` [z](u) ![a](b)\n"), "text")), 256).alias("cleaned")),
     "t3_split_statements": lambda s, d: t(s, d, "documents").select("doc_id", F.size(tx.split_statements(F.col("text"))).cast("long").alias("statements")),
@@ -108,13 +108,13 @@ SQL = {
 SELECT accession, region_start, o_orderkey FROM f, r WHERE s <= region_start + 30 AND s + o_orderkey % 7 >= region_start""",
     "f9_citation_check": "SELECT page_id, regexp_matches(url, '^https?://') AS is_citation FROM pages",
     "f10_validate_html": "SELECT page_id, regexp_matches(html, '(?i)^<!doctype html') AND contains(html, '</html>') AS ok FROM pages",
-    "f10_validate_json": "SELECT event_id, coalesce(json_valid(CASE WHEN event_id % 5 = 0 THEN substr(props, 2, 100) ELSE props END), false) AS ok FROM events",
+    "f10_validate_json": "SELECT event_id, coalesce(json_valid(CASE WHEN event_id % 5 = 0 THEN '{' || props ELSE props END), false) AS ok FROM events",
     "j5_with_category": "SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 2",
     "j15_case_index": "SELECT conv_id AS case_id, 'README-' || conv_id || ',prompt,' || string_agg(role, ',' ORDER BY turn, role) AS paths FROM conversations GROUP BY conv_id",
     "w5_dedupe_keep_first": "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) = 1",
     "w6_number_claims": "SELECT conv_id AS case_id, turn AS ordinal, conv_id || ':' || role || ':' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS claim_id FROM conversations",
     "u1_unique_statements": "WITH l AS (SELECT doc_id AS case_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, trim(unnest(string_split(text, chr(10)))) AS s FROM documents) SELECT case_id, sha256(s) AS statement, min(ordinal) AS ordinal FROM l WHERE s <> '' GROUP BY case_id, s",
-    "u2_statements_not_in_section": "SELECT item_id, count(*) AS missing FROM benchmark b JOIN documents d ON item_id % 20 = doc_id % 20 AND NOT contains(d.text, trim(regexp_replace(substr(b.text, 1, 12), '[ \\t\\r\\n]+', ' ', 'g'))) GROUP BY item_id",
+    "u2_statements_not_in_section": "SELECT item_id, count(*) AS missing FROM benchmark b JOIN documents d ON item_id % 20 = doc_id % 20 AND NOT contains(d.text, trim(regexp_replace(b.text, '[ \\t\\r\\n]+', ' ', 'g'))) GROUP BY item_id",
     "t1_markdown_sections": f"{SECTIONS} SELECT doc_id, heading, sha256(body) AS body FROM m",
     "t2_clean_markdown": f"SELECT doc_id, sha256(trim({CLEANED})) AS cleaned FROM documents",
     "t3_split_statements": "SELECT doc_id, len(list_filter(list_transform(string_split(replace(regexp_replace(text, '(\\.)\\s+([A-Z0-9`])', '\\1' || chr(1) || '\\2', 'g'), ' - ', chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS statements FROM documents",

@@ -1,8 +1,10 @@
-"""Sequence queries. Alignments are groups of four `documents`, 60 letters each; reads are `conversations`; mutations are
+"""Sequence queries. Alignments are groups of four `documents`, whole
+texts filled up with gaps to the longest of the group; reads are `conversations`; mutations are
 written against `part` names."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.operators import sequence as sq
@@ -10,8 +12,10 @@ from evidentia.operators import sequence as sq
 
 def alignment(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet")
-    text = F.rpad(F.regexp_replace(F.substring(F.lower(F.coalesce("text", F.lit(""))), 1, 60), "[^a-z]", "-"), 60, "-")
-    return t.select(F.floor(F.col("doc_id") / 4).alias("alignment_id"), (F.col("doc_id") % 4).alias("row_no"), F.col("doc_id").alias("seq_id"), text.alias("sequence"))
+    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "-")
+    rows = t.select(F.floor(F.col("doc_id") / 4).alias("alignment_id"), (F.col("doc_id") % 4).alias("row_no"), F.col("doc_id").alias("seq_id"), text.alias("sequence"))
+    longest = F.max(F.length("sequence")).over(Window.partitionBy("alignment_id"))
+    return rows.withColumn("sequence", F.rpad("sequence", longest, F.lit("-")))
 
 
 def reads(spark, d):
@@ -24,7 +28,7 @@ AS_BASES = ("ACGT" * 7)[:26]
 
 def cds(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("accession"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES).alias("sequence"))
-    f = t.select("accession", F.lit(1).alias("feature_no"), F.lit(4).alias("start"), F.lit(93).alias("end"), (F.col("accession") % 2 == 1).alias("complement"), F.lit(None).cast("string").alias("translation"))
+    f = t.select("accession", F.lit(1).alias("feature_no"), F.lit(4).alias("start"), F.length("sequence").alias("end"), (F.col("accession") % 2 == 1).alias("complement"), F.lit(None).cast("string").alias("translation"))
     return sq.cds_translation_check(f, t).drop("ok")
 
 
@@ -41,7 +45,7 @@ QUERIES = {
     "j9_p_distance": lambda s, d: sq.p_distance(alignment(s, d)).select("alignment_id", "seq_i", "seq_j", "compared", "mismatches", F.round("distance", 6).alias("distance")),
     "j10_triplet_branches": lambda s, d: sq.triplet_branch_lengths(sq.p_distance(alignment(s, d))).select("alignment_id", "i", "j", "k", *(F.round(f"branch_{x}", 6).alias(f"branch_{x}") for x in "ijk")),
     "a5_column_identity": lambda s, d: sq.mean_identity(sq.column_identity(alignment(s, d))).select("alignment_id", "columns", F.round("mean_identity", 6).alias("mean_identity")),
-    "w7_ungapped_positions": lambda s, d: sq.ungapped_positions(alignment(s, d)).select("alignment_id", F.col("col").cast("long").alias("col"), "position"),
+    "w7_ungapped_positions": lambda s, d: sq.ungapped_positions(alignment(s, d)).groupBy("alignment_id").agg(F.count("*").alias("columns"), F.max("position").alias("residues"), F.sum(F.col("col") * F.col("position")).alias("weighted")),
     "w8_conserved_runs": lambda s, d: sq.conserved_runs(alignment(s, d), 2).select("alignment_id", *(F.col(c).cast("long").alias(c) for c in ("first_col", "last_col", "columns", "ref_start", "ref_end"))),
     "a3_read_quality": lambda s, d: sq.read_quality(reads(s, d), "file").withColumns({c: F.round(c, 6) for c in ("gc_percent", "q30_percent")}),
     "a4_per_base_quality": lambda s, d: sq.per_base_quality(reads(s, d)).withColumns({c: F.round(c, 6) for c in ("gc", "q30")}),
@@ -51,8 +55,9 @@ QUERIES = {
     "t8_mutation_check": mutations,
 }
 
-AL = """WITH a AS (SELECT doc_id // 4 AS alignment_id, doc_id % 4 AS row_no, doc_id AS seq_id, rpad(regexp_replace(substr(lower(coalesce(text, '')), 1, 60), '[^a-z]', '-', 'g'), 60, '-') AS s FROM documents),
-c AS (SELECT alignment_id, row_no, seq_id, k AS col, s[k:k] AS residue FROM a, range(1, 61) t(k))"""
+AL = """WITH a AS (SELECT doc_id // 4 AS alignment_id, doc_id % 4 AS row_no, doc_id AS seq_id, regexp_replace(lower(coalesce(text, '')), '[^a-z]', '-', 'g') AS s FROM documents),
+f AS (SELECT alignment_id, row_no, seq_id, rpad(s, (max(length(s)) OVER (PARTITION BY alignment_id))::INTEGER, '-') AS s FROM a),
+c AS (SELECT alignment_id, row_no, seq_id, generate_subscripts(string_split(s, ''), 1) AS col, unnest(string_split(s, '')) AS residue FROM f WHERE s <> '')"""
 DIST = f"""{AL}, d AS (SELECT x.alignment_id, x.row_no AS i, y.row_no AS j, x.seq_id AS seq_i, y.seq_id AS seq_j, count(*) AS compared, count(*) FILTER (WHERE x.residue <> y.residue) AS mismatches
   FROM c x JOIN c y ON x.alignment_id = y.alignment_id AND x.col = y.col AND x.row_no < y.row_no WHERE NOT (x.residue = '-' AND y.residue = '-') GROUP BY ALL)"""
 IDENT = """i AS (SELECT alignment_id, col, max(n) AS top, sum(n)::BIGINT AS residues FROM (SELECT alignment_id, col, residue, count(*) AS n FROM c WHERE residue <> '-' GROUP BY ALL) GROUP BY ALL)"""
@@ -64,7 +69,7 @@ SQL = {
 SELECT x.alignment_id, x.i, x.j, z.j AS k, round((x.q + y.q - z.q) / 2, 6) AS branch_i, round((x.q + z.q - y.q) / 2, 6) AS branch_j, round((y.q + z.q - x.q) / 2, 6) AS branch_k
 FROM e x JOIN e y ON x.alignment_id = y.alignment_id AND x.i = y.i JOIN e z ON z.alignment_id = x.alignment_id AND z.i = x.j AND z.j = y.j""",
     "a5_column_identity": f"{AL}, {IDENT} SELECT alignment_id, count(*) AS columns, round(avg(top / residues), 6) AS mean_identity FROM i GROUP BY alignment_id",
-    "w7_ungapped_positions": f"{AL}, {POS} SELECT alignment_id, col, position FROM u",
+    "w7_ungapped_positions": f"{AL}, {POS} SELECT alignment_id, count(*) AS columns, max(position) AS residues, sum(col * position)::BIGINT AS weighted FROM u GROUP BY alignment_id",
     "w8_conserved_runs": f"""{AL}, {IDENT}, {POS}, g AS (SELECT alignment_id, col, col - row_number() OVER (PARTITION BY alignment_id ORDER BY col) AS island FROM i WHERE top = residues),
 r AS (SELECT alignment_id, min(col) AS first_col, max(col) AS last_col, count(*) AS columns FROM g GROUP BY alignment_id, island HAVING count(*) >= 2)
 SELECT r.*, x.position AS ref_start, y.position AS ref_end FROM r LEFT JOIN u x ON x.alignment_id = r.alignment_id AND x.col = first_col LEFT JOIN u y ON y.alignment_id = r.alignment_id AND y.col = last_col""",
@@ -74,9 +79,9 @@ round(100 * sum(len(regexp_extract_all(text, '[GCgc]'))) / sum(length(text)), 6)
 SELECT position, count(*) AS reads, round(avg(CASE WHEN regexp_matches(b, '[GCgc]') THEN 1 ELSE 0 END), 6) AS gc, round(avg(CASE WHEN regexp_matches(b, '[?-~]') THEN 1 ELSE 0 END), 6) AS q30 FROM x GROUP BY 1""",
     "a4_duplicate_rate": "SELECT count(*) AS reads, count(DISTINCT text) AS distinct_reads, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate FROM conversations",
     "w1_first_n": "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
-    "t7_cds_translation": f"""WITH s AS (SELECT doc_id AS accession, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}'), 4, 90) AS x FROM documents),
+    "t7_cds_translation": f"""WITH s AS (SELECT doc_id AS accession, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}'), 4) AS x FROM documents),
 r AS (SELECT accession, CASE WHEN accession % 2 = 1 THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS dna FROM s),
-p AS (SELECT accession, dna, regexp_replace(array_to_string(list_transform(range(length(dna) // 3), lambda k: substr('{sq.AMINO_ACIDS}', (16 * (strpos('TCAG', dna[3 * k + 1:3 * k + 1]) - 1) + 4 * (strpos('TCAG', dna[3 * k + 2:3 * k + 2]) - 1) + strpos('TCAG', dna[3 * k + 3:3 * k + 3]))::INTEGER, 1)), ''), '\\*$', '') AS protein FROM r)
+p AS (SELECT accession, dna, regexp_replace(array_to_string(list_transform(regexp_extract_all(dna, '...'), lambda c: substr('{sq.AMINO_ACIDS}', (16 * (strpos('TCAG', c[1:1]) - 1) + 4 * (strpos('TCAG', c[2:2]) - 1) + strpos('TCAG', c[3:3]))::INTEGER, 1)), ''), '\\*$', '') AS protein FROM r)
 SELECT accession, 1 AS feature_no, length(dna) AS bases, length(protein) AS residues, sha256(protein) AS protein_sha256 FROM p""",
     "t8_mutation_check": """WITH p AS (SELECT p_partkey, upper(p_name) AS n, p_size FROM part)
 SELECT p_partkey AS candidate, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n_mutations, p_size % 5 = 0 OR (p_size % 3 <> 0 AND length(n) >= 3) AS wild_type_ok, true AS sequence_ok,
