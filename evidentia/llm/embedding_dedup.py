@@ -89,6 +89,8 @@ def in_range(x: np.ndarray, adjacency: list[np.ndarray], floor: float) -> np.nda
     table = np.full((m, width), -1)
     for i, a in enumerate(adjacency):
         table[i, : len(a)] = a
+    degree, flat = np.array([len(a) for a in adjacency]), np.concatenate(adjacency)
+    first = np.cumsum(degree) - degree
     medoid = int((x @ x.mean(0)).argmax())
     found = np.zeros((m, m), bool)
     for a in range(0, m, 256):
@@ -99,6 +101,7 @@ def in_range(x: np.ndarray, adjacency: list[np.ndarray], floor: float) -> np.nda
         score = np.full((n, BEAM), -2.0)
         beam[:, 0], score[:, 0] = medoid, x[q] @ x[medoid]
         tested[:, medoid] = True
+        hit[:, medoid] = score[:, 0] >= floor
         rows = np.arange(n)
         while True:  # greedy: open the best node of the beam that is not yet opened
             shut = np.where((beam >= 0) & ~opened[rows[:, None], np.maximum(beam, 0)], score, -3)
@@ -122,19 +125,27 @@ def in_range(x: np.ndarray, adjacency: list[np.ndarray], floor: float) -> np.nda
             hit[go[r[r2]], target[r2]] = True
         hit[rows, q] = True  # a query is a node of the graph itself
         opened[:] = False
-        while True:  # range expansion: open all nodes in range
+        tested |= hit
+        while True:  # range expansion: open all nodes in range, in pieces, as a group of near copies opens all of its pairs
             r, c = np.nonzero(hit & ~opened)
             if not len(r):
                 break
             opened[r, c] = True
-            near = table[c]
-            ok = near >= 0
-            pairs = np.unique(np.repeat(r, width)[ok.ravel()] * m + near[ok])
-            r, c = pairs // m, pairs % m
-            new = ~hit[r, c]
-            r, c = r[new], c[new]
-            for b in range(0, len(r), 1 << 18):
-                rr, cc = r[b : b + (1 << 18)], c[b : b + (1 << 18)]
+            new = np.zeros((n, m), bool)
+            ends = np.cumsum(degree[c])
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]), 1 << 20)), len(r)))
+            for b, e in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+                size = degree[c[b:e]]
+                at = np.repeat(first[c[b:e]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                new[np.repeat(r[b:e], size), flat[at]] = True
+            new &= ~tested
+            tested |= new
+            r, c = np.nonzero(new)
+            if len(r) > n * m // 16:
+                hit |= new & (x[q] @ x.T >= floor)
+                continue
+            for b in range(0, len(r), 1 << 16):
+                rr, cc = r[b : b + (1 << 16)], c[b : b + (1 << 16)]
                 good = np.einsum("ij,ij->i", x[q[rr]], x[cc]) >= floor
                 hit[rr[good], cc[good]] = True
         hit[rows, q] = False
