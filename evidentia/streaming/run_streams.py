@@ -55,9 +55,12 @@ def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 3
             started = int(us.min()) if started is None else min(started, int(us.min()))
             limit = started + minutes * 60_000_000
             done = done or bool((batch["state"].isin(terminal) & (us <= limit)).any())
-        state.update((started, done))
         limit_ms = (started + minutes * 60_000_000) // 1000
-        if not done and limit_ms > state.getCurrentWatermarkMs():
+        late = not done and limit_ms <= state.getCurrentWatermarkMs()
+        state.update((started, done or late))
+        if late:  # new rows of a run put off its timer, so a limit that has passed is told here
+            yield pd.DataFrame({"run_id": [key[0]], "started_us": [started]})
+        elif not done:
             state.setTimeoutTimestamp(limit_ms)
 
     marked = events.withWatermark("at", lateness)
