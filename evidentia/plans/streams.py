@@ -32,6 +32,10 @@ def status(s, d):
     return out.groupBy("run_id").agg(F.max_by("seq", "batch").alias("seq"), F.max_by("state", "batch").alias("state"), F.max("events").alias("events"))
 
 
+def overdue(s, d):
+    return s.read.parquet(st.drained(st.stream_overdue_runs(events(s, d), ["purchase"], 30, "0 seconds"), folder(s)))
+
+
 def deduped(s, d):
     twice = events(s, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     out = s.read.parquet(st.drained(st.stream_dedupe(twice, ["run_id", "seq"], "1 hour"), folder(s)))
@@ -44,11 +48,12 @@ def counts(s, d):
     return out.select(F.unix_seconds("start").alias("start_s"), "state", "events")
 
 
-QUERIES = {"st1_stream_run_audit": audit, "st2_stream_run_status": status, "st4_stream_dedupe": deduped, "st6_stream_state_counts": counts}
+QUERIES = {"st1_stream_run_audit": audit, "st2_stream_run_status": status, "st3_stream_overdue_runs": overdue, "st4_stream_dedupe": deduped, "st6_stream_state_counts": counts}
 
 SQL = {
     "st1_stream_run_audit": plan.AUDIT,
     "st2_stream_run_status": plan.LATEST,
+    "st3_stream_overdue_runs": plan.SQL["st3_overdue_runs_batch"],
     "st4_stream_dedupe": "SELECT user_id AS run_id, event_id AS seq, event_type AS state FROM events",
     "st6_stream_state_counts": f"WITH c AS ({plan.COUNTS}) SELECT * FROM c WHERE start_s + 3600 <= (SELECT epoch(max(ts)) FROM events)",
 }

@@ -51,7 +51,7 @@ def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 3
             return
         started, done = state.get if state.exists else (None, False)
         for batch in batches:
-            us = batch["at"].astype("datetime64[us]").astype("int64")
+            us = batch["at_us"]
             started = int(us.min()) if started is None else min(started, int(us.min()))
             limit = started + minutes * 60_000_000
             done = done or bool((batch["state"].isin(terminal) & (us <= limit)).any())
@@ -63,7 +63,7 @@ def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 3
         elif not done:
             state.setTimeoutTimestamp(limit_ms)
 
-    marked = events.withWatermark("at", lateness)
+    marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
     return marked.groupBy("run_id").applyInPandasWithState(watch, "run_id long, started_us long", "started long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
