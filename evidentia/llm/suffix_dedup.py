@@ -9,6 +9,9 @@ Every byte covered by a 200-byte string that also starts elsewhere (same documen
    right: each round inserts one symbol per segment, sorts the suffixes stably by it (the symbols in suffix order are that
    column's Burrows-Wheeler transform) and updates the common prefixes of neighbours. Windows whose common prefix with a
    neighbour reaches 200 are repeated. Columns are read from a sequential external file, one per round.
+   The segments of a frequent anchor are dealt out over several collections, by where they come from; each of those passes
+   one of all its equal segments on to fewer collections of the same anchor, until one is left. Segments that have an equal
+   one in their collection are repeated as a whole, so they need no later answer.
 3. Repeated windows merge into maximal runs per document.
 
 Aligned at anchors, equal strings always meet in one column, so a column keeps its own transform; the merge of all columns
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import keyblocks as kb
-from evidentia.llm.common import chunks, give_back, text_bytes, with_row_key
+from evidentia.llm.common import chunks, give_back, saved, text_bytes, with_row_key
 
 GRAM = 32
 WIDTH = 6
@@ -41,7 +44,10 @@ SLICE = (1 << PLACE_BITS) - (1 << 16)
 OUTSIDE = 255
 #: Bytes of text per collection, about.
 COLLECTION_BYTES = 8 << 20
-SPANS = "_rid long, _part int, spans array<int>"
+#: Segments of one anchor that a collection should hold, about; and how many collections pass their segments on to one.
+FREQUENT, FAN_IN = 1 << 13, 32
+PIECES = "part long, fan int, salt int, rids binary, places binary, data binary"
+FOUND = f"_rid long, spans array<int>, {PIECES}"
 
 
 def sliding_places(values: np.ndarray, w: int) -> np.ndarray:
@@ -72,7 +78,8 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
-    """_rid and packed segments (starts, windows, anchor offsets, hashes) of the documents with repeated anchors."""
+    """_rid and packed segments (starts, windows, anchor offsets, how often the anchor occurs, hashes) of the documents with
+    repeated anchors."""
     bits = kb.bits_for(n_bytes / 80)
 
     def make(chunk: pd.DataFrame) -> Iterator[tuple]:
@@ -95,14 +102,15 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
         key = np.concatenate(keys)
         sort = np.argsort(key, kind="stable")
         _, runs = kb.group_sizes(key[sort])
-        often = np.empty(len(key), bool)
-        often[sort] = np.repeat(runs > 1, runs)
+        times = np.empty(len(key), np.uint32)
+        times[sort] = np.repeat(runs, runs)
         at = 0
         for number, own, data in zip(group["chunk"], keys, group["b"], strict=True):
-            hit = often[at : at + len(own)]
+            n = times[at : at + len(own)]
+            hit = n > 1
             at += len(own)
             if hit.any():
-                yield int(number), "found", kb.packed_keys(own[hit], 0, 8), kb.packed(kb.unpacked(data, np.uint32, True)[hit], True), None
+                yield int(number), "found", kb.packed_keys(own[hit], 0, 8), kb.packed(kb.unpacked(data, np.uint32, True)[hit], True), kb.packed(n[hit])
 
     def put_together(group: pd.DataFrame) -> pd.DataFrame:
         head, hits = group[group["kind"] == "docs"].iloc[0], group[group["kind"] == "found"]
@@ -114,12 +122,13 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             sizes, offsets = (kb.unpacked(x, np.uint8) for x in kb.parted(head["c"]))
             key = np.concatenate([np.frombuffer(a, "<u8") for a in hits["a"]])
             at = np.concatenate([kb.unpacked(b, np.uint32, True) for b in hits["b"]]).astype(np.int64)
+            times = np.concatenate([kb.unpacked(c, np.uint32) for c in hits["c"]])
             order = np.argsort(at, kind="stable")
-            key, at = key[order], at[order]
+            key, at, times = key[order], at[order], times[order]
             begins, counts = kb.group_sizes(text[at])
             for s, n in zip(begins, counts, strict=True):
                 own = at[s : s + n]
-                rows.append((rids[text[own[0]]], kb.joined(kb.packed(starts[own], True), kb.joined(kb.packed(sizes[own]), kb.joined(kb.packed(offsets[own]), key[s : s + n].tobytes())))))
+                rows.append((rids[text[own[0]]], kb.joined(kb.packed(starts[own], True), kb.joined(kb.packed(sizes[own]), kb.joined(kb.packed(offsets[own]), kb.joined(kb.packed(times[s : s + n]), key[s : s + n].tobytes()))))))
         return pd.DataFrame(rows, columns=["_rid", "segments"])
 
     rows = kb.answered(kb.blocks(docs, make, bits), answer, bits)
@@ -210,44 +219,62 @@ def repeated_in_collection(segments: list[bytes], offsets: np.ndarray, length: i
     return which[order], start[order]
 
 
-def repeated_spans(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
-    """_rid, _part, spans (byte offsets start, end, ...): parts of a document's runs, from several collections."""
+def piece(rids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, segments: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Segments in one row: rids, places, data."""
+    places = kb.joined(kb.packed(starts), kb.joined(kb.packed(sizes.astype(np.uint8)), kb.packed(offsets.astype(np.uint8))))
+    return kb.packed(rids), places, zstandard.ZstdCompressor(level=1).compress(b"".join(segments))
+
+
+def unpieced(group: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """What piece() was given, of all rows of a group."""
+    rids, starts, sizes, offsets, segments = [], [], [], [], []
+    for r, places, data in zip(group["rids"], group["places"], group["data"], strict=True):
+        s, rest = kb.parted(places)
+        n, o = kb.parted(rest)
+        n = kb.unpacked(n, np.uint8).astype(np.int64)
+        rids.append(kb.unpacked(r, np.int64))
+        starts.append(kb.unpacked(s, np.int64))
+        sizes.append(n)
+        offsets.append(kb.unpacked(o, np.uint8).astype(np.int64))
+        plain, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(n + length - 1)
+        segments += [plain[e - k - length + 1 : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    return np.concatenate(rids), np.concatenate(starts), np.concatenate(sizes), np.concatenate(offsets), segments
+
+
+def repeated_spans(docs: DataFrame, length: int, n_bytes: int, frequent: int = FREQUENT, fan_in: int = FAN_IN) -> DataFrame:
+    """_rid and spans (byte offsets start, end, ...): parts of a document's runs, from several collections."""
     segments = repeated_segments(docs, length, n_bytes)
     groups = max(6, -(-n_bytes // COLLECTION_BYTES))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = zstandard.ZstdCompressor(level=1)
         for chunk in chunks(batches):
             parts = []
-            for i, (rid, text, data) in enumerate(zip(chunk["_rid"], chunk["text"], chunk["segments"], strict=True)):
+            for i, data in enumerate(chunk["segments"]):
                 starts, data = kb.parted(data)
                 sizes, data = kb.parted(data)
                 offsets, data = kb.parted(data)
+                times, data = kb.parted(data)
                 starts, sizes, offsets = kb.unpacked(starts, np.int32, True), kb.unpacked(sizes, np.uint8), kb.unpacked(offsets, np.uint8)
-                parts.append((np.full(len(starts), i), starts.astype(np.int64), sizes.astype(np.int64), offsets, np.frombuffer(data, "<u8") % np.uint64(groups)))
-            text_of, starts, sizes, offsets, group = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((np.full(len(starts), i), starts.astype(np.int64), sizes.astype(np.int64), offsets, kb.unpacked(times, np.uint32), np.frombuffer(data, "<u8")))
+            text_of, starts, sizes, offsets, times, key = (np.concatenate(x) for x in zip(*parts, strict=True))
             raw, rids = [t.encode("utf-8", "surrogatepass") for t in chunk["text"]], chunk["_rid"].to_numpy(np.int64)
-            order = np.argsort(group, kind="stable")
-            begins, counts = kb.group_sizes(group[order])
+            # a frequent anchor has collections of its own, numbered below zero
+            fans = np.where(times > frequent, -(-times.astype(np.int64) // frequent), 1)
+            part = np.where(fans > 1, -1 - (key >> np.uint64(1)).astype(np.int64), (key % np.uint64(groups)).astype(np.int64))
+            order = np.argsort(part, kind="stable")
+            begins, counts = kb.group_sizes(part[order])
+            origin = int(kb.mixed(rids[:1].view(np.uint64))[0] >> np.uint64(1))
             rows = []
             for s, n in zip(begins, counts, strict=True):
                 own = order[s : s + n]
-                data = b"".join([raw[text_of[i]][starts[i] : starts[i] + sizes[i] + length - 1] for i in own])
-                rows.append((int(group[own[0]]), kb.packed(rids[text_of[own]]), kb.joined(kb.packed(starts[own]), kb.joined(kb.packed(sizes[own].astype(np.uint8)), kb.packed(offsets[own]))), packer.compress(data)))
-            yield pd.DataFrame(rows, columns=["part", "rids", "places", "data"])
+                fan = int(fans[own].max())
+                texts = [raw[text_of[i]][starts[i] : starts[i] + sizes[i] + length - 1] for i in own]
+                rows.append((int(part[own[0]]), fan, origin % fan, *piece(rids[text_of[own]], starts[own], sizes[own], offsets[own], texts)))
+            yield pd.DataFrame(rows, columns=["part", "fan", "salt", "rids", "places", "data"])
 
     def collection(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rids, starts, offsets, segs = [], [], [], []
-        for r, places, data in zip(group["rids"], group["places"], group["data"], strict=True):
-            s, rest = kb.parted(places)
-            n, o = kb.parted(rest)
-            n = kb.unpacked(n, np.uint8).astype(np.int64)
-            rids.append(kb.unpacked(r, np.int64))
-            starts.append(kb.unpacked(s, np.int64))
-            offsets.append(kb.unpacked(o, np.uint8).astype(np.int64))
-            plain, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(n + length - 1)
-            segs += [plain[e - k - length + 1 : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-        rids, starts, offsets = np.concatenate(rids), np.concatenate(starts), np.concatenate(offsets)
+        part, fan, salt = (int(x) for x in key)
+        rids, starts, sizes, offsets, segs = unpieced(group, length)
         which, at = repeated_in_collection(segs, offsets, length)
         at = at + starts[which]
         order = np.lexsort((at, rids[which]))
@@ -257,12 +284,26 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
         a = np.flatnonzero(first)
         ends = at[np.append(a[1:] - 1, len(at) - 1)] + length if len(at) else at
         begins, counts = kb.group_sizes(rid[a])
-        rows = [(rid[a[s]], int(key[0]), np.stack([at[a[s : s + n]], ends[s : s + n]], 1).ravel().astype(np.int32)) for s, n in zip(begins, counts, strict=True)]
+        nothing = (None,) * 6
+        rows = [(rid[a[s]], np.stack([at[a[s : s + n]], ends[s : s + n]], 1).ravel().astype(np.int32), *nothing) for s, n in zip(begins, counts, strict=True)]
+        if fan > 1:
+            unlike = np.fromiter({x: i for i, x in enumerate(zip(segs, offsets.tolist(), strict=True))}.values(), np.int64)
+            less = -(-fan // fan_in)
+            rows.append((None, None, part, less, salt % less, *piece(rids[unlike], starts[unlike], sizes[unlike], offsets[unlike], [segs[i] for i in unlike])))
+        columns = zip(*rows, strict=True) if rows else [()] * 8
+        kinds = {"_rid": "Int64", "spans": object, "part": "Int64", "fan": "Int32", "salt": "Int32", "rids": object, "places": object, "data": object}
         give_back()
-        return pd.DataFrame(rows, columns=["_rid", "_part", "spans"])
+        return pd.DataFrame({name: pd.Series(list(values), dtype=kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
 
-    pieces = docs.join(segments, "_rid").select("_rid", "text", "segments").mapInPandas(cut, "part long, rids binary, places binary, data binary")
-    return pieces.groupBy("part").applyInPandas(collection, SPANS)
+    pieces = docs.join(segments, "_rid").select("_rid", "text", "segments").mapInPandas(cut, PIECES)
+    spans = None
+    while True:
+        found = saved(pieces.groupBy("part", "fan", "salt").applyInPandas(collection, FOUND), "collections")
+        own = found.where("spans is not null").select("_rid", "spans")
+        spans = own if spans is None else spans.unionByName(own)
+        pieces = found.where("data is not null").drop("_rid", "spans")
+        if pieces.isEmpty():
+            return spans
 
 
 def merged(spans: list[np.ndarray]) -> list[int]:
@@ -275,11 +316,11 @@ def merged(spans: list[np.ndarray]) -> list[int]:
     return np.stack([flat[first, 0], ends], 1).ravel().tolist()
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = (), frequent: int = FREQUENT, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (removed byte offsets start, end, ...), kept (the bytes left) of every
-    whole text, and the string columns named in carry."""
+    whole text, and the string columns named in carry. frequent and fan_in only set how work is dealt out."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rid"), *carry)
-    parts = repeated_spans(with_row_key(docs), length, text_bytes(docs))
+    parts = repeated_spans(with_row_key(docs), length, text_bytes(docs), frequent, fan_in)
     spans = parts.groupBy("_rid").agg(F.collect_list("spans").alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

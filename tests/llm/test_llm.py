@@ -77,6 +77,26 @@ def test_suffix_dedup_against_brute_force(spark):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_deals_out_frequent_anchors(spark):
+    """Several rounds of collections give what one collection per anchor gives."""
+    base, passage = words(1, 300), words(2, 70)
+    texts = [base] * 20 + [words(10 + i, 40) + " " + passage + " " + words(50 + i, 30) for i in range(20)] + [base[:900] + words(90 + i, 50) for i in range(8)] + ["ab" * 400, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    want = dict(enumerate(brute_suffix(texts)))
+    # other partitions mean other chunks, so equal segments come from several places
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        for frequent, fan_in in ((1, 2), (3, 4)):
+            rows = suffix_dedup.suffix_dedup(df, frequent=frequent, fan_in=fan_in).select("*", F.sha2("kept", 256).alias("h")).collect()
+            assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]) for r in rows} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_substring_dedup_against_brute_force(spark):
     df = documents(spark)
     rows = rows_of(df)
