@@ -338,6 +338,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()
             done = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
             yield pd.concat([batch[["doc_id", *carry]].astype({"doc_id": "Int64"}).reset_index(drop=True), done], axis=1)
 
-    both = keyed.join(spans, "_rid", "left").select("doc_id", "text", "spans", *carry)
+    # spans are far larger in memory than in their file, so their size there may not choose a broadcast
+    both = keyed.join(spans.hint("merge"), "_rid", "left").select("doc_id", "text", "spans", *carry)
     more = "".join(f"{c} string, " for c in carry)
     return both.mapInPandas(cut, f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary")
