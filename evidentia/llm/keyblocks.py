@@ -3,7 +3,7 @@
 A task turns each chunk of documents into keys (of word windows, shingles or anchors) and deals them into hash buckets: one
 row per (chunk, bucket) holds all of them, packed. A bucket sees every key of its hash range, so it can count keys over
 the corpus, and answers each chunk with the entries that matter. Chunks then put the answers together by document. What
-is shuffled is a few bytes per key; keys that repeat inside a chunk are met there, so a hot key costs one entry per chunk.
+is shuffled is a few bytes per key. Callers leave out what they can settle inside a chunk; the rest is sent key by key.
 """
 
 from __future__ import annotations
