@@ -248,6 +248,19 @@ def test_embedding_dedup_against_brute_force(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_links_tight_groups(spark):
+    """Two groups that are larger than a candidate list, tight inside, and in range of each other; the medoid is in a third."""
+    r = np.random.default_rng(5)
+    basis = np.linalg.qr(r.standard_normal((64, 3)))[0]
+    ends = [basis[:, 0], 0.97 * basis[:, 0] + np.sqrt(1 - 0.97**2) * basis[:, 1], basis[:, 2]]
+    x = np.array([ends[min(k // 100, 2)] + r.standard_normal(64) * 0.003 for k in range(500)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (x[:100] @ x[:100].T).min() > 0.998 and 0.95 < (x[:100] @ x[100:200].T).min() < (x[:100] @ x[100:200].T).max() < 0.99
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {row["vec_id"]: (row["n_links"], row["component_id"]) for row in embedding_dedup.embedding_dedup(df).collect()}
+    assert got == {i: (199, 0) if i < 200 else (299, 200) for i in range(500)}
+
+
 def test_decontamination(spark):
     items = [(k, words(100 + k, 40).replace(" ", ". ", 1)) for k in range(8)] + [(90, None), (91, ""), (None, words(300, 40))]
     changed = items[1][1].split()
