@@ -60,6 +60,18 @@ class Model:
         k = (x @ self.landmarks.T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
         return k @ self.weights
 
+    def closeness(self, texts: list[str]) -> np.ndarray:
+        """The largest share |S(x) & S(y)| / min(|S(x)|, |S(y)|) of each text with a landmark, less what a presence vector as
+        full as the text's shares by chance. It depends neither on the text's length nor on the number of languages."""
+        x = rows_of(texts)
+        level = self.landmarks.max(1)
+        size = level.astype(np.float64) ** -2
+        use = size >= np.median(size) / 2  # nearly any text holds a tiny landmark
+        n = x.sum(1, dtype=np.float64)[:, None]
+        share = (x @ self.landmarks[use].T) / level[use] / np.maximum(np.minimum(n, size[use]), 1)
+        full = (n / x.shape[1]).ravel()
+        return np.where(full < 1, (share.max(1) - full) / np.maximum(1 - full, 1e-9), 1.0)
+
 
 def fitted(texts: list[str], langs: list[str], landmarks: int = 64, ridge: float = 1e-3) -> Model | None:
     """Landmarks are dealt evenly over the languages, in the order given."""
@@ -129,7 +141,7 @@ def language_id(docs: DataFrame, per_language: int = 200, landmarks: int = 64) -
 
 
 def recognised(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
-    """The rows of docs, unchanged, whose text scores min_score or more for a learned language."""
+    """The rows of docs, unchanged, whose text has a closeness of min_score or more to a landmark."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +152,7 @@ def recognised(docs: DataFrame, model: Model | None, min_score: float) -> DataFr
             known = [i for i, t in enumerate(texts) if m and t is not None and LETTER.search(t)]
             for at in range(0, len(known), BATCH):
                 own = known[at : at + BATCH]
-                good[own] = m.scores([texts[i] for i in own]).max(1) >= min_score
+                good[own] = m.closeness([texts[i] for i in own]) >= min_score
             yield batch.filter(pa.array(good))
         give_back()
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
+from evidentia.llm import language_id
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,3 +47,20 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
     after = corpus_pipeline.repeated_passages(spark, kept, "")
     assert Counter((r["doc_id"], r["text"]) for r in after.collect()) == brute_near(rows)
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def syllables(r, parts, n):
+    return " ".join("".join(r.choice(parts, r.integers(1, 4))) for _ in range(n)).capitalize() + "."
+
+
+def test_language_keeps_clean_texts_of_any_length(spark):
+    r = np.random.default_rng(0)
+    parts = {"en": ["the", "ing", "er", "an", "re", "tion", "ou", "th"], "de": ["sch", "ein", "ung", "ich", "keit", "von", "au", "ge"]}
+    rows = [(i, syllables(r, parts[lang], 150), lang) for i in range(120) for lang in [("en", "de")[i % 2]]]
+    short = [(1000 + i, syllables(r, parts[lang], n), lang) for i, (n, lang) in enumerate((n, lang) for n in range(1, 21) for lang in parts)]
+    long = [(2000 + i, syllables(r, parts[lang], 20000), lang) for i, lang in enumerate(parts)]
+    foreign = [(3000 + n, "".join(chr(c) for c in r.integers(0x3041, 0x9000, n)), None) for n in (5, 20, 100)]
+    model = language_id.fitted([t for _, t, _ in rows], [lang for _, _, lang in rows])
+    df = spark.createDataFrame([(i, t, lang, "x", len(t)) for i, t, lang in rows + short + long + foreign], DOCS)
+    kept = {x["doc_id"] for x in language_id.recognised(df, model, corpus_pipeline.MIN_SCORE).collect()}
+    assert kept == {i for i, _, _ in rows + short + long}
