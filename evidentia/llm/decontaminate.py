@@ -4,7 +4,9 @@
    rarer words of each benchmark item; document frequencies are counted over all passages.
 2. A distributed randomised SVD of the passages and items gives the latent space: two sums A'(A Z) over the corpus, QR between them, and
    the eigenvectors of the small matrix Q'A'AQ.
-3. Each pair of neighbouring blocks is held against every benchmark item by cosine in the latent space.
+3. Each pair of neighbouring blocks is held against every benchmark item by cosine in the latent space. As that space knows
+   the rarer words only, each stretch of blocks that could hold a leak by its count of an item's words, rare or common, is a
+   candidate too: no leak by the rule of 4 is lost, whatever its cosine.
 4. A candidate counts as a leak if the longest common subsequence of words in a stretch of about its length covers enough of the item, and enough of its
    answer (its last sentence; the items have no answers of their own), or nearly all of the item.
 
@@ -224,8 +226,8 @@ def word_lists(rows_of_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(passage: np.ndarray, number: np.ndarray, text: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(item, passage) where the item and the passage with its next one share two words at least; a pair that shares fewer
-    cannot pass the checks of words that follow the cosine."""
+    """(item, passage) where the item and the passage with its next one share two of the latent space's words at least; with
+    fewer, the cosine says little, and enough_words() finds the leaks."""
     begin, item = lists
     counts = begin[number + 1] - begin[number]
     at = np.repeat(begin[number] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
@@ -238,11 +240,41 @@ def candidates(passage: np.ndarray, number: np.ndarray, text: np.ndarray, lists:
     return keys % n, keys // n
 
 
+def stretch(size: int) -> int:
+    """Words of the stretches that are held against an item of `size` words."""
+    return size + size // 3 + 4
+
+
+def enough_words(of_word: np.ndarray, number: np.ndarray, text: np.ndarray, counts: np.ndarray, spans: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, block) where the blocks that a stretch beginning in this one can reach hold words which make up `needed` or
+    more of the item's. A common subsequence takes each word at most as often as the item has it (counts, words x items),
+    so the pairs left out cannot reach `needed`."""
+    n, reach = len(counts), -(-(spans + BLOCK - 1) // BLOCK)
+    items, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for far in np.unique(reach) if len(of_word) else ():
+        pairs = [of_word * n + number]
+        for j in range(1, far):
+            same = (of_word >= j) & (text[np.maximum(of_word - j, 0)] == text[of_word])
+            pairs.append((of_word[same] - j) * n + number[same])
+        pairs = np.sort(np.concatenate(pairs))
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        block, word = pairs // n, pairs % n
+        starts, _ = kb.group_sizes(block)
+        columns = np.flatnonzero(reach == far)
+        for a in range(0, len(columns), 256):
+            own = columns[a : a + 256]
+            # sums are at most the items' sizes, which the type of counts holds
+            w, i = np.nonzero(np.add.reduceat(counts[:, own][word], starts, axis=0, dtype=counts.dtype) >= needed[own])
+            items.append(own[i])
+            blocks.append(block[starts[w]])
+    return np.concatenate(items), np.concatenate(blocks)
+
+
 def closest_share(masks: dict[int, int], size: int, words: list[int], least: float) -> tuple[float, int, int]:
     """Share of an item that the best stretch of about its length covers, and that stretch; 0 below least."""
     if common_subsequence(masks, size, words) < least * size:
         return 0.0, 0, 0
-    span, step = size + size // 3 + 4, max(1, size // 6)
+    span, step = stretch(size), max(1, size // 6)
     starts = range(0, max(1, len(words) - span + step), step)
     return max((common_subsequence(masks, size, words[a : a + span]) / size, -a, a + span) for a in starts)
 
@@ -270,6 +302,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_rank: int = 512, min_cosin
     for i, w in enumerate(of_item):
         np.add.at(rows_of_items[i], plain.find(w)[1], 1.0)
     vectors = latent_space(docs, vocabulary, idf, rows_of_items * idf, n_passages, min(most_rank, len(good) + 32))
+    whole = Vocabulary(everything)
+    sizes = np.array([len(w) for w in of_item], np.int64)
+    counts = np.zeros((len(everything), len(good)), np.min_scalar_type(int(sizes.max())))
+    for i, w in enumerate(of_item):
+        np.add.at(counts[:, i], whole.find(w)[1], 1)
+    spans, needed = np.array([stretch(int(n)) for n in sizes]), np.ceil(min_share * sizes - 1e-9).astype(np.int64)
+    every_word = spark.sparkContext.broadcast((whole, counts, spans, needed))
     answers = [Tokens([rows[i][1][answer_start(rows[i][1]) :]]).hashes.tolist() for i in good]
     items = rows_of_items @ vectors
     items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
@@ -284,17 +323,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_rank: int = 512, min_cosin
             at, number = vocabulary.find(t.hashes)
             pair, row = candidates(of_word[at], number, text, lists)
             own = weighted_sums(of_word[at], vectors[number], len(text))
+            whole, counts, spans, needed = every_word.value
+            at, number = whole.find(t.hashes)
+            sure_pair, sure_row = enough_words(of_word[at], number, text, counts, spans, needed)
+            n = len(items.ids)
+            sure = np.sort(sure_row * n + sure_pair)
+            keys = np.union1d(row * n + pair, sure)
+            pair, row, sure = keys % n, keys // n, np.isin(keys, sure, assume_unique=True)
             for a in range(0, len(pair), 8192):
                 which, p = np.unique(row[a : a + 8192], return_inverse=True)
                 both = own[which] + own[np.minimum(which + 1, len(text) - 1)] * (text[np.minimum(which + 1, len(text) - 1)] == text[which])[:, None] * (which + 1 < len(text))[:, None]
                 norm = np.maximum(np.linalg.norm(both, axis=1), 1e-12)
                 cosine = np.einsum("ij,ij->i", both[p], items.vectors[pair[a : a + 8192]]) / norm[p]
-                for c in np.flatnonzero(cosine >= min_cosine):
+                for c in np.flatnonzero((cosine >= min_cosine) | sure[a : a + 8192]):
                     i, w = int(pair[a + c]), which[p[c]]
                     if i not in masks:
                         masks[i] = (masks_of(items.words[i]), masks_of(items.answers[i]))
                     size, k, s = len(items.words[i]), text[w], start[w]
-                    region = t.hashes[max(t.first[k], s - size) : min(t.first[k + 1], s + 2 * BLOCK + size)].tolist()
+                    region = t.hashes[max(t.first[k], s - size) : min(t.first[k + 1], s + max(2 * BLOCK, int(spans[i]) + BLOCK) + size)].tolist()
                     share, begin, end = closest_share(masks[i][0], size, region, min_share)
                     if share < min_share:
                         continue

@@ -274,6 +274,31 @@ def test_decontamination(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_changed_in_their_rare_words(spark):
+    """Against brute force over all stretches: passages that keep an item's common words only."""
+    r = np.random.default_rng(11)
+    pool = words(500, 60, 6).split()
+    items, texts = [], []
+    for k in range(8):
+        common, rare = r.choice(pool, 13, replace=False).tolist(), [f"item{k}x{j}" for j in range(7)]
+        own = [w for pair in zip(common, rare + [None] * 6) for w in pair if w]
+        items.append((k, " ".join(own)))
+        passage = " ".join(f"p{k}y{j}" if w in rare else w for j, w in enumerate(own))
+        texts.append(" ".join(f"d{k}z{j}" if j % 3 else str(r.choice(pool)) for j in range(150)) + " " + passage + " " + " ".join(f"e{k}z{j}" for j in range(90)))
+    texts += [" ".join(f"f{k}z{j}" if j % 3 else str(r.choice(pool)) for j in range(300)) for k in range(60)]
+    want = set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k, item in items:
+            own = item.split()
+            masks = decontaminate.masks_of(own)
+            span = len(own) + len(own) // 3 + 4
+            if max(decontaminate.common_subsequence(masks, len(own), w[a : a + span]) for a in range(len(w))) >= 0.6 * len(own):
+                want.add((i, k))
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want >= {(k, k) for k in range(8)}
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
