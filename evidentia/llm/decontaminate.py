@@ -1,18 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are blocks of 32 words of every document (lower-cased, punctuation left out), weighted by TF-IDF over the
-   rarer words of each benchmark item; document frequencies are counted over all passages.
-2. A distributed randomised SVD of the passages and items gives the latent space: two sums A'(A Z) over the corpus, QR between them, and
-   the eigenvectors of the small matrix Q'A'AQ.
-3. Each pair of neighbouring blocks is held against every benchmark item by cosine in the latent space. As that space knows
-   the rarer words only, each stretch of blocks that could hold a leak by its count of an item's words, rare or common, is a
-   candidate too: no leak by the rule of 4 is lost, whatever its cosine.
-4. A candidate counts as a leak if the longest common subsequence of words in a stretch of about its length covers enough of the item, and enough of its
-   answer (its last sentence; the items have no answers of their own), or nearly all of the item.
-
-Cases: null or wordless items and documents match nothing; repeated rows and items with equal texts are matched each; an
-empty benchmark or table gives an empty result; a null doc_id or item_id stays null. Other columns are ignored. The
-benchmark is the stated query set: it is broadcast, and refused beyond MOST_BYTES.
+1. One pass over the texts writes compact passages: which words of the benchmark (lower-cased, punctuation left out) stand
+   where in each document. All later steps read this table, a few bytes per known word, and never the texts again.
+2. A distributed randomised SVD of the TF-IDF passages (blocks of BLOCK words) over all words of the items: frequencies and the
+   product A'A G with a random G are summed up over the corpus in one pass, and a Nystrom step gives the leading right
+   singular vectors. The items' own directions are joined to them, so an inner product with an item is exact in the space.
+3. Each window (three blocks, stepped by one; block lengths follow the items' lengths) is held against every item by cosine in the
+   latent space, as a matrix product. A pair is a candidate if its cosine reaches the least that a leak of this item can have
+   in a window of that length: the projection of the item's `needed` least weighty words. So no leak is lost by the search,
+   however common the words that it kept.
+4. A candidate counts as a leak if in some stretch of about the item's length the longest common subsequence of words covers
+   enough of the item, and enough of its answer (its last sentence; the items have no answers of their own), or nearly all
+   of the item. Every stretch is judged, so the result is that of brute force over all pairs.
+
+Cases: null or wordless items and documents match nothing; an item of one word matches every document that holds the word;
+repeated rows and items with equal texts are matched each; of stretches that tie, the first counts; very long texts are
+searched slice by slice; an empty benchmark or table gives an empty result; a null doc_id or item_id stays null. Other
+columns are ignored. The benchmark is the stated query set: it is refused beyond MOST_BYTES, and taken in batches of at most
+MOST_ITEMS items and MOST_WORDS words (or one item), which bound every matrix.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import keyblocks as kb
-from evidentia.llm.common import chunks, only, saved
+from evidentia.llm.common import chunks, give_back, only, saved
 
-BLOCK = 32
-MOST_BYTES = 64 << 20
+#: Words of a passage of the latent space, and the fewest words of a block of the search.
+BLOCK, LEAST_BLOCK = 32, 8
+MOST_BYTES, MOST_ITEMS, MOST_WORDS = 64 << 20, 512, 1 << 15
 SLICES = 32
+#: Blocks that are searched at a time, and the frequent words that are summed up as a dense matrix.
+AT_ONCE, DENSE = 4096, 128
 #: Lower-cased letters and digits; every other ASCII character separates words.
 PLAIN = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)], np.uint8)
+COMPACT = "ids binary, first binary, at binary, number binary"
+LEAKS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
 class Tokens:
@@ -53,7 +63,6 @@ class Vocabulary:
     """The benchmark's words by hash; a table on the low bits finds most of the others at once."""
 
     words: np.ndarray
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     seen: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -69,15 +78,42 @@ class Vocabulary:
         return at[good], number[good]
 
 
-def passages(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of 32 words inside one text: the text of each block, its first word, and the block of each word."""
-    counts = np.diff(tokens.first)
-    blocks = -(-counts // BLOCK)
-    text = np.repeat(np.arange(len(counts)), blocks)
-    before = np.concatenate([[0], np.cumsum(blocks)])
-    start = tokens.first[:-1][text] + BLOCK * (np.arange(len(text)) - before[:-1][text])
-    of_word = np.repeat(np.arange(len(text)), np.diff(np.append(start, len(tokens.hashes)))) if len(text) else np.zeros(0, np.int64)
-    return text, start, of_word
+def compact_passages(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """COMPACT, one row per chunk of documents: ids (and which are null), where each text's words begin, and place and
+    number of every known word."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks(batches):
+            tokens, ids = Tokens(chunk["text"]), chunk["doc_id"].astype("Int64")
+            at, number = known.value.find(tokens.hashes)
+            both = kb.joined(kb.packed(ids.fillna(0).to_numpy(np.int64)), kb.packed(ids.isna().to_numpy(np.uint8)))
+            yield pd.DataFrame({"ids": [both], "first": [kb.packed(tokens.first, True)], "at": [kb.packed(at.astype(np.uint32), True)], "number": [kb.packed(number.astype(np.uint32))]})
+
+    return docs.mapInPandas(compact, COMPACT)
+
+
+@dataclass
+class Passages:
+    """A row of COMPACT, with its words renumbered; words without a new number are left out."""
+
+    first: np.ndarray
+    at: np.ndarray
+    number: np.ndarray
+    text: np.ndarray
+
+    @classmethod
+    def of(cls, first: bytes, at: bytes, number: bytes, renumber: np.ndarray) -> Passages:
+        first, at = kb.unpacked(first, np.int64, True), kb.unpacked(at, np.uint32, True).astype(np.int64)
+        number = renumber[kb.unpacked(number, np.uint32)]
+        at, number = at[number >= 0], number[number >= 0]
+        return cls(first, at, number.astype(np.int64), np.searchsorted(first, at, side="right") - 1)
+
+    def blocks(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block of each word, and the text of each block; blocks lie within one text."""
+        count = -(-np.diff(self.first) // size)
+        base = np.cumsum(count) - count
+        return base[self.text] + (self.at - self.first[self.text]) // size, np.repeat(np.arange(len(count)), count)
 
 
 def summed(rows: DataFrame, parts_of, shape: tuple[int, int]) -> np.ndarray:
@@ -95,93 +131,77 @@ def summed(rows: DataFrame, parts_of, shape: tuple[int, int]) -> np.ndarray:
             if part.any():
                 yield pd.DataFrame({"slice": [k], "salt": [salt], "data": [part.astype(np.float32).tobytes()]})
 
-    def add(group: pd.DataFrame) -> np.ndarray:
+    def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1)
         for x in group["data"]:
             total = total + np.frombuffer(x, np.float32)
-        return total.astype(np.float32).tobytes()
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
 
     parts = rows.mapInPandas(run, "slice int, salt int, data binary")
-    parts = parts.groupBy("slice", "salt").applyInPandas(lambda g: pd.DataFrame({"slice": [g["slice"].iloc[0]], "data": [add(g)]}), "slice int, data binary")
-    parts = parts.groupBy("slice").applyInPandas(lambda g: pd.DataFrame({"slice": [g["slice"].iloc[0]], "data": [add(g)]}), "slice int, data binary")
+    parts = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, data binary").groupBy("slice").applyInPandas(add, "slice int, data binary")
     out = np.zeros(shape)
     for row in parts.collect():  # SLICES rows of one fixed-shape matrix
         out[edges[row["slice"]] : edges[row["slice"] + 1]] = np.frombuffer(row["data"], np.float32).reshape(-1, shape[1])
     return out
 
 
-def weighted_sums(block: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
-    """Sum of vectors by block; blocks ascend."""
+def sums_by(key: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """Sum of vectors by key; keys ascend."""
     out = np.zeros((n, vectors.shape[1]), np.float32)
-    if len(block):
-        starts, _ = kb.group_sizes(block)
-        out[block[starts]] = np.add.reduceat(vectors, starts, axis=0)
+    if len(key):
+        starts, _ = kb.group_sizes(key)
+        out[key[starts]] = np.add.reduceat(vectors, starts, axis=0)
     return out
 
 
-def document_frequency(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """Passages that hold each word, and the number of passages."""
-    plain, n = docs.sparkSession.sparkContext.broadcast(Vocabulary(words)), len(words)
-
-    def frequency(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-        for chunk in chunks(batches):
-            tokens = Tokens(chunk["text"])
-            text, _, of_word = passages(tokens)
-            at, number = plain.value.find(tokens.hashes)
-            pairs = np.sort(of_word[at] * n + number)
-            out = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % n, minlength=n + 1).astype(float)
-            out[n] = len(text)
-            yield out[:, None]
-
-    df = summed(docs.select("text"), frequency, (n + 1, 1)).ravel()
-    return df[:n], int(df[n])
-
-
-def rarer_words(items: list[np.ndarray], df: dict[int, float]) -> np.ndarray:
-    """The rarer half of each item's words, six at least, so every item keeps some however often it leaked."""
-    kept = set()
-    for words in items:
-        own = sorted(set(words.tolist()), key=lambda w: (df[w], w))
-        kept.update(own[: max(6, -(-len(own) // 2))])
-    return np.array(sorted(kept), np.uint64)
-
-
-def latent_space(docs: DataFrame, words: np.ndarray, idf: np.ndarray, items: np.ndarray, n_passages: int, rank: int, seed: int = 7) -> np.ndarray:
-    """The word vectors of the latent space: idf times right singular vectors. The items' own rows join the passages' with
-    as much weight, so that items that leaked seldom or never have their directions too."""
-    sc, n = docs.sparkSession.sparkContext, len(words)
-    known = sc.broadcast(Vocabulary(words))
-
-    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in chunks(batches):
-            tokens = Tokens(chunk["text"])
-            text, _, of_word = passages(tokens)
-            at, number = known.value.find(tokens.hashes)
-            yield pd.DataFrame({"n": [len(text)], "passage": [of_word[at].astype(np.uint32).tobytes()], "number": [number.astype(np.uint32).tobytes()]})
-
-    # the known words of all passages; both rounds read these few
-    table = saved(docs.select("text").mapInPandas(compact, "n int, passage binary, number binary"), "passages")
-    rank = min(rank, n)
-    weight_of_items = max(1.0, n_passages / max(1, len(items)))
-    z = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0]
-    for _ in range(2):
-        shared = sc.broadcast((idf[:, None] * z).astype(np.float32))
-
-        def product(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[np.ndarray]:
-            for batch in batches:
-                for size, passage, number in zip(batch["n"], batch["passage"], batch["number"], strict=True):
-                    passage, number = np.frombuffer(passage, np.uint32), np.frombuffer(number, np.uint32)
-                    az = weighted_sums(passage, shared.value[number], size)
-                    # transposed product: words in order of their number, each with its passage's row
-                    order = np.argsort(number, kind="stable")
-                    yield weighted_sums(number[order], az[passage[order]], n) * idf[:, None]
-
-        y, before = summed(table, product, (n, rank)) + weight_of_items * (items.T @ (items @ z)), z
-        z = np.linalg.qr(y)[0]
-    # y = A'A q for the last q: the small matrix of the Rayleigh-Ritz step
-    values, vectors = np.linalg.eigh((before.T @ y + y.T @ before) / 2)
-    keep = values > max(values.max(), 0) * 1e-9
-    return idf[:, None] * (before @ vectors[:, keep][:, ::-1])
+def block_vectors(block: np.ndarray, number: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """Sum of the words' rows of basis by block: a matrix product for the words with the lowest numbers, which are the most
+    frequent, and a sum of rows for the others."""
+    dense = min(DENSE, len(basis))
+    often = number < dense
+    counts = np.bincount(block[often] * dense + number[often], minlength=n * dense).reshape(n, dense).astype(np.float32)
+    return counts @ basis[:dense] + sums_by(block[~often], basis[number[~often]], n)
+
+
+def latent_space(table: DataFrame, renumber: np.ndarray, n: int, rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """idf of the n words, and the leading right singular vectors (n x rank or fewer) of the passages weighted by it.
+
+    With P the word counts of all passages and G random, P'P G is summed up over the corpus; D = diag(idf) follows from the
+    same pass. Then A'A = D P'P D is close to (D P'P G)(G' P'P G)^-1 (D P'P G)', whose eigenvectors are those of A."""
+    g = np.random.default_rng(seed).standard_normal((n, min(rank, n))).astype(np.float32)
+    shared = table.sparkSession.sparkContext.broadcast((renumber, g))
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        renumber, g = shared.value
+        for batch in batches:
+            for row in batch.itertuples():
+                words = Passages.of(row.first, row.at, row.number, renumber)
+                block, text = words.blocks(BLOCK)
+                out = np.zeros((n + 1, g.shape[1] + 1))
+                out[n, 0] = len(text)
+                order = np.argsort(words.number, kind="stable")
+                number, of_block = words.number[order], block[order]
+                # the blocks of a word ascend, so repeats inside a block stand together
+                once = np.ones(len(order), bool)
+                once[1:] = (number[1:] != number[:-1]) | (of_block[1:] != of_block[:-1])
+                out[:n, 0] = np.bincount(number[once], minlength=n)
+                for a in range(0, len(text), AT_ONCE):
+                    lo, hi = np.searchsorted(block, [a, a + AT_ONCE])
+                    own = block[lo:hi] - a
+                    pg = sums_by(own, g[words.number[lo:hi]], min(AT_ONCE, len(text) - a))
+                    order = np.argsort(words.number[lo:hi], kind="stable")
+                    out[:n, 1:] += sums_by(words.number[lo:hi][order], pg[own[order]], n)
+                yield out
+        give_back()
+
+    total = summed(table.select("first", "at", "number"), product, (n + 1, g.shape[1] + 1))
+    df, n_passages, y = total[:n, 0], total[n, 0], total[:n, 1:]
+    idf = np.maximum(np.log1p(n_passages) - np.log1p(df), 0.1)
+    core = g.T.astype(np.float64) @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > max(values.max(), 0) * 1e-7
+    factor = idf[:, None] * (y @ vectors[:, keep]) / np.sqrt(values[keep])
+    return idf, np.linalg.svd(factor, full_matrices=False)[0]
 
 
 def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -209,145 +229,197 @@ def answer_start(text: str) -> int:
     return ends[-1] if ends else 0
 
 
-@dataclass
-class Items:
-    """The benchmark: ids, words, answers, latent vectors."""
+def stretch(size: int) -> int:
+    """Words of the stretches that are held against an item of `size` words."""
+    return size + size // 3 + 4
 
-    ids: list
-    words: list
-    answers: list
-    vectors: np.ndarray
 
+def block_for(span: int) -> int:
+    """The block length for stretches of span words: a stretch that begins in a block ends within the two after it."""
+    return max(LEAST_BLOCK, 1 << (span // 2 - 1).bit_length())
 
-def word_lists(rows_of_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The items that hold each word: where a word's items begin, and all of them."""
-    word, item = np.nonzero(rows_of_items.T)
-    return np.searchsorted(word, np.arange(rows_of_items.shape[1] + 1)), item
 
+@dataclass
+class Rule:
+    """What makes a stretch a leak."""
 
-def candidates(passage: np.ndarray, number: np.ndarray, text: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(item, passage) where the item and the passage with its next one share two of the latent space's words at least; with
-    fewer, the cosine says little, and enough_words() finds the leaks."""
-    begin, item = lists
-    counts = begin[number + 1] - begin[number]
-    at = np.repeat(begin[number] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    of, which = np.repeat(passage, counts), item[at]
-    back = (of > 0) & (text[np.maximum(of - 1, 0)] == text[of]) if len(of) else np.zeros(0, bool)
-    n = int(item.max()) + 1 if len(item) else 1
-    keys = np.sort(np.concatenate([of * n + which, (of[back] - 1) * n + which[back]]))
-    starts, sizes = kb.group_sizes(keys)
-    keys = keys[starts[sizes > 1]]
-    return keys % n, keys // n
+    min_share: float
+    min_answer: float
+    sure_share: float
 
+    def needed(self, size: int) -> int:
+        return max(1, int(np.ceil(self.min_share * size - 1e-9)))
 
-def stretch(size: int) -> int:
-    """Words of the stretches that are held against an item of `size` words."""
-    return size + size // 3 + 4
 
+@dataclass
+class Item:
+    """An item by its words' numbers."""
+
+    item_id: int | None
+    words: list[int]
+    answer: list[int]
+    masks: dict[int, int] = field(init=False)
+    answer_masks: dict[int, int] = field(init=False)
+
+    def __post_init__(self):
+        self.masks, self.answer_masks = masks_of(self.words), masks_of(self.answer)
+
+    def best(self, numbers: list[int], places: list[int], end: int, rule: Rule) -> tuple[float, float] | None:
+        """(share, answer share) of the best leaking stretch among those that begin at a word before place `end`. Only the item's
+        words are given: others add nothing, and a stretch that begins at one of these words holds all of a stretch
+        that begins between them and the word before."""
+        size, span, needed = len(self.words), stretch(len(self.words)), rule.needed(len(self.words))
+        if common_subsequence(self.masks, size, numbers) < needed:
+            return None
+        found, stop = None, 0
+        for start in range(len(numbers)):
+            if places[start] >= end:
+                break
+            while stop < len(numbers) and places[stop] < places[start] + span:
+                stop += 1
+            if stop - start < needed:
+                continue
+            own = numbers[start:stop]
+            share = common_subsequence(self.masks, size, own) / size
+            if share * size < needed - 0.5 or (found and share < found[0]):
+                continue
+            answer = common_subsequence(self.answer_masks, len(self.answer), own) / max(1, len(self.answer))
+            if (answer >= rule.min_answer or share >= rule.sure_share) and (found is None or (share, answer) > found):
+                found = share, answer
+        return found
 
-def enough_words(of_word: np.ndarray, number: np.ndarray, text: np.ndarray, counts: np.ndarray, spans: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, block) where the blocks that a stretch beginning in this one can reach hold words which make up `needed` or
-    more of the item's. A common subsequence takes each word at most as often as the item has it (counts, words x items),
-    so the pairs left out cannot reach `needed`."""
-    n, reach = len(counts), -(-(spans + BLOCK - 1) // BLOCK)
-    items, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for far in np.unique(reach) if len(of_word) else ():
-        pairs = [of_word * n + number]
-        for j in range(1, far):
-            same = (of_word >= j) & (text[np.maximum(of_word - j, 0)] == text[of_word])
-            pairs.append((of_word[same] - j) * n + number[same])
-        pairs = np.sort(np.concatenate(pairs))
-        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-        block, word = pairs // n, pairs % n
-        starts, _ = kb.group_sizes(block)
-        columns = np.flatnonzero(reach == far)
-        for a in range(0, len(columns), 256):
-            own = columns[a : a + 256]
-            # sums are at most the items' sizes, which the type of counts holds
-            w, i = np.nonzero(np.add.reduceat(counts[:, own][word], starts, axis=0, dtype=counts.dtype) >= needed[own])
-            items.append(own[i])
-            blocks.append(block[starts[w]])
-    return np.concatenate(items), np.concatenate(blocks)
-
-
-def closest_share(masks: dict[int, int], size: int, words: list[int], least: float) -> tuple[float, int, int]:
-    """Share of an item that the best stretch of about its length covers, and that stretch; 0 below least."""
-    if common_subsequence(masks, size, words) < least * size:
-        return 0.0, 0, 0
-    span, step = stretch(size), max(1, size // 6)
-    starts = range(0, max(1, len(words) - span + step), step)
-    return max((common_subsequence(masks, size, words[a : a + span]) / size, -a, a + span) for a in starts)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, most_rank: int = 512, min_cosine: float = 0.35, min_share: float = 0.6, min_answer: float = 0.5, sure_share: float = 0.85) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_share, answer_share of every leak; the best candidate of each pair."""
-    schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
-    spark, docs = docs.sparkSession, only(docs, "doc_id", "text")
+
+@dataclass
+class Band:
+    """Items of about one length: their latent space and what a leak of each needs."""
+
+    block: int
+    items: list[Item]
+    basis: np.ndarray  # words x dimensions: idf times directions
+    vectors: np.ndarray  # dimensions x items
+    least: np.ndarray  # least projection of a leak on the item, times the item's norm
+    present: np.ndarray  # items x words
+    needed: np.ndarray
+
+    @classmethod
+    def of(cls, block: int, items: list[Item], idf: np.ndarray, leading: np.ndarray, rule: Rule) -> Band:
+        present = np.zeros((len(items), len(idf)), bool)
+        for i, item in enumerate(items):
+            present[i, item.words] = True
+        rows = present * idf
+        directions = np.linalg.qr(np.hstack([rows.T, leading]))[0]
+        needed = np.array([rule.needed(len(item.words)) for item in items])
+        # the words that count least; float32 products are off by far less than the margin
+        least = np.array([np.sort(idf[item.words] ** 2)[:k].sum() for item, k in zip(items, needed, strict=True)]) * 0.999
+        return cls(block, items, (idf[:, None] * directions).astype(np.float32), (rows @ directions).T.astype(np.float32), least.astype(np.float32), present, needed)
+
+    def search(self, words: Passages, rule: Rule) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """(text, item of the band): (share, answer share, cosine) of the best leak."""
+        out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        block, text = words.blocks(self.block)
+        first_block = np.searchsorted(text, np.arange(len(words.first) - 1))
+        norms = np.linalg.norm(self.vectors, axis=0)
+        for a in range(0, len(text), AT_ONCE):
+            e = min(len(text), a + AT_ONCE + 2)
+            edges = np.searchsorted(block, np.arange(a, e + 1))
+            lo, hi = edges[0], edges[-1]
+            x, of = block_vectors(block[lo:hi] - a, words.number[lo:hi], e - a, self.basis), text[a:e]
+            window, last = x.copy(), np.arange(1, e - a + 1)
+            for k in (1, 2):
+                same = of[k:] == of[:-k]
+                window[:-k] += x[k:] * same[:, None]
+                last[:-k] += same
+            n = min(AT_ONCE, len(text) - a)
+            # cosine >= least / (norm of the window * norm of the item), both sides times these norms
+            row, item = np.nonzero(window[:n] @ self.vectors >= self.least)
+            row, item = self.enough_words(words.number, edges[row], edges[last[row]], row, item)
+            for r, i in zip(row.tolist(), item.tolist(), strict=True):
+                s, t = edges[r], edges[last[r]]
+                own = np.flatnonzero(self.present[i, words.number[s:t]]) + s
+                k = int(of[r])
+                end = words.first[k] + (a + r + 1 - first_block[k]) * self.block
+                found = self.items[i].best(words.number[own].tolist(), words.at[own].tolist(), int(end), rule)
+                if found:
+                    cosine = float(window[r] @ self.vectors[:, i] / max(np.linalg.norm(window[r]) * norms[i], 1e-12))
+                    out[k, i] = max(out.get((k, i), (0.0, 0.0, 0.0)), (*found, min(1.0, cosine)))
+        return out
+
+    def enough_words(self, number: np.ndarray, start: np.ndarray, stop: np.ndarray, row: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates whose window holds as many words of the item as a leak needs: a first exact check, a few at a time."""
+        keep = np.zeros(len(row), bool)
+        ends = np.cumsum(stop - start)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20)), len(row)))
+        for b, e in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            size = stop[b:e] - start[b:e]
+            if e > b:
+                at = np.repeat(start[b:e] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                held = self.present[np.repeat(item[b:e], size), number[at]]
+                keep[b:e] = np.add.reduceat(held, np.cumsum(size) - size, dtype=np.int32) >= self.needed[item[b:e]]
+        return row[keep], item[keep]
+
+
+def batches_of(words: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of items, a batch at a time: at most MOST_ITEMS items and MOST_WORDS different words, or one item."""
+    own, seen = [], np.zeros(0, np.int64)
+    for i, w in enumerate(words):
+        both = np.union1d(seen, w)
+        if own and (len(own) >= MOST_ITEMS or len(both) > MOST_WORDS):
+            yield own
+            own, both = [], np.unique(w)
+        own.append(i)
+        seen = both
+    if own:
+        yield own
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 32, min_share: float = 0.6, min_answer: float = 0.5, sure_share: float = 0.85) -> DataFrame:
+    """doc_id, item_id, cosine, lcs_share, answer_share of every leak; the best stretch of each pair of rows."""
+    spark, docs, rule = docs.sparkSession, only(docs, "doc_id", "text"), Rule(min_share, min_answer, sure_share)
     texts = only(benchmark, "item_id", "text").where("text IS NOT NULL")
     if (texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) > MOST_BYTES:
         raise ValueError(f"the benchmark has more than {MOST_BYTES} bytes")
-    rows = [(r["item_id"], r["text"]) for r in texts.collect()]
-    tokens = Tokens([t for _, t in rows])
-    words = [tokens.hashes[a:b].tolist() for a, b in zip(tokens.first[:-1], tokens.first[1:], strict=True)]
-    good = [i for i, w in enumerate(words) if w]
-    if not good:
-        return spark.createDataFrame([], schema)
-    of_item = [np.array(words[i], np.uint64) for i in good]
-    everything = np.unique(tokens.hashes)
-    df, n_passages = document_frequency(docs, everything)
-    vocabulary = rarer_words(of_item, dict(zip(everything.tolist(), df.tolist(), strict=True)))
-    idf = np.maximum(np.log1p(n_passages) - np.log1p(df[np.searchsorted(everything, vocabulary)]), 0.1)
-    plain = Vocabulary(vocabulary)
-    rows_of_items = np.zeros((len(good), len(vocabulary)))
-    for i, w in enumerate(of_item):
-        np.add.at(rows_of_items[i], plain.find(w)[1], 1.0)
-    vectors = latent_space(docs, vocabulary, idf, rows_of_items * idf, n_passages, min(most_rank, len(good) + 32))
-    whole = Vocabulary(everything)
-    sizes = np.array([len(w) for w in of_item], np.int64)
-    counts = np.zeros((len(everything), len(good)), np.min_scalar_type(int(sizes.max())))
-    for i, w in enumerate(of_item):
-        np.add.at(counts[:, i], whole.find(w)[1], 1)
-    spans, needed = np.array([stretch(int(n)) for n in sizes]), np.ceil(min_share * sizes - 1e-9).astype(np.int64)
-    every_word = spark.sparkContext.broadcast((whole, counts, spans, needed))
-    answers = [Tokens([rows[i][1][answer_start(rows[i][1]) :]]).hashes.tolist() for i in good]
-    items = rows_of_items @ vectors
-    items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((Vocabulary(vocabulary, idf), vectors.astype(np.float32), Items([rows[i][0] for i in good], [words[i] for i in good], answers, items.astype(np.float32)), word_lists(rows_of_items)))
+    rows = [r for r in texts.collect() if len(Tokens([r["text"]]).hashes)]
+    if not rows:
+        return spark.createDataFrame([], LEAKS)
+    tokens, answers = Tokens([r["text"] for r in rows]), Tokens([r["text"][answer_start(r["text"]) :] for r in rows])
+    vocabulary = Vocabulary(np.unique(tokens.hashes))
+    number_of = lambda t: [np.searchsorted(vocabulary.words, t.hashes[a:b]) for a, b in zip(t.first[:-1], t.first[1:], strict=True)]
+    words, answers = number_of(tokens), number_of(answers)
+    table = saved(compact_passages(docs.where("text IS NOT NULL"), vocabulary), "passages")
+    found = None
+    for batch in batches_of(words):
+        known = np.unique(np.concatenate([words[i] for i in batch]))
+        renumber = np.full(len(vocabulary.words), -1, np.int32)
+        renumber[known] = np.arange(len(known))
+        idf, leading = latent_space(table, renumber, len(known), rank)
+        often_first = np.argsort(idf, kind="stable")
+        idf, leading = idf[often_first], leading[often_first]
+        renumber[known[often_first]] = np.arange(len(known))
+        items = [Item(rows[i]["item_id"], renumber[words[i]].tolist(), renumber[answers[i]].tolist()) for i in batch]
+        by_block: dict[int, list[Item]] = {}
+        for item in items:
+            by_block.setdefault(block_for(stretch(len(item.words))), []).append(item)
+        bands = [Band.of(block, own, idf, leading, rule) for block, own in sorted(by_block.items())]
+        some = searched(table, renumber, bands, rule)
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def searched(table: DataFrame, renumber: np.ndarray, bands: list[Band], rule: Rule) -> DataFrame:
+    """LEAKS of the items of all bands."""
+    shared = table.sparkSession.sparkContext.broadcast((renumber, bands))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, vectors, items, lists = shared.value
-        masks: dict[int, tuple] = {}
-        for chunk in chunks(batches):
-            t, ids, out = Tokens(chunk["text"]), chunk["doc_id"].astype("Int64"), {}
-            text, start, of_word = passages(t)
-            at, number = vocabulary.find(t.hashes)
-            pair, row = candidates(of_word[at], number, text, lists)
-            own = weighted_sums(of_word[at], vectors[number], len(text))
-            whole, counts, spans, needed = every_word.value
-            at, number = whole.find(t.hashes)
-            sure_pair, sure_row = enough_words(of_word[at], number, text, counts, spans, needed)
-            n = len(items.ids)
-            sure = np.sort(sure_row * n + sure_pair)
-            keys = np.union1d(row * n + pair, sure)
-            pair, row, sure = keys % n, keys // n, np.isin(keys, sure, assume_unique=True)
-            for a in range(0, len(pair), 8192):
-                which, p = np.unique(row[a : a + 8192], return_inverse=True)
-                both = own[which] + own[np.minimum(which + 1, len(text) - 1)] * (text[np.minimum(which + 1, len(text) - 1)] == text[which])[:, None] * (which + 1 < len(text))[:, None]
-                norm = np.maximum(np.linalg.norm(both, axis=1), 1e-12)
-                cosine = np.einsum("ij,ij->i", both[p], items.vectors[pair[a : a + 8192]]) / norm[p]
-                for c in np.flatnonzero((cosine >= min_cosine) | sure[a : a + 8192]):
-                    i, w = int(pair[a + c]), which[p[c]]
-                    if i not in masks:
-                        masks[i] = (masks_of(items.words[i]), masks_of(items.answers[i]))
-                    size, k, s = len(items.words[i]), text[w], start[w]
-                    region = t.hashes[max(t.first[k], s - size) : min(t.first[k + 1], s + max(2 * BLOCK, int(spans[i]) + BLOCK) + size)].tolist()
-                    share, begin, end = closest_share(masks[i][0], size, region, min_share)
-                    if share < min_share:
-                        continue
-                    region = region[-begin:end]
-                    answer = common_subsequence(masks[i][1], len(items.answers[i]), region) / max(1, len(items.answers[i]))
-                    if answer >= min_answer or share >= sure_share:
-                        out[k, i] = max(out.get((k, i), (0, 0, 0)), (share, answer, float(cosine[c])))
-            yield pd.DataFrame({"doc_id": pd.array([ids.iloc[k] for k, _ in out], "Int64"), "item_id": pd.array([items.ids[i] for _, i in out], "Int64"), "cosine": [v[2] for v in out.values()], "lcs_share": [v[0] for v in out.values()], "answer_share": [v[1] for v in out.values()]})
-
-    return docs.mapInPandas(search, schema)
+        renumber, bands = shared.value
+        for batch in batches:
+            for row in batch.itertuples():
+                words, out = Passages.of(row.first, row.at, row.number, renumber), []
+                ids, null = (kb.unpacked(x, t) for x, t in zip(kb.parted(row.ids), (np.int64, np.uint8), strict=True))
+                for band in bands:
+                    for (k, i), (share, answer, cosine) in band.search(words, rule).items():
+                        out.append((None if null[k] else int(ids[k]), band.items[i].item_id, cosine, share, answer))
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+        give_back()
+
+    return table.mapInPandas(search, LEAKS)
