@@ -7,37 +7,82 @@ from pyspark.sql import functions as F
 
 # Extension and media type.
 MEDIA_TYPES = {
-    ".aln-fasta": "text/x-fasta", ".cif": "chemical/x-mmcif", ".csv": "text/csv", ".fasta": "text/x-fasta", ".gb": "text/x-genbank",
-    ".geojson": "application/geo+json", ".html": "text/html", ".json": "application/json", ".md": "text/markdown", ".nwk": "text/x-newick",
-    ".pdb": "chemical/x-pdb", ".png": "image/png", ".svg": "image/svg+xml", ".tsv": "text/tab-separated-values", ".txt": "text/plain",
-}
+    ".json": "application/json",
+    ".geojson": "application/geo+json",
+    ".csv": "text/csv",
+    ".svg": "image/svg+xml",
+    ".png": "image/png",
+    ".pdb": "chemical/x-pdb",
+    ".cif": "chemical/x-mmcif",
+    ".fasta": "text/x-fasta",
+    ".aln-fasta": "text/x-fasta",
+    ".gb": "text/x-genbank",
+    ".nwk": "text/x-newick",
+    ".md": "text/markdown",
+}
 OCTETS = "application/octet-stream"
+PNG_SIGNATURE = "89504E470D0A1A0A"
+#: White space as ECMAScript's \s has it, and as its trim() cuts it off.
+BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def media_type(path: Column) -> Column:
-    """Media type by the longest extension that fits; octets where none does."""
-    out = F.lit(OCTETS)
-    for extension in sorted(MEDIA_TYPES, key=lambda e: (len(e), e)):
-        out = F.when(F.endswith(F.lower(path), F.lit(extension)), F.lit(MEDIA_TYPES[extension])).otherwise(out)
-    return out
+    """Media type by the extension (what follows the last dot of the file's name, lower-cased); octets for any other."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    dot = F.length(name) - F.instr(F.reverse(name), ".")
+    extension = F.when(name.endswith(".aln-fasta"), ".aln-fasta").when((F.instr(name, ".") > 0) & (dot > 0), F.substring(name, dot + 1, F.length(name)))
+    known = F.create_map(*(F.lit(x) for pair in MEDIA_TYPES.items() for x in pair))
+    return F.coalesce(F.element_at(known, extension), F.lit(OCTETS))
+
+
+def is_text(media: Column) -> Column:
+    """Types whose line ends do not count: texts, JSON, SVG and chemical tables."""
+    return media.startswith("text/") | media.startswith("chemical/") | media.isin("application/json", "application/geo+json", "image/svg+xml")
+
+
+def final_role(path: Column, role: Column) -> Column:
+    """A path that names provenance has that role, whatever was declared."""
+    return F.when(F.lower(path).contains("provenance"), F.lit("provenance")).otherwise(role)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def clean_markdown(text: Column) -> Column:
-    """Without images, bullets, code ticks, link targets and bold marks, white space collapsed; in this order."""
-    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"(?m)^[ \t]*[-*][ \t]+", ""), (r"`([^`]*)`", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\*\*([^*]*)\*\*", "$1"), (r"[ \t\r\n]+", " ")):
+    """Without lines of one image, bullets at line starts, code ticks, link targets and bold marks, white space collapsed; in
+    this order."""
+    # Pattern and replacement of each step.
+    steps = (
+        (rf"(?m)^!\[[^\]]*\]\([^)]*\){BLANK}*$", ""),
+        (rf"(?m)^[-*]{BLANK}+", ""),
+        (r"`([^`]+)`", "$1"),
+        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        (r"\*\*([^*]+)\*\*", "$1"),
+        (rf"{BLANK}+", " "),
+    )
+    for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 
 
 def split_statements(text: Column) -> Column:
-    """Statements: cut after a full stop before a capital, digit or backtick, or at ` - `; trimmed, none empty."""
-    return F.filter(F.transform(F.split(text, r"(?<=\.)\s+(?=[A-Z0-9`])| - "), F.trim), lambda s: s != "")
+    """Statements: cut after a full stop before a capital, digit or backtick, or at a dash or star between blanks; trimmed,
+    none empty."""
+    parts = F.split(text, rf"(?<=\.){BLANK}+(?=[A-Z0-9`])|{BLANK}+[-*]{BLANK}+")
+    return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 
 def path_problem(path: Column) -> Column:
     """blank, absolute or escaping; null for a path that stays inside its root."""
-    depth = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("d"), F.lit(0).alias("least")), lambda s, part: F.struct(*(x.alias(n) for n, x in (("d", s["d"] + step(part)), ("least", F.least(s["least"], s["d"] + step(part)))))), lambda s: s["least"])
-    return F.when(F.coalesce(F.trim(path), F.lit("")) == "", "blank").when(path.startswith("/"), "absolute").when(depth < 0, "escaping")
+    depth = F.aggregate(
+        F.split(path, "/"),
+        F.struct(F.lit(0).alias("d"), F.lit(0).alias("least")),
+        lambda s, part: F.struct((s["d"] + step(part)).alias("d"), F.least(s["least"], s["d"] + step(part)).alias("least")),
+        lambda s: s["least"],
+    )
+    blank = F.coalesce(F.trim(path), F.lit("")) == ""
+    return F.when(blank, "blank").when(path.startswith("/"), "absolute").when(depth < 0, "escaping")
 
 
 def step(part: Column) -> Column:
@@ -45,23 +90,50 @@ def step(part: Column) -> Column:
 
 
 def newick_balanced(text: Column) -> Column:
-    """Parentheses never close before they open, all are closed, and the text ends with a semicolon."""
+    """Parentheses never close before they open, all are closed, and the trimmed text ends with a semicolon."""
     marks = F.split(F.regexp_replace(text, r"[^()]", ""), "")
-    depth = F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("least")), lambda s, c: F.struct((s["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("d"), F.least(s["least"], s["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("least")))
-    return (depth["d"] == 0) & (depth["least"] == 0) & F.rtrim(text).endswith(";")
-
-
-def content_ok(media: Column, text: Column) -> Column:
-    """Whether a text is what its media type says; any non-empty text passes for other types."""
-    filled = F.length(F.trim(F.coalesce(text, F.lit("")))) > 0
-    kinds = F.when(media.isin("application/json", "application/geo+json"), F.try_parse_json(text).isNotNull() & text.rlike(r'(?s)^\s*(\{.*\}|\[.*\]|"[^"]*"|[-+.0-9A-Za-z]+)\s*$'))  # the parser lets text follow a value
-    kinds = kinds.when(media == "image/svg+xml", text.rlike(r"<svg[\s>]") & F.contains(text, F.lit("</svg>")))
+    turn = lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+    depth = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("d"), F.lit(0).alias("least")),
+        lambda s, c: F.struct((s["d"] + turn(c)).alias("d"), F.least(s["least"], s["d"] + turn(c)).alias("least")),
+    )
+    return (depth["d"] == 0) & (depth["least"] == 0) & trimmed(text).endswith(";")
+
+
+def fasta_ok(text: Column) -> Column:
+    """Records of a header with a name and a sequence of letters, `*`, `?`, `-` and `.`; nothing but blank lines before them."""
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), trimmed), lambda x: x != "")
+    kinds = F.array_join(F.transform(lines, lambda x: F.when(x.rlike("^>."), "h").when(x.rlike(r"^[A-Za-z*?\-.]+$"), "s").otherwise("x")), "")
+    return kinds.startswith("h") & kinds.endswith("s") & ~kinds.contains("hh") & ~kinds.contains("x")
+
+
+def csv_ok(text: Column) -> Column:
+    """Quotes are closed, and all rows have as many fields as the first. Quoted fields are blanked out before rows are cut."""
+    bare = F.regexp_replace(text, r'"[^"]*+(?:""[^"]*+)*+"', "q")
+    rows = F.split(F.regexp_replace(bare, r"\n\z", ""), "\n")
+    widths = F.array_distinct(F.transform(rows, lambda r: F.regexp_count(r, F.lit(","))))
+    return ~bare.contains('"') & (F.size(widths) == 1)
+
+
+def content_ok(media: Column, content: Column) -> Column:
+    """Whether a file (binary or text) is what its media type says; any file that is not empty passes for other types."""
+    text = content.cast("string")
+    # the JSON parser lets text follow a value
+    whole = text.rlike(r'(?s)^\s*(\{.*\}|\[.*\]|"[^"]*"|[-+.0-9A-Za-z]+)\s*$')
+    kinds = F.when(media.isin("application/json", "application/geo+json"), F.try_parse_json(text).isNotNull() & whole)
+    kinds = kinds.when(media == "text/csv", csv_ok(text))
+    kinds = kinds.when(media == "image/svg+xml", text.rlike(r"<svg\b") & F.contains(text, F.lit("</svg>")))
+    kinds = kinds.when(media == "image/png", F.hex(F.substring(content.cast("binary"), 1, 8)) == PNG_SIGNATURE)
     kinds = kinds.when(media == "text/html", text.rlike(r"(?i)^<!doctype html") & F.contains(text, F.lit("</html>")))
-    kinds = kinds.when(media == "chemical/x-pdb", text.rlike(r"(?m)^(ATOM|HETATM)")).when(media == "chemical/x-mmcif", F.contains(text, F.lit("_atom_site.")))
-    kinds = kinds.when(media == "text/x-genbank", text.rlike(r"(?m)^LOCUS") & text.rlike(r"(?m)^ORIGIN")).when(media == "text/x-fasta", text.rlike(r"^>\S")).when(media == "text/x-newick", newick_balanced(text))
-    return filled & F.coalesce(kinds, F.lit(True))
+    kinds = kinds.when(media == "chemical/x-pdb", text.rlike(r"(?m)^(ATOM  |HETATM)"))
+    kinds = kinds.when(media == "chemical/x-mmcif", text.rlike(r"(?m)^data_") & F.contains(text, F.lit("_atom_site.")))
+    kinds = kinds.when(media == "text/x-genbank", text.rlike(r"(?m)^LOCUS\s") & text.rlike(r"(?m)^ORIGIN\s*$") & text.rlike(r"(?m)^//$"))
+    kinds = kinds.when(media == "text/x-fasta", fasta_ok(text)).when(media == "text/x-newick", newick_balanced(text))
+    kinds = kinds.when(media == "text/markdown", trimmed(text) != "")
+    return F.coalesce(F.octet_length(content) > 0, F.lit(False)) & F.coalesce(kinds, F.lit(True))
 
 
 def number_in(text: Column, pattern: str) -> Column:
-    """The first group of a pattern as a number; null without a match."""
-    return F.regexp_extract(text, pattern, 1).try_cast("long")
+    """The first group of a pattern as a number of any length; null without a match."""
+    return F.regexp_extract(text, pattern, 1).try_cast("double")

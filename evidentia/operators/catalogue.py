@@ -32,12 +32,34 @@ def artifacts_by_role(artifacts: DataFrame, role: str | None = None) -> DataFram
     return rows.groupBy("role").agg(F.count("*").alias("artifacts"))
 
 
+# Media types and extensions whose content is shown as text.
+TEXT_MEDIA = (
+    "application/json",
+    "application/geo+json",
+    "chemical/x-mmcif",
+    "chemical/x-pdb",
+    "image/svg+xml",
+    "text/csv",
+    "text/markdown",
+    "text/plain",
+    "text/x-fasta",
+    "text/x-genbank",
+    "text/x-newick",
+)
+TEXT_ENDS = (".md", ".json", ".csv", ".svg", ".pdb", ".cif", ".fasta", ".gb", ".nwk")
+
+
 def open_bounded(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """files (path, media_type, content): the content only where it is text and within the limit."""
+    """files (path, media_type, content): the content only where it is text-like and within the limit; truncated tells by
+    size alone. A row without a path is a reference to a resource."""
     limit = max(1, min(MOST_BYTES, DEFAULT_BYTES if max_bytes is None else max_bytes))
     size = F.octet_length("content")
-    is_text = F.col("media_type").startswith("text/") | F.col("media_type").isin("application/json", "application/geo+json", "image/svg+xml")
-    return files.select("path", "media_type", size.cast("long").alias("bytes"), F.when(is_text & (size <= limit), F.col("content")).alias("content"), (is_text & (size > limit)).alias("truncated"), F.when(~is_text, "binary").when(size > limit, "too large").alias("note"))
+    like_text = F.col("media_type").isin(*TEXT_MEDIA) | F.lower("path").rlike(r"[^/](" + "|".join(TEXT_ENDS).replace(".", r"\.") + ")$")
+    note = F.when(F.col("path").isNull(), "This artifact is represented by a resource reference.")
+    note = note.when(~like_text, "Binary artifact; use the scientific viewer or package file.").when(size > limit, f"Text exceeds the {limit}-byte display limit.")
+    shown = F.col("path").isNotNull() & like_text & (size <= limit)
+    here = F.col("path").isNotNull()
+    return files.select("path", "media_type", F.when(here, size.cast("long")).alias("bytes"), F.when(shown, F.col("content")).alias("content"), F.when(here, size > limit).alias("truncated"), note.alias("note"))
 
 
 def with_category(cases: DataFrame, categories: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -70,9 +92,12 @@ def statements_not_in_section(statements: DataFrame, sections: DataFrame) -> Dat
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
-    """One row per `## heading` section, heading lower-cased; of equal headings the last wins. docs: doc_id, text."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?m)^##\s+")).alias("pos", "part")).where("pos > 0")
-    parts = parts.select("doc_id", "pos", F.lower(F.trim(F.substring_index("part", "\n", 1))).alias("heading"), F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
+    """One row per `## heading` section, heading trimmed and lower-cased, body cleaned; of equal headings the last wins.
+    docs: doc_id, text."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", rf"(?m)^##{tx.BLANK}+")).alias("pos", "part")).where("pos > 0")
+    heading = F.lower(tx.trimmed(F.regexp_extract("part", r"^[^\r\n\x{2028}\x{2029}]*", 0)))
+    body = tx.clean_markdown(F.regexp_replace("part", r"^[^\r\n\x{2028}\x{2029}]*", ""))
+    parts = parts.select("doc_id", "pos", heading.alias("heading"), body.alias("body")).where("heading <> ''")
     return parts.groupBy("doc_id", "heading").agg(F.max_by("body", "pos").alias("body"))
 
 
@@ -82,14 +107,67 @@ def first_section(sections: DataFrame, headings: list[str]) -> DataFrame:
     return sections.where(F.col("heading").isin(*headings) & (F.col("body") != "")).groupBy("doc_id").agg(F.min_by("heading", order).alias("heading"), F.min_by("body", order).alias("body"))
 
 
-def build_claims(docs: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
-    """Claims of documents: for each kind the first section of its headings, cleaned, cut into statements, made unique and
-    numbered."""
-    sections, out = markdown_sections(docs), None
-    for kind, headings in kinds.items():
-        rows = first_section(sections, headings).select(F.col("doc_id").alias("case_id"), F.lit(kind).alias("kind"), F.posexplode(tx.split_statements(tx.clean_markdown(F.col("body")))).alias("ordinal", "statement"))
-        out = rows if out is None else out.unionByName(rows)
-    return number_claims(unique_statements(out))
+# Headings of the sections that statements of each kind come from, in order of priority.
+HEADINGS = {
+    "source": ("source observations", "verified observations", "source and method", "observed interface state"),
+    "computed": ("computed results", "computed result", "viewer analysis", "result", "computed summary", "starter-contract metric", "alignment result carried by the starter contract"),
+    "interpretation": ("interpretation", "scientific interpretation"),
+    "limitations": ("limitations", "limitation"),
+    "question": ("scientific question", "scientific objective", "proposed analysis"),
+}
+#: Roles of the artifacts that stand as evidence for each kind of claim.
+INPUT_ROLES, OUTPUT_ROLES = ("input", "provenance"), ("output", "preview", "provenance")
+EVIDENCE = {"observation": INPUT_ROLES, "computed": OUTPUT_ROLES, "interpretation": OUTPUT_ROLES}
+
+
+def unique_texts(texts: Column) -> Column:
+    """Trimmed, not empty, each once, in order of first appearance."""
+    return F.array_distinct(F.filter(F.transform(texts, tx.trimmed), lambda s: s != ""))
+
+
+def case_statements(cases: DataFrame, sections: DataFrame, headings: dict = HEADINGS) -> DataFrame:
+    """Per case: observation, computed, interpretation and limitation as arrays of statements, and question.
+
+    cases: case_id, summary, and the manifest's observations, interpretation, limitations (arrays or null). Sections give the
+    statements; observations stand in where a case has neither a source nor a computed section, and those that its source
+    section does not hold count as computed. Interpretation and limitations of the manifest go before the sections'."""
+    none = F.array().cast("array<string>")
+    wanted = sections.where(F.col("heading").isin(*(h for names in headings.values() for h in names)))
+    held = wanted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("heading", "body"))).alias("held"))
+    rows = cases.join(held.withColumnRenamed("doc_id", "case_id"), "case_id", "left")
+
+    def section(kind: str) -> Column:
+        texts = F.transform(F.array(*map(F.lit, headings[kind])), lambda h: F.coalesce(F.element_at(F.coalesce("held", F.create_map().cast("map<string,string>")), h), F.lit("")))
+        return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit(""))
+
+    rows = rows.withColumns({f"_{kind}": section(kind) for kind in headings})
+    own, source, computed = F.coalesce("observations", none), F.col("_source"), F.col("_computed")
+    left_over = F.filter(own, lambda o: ~source.contains(tx.clean_markdown(o)))
+    return rows.select(
+        "case_id",
+        unique_texts(F.when((source == "") & (computed == ""), own).otherwise(tx.split_statements(source))).alias("observation"),
+        unique_texts(F.concat(tx.split_statements(computed), F.when(source != "", left_over).otherwise(none))).alias("computed"),
+        unique_texts(F.coalesce("interpretation", tx.split_statements(F.col("_interpretation")))).alias("interpretation"),
+        unique_texts(F.coalesce("limitations", tx.split_statements(F.col("_limitations")))).alias("limitation"),
+        F.when(F.col("_question") != "", F.col("_question")).otherwise(F.col("summary")).alias("question"),
+    )
+
+
+def build_claims(statements: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """case_id, claim_id, kind, statement, artifact_ids: the claims of case_statements(), numbered from 1 by kind, with the
+    artifacts (case_id, ordinal, artifact_id, role) of their case that stand as evidence, in order."""
+    by_role = lambda roles: F.transform(F.array_sort(F.collect_list(F.when(F.col("role").isin(*roles), F.struct("ordinal", "artifact_id")))), lambda x: x["artifact_id"])
+    evidence = artifacts.groupBy("case_id").agg(*(by_role(roles).alias(f"_{kind}") for kind, roles in EVIDENCE.items()))
+    rows = statements.join(evidence, "case_id", "left")
+    one = lambda kind: F.transform(kind, lambda s, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("number"), s.alias("statement"), F.coalesce(f"_{kind}", F.array().cast("array<string>")).alias("artifact_ids")))
+    claims = rows.select("case_id", F.inline(F.concat(*map(one, EVIDENCE))))
+    return claims.select("case_id", F.concat_ws(":", "case_id", "kind", "number").alias("claim_id"), "kind", "statement", "artifact_ids")
+
+
+def search_text(cases: DataFrame) -> DataFrame:
+    """cases with search_text: title, summary, question, category, plugin_name and sources, each once, joined and lower-cased."""
+    parts = F.concat(F.array(*(F.coalesce(c, F.lit("")) for c in ("title", "summary", "question", "category", "plugin_name"))), F.coalesce("sources", F.array().cast("array<string>")))
+    return cases.withColumn("search_text", F.lower(F.array_join(unique_texts(parts), " ")))
 
 
 def case_index(cases: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -7,15 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as tx
+
 
 def check(case_id: Column, name: Column, ok: Column, actual: Column, expected: Column) -> list[Column]:
     return [case_id.alias("case_id"), name.alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), actual.cast("string").alias("actual"), expected.cast("string").alias("expected")]
 
 
 def file_stats(files: DataFrame) -> DataFrame:
-    """files (path, content as text): bytes, bytes with LF and with CRLF line ends, sha256 of the LF form."""
-    lf = F.replace("content", F.lit("\r\n"), F.lit("\n"))
-    return files.select("path", F.octet_length("content").cast("long").alias("bytes"), F.octet_length(lf).cast("long").alias("lf_bytes"), F.octet_length(F.replace(lf, F.lit("\n"), F.lit("\r\n"))).cast("long").alias("crlf_bytes"), F.sha2(lf, 256).alias("sha256"))
+    """files (path, media_type, content as text or binary): bytes; bytes with LF and with CRLF line ends, counted byte by
+    byte; canonical_bytes and sha256 of the content as it is compared: with LF line ends for texts, unchanged for others."""
+    raw = F.col("content").cast("binary")
+    text = raw.cast("string")  # the same bytes, valid or not
+    lf = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    size = lambda c: F.octet_length(c).cast("long")
+    endings = size(text) - size(F.replace(text, F.lit("\n"), F.lit("")))
+    canonical = F.when(tx.is_text(F.col("media_type")), F.replace(F.make_valid_utf8(text), F.lit("\r\n"), F.lit("\n")).cast("binary")).otherwise(raw)
+    return files.select(
+        "path",
+        size(raw).alias("bytes"),
+        size(lf).alias("lf_bytes"),
+        (size(lf) + endings).alias("crlf_bytes"),
+        size(canonical).alias("canonical_bytes"),
+        F.sha2(canonical, 256).alias("sha256"),
+    )
 
 
 def unresolved_claim_refs(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -29,29 +44,38 @@ def missing_recipe_files(declared: DataFrame, listing: DataFrame) -> tuple[DataF
 
 
 def artifact_size_check(artifacts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Recorded against actual sizes. A record without a path is a resource and passes, as does one without a size; else
-    the size must be that of the file, or of its LF or CRLF form."""
-    rows = artifacts.join(stats.select(F.col("path"), F.col("bytes").alias("actual"), "lf_bytes", "crlf_bytes"), "path", "left")
-    state = F.when(F.col("path").isNull(), "resource").when(F.col("actual").isNull(), "missing").when(F.col("bytes").isNull(), "unrecorded").when(F.col("bytes") == F.col("actual"), "equal").when(F.col("bytes") == F.col("lf_bytes"), "lf").when(F.col("bytes") == F.col("crlf_bytes"), "crlf").otherwise("different")
-    return rows.withColumn("state", state).select(*check(F.col("case_id"), F.concat_ws(":", F.lit("size"), "artifact_id"), ~F.col("state").isin("missing", "different"), F.col("state"), F.col("bytes")))
+    """Recorded against actual sizes. A record without a path is a resource and passes; without a file it is missing; without
+    a size it passes; else the size must be that of the file, or of its LF or CRLF form."""
+    rows = artifacts.join(stats.select("path", F.col("bytes").alias("actual"), "lf_bytes", "crlf_bytes"), "path", "left")
+    expected = F.coalesce("bytes", "actual")
+    alike = (expected == F.col("lf_bytes")) | (expected == F.col("crlf_bytes"))
+    text = lambda c: F.col(c).cast("string")
+    note = F.concat(text("actual"), F.lit(" bytes (LF-equivalent "), text("lf_bytes"), F.lit("; CRLF-equivalent "), text("crlf_bytes"), F.lit(")"))
+    resource, missing, equal = F.col("path").isNull(), F.col("actual").isNull(), F.col("actual") == expected
+    ok = resource | (~missing & (equal | alike))
+    actual = F.when(resource, "resource").when(missing, "missing").when(~equal & alike, note).otherwise(text("actual"))
+    wanted = F.when(resource, "resource").when(missing, "present").otherwise(expected.cast("string"))
+    return rows.select(*check(F.col("case_id"), F.col("artifact_id").cast("string"), ok, actual, wanted))
 
 
 def stale_metadata(declared: DataFrame, stats: DataFrame) -> DataFrame:
-    """Records whose size or hash is not that of the LF form: the actual values replace them, a hash only where one was
-    recorded."""
-    rows = declared.join(stats.select("path", "lf_bytes", F.col("sha256").alias("actual_sha")), "path")
-    stale = ~F.col("bytes").eqNullSafe(F.col("lf_bytes")) | (F.col("sha256").isNotNull() & (F.col("sha256") != F.col("actual_sha")))
-    return rows.where(stale).select("path", F.col("lf_bytes").alias("bytes"), F.when(F.col("sha256").isNotNull(), F.col("actual_sha")).alias("sha256"))
+    """Records whose size or hash, where recorded, is not that of the canonical content: the actual values replace them, a hash
+    only where one was recorded."""
+    rows = declared.join(stats.select("path", "canonical_bytes", F.col("sha256").alias("actual_sha")), "path")
+    differs = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    rows = rows.where(differs("bytes", "canonical_bytes") | differs("sha256", "actual_sha"))
+    return rows.select("path", F.col("canonical_bytes").alias("bytes"), F.when(F.col("sha256").isNotNull(), F.col("actual_sha")).alias("sha256"))
 
 
 def all_checks(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def validation_rollup(checks: DataFrame) -> DataFrame:
-    """Per case: whether all checks are ok, the failed names in order, and an error code."""
-    failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("name")))), ",")
-    return checks.groupBy("case_id").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("checks"), failed.alias("failed")).withColumn("error", F.when(~F.col("ok"), "VALIDATION_FAILED"))
+def validation_rollup(checks: DataFrame, order: str = "ordinal", code: str = "REPLAY_VALIDATION_FAILED") -> DataFrame:
+    """Per case: whether all checks are ok, their number, the error code, and the failed names in the order of the checks."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct(F.col(order).alias("o"), "name"))))
+    out = checks.groupBy("case_id").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("checks"), F.array_join(F.transform(failed, lambda x: x["name"]), ", ").alias("failed"))
+    return out.select("case_id", "ok", "checks", F.when(~F.col("ok"), code).alias("error_code"), F.when(~F.col("ok"), F.col("failed")).alias("error_message"))
 
 
 def release_checks(cases: DataFrame, expected: int, name: str = "cases") -> DataFrame:
@@ -61,9 +85,24 @@ def release_checks(cases: DataFrame, expected: int, name: str = "cases") -> Data
     return a.select(F.inline(rows))
 
 
-def review_report(claims: DataFrame, checks: DataFrame) -> DataFrame:
-    """Per case: statements by kind kept apart, and failed checks; a case without checks has none that failed."""
-    kinds = ("observation", "interpretation", "limitation")
-    by_kind = claims.groupBy("case_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds), F.count("*").alias("statements"))
-    failed = checks.groupBy("case_id").agg(F.count_if(~F.col("ok")).alias("failed"))
-    return by_kind.join(failed, "case_id", "left").withColumn("failed", F.coalesce("failed", F.lit(0).cast("long")))
+#: Kinds of statements of a review, and the columns that keep them apart.
+REVIEW = {"observation": "source_observations", "computed": "computed_results", "interpretation": "scientific_interpretation", "limitation": "limitations"}
+
+
+def review_report(statements: DataFrame, sources: DataFrame, artifacts: DataFrame, checks: DataFrame) -> DataFrame:
+    """Per case that has any: the statements of each kind in order, citation_checks (is the source a web address), and
+    artifact_checks (present and note, by the check of the artifact's name; without a check it counts as present).
+
+    statements: case_id, kind, ordinal, statement; sources: case_id, ordinal, source; artifacts: case_id, ordinal,
+    artifact_id; checks: case_id, name, ok, actual."""
+    in_order = lambda rows: F.transform(F.array_sort(rows), lambda x: x["v"])
+    texts = statements.groupBy("case_id").agg(*(in_order(F.collect_list(F.when(F.col("kind") == kind, F.struct("ordinal", F.col("statement").alias("v"))))).alias(name) for kind, name in REVIEW.items()))
+    cited = sources.groupBy("case_id").agg(in_order(F.collect_list(F.struct("ordinal", F.struct("source", F.col("source").rlike("^https?://").alias("valid")).alias("v")))).alias("citation_checks"))
+    first = checks.groupBy("case_id", F.col("name").alias("artifact_id")).agg(F.first(F.struct("ok", "actual")).alias("c"))
+    seen = F.struct("artifact_id", F.coalesce("c.ok", F.lit(True)).alias("present"), F.coalesce("c.actual", F.lit("resource reference")).alias("note"))
+    held = artifacts.join(first, ["case_id", "artifact_id"], "left").groupBy("case_id").agg(in_order(F.collect_list(F.struct("ordinal", seen.alias("v")))).alias("artifact_checks"))
+    out = texts.join(cited, "case_id", "full_outer").join(held, "case_id", "full_outer")
+    empty = {name: F.coalesce(name, F.array().cast("array<string>")) for name in REVIEW.values()}
+    empty["citation_checks"] = F.coalesce("citation_checks", F.array().cast("array<struct<source:string,valid:boolean>>"))
+    empty["artifact_checks"] = F.coalesce("artifact_checks", F.array().cast("array<struct<artifact_id:string,present:boolean,note:string>>"))
+    return out.select("case_id", *(c.alias(n) for n, c in empty.items()))

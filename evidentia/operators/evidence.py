@@ -57,11 +57,21 @@ def gene_summary(expression: DataFrame, observations: DataFrame) -> DataFrame:
     return per.select("gene", "n", "nonzero", F.when(sparse, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min"), F.when(sparse, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max"), (F.col("total") / F.col("n")).alias("mean"))
 
 
-def expression_qc(counts: DataFrame, mitochondrial: Column) -> DataFrame:
-    """Per cell: library size, detected genes, mitochondrial share, and rank by library size."""
+def expression_qc(counts: DataFrame, mitochondrial: Column, parts: int = 256) -> DataFrame:
+    """Per cell: library size, detected genes, mitochondrial share, and rank by library size (equal sizes share a rank).
+
+    Ranks come from the distinct sizes: these are dealt into `parts` ranges by approximate quantiles, summed up range by range,
+    and each range gets the number of cells in the ranges above it; no task sees all cells."""
     cells = counts.groupBy("cell").agg(F.sum("value").alias("library"), F.countDistinct(F.when(F.col("value") > 0, F.col("gene"))).alias("genes"), F.sum(F.when(mitochondrial, F.col("value")).otherwise(0.0)).alias("mt"))
     cells = cells.select("cell", F.round("library", 6).alias("library"), "genes", F.try_divide("mt", "library").alias("mt_share"))
-    return cells.withColumn("rank", F.rank().over(Window.orderBy(F.desc("library"))))
+    edges = sorted(set(cells.approxQuantile("library", [k / parts for k in range(1, parts)], 1 / (4 * parts))))  # fewer than `parts` numbers
+    part = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col("library")))
+    sizes = cells.groupBy("library").agg(F.count("*").alias("n")).withColumn("part", part)
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.groupBy("part").agg(F.sum("n").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(above), F.lit(0))).drop("total")  # at most `parts` rows
+    before = Window.partitionBy("part").orderBy(F.desc("library")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes.join(F.broadcast(offsets), "part").select("library", (1 + F.col("offset") + F.coalesce(F.sum("n").over(before), F.lit(0))).cast("int").alias("rank"))
+    return cells.join(ranks, "library").select("cell", "library", "genes", "mt_share", "rank")
 
 
 def theme_counts(records: DataFrame) -> DataFrame:

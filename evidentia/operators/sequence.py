@@ -17,21 +17,33 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def long_form(alignment: DataFrame) -> DataFrame:
-    """One row per residue: alignment_id, row_no, seq_id, col (from 1), residue."""
-    rows = alignment.select("alignment_id", "row_no", "seq_id", F.posexplode(characters(F.col("sequence"))).alias("col", "residue"))
-    return rows.withColumn("col", F.col("col") + 1)
+#: Columns of an alignment that travel together.
+STRETCH = 64
+
+
+def stretches(alignment: DataFrame) -> DataFrame:
+    """Rows cut into pieces of STRETCH columns: alignment_id, row_no, seq_id, stretch (from 0), piece, before (residues of the
+    row before the piece). A text is shuffled once, as pieces, and never letter by letter."""
+    last = F.floor((F.length("sequence") - 1) / STRETCH)
+    piece = lambda k: F.substring(F.col("sequence"), (k * STRETCH + 1).cast("int"), F.lit(STRETCH))
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(k.alias("stretch"), piece(k).alias("piece")))
+    rows = alignment.where(F.length("sequence") > 0).select("alignment_id", "row_no", "seq_id", F.inline(pieces))
+    own = F.length(F.replace("piece", F.lit("-"), F.lit(""))).cast("long")
+    so_far = Window.partitionBy("alignment_id", "row_no", "seq_id").orderBy("stretch")
+    return rows.withColumn("before", F.sum(own).over(so_far) - own)
 
 
 def p_distance(alignment: DataFrame) -> DataFrame:
     """Uncorrected distance of every pair of rows of an alignment: columns where both have a gap are skipped, a gap against
-    a residue is a mismatch, the longer row's rest is left out; null where no column is compared."""
-    a = alignment.select("alignment_id", F.col("row_no").alias("row_i"), F.col("seq_id").alias("seq_i"), F.col("sequence").alias("si"))
-    b = alignment.select("alignment_id", F.col("row_no").alias("row_j"), F.col("seq_id").alias("seq_j"), F.col("sequence").alias("sj"))
+    a residue is a mismatch, the longer row's rest is left out; null where no column is compared. Rows are split into letters
+    once, before they are paired."""
+    split = alignment.select("alignment_id", "row_no", "seq_id", characters(F.col("sequence")).alias("s"))
+    a, b = (split.select("alignment_id", F.col("row_no").alias(f"row_{x}"), F.col("seq_id").alias(f"seq_{x}"), F.col("s").alias(f"s{x}")) for x in "ij")
     pairs = a.join(b, "alignment_id").where("row_i < row_j")
-    n = F.least(F.length("si"), F.length("sj"))
-    marks = F.zip_with(characters(F.substring(F.col("si"), F.lit(1), n)), characters(F.substring(F.col("sj"), F.lit(1), n)), lambda x, y: F.when((x == "-") & (y == "-"), F.lit(None).cast("int")).otherwise((x != y).cast("int")))
-    pairs = pairs.withColumn("marks", F.filter(marks, lambda m: m.isNotNull())).withColumn("compared", F.size("marks").cast("long")).withColumn("mismatches", F.size(F.filter("marks", lambda m: m == 1)).cast("long"))
+    # the shorter row's rest is null; 1 + 2^32 marks a mismatch and 1 an equal pair, so one pass counts both
+    mark = lambda x, y: F.when(x.isNull() | y.isNull() | ((x == "-") & (y == "-")), 0).when(x == y, 1).otherwise((1 << 32) + 1).cast("long")
+    pairs = pairs.withColumn("n", F.aggregate(F.zip_with("si", "sj", mark), F.lit(0).cast("long"), lambda t, m: t + m))
+    pairs = pairs.withColumns({"mismatches": F.shiftright("n", 32), "compared": F.col("n").bitwiseAND(F.lit((1 << 32) - 1))})
     return pairs.select("alignment_id", "row_i", "row_j", "seq_i", "seq_j", "compared", "mismatches", F.try_divide("mismatches", "compared").alias("distance"))
 
 
@@ -46,9 +58,16 @@ def triplet_branch_lengths(distances: DataFrame) -> DataFrame:
 
 
 def column_identity(alignment: DataFrame) -> DataFrame:
-    """Per column: share of its most common residue among its residues; columns of gaps alone are left out."""
-    counts = long_form(alignment).where("residue <> '-'").groupBy("alignment_id", "col", "residue").count()
-    return counts.groupBy("alignment_id", "col").agg(F.max("count").alias("top"), F.sum("count").alias("residues")).withColumn("identity", F.col("top") / F.col("residues"))
+    """Per column: share of its most common residue among its residues; columns of gaps alone are left out. Pieces of all
+    rows of a stretch of columns meet in one group."""
+    groups = stretches(alignment).groupBy("alignment_id", "stretch").agg(F.collect_list("piece").alias("pieces"))
+    at = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", F.length))))
+    columns = groups.select("alignment_id", (F.col("stretch") * STRETCH).alias("left"), "pieces", at.alias("at"))
+    residues = F.filter(F.transform("pieces", lambda p: F.substring(p, F.col("at"), F.lit(1))), lambda r: (r != "-") & (r != ""))
+    columns = columns.select("alignment_id", (F.col("left") + F.col("at")).cast("int").alias("col"), residues.alias("r")).where(F.size("r") > 0)
+    top = F.array_max(F.transform(F.array_distinct("r"), lambda x: F.size(F.filter("r", lambda y: y == x))))
+    columns = columns.select("alignment_id", "col", top.cast("long").alias("top"), F.size("r").cast("long").alias("residues"))
+    return columns.withColumn("identity", F.col("top") / F.col("residues"))
 
 
 def mean_identity(columns: DataFrame) -> DataFrame:
@@ -57,9 +76,12 @@ def mean_identity(columns: DataFrame) -> DataFrame:
 
 def ungapped_positions(alignment: DataFrame, reference_row: int = 0) -> DataFrame:
     """Residue number of the reference row at each alignment column; null at its gaps."""
-    rows = long_form(alignment).where(F.col("row_no") == reference_row)
-    number = F.sum((F.col("residue") != "-").cast("long")).over(Window.partitionBy("alignment_id").orderBy("col"))
-    return rows.select("alignment_id", "col", "residue", F.when(F.col("residue") != "-", number).alias("position"))
+    rows = stretches(alignment.where(F.col("row_no") == reference_row))
+    rows = rows.select("alignment_id", "stretch", "before", "piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("at"))
+    residue = F.substring(F.col("piece"), F.col("at"), F.lit(1))
+    number = F.col("before") + F.length(F.replace(F.substring(F.col("piece"), F.lit(1), F.col("at")), F.lit("-"), F.lit("")))
+    rows = rows.select("alignment_id", (F.col("stretch") * STRETCH + F.col("at")).cast("int").alias("col"), residue.alias("residue"), number.alias("number"))
+    return rows.select("alignment_id", "col", "residue", F.when(F.col("residue") != "-", F.col("number")).alias("position"))
 
 
 def conserved_runs(alignment: DataFrame, min_length: int, reference_row: int = 0) -> DataFrame:
@@ -67,10 +89,17 @@ def conserved_runs(alignment: DataFrame, min_length: int, reference_row: int = 0
     full = column_identity(alignment).where("top = residues").select("alignment_id", "col")
     island = F.col("col") - F.row_number().over(Window.partitionBy("alignment_id").orderBy("col"))
     runs = full.withColumn("island", island).groupBy("alignment_id", "island").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.count("*").alias("columns")).where(F.col("columns") >= min_length).drop("island")
-    at = ungapped_positions(alignment, reference_row).select("alignment_id", "col", "position")
-    first = at.toDF("alignment_id", "first_col", "ref_start")
-    last = at.toDF("alignment_id", "last_col", "ref_end")
-    return runs.join(first, ["alignment_id", "first_col"], "left").join(last, ["alignment_id", "last_col"], "left")
+    # the reference's residue number at a column, from the piece that holds it
+    reference = stretches(alignment.where(F.col("row_no") == reference_row)).select("alignment_id", "stretch", "piece", "before")
+
+    def numbered(rows: DataFrame, col: str, name: str) -> DataFrame:
+        rows = rows.withColumn("stretch", F.floor((F.col(col) - 1) / STRETCH)).join(reference, ["alignment_id", "stretch"], "left")
+        at = F.col(col) - F.col("stretch") * STRETCH
+        here = F.substring(F.col("piece"), F.lit(1), at.cast("int"))
+        number = F.col("before") + F.length(F.replace(here, F.lit("-"), F.lit("")))
+        return rows.withColumn(name, F.when((F.length(here) == at) & ~here.endswith("-"), number)).drop("stretch", "piece", "before")
+
+    return numbered(numbered(runs, "first_col", "ref_start"), "last_col", "ref_end")
 
 
 def quality_at_least(quality: Column, q: int) -> Column:
@@ -87,9 +116,20 @@ def read_quality(reads: DataFrame, *keys: str) -> DataFrame:
 
 
 def per_base_quality(reads: DataFrame) -> DataFrame:
-    """Per position (from 1): reads that reach it, share of G and C, share of Q30."""
+    """Per position (from 1): reads that reach it, mean quality (Phred+33), share of G and C, share of Q30."""
     at = reads.select(F.posexplode(F.arrays_zip(characters(F.col("seq")).alias("b"), characters(F.col("qual")).alias("q"))).alias("pos", "x"))
-    return at.groupBy((F.col("pos") + 1).cast("long").alias("position")).agg(F.count("*").alias("reads"), F.avg(F.col("x.b").rlike("[GCgc]").cast("int")).alias("gc"), F.avg(F.col("x.q").rlike("[?-~]").cast("int")).alias("q30"))
+    quality = F.ascii("x.q") - 33
+    return at.groupBy((F.col("pos") + 1).cast("long").alias("position")).agg(
+        F.count("*").alias("reads"),
+        F.avg(quality).alias("mean_quality"),
+        F.avg(F.col("x.b").rlike("[GCgc]").cast("int")).alias("gc"),
+        F.avg((quality >= 30).cast("int")).alias("q30"),
+    )
+
+
+def length_histogram(reads: DataFrame, bin_size: int = 1) -> DataFrame:
+    """Reads per length, in bins that begin at multiples of bin_size."""
+    return reads.groupBy((F.floor(F.length("seq") / bin_size) * bin_size).cast("long").alias("length")).agg(F.count("*").alias("reads"))
 
 
 def duplicate_rate(reads: DataFrame) -> DataFrame:

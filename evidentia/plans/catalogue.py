@@ -25,8 +25,11 @@ def get(s, d):
 
 
 def opened(s, d):
-    f = t(s, d, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("lang") == "es", "image/png").otherwise("text/plain").alias("media_type"), F.col("text").alias("content"))
-    return ca.open_bounded(f, 4096).select("path", "bytes", F.octet_length("content").cast("long").alias("opened"), "truncated", "note")
+    n = F.col("doc_id")
+    path = F.when(n % 13 != 0, F.concat(F.lit("dir.md/"), n.cast("string"), F.element_at(F.array(*map(F.lit, (".md", ".bin", ".PDB", "", ".png"))), (n % 5 + 1).cast("int"))))
+    media = F.element_at(F.array(*map(F.lit, ("text/plain", "image/png", "chemical/x-mmcif", "application/octet-stream"))), (n % 4 + 1).cast("int"))
+    f = t(s, d, "documents").select("doc_id", path.alias("path"), media.alias("media_type"), F.col("text").alias("content"))
+    return ca.open_bounded(f.drop("doc_id"), 4096).select("path", "bytes", F.octet_length("content").cast("long").alias("opened"), "truncated", "note")
 
 
 def path_column():
@@ -52,13 +55,72 @@ def claims_input(s, d):
 
 def sections(s, d):
     lines = F.split("text", "\n")
-    return t(s, d, "documents").select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("## H"), (i % 3).cast("string"), F.lit("\n"), x)), "\n").alias("text"))
+    return t(s, d, "documents").select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("##  H"), (i % 3).cast("string"), F.lit(" \n"), x)), "\n").alias("text"))
 
 
 def sectioned(s, d):
     return ca.markdown_sections(sections(s, d))
 
 
+MARKED = "- **x** `y` [z](u) ![a](b)\n  - indented\n![only](image) \n* star\n"
+
+
+def case_rows(s, d):
+    """Documents as cases: lines are sections in turn; a third of the cases has other headings, half have observations."""
+    docs, n = t(s, d, "documents"), F.col("doc_id")
+    heads = F.array(*(F.when(n % 3 == 0, F.lit(o)).otherwise(F.lit(h)) for o, h in (("Other", "Source observations"), ("Else", "Computed results"), ("Interpretation", "Interpretation"), ("Limitation", "Limitations"))))
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("## "), F.element_at(heads, (i % 4 + 1).cast("int")), F.lit("\n"), x)), "\n")
+    own = F.when(n % 2 == 0, F.array(F.concat(F.lit(" "), F.substring_index("text", "\n", 1)), F.lit("Fixed. "), F.lit("")))
+    limits = F.when(n % 5 == 0, F.array(F.lit("One."), F.lit("Two."), F.lit(" One.")))
+    none = F.lit(None).cast("array<string>")
+    cases = docs.select(n.alias("case_id"), F.col("source").alias("summary"), own.alias("observations"), none.alias("interpretation"), limits.alias("limitations"))
+    return ca.case_statements(cases, ca.markdown_sections(docs.select("doc_id", text.alias("text"))))
+
+
+def claims(s, d):
+    roles = F.array(*map(F.lit, ("preview", "input", "output", "provenance", "log")))
+    n = F.col("doc_id")
+    artifacts = t(s, d, "documents").select(n.alias("case_id"), F.posexplode(F.slice(roles, F.lit(1), (n % 6).cast("int"))).alias("ordinal", "role"))
+    artifacts = artifacts.withColumn("artifact_id", F.concat_ws(":", "case_id", "role"))
+    out = ca.build_claims(case_rows(s, d), artifacts)
+    return out.select("case_id", "claim_id", "kind", F.sha2("statement", 256).alias("statement"), F.array_join("artifact_ids", ",").alias("artifact_ids"))
+
+
+def search_texts(s, d):
+    docs = t(s, d, "documents")
+    cases = docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("summary"), F.concat(F.lit(" "), "source").alias("question"), F.col("lang").alias("category"), F.lit("Plugin").alias("plugin_name"), F.array("source", F.lit("HTTP://x"), F.lit("")).alias("sources"))
+    return ca.search_text(cases).select("doc_id", F.sha2("search_text", 256).alias("search_text"))
+
+
+ENDINGS = (".html", ".JSON", ".aln-fasta", ".tar.csv", ".gb", "", ".Png", ".geojson", "/.md", ".cif", ".html.nwk")
+
+
+def paths():
+    """The urls of pages with other endings."""
+    end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    return F.concat(F.regexp_replace("url", r"(\.html)?/?([?#].*)?$", ""), F.lit("/f"), end)
+
+
+def validated(s, d):
+    """Pages as files of each type, right and wrong in turn."""
+    n = F.col("page_id")
+    kinds = {
+        "image/svg+xml": (F.concat(F.lit("<svg w>"), "html", F.lit("</svg>")), F.concat(F.lit("<svgx>"), "html", F.lit("</svg>"))),
+        "chemical/x-mmcif": (F.concat(F.lit("data_x\n_atom_site.id\n"), "html"), F.concat(F.lit(" data_x\n_atom_site.id\n"), "html")),
+        "text/x-genbank": (F.concat(F.lit("LOCUS x\n"), "html", F.lit("\nORIGIN \n1 acg\n//\n")), F.concat(F.lit("LOCUS x\n"), "html", F.lit("\nORIGIN\n1 acg\n"))),
+        "text/x-newick": (F.lit(" ((a,b),c); "), F.lit("(a))(;")),
+        "text/x-fasta": (F.lit(">a b\nAC-*\n\nGT\n>c\nA?.\n"), F.lit(">a\n>b\nAC\n")),
+        "text/csv": (F.lit('a,b\n1,"x,""\ny"\n'), F.lit("a,b\n1\n")),
+        "text/markdown": (F.col("html"), F.lit(" \n")),
+        "chemical/x-pdb": (F.concat("html", F.lit("\nHETATM")), F.concat("html", F.lit("\nATOM x"))),
+    }
+    media = F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int"))
+    content = F.lit(None).cast("string")
+    for kind, (right, wrong) in kinds.items():
+        content = F.when(media == kind, F.when(F.floor(n / len(kinds)) % 2 == 0, right).otherwise(wrong)).otherwise(content)
+    return t(s, d, "pages").select("page_id", tx.content_ok(media, content).alias("ok"))
+
+
 def hashed(df, *columns):
     return df.withColumns({c: F.sha2(c, 256) for c in columns})
 
@@ -71,6 +133,7 @@ QUERIES = {
     "f5_path_escape": escapes,
     "f6_features_in_region": regions,
     "f9_citation_check": lambda s, d: t(s, d, "pages").select("page_id", F.col("url").rlike("^https?://").alias("is_citation")),
+    "f10_validate_contents": validated,
     "f10_validate_html": lambda s, d: t(s, d, "pages").select("page_id", tx.content_ok(F.lit("text/html"), F.col("html")).alias("ok")),
     "f10_validate_json": lambda s, d: t(s, d, "events").select("event_id", tx.content_ok(F.lit("application/json"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))).alias("ok")),
     "j5_with_category": lambda s, d: ca.with_category(t(s, d, "nation"), t(s, d, "region").where("r_regionkey <> 2").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")[0].select("n_nationkey", "r_name"),
@@ -80,34 +143,67 @@ QUERIES = {
     "u1_unique_statements": lambda s, d: hashed(ca.unique_statements(claims_input(s, d)).select("case_id", "statement", F.col("ordinal").cast("long").alias("ordinal")), "statement"),
     "u2_statements_not_in_section": lambda s, d: ca.statements_not_in_section(t(s, d, "benchmark").select((F.col("item_id") % 20).alias("case_id"), "item_id", F.col("text").alias("statement")), t(s, d, "documents").select((F.col("doc_id") % 20).alias("case_id"), "doc_id", F.col("text").alias("section_text"))).groupBy("item_id").agg(F.count("*").alias("missing")),
     "t1_markdown_sections": lambda s, d: hashed(sectioned(s, d), "body"),
-    "t2_clean_markdown": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(tx.clean_markdown(F.concat(F.lit("- **x** `y` [z](u) ![a](b)\n"), "text")), 256).alias("cleaned")),
-    "t3_split_statements": lambda s, d: t(s, d, "documents").select("doc_id", F.size(tx.split_statements(F.col("text"))).cast("long").alias("statements")),
+    "t2_clean_markdown": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(tx.clean_markdown(F.concat(F.lit(MARKED), "text")), 256).alias("cleaned")),
+    "t3_split_statements": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(F.array_join(tx.split_statements(F.concat(F.lit("One * two. 3 is\n- four -five"), "text")), "|"), 256).alias("statements")),
     "t4_first_section": lambda s, d: hashed(ca.first_section(sectioned(s, d), ["h2", "h0"]), "body"),
-    "t5_build_claims": lambda s, d: ca.build_claims(sections(s, d), {"observation": ["h0"], "limitation": ["h9", "h1"]}).groupBy("case_id", "kind").agg(F.count("*").alias("claims")),
-    "t10_numbers_from_text": lambda s, d: t(s, d, "documents").select("doc_id", tx.number_in(F.col("text"), r"([0-9]{1,9})").alias("number")),
-    "t11_media_type": lambda s, d: t(s, d, "pages").select("page_id", tx.media_type(F.regexp_replace("url", r"[?#].*$", "")).alias("media_type")),
-    "a1_count_by_media_type": lambda s, d: t(s, d, "pages").groupBy(tx.media_type(F.regexp_replace("url", r"[?#].*$", "")).alias("media_type")).agg(F.count("*").alias("files")),
+    "t5_build_claims": claims,
+    "t5_search_text": search_texts,
+    "t10_numbers_from_text": lambda s, d: t(s, d, "documents").select("doc_id", tx.number_in(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "12345678901234").otherwise("")), r"([0-9]+)").alias("number")),
+    "t11_media_type": lambda s, d: t(s, d, "pages").select("page_id", tx.media_type(paths()).alias("media_type"), tx.final_role(F.concat(paths(), F.when(F.col("page_id") % 3 == 0, ".Provenance.json").otherwise("")), F.lit("output")).alias("role")),
+    "a1_count_by_media_type": lambda s, d: t(s, d, "pages").groupBy(tx.media_type(paths()).alias("media_type")).agg(F.count("*").alias("files")),
 }
 
-MEDIA = "CASE WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '\\.html$') THEN 'text/html' ELSE 'application/octet-stream' END"
+# The SQL below states the rules anew, in the patterns of RE2.
+MEDIA = """CASE page_id % 11 WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/x-fasta' WHEN 3 THEN 'text/csv' WHEN 4 THEN 'text/x-genbank' WHEN 6 THEN 'image/png'
+  WHEN 7 THEN 'application/geo+json' WHEN 9 THEN 'chemical/x-mmcif' WHEN 10 THEN 'text/x-newick' ELSE 'application/octet-stream' END"""
 PATH = "regexp_extract(url, '^\\w+://[^/]*(.*)$', 1)"
-SECTIONS = """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
-m AS (SELECT doc_id, 'h' || ((i - 1) % 3) AS heading, regexp_replace(arg_max(x, i), '^\\s+|\\s+$', '', 'g') AS body FROM l GROUP BY ALL)"""
 
-CLEANED = "'- **x** `y` [z](u) ![a](b)' || chr(10) || text"
-for _pattern, _to in (("!\\[[^\\]]*\\]\\([^)]*\\)", ""), ("(?m)^[ \\t]*[-*][ \\t]+", ""), ("`([^`]*)`", "\\1"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("\\*\\*([^*]*)\\*\\*", "\\1"), ("[ \\t\\r\\n]+", " ")):
-    CLEANED = f"regexp_replace({CLEANED}, '{_pattern}', '{_to}', 'g')"
+
+def cleaned(x: str) -> str:
+    for pattern, to in (("(?m)^!\\[[^\\]]*\\]\\([^)]*\\)\\s*$", ""), ("(?m)^[-*]\\s+", ""), ("`([^`]+)`", "\\1"), ("\\[([^\\]]+)\\]\\([^)]+\\)", "\\1"), ("\\*\\*([^*]+)\\*\\*", "\\1"), ("\\s+", " ")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"trim({x})"
+
+
+def statements(x: str) -> str:
+    cut = f"regexp_replace(regexp_replace({x}, '(\\.)\\s+([A-Z0-9`])', '\\1' || chr(1) || '\\2', 'g'), '\\s+[-*]\\s+', chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def once(x: str) -> str:
+    """Each entry of a list once, in order of first appearance, trimmed and not empty."""
+    trimmed = f"list_filter(list_transform({x}, lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_filter({trimmed}, lambda x, i: list_position({trimmed}, x) = i)"
+
+
+SECTIONS = f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
+m AS (SELECT doc_id, 'h' || ((i - 1) % 3) AS heading, {cleaned("arg_max(x, i)")} AS body FROM l GROUP BY ALL)"""
+MARKED_SQL = "'- **x** `y` [z](u) ![a](b)' || chr(10) || '  - indented' || chr(10) || '![only](image) ' || chr(10) || '* star' || chr(10) || text"
+CLAIMS = f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
+b AS (SELECT doc_id, (i - 1) % 4 AS k, {cleaned("arg_max(x, i)")} AS body FROM l GROUP BY ALL),
+c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(max(body) FILTER (WHERE k = 0), '') END AS src, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(max(body) FILTER (WHERE k = 1), '') END AS com,
+  coalesce(max(body) FILTER (WHERE k = 2), '') AS inter FROM b GROUP BY doc_id),
+d AS (SELECT c.*, CASE WHEN doc_id % 2 = 0 THEN [' ' || string_split(text, chr(10))[1], 'Fixed. ', ''] ELSE [] END AS own FROM c JOIN documents USING (doc_id)),
+e AS (SELECT doc_id, CASE WHEN src = '' AND com = '' THEN own ELSE {statements("src")} END AS observation,
+  list_concat({statements("com")}, CASE WHEN src = '' THEN [] ELSE list_filter(own, lambda o: NOT contains(src, {cleaned("o")})) END) AS computed, {statements("inter")} AS interpretation FROM d),
+f AS (SELECT doc_id, 'observation' AS kind, {once("observation")} AS s FROM e UNION ALL SELECT doc_id, 'computed', {once("computed")} FROM e UNION ALL SELECT doc_id, 'interpretation', {once("interpretation")} FROM e),
+g AS (SELECT doc_id, kind, generate_subscripts(s, 1) AS number, unnest(s) AS statement FROM f)
+SELECT doc_id AS case_id, doc_id || ':' || kind || ':' || number AS claim_id, kind, sha256(statement) AS statement,
+  array_to_string(list_transform(list_filter((['preview', 'input', 'output', 'provenance', 'log'])[1:doc_id % 6], lambda r: list_contains(CASE WHEN kind = 'observation' THEN ['input', 'provenance'] ELSE ['output', 'preview', 'provenance'] END, r)), lambda r: doc_id || ':' || r), ',') AS artifact_ids FROM g"""
 
 SQL = {
     "f1_catalogue_search": "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 100 AND contains(lower(text), 'the th')",
     "f2_catalogue_get": "WITH i AS (SELECT DISTINCT l_partkey * 2 AS id FROM lineitem) SELECT id, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'found' END AS state FROM i LEFT JOIN part ON p_partkey = id",
     "f3_artifacts_by_role": "SELECT role, count(*) AS artifacts FROM conversations GROUP BY role",
-    "f4_open_bounded": "SELECT doc_id AS path, strlen(text) AS bytes, CASE WHEN lang <> 'es' AND strlen(text) <= 4096 THEN strlen(text) END AS opened, lang <> 'es' AND strlen(text) > 4096 AS truncated, CASE WHEN lang = 'es' THEN 'binary' WHEN strlen(text) > 4096 THEN 'too large' END AS note FROM documents",
+    "f4_open_bounded": """WITH f AS (SELECT CASE WHEN doc_id % 13 <> 0 THEN 'dir.md/' || doc_id || (['.md', '.bin', '.PDB', '', '.png'])[doc_id % 5 + 1] END AS path, strlen(text) AS n, doc_id % 4 IN (0, 2) OR doc_id % 5 IN (0, 2) AS plain FROM documents)
+SELECT path, CASE WHEN path IS NOT NULL THEN n END AS bytes, CASE WHEN path IS NOT NULL AND plain AND n <= 4096 THEN n END AS opened, CASE WHEN path IS NOT NULL THEN n > 4096 END AS truncated,
+CASE WHEN path IS NULL THEN 'This artifact is represented by a resource reference.' WHEN NOT plain THEN 'Binary artifact; use the scientific viewer or package file.' WHEN n > 4096 THEN 'Text exceeds the 4096-byte display limit.' END AS note FROM f""",
     "f5_path_escape": f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'escaping' WHEN 1 THEN CASE WHEN trim({PATH}) = '' THEN 'blank' ELSE 'absolute' END ELSE CASE WHEN length(trim({PATH})) < 2 THEN 'blank' END END AS problem FROM pages",
     "f6_features_in_region": """WITH f AS (SELECT o_custkey % 10 AS accession, o_orderkey, (o_orderdate::DATE - DATE '1990-01-01')::BIGINT AS s FROM orders), r AS (SELECT unnest([1500, 2500, 3500])::INTEGER AS region_start)
 SELECT accession, region_start, o_orderkey FROM f, r WHERE s <= region_start + 30 AND s + o_orderkey % 7 >= region_start""",
     "f9_citation_check": "SELECT page_id, regexp_matches(url, '^https?://') AS is_citation FROM pages",
-    "f10_validate_html": "SELECT page_id, regexp_matches(html, '(?i)^<!doctype html') AND contains(html, '</html>') AS ok FROM pages",
+    "f10_validate_contents": """SELECT page_id, CASE WHEN (page_id // 8) % 2 = 1 THEN false WHEN page_id % 8 = 6 THEN html IS NOT NULL AND trim(html) <> '' ELSE page_id % 8 IN (3, 4, 5) OR html IS NOT NULL END AS ok FROM pages""",
+    "f10_validate_html": "SELECT page_id, coalesce(regexp_matches(html, '(?i)^<!doctype html') AND contains(html, '</html>'), false) AS ok FROM pages",
     "f10_validate_json": "SELECT event_id, coalesce(json_valid(CASE WHEN event_id % 5 = 0 THEN '{' || props ELSE props END), false) AS ok FROM events",
     "j5_with_category": "SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 2",
     "j15_case_index": "SELECT conv_id AS case_id, 'README-' || conv_id || ',prompt,' || string_agg(role, ',' ORDER BY turn, role) AS paths FROM conversations GROUP BY conv_id",
@@ -116,10 +212,12 @@ SELECT accession, region_start, o_orderkey FROM f, r WHERE s <= region_start + 3
     "u1_unique_statements": "WITH l AS (SELECT doc_id AS case_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, trim(unnest(string_split(text, chr(10)))) AS s FROM documents) SELECT case_id, sha256(s) AS statement, min(ordinal) AS ordinal FROM l WHERE s <> '' GROUP BY case_id, s",
     "u2_statements_not_in_section": "SELECT item_id, count(*) AS missing FROM benchmark b JOIN documents d ON item_id % 20 = doc_id % 20 AND NOT contains(d.text, trim(regexp_replace(b.text, '[ \\t\\r\\n]+', ' ', 'g'))) GROUP BY item_id",
     "t1_markdown_sections": f"{SECTIONS} SELECT doc_id, heading, sha256(body) AS body FROM m",
-    "t2_clean_markdown": f"SELECT doc_id, sha256(trim({CLEANED})) AS cleaned FROM documents",
-    "t3_split_statements": "SELECT doc_id, len(list_filter(list_transform(string_split(replace(regexp_replace(text, '(\\.)\\s+([A-Z0-9`])', '\\1' || chr(1) || '\\2', 'g'), ' - ', chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS statements FROM documents",
+    "t2_clean_markdown": f"SELECT doc_id, sha256({cleaned(MARKED_SQL)}) AS cleaned FROM documents",
+    "t3_split_statements": f"""SELECT doc_id, sha256(array_to_string({statements("'One * two. 3 is' || chr(10) || '- four -five' || text")}, '|')) AS statements FROM documents""",
+    "t5_build_claims": CLAIMS,
+    "t5_search_text": f"""SELECT doc_id, sha256(lower(array_to_string({once("[coalesce(source, ''), coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ''), coalesce(' ' || source, ''), coalesce(lang, ''), 'Plugin', coalesce(source, ''), 'HTTP://x']")}, ' '))) AS search_text FROM documents""",
     "t4_first_section": f"{SECTIONS} SELECT doc_id, arg_min(heading, CASE heading WHEN 'h2' THEN 0 ELSE 1 END) AS heading, sha256(arg_min(body, CASE heading WHEN 'h2' THEN 0 ELSE 1 END)) AS body FROM m WHERE heading IN ('h2', 'h0') AND body <> '' GROUP BY doc_id",
-    "t10_numbers_from_text": "SELECT doc_id, try_cast(nullif(regexp_extract(text, '([0-9]{1,9})', 1), '') AS BIGINT) AS number FROM documents",
-    "t11_media_type": f"SELECT page_id, {MEDIA} AS media_type FROM pages",
+    "t10_numbers_from_text": "SELECT doc_id, try_cast(nullif(regexp_extract(text || CASE WHEN doc_id % 2 = 0 THEN '12345678901234' ELSE '' END, '([0-9]+)', 1), '') AS DOUBLE) AS number FROM documents",
+    "t11_media_type": f"SELECT page_id, {MEDIA} AS media_type, CASE WHEN page_id % 3 = 0 THEN 'provenance' ELSE 'output' END AS role FROM pages",
     "a1_count_by_media_type": f"SELECT {MEDIA} AS media_type, count(*) AS files FROM pages GROUP BY 1",
 }

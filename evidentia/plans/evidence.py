@@ -31,7 +31,7 @@ def preprints(s, d):
     o = t(s, d, "orders")
     v = o.select(F.col("o_custkey").alias("preprint"), day("o_orderdate").alias("version_date"), F.col("o_orderpriority").alias("title"))
     c = t(s, d, "customer")
-    links = c.where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("preprint"), F.col("c_custkey").alias("pub_id"))
+    links = c.select(F.col("c_custkey").alias("preprint"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("pub_id"))
     pubs = t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("pub_id")).agg(F.min(day("l_shipdate")).alias("pub_date"), F.min("l_returnflag").alias("pub_title"))
     return ev.preprint_publication(v, links, pubs).select("preprint", "versions", F.col("pub_id"), F.col("elapsed_days").cast("long").alias("elapsed_days"), "title_changed")
 
@@ -108,8 +108,8 @@ SQL = {
 SELECT coalesce(l.chrom, o.chrom) AS chrom, coalesce(l.alt, o.alt) AS alt, quantity, cust, l.chrom IS NOT NULL AS lines_used, o.chrom IS NOT NULL AS heads_used FROM l FULL JOIN o ON l.chrom = o.chrom AND l.alt = o.alt""",
     "j11_ambiguous_rsids": "SELECT l_partkey AS rsid, count(DISTINCT l_returnflag) AS alleles FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1",
     "j12_preprint_publication": """WITH v AS (SELECT o_custkey AS preprint, o_orderdate::DATE AS dt, o_orderpriority AS title FROM orders), f AS (SELECT preprint, min(dt) AS first_date, count(*) AS versions, arg_min(title, (dt, title)) AS title FROM v GROUP BY 1),
-k AS (SELECT c_custkey AS pub_id FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT l_partkey AS id, min(l_shipdate::DATE) AS pub_date, min(l_returnflag) AS pub_title FROM lineitem GROUP BY 1)
-SELECT preprint, versions, pub_id, (pub_date - first_date)::BIGINT AS elapsed_days, CASE WHEN pub_id IS NOT NULL THEN pub_title IS DISTINCT FROM title END AS title_changed FROM f LEFT JOIN k ON pub_id = preprint LEFT JOIN p ON p.id = pub_id""",
+k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey ELSE -c_custkey END AS pub_id FROM customer), p AS (SELECT l_partkey AS id, min(l_shipdate::DATE) AS pub_date, min(l_returnflag) AS pub_title FROM lineitem GROUP BY 1)
+SELECT preprint, versions, pub_id, (pub_date - first_date)::BIGINT AS elapsed_days, CASE WHEN pub_id IS NOT NULL THEN pub_title IS DISTINCT FROM title END AS title_changed FROM f LEFT JOIN k ON k.id = preprint LEFT JOIN p ON p.id = pub_id""",
     "j13_article_availability": """WITH f AS (SELECT o_custkey AS a, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS types, count(*) AS files FROM orders GROUP BY 1)
 SELECT c_custkey AS article, c_acctbal > 0 AS open_access, n_name AS pmid, coalesce(types, '') AS types, coalesce(files, 0) AS files FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN f ON a = c_custkey""",
     "j14_evidence_edges": """SELECT DISTINCT 'part' AS src_type, l_partkey::VARCHAR AS src_id, 'supplied_by' AS relation, 'supplier' AS dst_type, l_suppkey::VARCHAR AS dst_id FROM lineitem

@@ -27,9 +27,17 @@ AS_BASES = ("ACGT" * 7)[:26]
 
 
 def cds(spark, d):
+    """Two features of each document: its sequence after the first codon, translated by the frame of the text itself. Every
+    third translation is right, every third is one residue short, the others are missing."""
     t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("accession"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES).alias("sequence"))
-    f = t.select("accession", F.lit(1).alias("feature_no"), F.lit(4).alias("start"), F.length("sequence").alias("end"), (F.col("accession") % 2 == 1).alias("complement"), F.lit(None).cast("string").alias("translation"))
-    return sq.cds_translation_check(f, t).drop("ok")
+    # the features' translations come from a table that other tools would have written: here from SQL text functions
+    codon = F.expr("transform(sequence(0, greatest(0, length(dna) div 3 - 1)), k -> substring('" + sq.AMINO_ACIDS + "', 1 + 16 * (locate(substring(dna, 3 * k + 1, 1), 'TCAG') - 1) + 4 * (locate(substring(dna, 3 * k + 2, 1), 'TCAG') - 1) + locate(substring(dna, 3 * k + 3, 1), 'TCAG') - 1, 1))")
+    dna = F.substring(F.col("sequence"), F.lit(4), F.length("sequence"))
+    rows = t.withColumn("dna", F.when(F.col("accession") % 2 == 1, F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna))
+    protein = F.regexp_replace(F.when(F.length("dna") >= 3, F.array_join(codon, "")).otherwise(""), r"\*$", "")
+    said = F.when(F.col("accession") % 3 == 0, protein).when(F.col("accession") % 3 == 1, F.concat(protein, F.lit("M")))
+    f = rows.select("accession", F.lit(1).alias("feature_no"), F.lit(4).alias("start"), F.length("sequence").alias("end"), (F.col("accession") % 2 == 1).alias("complement"), said.alias("translation"))
+    return sq.cds_translation_check(f, t)
 
 
 def mutations(spark, d):
@@ -37,6 +45,7 @@ def mutations(spark, d):
     wrong = F.when(F.col("p_size") % 3 == 0, F.lit("#")).otherwise(F.substring("n", 3, 1))
     m = F.when(F.col("p_size") % 5 == 0, F.lit("WT")).otherwise(F.concat(F.substring("n", 1, 1), F.lit("1C;"), wrong, F.lit("3W")))
     got = F.when(F.col("p_size") % 5 == 0, F.col("n")).otherwise(F.concat(F.lit("C"), F.substring("n", 2, 1), F.lit("W"), F.substring(F.col("n"), F.lit(4), F.length("n"))))
+    got = F.when(F.col("p_size") % 7 == 0, F.concat(got, F.lit("C"))).otherwise(got)
     c = p.select(F.col("p_partkey").alias("candidate"), F.col("p_partkey").alias("parent"), m.alias("mutations"), got.alias("sequence"))
     return sq.mutation_check(c, p.select(F.col("p_partkey").alias("parent"), F.col("n").alias("parent_sequence")))
 
@@ -48,42 +57,48 @@ QUERIES = {
     "w7_ungapped_positions": lambda s, d: sq.ungapped_positions(alignment(s, d)).groupBy("alignment_id").agg(F.count("*").alias("columns"), F.max("position").alias("residues"), F.sum(F.col("col") * F.col("position")).alias("weighted")),
     "w8_conserved_runs": lambda s, d: sq.conserved_runs(alignment(s, d), 2).select("alignment_id", *(F.col(c).cast("long").alias(c) for c in ("first_col", "last_col", "columns", "ref_start", "ref_end"))),
     "a3_read_quality": lambda s, d: sq.read_quality(reads(s, d), "file").withColumns({c: F.round(c, 6) for c in ("gc_percent", "q30_percent")}),
-    "a4_per_base_quality": lambda s, d: sq.per_base_quality(reads(s, d)).withColumns({c: F.round(c, 6) for c in ("gc", "q30")}),
+    "a4_per_base_quality": lambda s, d: sq.per_base_quality(reads(s, d)).withColumns({c: F.round(c, 6) for c in ("mean_quality", "gc", "q30")}),
+    "a4_length_histogram": lambda s, d: sq.length_histogram(reads(s, d), 50),
     "a4_duplicate_rate": lambda s, d: sq.duplicate_rate(reads(s, d)).withColumn("duplicate_rate", F.round("duplicate_rate", 6)),
     "w1_first_n": lambda s, d: sq.first_n(reads(s, d).select("conv_id", "turn"), 2, "conv_id", "turn"),
     "t7_cds_translation": cds,
     "t8_mutation_check": mutations,
 }
 
+# Alignments have four rows, so SQL puts them side by side and splits each text once.
 AL = """WITH a AS (SELECT doc_id // 4 AS alignment_id, doc_id % 4 AS row_no, doc_id AS seq_id, regexp_replace(lower(coalesce(text, '')), '[^a-z]', '-', 'g') AS s FROM documents),
-f AS (SELECT alignment_id, row_no, seq_id, rpad(s, (max(length(s)) OVER (PARTITION BY alignment_id))::INTEGER, '-') AS s FROM a),
-c AS (SELECT alignment_id, row_no, seq_id, generate_subscripts(string_split(s, ''), 1) AS col, unnest(string_split(s, '')) AS residue FROM f WHERE s <> '')"""
-DIST = f"""{AL}, d AS (SELECT x.alignment_id, x.row_no AS i, y.row_no AS j, x.seq_id AS seq_i, y.seq_id AS seq_j, count(*) AS compared, count(*) FILTER (WHERE x.residue <> y.residue) AS mismatches
-  FROM c x JOIN c y ON x.alignment_id = y.alignment_id AND x.col = y.col AND x.row_no < y.row_no WHERE NOT (x.residue = '-' AND y.residue = '-') GROUP BY ALL)"""
-IDENT = """i AS (SELECT alignment_id, col, max(n) AS top, sum(n)::BIGINT AS residues FROM (SELECT alignment_id, col, residue, count(*) AS n FROM c WHERE residue <> '-' GROUP BY ALL) GROUP BY ALL)"""
-POS = """u AS (SELECT alignment_id, col, CASE WHEN residue <> '-' THEN (sum(CASE WHEN residue <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY alignment_id ORDER BY col))::BIGINT END AS position FROM c WHERE row_no = 0)"""
+f AS (SELECT alignment_id, row_no, seq_id, rpad(s, (max(length(s)) OVER (PARTITION BY alignment_id))::INTEGER, '-') AS s FROM a)"""
+SIDE = f"""{AL}, g AS (SELECT alignment_id, max(s) FILTER (WHERE row_no = 0) AS s0, max(s) FILTER (WHERE row_no = 1) AS s1, max(s) FILTER (WHERE row_no = 2) AS s2, max(s) FILTER (WHERE row_no = 3) AS s3 FROM f GROUP BY alignment_id),
+c AS (SELECT alignment_id, unnest(range(1, greatest(length(s0), length(s1), length(s2), length(s3)) + 1)) AS col, unnest(string_split(s0, '')) AS r0, unnest(string_split(s1, '')) AS r1, unnest(string_split(s2, '')) AS r2, unnest(string_split(s3, '')) AS r3 FROM g)"""
+PAIRS = ", ".join(f"({x}, {y})" for x in range(4) for y in range(x + 1, 4))
+DIST = f"""{SIDE}, d AS (SELECT alignment_id, i, j, count(*) AS compared, count(*) FILTER (WHERE x <> y) AS mismatches FROM (
+  {" UNION ALL ".join(f"SELECT alignment_id, {x} AS i, {y} AS j, r{x} AS x, r{y} AS y FROM c WHERE r{x} IS NOT NULL AND r{y} IS NOT NULL AND NOT (r{x} = '-' AND r{y} = '-')" for x in range(4) for y in range(x + 1, 4))}) GROUP BY ALL)"""
+IDENT = """n AS (SELECT alignment_id, col, list_filter([r0, r1, r2, r3], lambda r: r IS NOT NULL AND r <> '-') AS r FROM c),
+i AS (SELECT alignment_id, col, list_max(list_transform(r, lambda x: len(list_filter(r, lambda y: y = x)))) AS top, len(r) AS residues FROM n WHERE len(r) > 0)"""
+POS = """u AS (SELECT alignment_id, col, CASE WHEN r0 <> '-' THEN (sum(CASE WHEN r0 <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY alignment_id ORDER BY col))::BIGINT END AS position FROM c WHERE r0 IS NOT NULL)"""
 
 SQL = {
-    "j9_p_distance": f"{DIST} SELECT alignment_id, seq_i, seq_j, compared, mismatches, round(mismatches / compared, 6) AS distance FROM d",
+    "j9_p_distance": f"{DIST} SELECT alignment_id, 4 * alignment_id + i AS seq_i, 4 * alignment_id + j AS seq_j, compared, mismatches, round(mismatches / compared, 6) AS distance FROM d",
     "j10_triplet_branches": f"""{DIST}, e AS (SELECT *, mismatches / compared AS q FROM d)
 SELECT x.alignment_id, x.i, x.j, z.j AS k, round((x.q + y.q - z.q) / 2, 6) AS branch_i, round((x.q + z.q - y.q) / 2, 6) AS branch_j, round((y.q + z.q - x.q) / 2, 6) AS branch_k
 FROM e x JOIN e y ON x.alignment_id = y.alignment_id AND x.i = y.i JOIN e z ON z.alignment_id = x.alignment_id AND z.i = x.j AND z.j = y.j""",
-    "a5_column_identity": f"{AL}, {IDENT} SELECT alignment_id, count(*) AS columns, round(avg(top / residues), 6) AS mean_identity FROM i GROUP BY alignment_id",
-    "w7_ungapped_positions": f"{AL}, {POS} SELECT alignment_id, count(*) AS columns, max(position) AS residues, sum(col * position)::BIGINT AS weighted FROM u GROUP BY alignment_id",
-    "w8_conserved_runs": f"""{AL}, {IDENT}, {POS}, g AS (SELECT alignment_id, col, col - row_number() OVER (PARTITION BY alignment_id ORDER BY col) AS island FROM i WHERE top = residues),
-r AS (SELECT alignment_id, min(col) AS first_col, max(col) AS last_col, count(*) AS columns FROM g GROUP BY alignment_id, island HAVING count(*) >= 2)
+    "a5_column_identity": f"{SIDE}, {IDENT} SELECT alignment_id, count(*) AS columns, round(avg(top / residues), 6) AS mean_identity FROM i GROUP BY alignment_id",
+    "w7_ungapped_positions": f"{SIDE}, {POS} SELECT alignment_id, count(*) AS columns, max(position) AS residues, sum(col * position)::BIGINT AS weighted FROM u GROUP BY alignment_id",
+    "w8_conserved_runs": f"""{SIDE}, {IDENT}, {POS}, h AS (SELECT alignment_id, col, col - row_number() OVER (PARTITION BY alignment_id ORDER BY col) AS island FROM i WHERE top = residues),
+r AS (SELECT alignment_id, min(col) AS first_col, max(col) AS last_col, count(*) AS columns FROM h GROUP BY alignment_id, island HAVING count(*) >= 2)
 SELECT r.*, x.position AS ref_start, y.position AS ref_end FROM r LEFT JOIN u x ON x.alignment_id = r.alignment_id AND x.col = first_col LEFT JOIN u y ON y.alignment_id = r.alignment_id AND y.col = last_col""",
     "a3_read_quality": """SELECT conv_id % 10 AS file, count(*) AS records, sum(length(text))::BIGINT AS bases, min(length(text)) AS read_length_min, max(length(text)) AS read_length_max,
 round(100 * sum(len(regexp_extract_all(text, '[GCgc]'))) / sum(length(text)), 6) AS gc_percent, round(100 * sum(len(regexp_extract_all(text, '[?-~]'))) / sum(length(text)), 6) AS q30_percent FROM conversations GROUP BY 1""",
     "a4_per_base_quality": """WITH x AS (SELECT generate_subscripts(string_split(text, ''), 1) AS position, unnest(string_split(text, '')) AS b FROM conversations WHERE text <> '')
-SELECT position, count(*) AS reads, round(avg(CASE WHEN regexp_matches(b, '[GCgc]') THEN 1 ELSE 0 END), 6) AS gc, round(avg(CASE WHEN regexp_matches(b, '[?-~]') THEN 1 ELSE 0 END), 6) AS q30 FROM x GROUP BY 1""",
+SELECT position, count(*) AS reads, round(avg(unicode(b) - 33), 6) AS mean_quality, round(avg(CASE WHEN regexp_matches(b, '[GCgc]') THEN 1 ELSE 0 END), 6) AS gc, round(avg(CASE WHEN unicode(b) >= 63 THEN 1 ELSE 0 END), 6) AS q30 FROM x GROUP BY 1""",
+    "a4_length_histogram": "SELECT length(text) // 50 * 50 AS length, count(*) AS reads FROM conversations GROUP BY 1",
     "a4_duplicate_rate": "SELECT count(*) AS reads, count(DISTINCT text) AS distinct_reads, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate FROM conversations",
     "w1_first_n": "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
     "t7_cds_translation": f"""WITH s AS (SELECT doc_id AS accession, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}'), 4) AS x FROM documents),
 r AS (SELECT accession, CASE WHEN accession % 2 = 1 THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS dna FROM s),
 p AS (SELECT accession, dna, regexp_replace(array_to_string(list_transform(regexp_extract_all(dna, '...'), lambda c: substr('{sq.AMINO_ACIDS}', (16 * (strpos('TCAG', c[1:1]) - 1) + 4 * (strpos('TCAG', c[2:2]) - 1) + strpos('TCAG', c[3:3]))::INTEGER, 1)), ''), '\\*$', '') AS protein FROM r)
-SELECT accession, 1 AS feature_no, length(dna) AS bases, length(protein) AS residues, sha256(protein) AS protein_sha256 FROM p""",
-    "t8_mutation_check": """WITH p AS (SELECT p_partkey, upper(p_name) AS n, p_size FROM part)
-SELECT p_partkey AS candidate, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n_mutations, p_size % 5 = 0 OR (p_size % 3 <> 0 AND length(n) >= 3) AS wild_type_ok, true AS sequence_ok,
-length(n) AS length, length(regexp_replace(CASE WHEN p_size % 5 = 0 THEN n ELSE 'C' || n[2:2] || 'W' || substr(n, 4) END, '[^C]', '', 'g')) AS cysteines FROM p""",
+SELECT accession, 1 AS feature_no, length(dna) AS bases, length(protein) AS residues, sha256(protein) AS protein_sha256, CASE accession % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ok FROM p""",
+    "t8_mutation_check": """WITH p AS (SELECT p_partkey, upper(p_name) AS n, p_size, CASE WHEN p_size % 5 = 0 THEN upper(p_name) ELSE 'C' || upper(p_name)[2:2] || 'W' || substr(upper(p_name), 4) END || CASE WHEN p_size % 7 = 0 THEN 'C' ELSE '' END AS got FROM part)
+SELECT p_partkey AS candidate, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n_mutations, p_size % 5 = 0 OR (p_size % 3 <> 0 AND length(n) >= 3) AS wild_type_ok, p_size % 7 <> 0 AS sequence_ok,
+length(got) AS length, length(regexp_replace(got, '[^C]', '', 'g')) AS cysteines FROM p""",
 }

@@ -20,11 +20,11 @@ def folder(spark) -> str:
 def events(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = st.read_stream(spark, f"{d}/events.parquet*", schema)
-    return rows.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return plan.as_events(rows)
 
 
 def audit(s, d):
-    return s.read.parquet(st.drained(st.stream_run_audit(events(s, d), plan.STAND_IN, "signup"), folder(s)))
+    return s.read.parquet(st.drained(st.stream_run_audit(events(s, d)), folder(s)))
 
 
 def status(s, d):
@@ -33,7 +33,7 @@ def status(s, d):
 
 
 def overdue(s, d):
-    return s.read.parquet(st.drained(st.stream_overdue_runs(events(s, d), ["purchase"], 30, "0 seconds"), folder(s)))
+    return s.read.parquet(st.drained(st.stream_overdue_runs(events(s, d), ["completed"], 30, "0 seconds"), folder(s)))
 
 
 def deduped(s, d):
@@ -54,6 +54,6 @@ SQL = {
     "st1_stream_run_audit": plan.AUDIT,
     "st2_stream_run_status": plan.LATEST,
     "st3_stream_overdue_runs": plan.SQL["st3_overdue_runs_batch"],
-    "st4_stream_dedupe": "SELECT user_id AS run_id, event_id AS seq, event_type AS state FROM events",
+    "st4_stream_dedupe": f"SELECT user_id AS run_id, event_id AS seq, {plan.STATE} AS state FROM events",
     "st6_stream_state_counts": f"WITH c AS ({plan.COUNTS}) SELECT * FROM c WHERE start_s + 3600 <= (SELECT epoch(max(ts)) FROM events)",
 }

@@ -8,13 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as tx
+
 CASE = "struct<id: string, title: string, status: string, summary: string, next_step: string, case_path: string, preview: string>"
 CATALOGUE = f"plugins array<struct<id: string, name: string, version: string, kind: string, readme: string, showcases: array<{CASE}>>>"
 FILE_ENTRY = "array<struct<path: string, bytes: bigint, sha256: string>>"
 MANIFEST = f"id string, plugin_id string, inputs {FILE_ENTRY}, outputs {FILE_ENTRY}, previews {FILE_ENTRY}"
 GEOJSON = "features array<struct<type: string, geometry: struct<type: string, coordinates: array<array<array<double>>>>, properties: map<string, string>>>"
 ATOMS = "path string, record string, serial string, atom_name string, alt_loc string, res_name string, chain string, res_seq string, x double, y double, z double"
-FEATURES = "accession string, feature_no int, type string, complement boolean, start int, end int, qualifiers map<string, array<string>>, origin string"
+FEATURES = "accession string, feature_no int, type string, complement boolean, start int, end int, qualifiers map<string, array<string>>"
+#: A value of an mmCIF row: quoted, where a quote ends it only before a blank, or without blanks.
+MMCIF_VALUE = r"""'(?:[^']|'(?=\S))*'|"(?:[^"]|"(?=\S))*"|\S+"""
+MMCIF_QUOTES = r"""^(['"])(.*)\1$"""
 
 
 def load_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -37,9 +42,9 @@ def load_manifests(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive listing: path, length, content as text."""
+    """Recursive listing: path, media_type, length, content (binary, as checks.file_stats takes it)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", "length", F.col("content").cast("string").alias("content"))
+    return files.select("path", tx.media_type(F.col("path")).alias("media_type"), "length", "content")
 
 
 def load_fasta(spark: SparkSession, glob: str) -> DataFrame:
@@ -51,21 +56,31 @@ def load_fasta(spark: SparkSession, glob: str) -> DataFrame:
     return rows.select("path", "header", "id", F.when(good, F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("bad FASTA record "), "header"))).alias("sequence"))
 
 
-def load_fastq(spark: SparkSession, glob: str) -> DataFrame:
-    """path, record_no, name, seq, qual from four-line records, file by file (a gzip file does not split); lines of unequal
-    length are an error."""
+def load_fastq(spark: SparkSession, glob: str, at_once: int = 4096) -> DataFrame:
+    """path, record_no, name, seq, qual from four-line records, file by file (a gzip file does not split), a few records at
+    a time; lines of unequal length are an error. A file is one row of the binary reader, so it must stay below 2 GiB."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         import gzip
+        import io
+        from itertools import islice
+
+        stream = io.BytesIO(content)
+        lines = io.TextIOWrapper(gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream, "ascii", newline="\n")
+        done = 0
+        while held := [x.rstrip("\r\n") for x in islice(lines, 4 * at_once)]:
+            heads, seqs, marks, quals = (held[k::4] for k in range(4))
+            sound = len(held) % 4 == 0 and all(h.startswith("@") for h in heads) and all(m.startswith("+") for m in marks)
+            if not sound or any(len(s) != len(q) for s, q in zip(seqs, quals, strict=True)):
+                raise ValueError(f"damaged FASTQ file {path}")
+            yield pd.DataFrame({"path": path, "record_no": range(done + 1, done + len(heads) + 1), "name": [h[1:] for h in heads], "seq": seqs, "qual": quals})
+            done += len(heads)
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                lines = (gzip.decompress(content) if path.endswith(".gz") else content).decode("ascii").split("\n")
-                lines = lines[:-1] if lines[-1] == "" else lines
-                if len(lines) % 4 or any(not h.startswith("@") for h in lines[::4]) or any(not p.startswith("+") for p in lines[2::4]) or any(len(s) != len(q) for s, q in zip(lines[1::4], lines[3::4], strict=True)):
-                    raise ValueError(f"damaged FASTQ file {path}")
-                yield pd.DataFrame({"path": path, "record_no": range(1, len(lines) // 4 + 1), "name": [h[1:] for h in lines[::4]], "seq": lines[1::4], "qual": lines[3::4]})
+                yield from records(path, content)
 
     return files.mapInPandas(parse, "path string, record_no long, name string, seq string, qual string")
 
@@ -82,35 +97,46 @@ def load_mmcif_atoms(spark: SparkSession, glob: str) -> DataFrame:
     """Atom rows of mmCIF files in the schema of load_pdb_atoms; columns by the order of the header lines of each file."""
     lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n"))
     heads = lines.where(F.col("value").startswith("_atom_site.")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("value").alias("v")))), lambda x: x["v"]).alias("names"))
-    rows = lines.where(F.col("value").startswith("ATOM ") | F.col("value").startswith("HETATM ")).join(heads, "path").withColumn("f", F.split(F.trim("value"), r"\s+"))
+    rows = lines.where(F.col("value").startswith("ATOM ") | F.col("value").startswith("HETATM ")).join(heads, "path").withColumn("f", F.transform(F.regexp_extract_all("value", F.lit(MMCIF_VALUE), F.lit(0)), lambda v: F.regexp_replace(v, MMCIF_QUOTES, "$2")))
     at = lambda name: F.get("f", F.array_position("names", "_atom_site." + name).cast("int") - 1)
     plain = lambda c: F.when(~c.isin(".", "?"), c)
     names = {"record": "group_PDB", "serial": "id", "atom_name": "label_atom_id", "alt_loc": "label_alt_id", "res_name": "label_comp_id", "chain": "auth_asym_id", "res_seq": "auth_seq_id"}
     return rows.select("path", *(plain(at(v)).alias(k) for k, v in names.items()), *(at(f"Cartn_{c}").try_cast("double").alias(c) for c in "xyz"))
 
 
-def load_genbank(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per feature of each record, with the record's sequence."""
-    records = spark.read.option("lineSep", "\n//\n").text(glob).where(F.trim("value") != "")
+def genbank_texts(spark: SparkSession, glob: str) -> DataFrame:
+    """accession and text of each record of GenBank files."""
+    texts = spark.read.option("lineSep", "\n//\n").text(glob).where(F.trim("value") != "")
+    return texts.select(F.nullif(F.regexp_extract("value", r"(?m)^ACCESSION\s+(\S+)", 1), F.lit("")).alias("accession"), "value")
+
+
+def load_genbank_records(spark: SparkSession, glob: str) -> DataFrame:
+    """accession and sequence (lower case) of each record."""
+    origin = F.regexp_replace(F.substring_index("value", "\nORIGIN", -1), r"^[^\n]*", "")
+    return genbank_texts(spark, glob).select("accession", F.regexp_replace(origin, "[^a-z]", "").alias("sequence"))
+
+
+def load_genbank_features(spark: SparkSession, glob: str) -> DataFrame:
+    """One row per feature of each record: accession, feature_no, type, complement, start, end, qualifiers."""
+    block = F.substring_index(F.substring_index("value", "\nORIGIN", 1), "\nFEATURES", -1)
+    records = genbank_texts(spark, glob).where(F.contains("value", F.lit("\nFEATURES"))).select("accession", block.alias("block"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
         for batch in batches:
-            for text in batch["value"]:
-                accession = re.search(r"^ACCESSION\s+(\S+)", text, re.M)
-                origin = re.sub(r"[^a-z]", "", text.partition("\nORIGIN")[2].partition("\n")[2])
-                block, rows = text.partition("\nFEATURES")[2].partition("\nORIGIN")[0], []
-                for n, m in enumerate(re.finditer(r"^ {5}(\S+)\s+(\S+)\n((?: {21}.*(?:\n|$))*)", block + "\n", re.M), 1):
+            for accession, text in zip(batch["accession"], batch["block"], strict=True):
+                rows = []
+                for n, m in enumerate(re.finditer(r"^ {5}(\S+)\s+(\S+)\n((?: {21}.*(?:\n|$))*)", text + "\n", re.M), 1):
                     span = re.search(r"(\d+)\.\.>?(\d+)", m[2])
                     found: dict[str, list[str]] = {}
                     for q in re.finditer(r'/(\w+)=(?:"([^"]*)"|(\S+))', re.sub(r"\n {21}(?!/)", " ", m[3])):
                         value = q[2] if q[2] is not None else q[3]
                         found.setdefault(q[1], []).append(value.replace(" ", "") if q[1] == "translation" else value)
-                    rows.append((accession[1] if accession else None, n, m[1], "complement" in m[2], int(span[1]) if span else None, int(span[2]) if span else None, found, origin))
-                yield pd.DataFrame(rows, columns=["accession", "feature_no", "type", "complement", "start", "end", "qualifiers", "origin"]).astype({"start": "Int32", "end": "Int32"})
+                    rows.append((accession, n, m[1], "complement" in m[2], int(span[1]) if span else None, int(span[2]) if span else None, found))
+                yield pd.DataFrame(rows, columns=["accession", "feature_no", "type", "complement", "start", "end", "qualifiers"]).astype({"start": "Int32", "end": "Int32"})
 
-    return records.select("value").mapInPandas(parse, FEATURES)
+    return records.mapInPandas(parse, FEATURES)
 
 
 def load_csv_strict(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
@@ -130,8 +156,10 @@ def write_json_export(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_csv_with_provenance(df: DataFrame, path: str, bounds: list[str]) -> DataFrame:
-    """Writes CSV; returns the sidecar: one row per file with bytes and sha256, the rows written and the columns' bounds."""
+    """Writes CSV; returns the sidecar: one row per file with bytes and sha256, the rows written and the columns' bounds, both
+    read from what was written."""
     df.write.option("header", True).mode("errorifexists").csv(path)
-    totals = df.agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in bounds for n, f in (("min", F.min), ("max", F.max))))
+    written = df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+    totals = written.agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in bounds for n, f in (("min", F.min), ("max", F.max))))
     files = df.sparkSession.read.format("binaryFile").load(f"{path}/*.csv").select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     return files.join(F.broadcast(totals))  # totals: one row

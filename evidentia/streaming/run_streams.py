@@ -17,25 +17,34 @@ def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def stream_run_audit(events: DataFrame, transitions: dict[str, tuple], start: str = "draft") -> DataFrame:
-    """Every event with its run's state before it and whether the change is allowed; the last state of each run is kept
-    between batches. Within a batch, events are taken in order of at and seq."""
-    allowed = {(a, b) for a, after in transitions.items() for b in after}
+def stream_run_audit(events: DataFrame, transitions: dict = runs.TRANSITIONS, start: str = "draft", noted: tuple = runs.NOTED, lateness: str = "10 minutes", keep_days: int = 30) -> DataFrame:
+    """Every event with its run's state before it and whether the step is allowed; the last state of each run is kept
+    between batches, and dropped once the watermark is keep_days past the run's last event. Within a batch, events are taken in
+    order of at and seq."""
+    allowed = set(runs.legal_steps(transitions, noted))
 
     def audit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        last, out = (state.get[0] if state.exists else None), []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["at_us", "seq"])
+        last, newest, out = *(state.get if state.exists else (None, 0)), []
         for seq, now in zip(rows["seq"], rows["state"], strict=True):
             out.append((key[0], seq, last, now, now == start if last is None else (last, now) in allowed))
             last = now
-        state.update((last,))
+        newest = max(newest, int(rows["at_us"].max()))
+        state.update((last, newest))
+        limit = newest // 1000 + keep_days * 86_400_000
+        if limit > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(limit)
         yield pd.DataFrame(out, columns=["run_id", "seq", "previous", "state", "allowed"])
 
-    return events.groupBy("run_id").applyInPandasWithState(audit, "run_id long, seq long, previous string, state string, allowed boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
+    return marked.groupBy("run_id").applyInPandasWithState(audit, "run_id long, seq long, previous string, state string, allowed boolean", "last string, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_run_status(events: DataFrame) -> DataFrame:
-    """The newest event of each run; update mode."""
+    """The newest event of each run; update mode. A run's row is its state, and has no end: what is kept per run is one row."""
     return runs.latest_run_state(events)
 
 
@@ -81,7 +90,7 @@ def stream_validate_files(spark: SparkSession, folder: str, declared: DataFrame)
     """Checks of arriving files: size against the declared (case_id, artifact_id, path, bytes), and content by media type.
     declared is a static table; path is the file's name."""
     files = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(folder).schema).load(folder)
-    files = files.select(F.substring_index("path", "/", -1).alias("path"), F.col("content").cast("string").alias("content"), F.col("length"))
+    files = files.select(F.substring_index("path", "/", -1).alias("path"), "content", F.col("length"))
     ok = tx.content_ok(tx.media_type(F.col("path")), F.col("content"))
     rows = files.join(declared, "path")
     size_ok = F.col("bytes").isNull() | (F.col("bytes") == F.col("length"))
@@ -89,12 +98,18 @@ def stream_validate_files(spark: SparkSession, folder: str, declared: DataFrame)
     return rows.select(F.inline(both))
 
 
+def write_batch(df: DataFrame, n: int, folder: str) -> None:
+    """One batch in a folder of its own; a batch that is played again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> str:
-    """Runs a stream over all that is there into Parquet (append) or the last state of each batch (update); the folder."""
+    """Runs a stream over all that is there into Parquet (append) or, batch by batch, the changed rows (update, with a column
+    batch); the folder."""
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(f"{folder}/out")
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start()
+        query = writer.outputMode(mode).foreachBatch(lambda df, n: write_batch(df, n, f"{folder}/out")).start()
     query.awaitTermination()
     return f"{folder}/out"

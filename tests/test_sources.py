@@ -1,9 +1,11 @@
 """File readers on small literal files."""
 
+import hashlib
 import json
 
 import pytest
 
+from evidentia.operators import checks as ck
 from evidentia.operators import sequence as sq
 from evidentia.operators import structure as st
 from evidentia.sources import files
@@ -46,8 +48,44 @@ def test_pdb_mmcif_and_contacts(spark, tmp_path):
 def test_genbank(spark, tmp_path):
     text = "LOCUS       X 12 bp\nACCESSION   X1\nFEATURES             Location/Qualifiers\n     CDS             complement(4..9)\n                     /gene=\"cI\"\n                     /translation=\"MK\n                     L\"\nORIGIN\n        1 acgtacgtac gt\n//\n"
     (tmp_path / "x.gb").write_text(text)
-    r = files.load_genbank(spark, str(tmp_path / "x.gb")).first()
-    assert (r["accession"], r["type"], r["complement"], r["start"], r["end"], r["origin"]) == ("X1", "CDS", True, 4, 9, "acgtacgtacgt") and r["qualifiers"] == {"gene": ["cI"], "translation": ["MKL"]}
+    r = files.load_genbank_features(spark, str(tmp_path / "x.gb")).first()
+    assert (r["accession"], r["type"], r["complement"], r["start"], r["end"]) == ("X1", "CDS", True, 4, 9) and r["qualifiers"] == {"gene": ["cI"], "translation": ["MKL"]}
+    assert [tuple(x) for x in files.load_genbank_records(spark, str(tmp_path / "x.gb")).collect()] == [("X1", "acgtacgtacgt")]
+
+
+def test_mmcif_values_with_blanks(spark, tmp_path):
+    (tmp_path / "q.cif").write_text("loop_\n_atom_site.group_PDB\n_atom_site.label_comp_id\n_atom_site.label_atom_id\n_atom_site.Cartn_x\nATOM 'A B' \"C5'\" 1.5\nHETATM 'it's' . ?\n#\n")
+    rows = files.load_mmcif_atoms(spark, str(tmp_path / "q.cif")).collect()
+    assert {(r["res_name"], r["atom_name"], r["x"]) for r in rows} == {("A B", "C5'", 1.5), ("it's", None, None)}
+
+
+def test_fastq_in_pieces_and_gzip(spark, tmp_path):
+    import gzip
+
+    text = "".join(f"@r{k}\n{'ACGT' * (k % 3)}\n+\n{'IIII' * (k % 3)}\n" for k in range(25))
+    (tmp_path / "r.fastq.gz").write_bytes(gzip.compress(text.encode()))
+    rows = files.load_fastq(spark, str(tmp_path / "r.fastq.gz"), 10).collect()
+    assert [(r["record_no"], r["name"], len(r["seq"])) for r in rows] == [(k + 1, f"r{k}", 4 * (k % 3)) for k in range(25)]
+
+
+def test_scan_files_and_stats(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.md").write_bytes(b"alpha\r\nbeta\r\n")
+    (tmp_path / "b.json").write_bytes(b"alpha\nbeta\n")
+    (tmp_path / "c.png").write_bytes(b"\x89PNG\r\n\x1a\nx\xff\r\n")
+    got = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in ck.file_stats(files.scan_files(spark, str(tmp_path))).collect()}
+    lf = hashlib.sha256(b"alpha\nbeta\n").hexdigest()
+    assert got["a.md"] == (13, 11, 13, 11, lf) and got["b.json"] == (11, 11, 13, 11, lf)
+    assert got["c.png"] == (12, 10, 13, 12, hashlib.sha256(b"\x89PNG\r\n\x1a\nx\xff\r\n").hexdigest())
+
+
+def test_json_export(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("a", 3, "y")], "case_id string, n int, s string")
+    files.write_json_export(df, str(tmp_path / "out"), "case_id")
+    back = spark.read.json(str(tmp_path / "out"))
+    assert {(r["case_id"], r["n"], r["s"]) for r in back.collect()} == {("a", 1, "x"), ("b", 2, None), ("a", 3, "y")}
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        files.write_json_export(df, str(tmp_path / "out"), "case_id")
 
 
 def test_catalogue_manifests_csv_geojson(spark, tmp_path):

@@ -13,14 +13,14 @@ def at(hour, minute):
 
 def test_overdue_runs_are_told_once(spark, tmp_path):
     batches = [
-        [(1, at(10, 0), 1, "running"), (2, at(10, 0), 2, "running"), (2, at(10, 5), 3, "succeeded"), (3, at(10, 1), 4, "running")],
-        [(3, at(10, 45), 5, "succeeded"), (4, at(12, 0), 6, "running")],
-        [(1, at(13, 0), 7, "succeeded"), (4, at(12, 10), 8, "failed"), (5, at(14, 0), 9, "running")],
+        [(1, at(10, 0), 1, "running"), (2, at(10, 0), 2, "running"), (2, at(10, 5), 3, "completed"), (3, at(10, 1), 4, "running")],
+        [(3, at(10, 45), 5, "completed"), (4, at(12, 0), 6, "running")],
+        [(1, at(13, 0), 7, "completed"), (4, at(12, 10), 8, "failed"), (5, at(14, 0), 9, "running")],
     ]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     events = st.read_stream(spark, f"{tmp_path}/in/*", EVENTS)
-    out = st.drained(st.stream_overdue_runs(events, ["succeeded", "failed"]), str(tmp_path / "run"))
+    out = st.drained(st.stream_overdue_runs(events, ["completed", "failed"]), str(tmp_path / "run"))
     got = sorted((r["run_id"], r["started_us"]) for r in spark.read.parquet(out).collect())
     micros = lambda t: int(t.replace(tzinfo=datetime.timezone.utc).timestamp()) * 1_000_000
     assert [g[0] for g in got] == [1, 3]
