@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,13 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary one on this machine, but only
+    if all tasks run here too; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
@@ -84,6 +88,39 @@ def give_back() -> None:
         trim(0)
 
 
+#: Row slices of a matrix that is summed up.
+SLICES = 32
+
+
+def summed(rows: DataFrame, parts_of, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that parts_of(batches) yields: in each task first, then slice by slice in Spark. Only the sum,
+    of a fixed shape, comes to the driver."""
+    edges = np.linspace(0, shape[0], SLICES + 1).astype(int)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shape)
+        for part in parts_of(batches):
+            total += part
+        salt = TaskContext.get().partitionId() % 16
+        for k in range(SLICES):
+            part = total[edges[k] : edges[k + 1]]
+            if part.any():
+                yield pd.DataFrame({"slice": [k], "salt": [salt], "data": [part.astype(np.float64).tobytes()]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1)
+        for x in group["data"]:
+            total = total + np.frombuffer(x, np.float64)
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "data": [total.astype(np.float64).tobytes()]})
+
+    parts = rows.mapInPandas(run, "slice int, salt int, data binary")
+    parts = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, data binary").groupBy("slice").applyInPandas(add, "slice int, data binary")
+    out = np.zeros(shape)
+    for row in parts.collect():  # SLICES rows of one fixed-shape matrix
+        out[edges[row["slice"]] : edges[row["slice"] + 1]] = np.frombuffer(row["data"], np.float64).reshape(-1, shape[1])
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -28,17 +28,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import keyblocks as kb
-from evidentia.llm.common import chunks, give_back, only, saved
+from evidentia.llm.common import chunks, give_back, only, saved, summed
 
 #: Words of a passage of the latent space, and the fewest words of a block of the search.
 BLOCK, LEAST_BLOCK = 32, 8
 MOST_BYTES, MOST_ITEMS, MOST_WORDS = 64 << 20, 512, 1 << 15
-SLICES = 32
 #: Blocks that are searched at a time, and the frequent words that are summed up as a dense matrix.
 AT_ONCE, DENSE = 4096, 128
 #: Lower-cased letters and digits; every other ASCII character separates words.
@@ -116,35 +114,6 @@ class Passages:
         return base[self.text] + (self.at - self.first[self.text]) // size, np.repeat(np.arange(len(count)), count)
 
 
-def summed(rows: DataFrame, parts_of, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of the matrices that parts_of(batches) yields: in each task first, then slice by slice in Spark. Only the sum,
-    of a fixed shape, comes to the driver."""
-    edges = np.linspace(0, shape[0], SLICES + 1).astype(int)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape)
-        for part in parts_of(batches):
-            total += part
-        salt = TaskContext.get().partitionId() % 16
-        for k in range(SLICES):
-            part = total[edges[k] : edges[k + 1]]
-            if part.any():
-                yield pd.DataFrame({"slice": [k], "salt": [salt], "data": [part.astype(np.float32).tobytes()]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1)
-        for x in group["data"]:
-            total = total + np.frombuffer(x, np.float32)
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
-
-    parts = rows.mapInPandas(run, "slice int, salt int, data binary")
-    parts = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, data binary").groupBy("slice").applyInPandas(add, "slice int, data binary")
-    out = np.zeros(shape)
-    for row in parts.collect():  # SLICES rows of one fixed-shape matrix
-        out[edges[row["slice"]] : edges[row["slice"] + 1]] = np.frombuffer(row["data"], np.float32).reshape(-1, shape[1])
-    return out
-
-
 def sums_by(key: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
     """Sum of vectors by key; keys ascend."""
     out = np.zeros((n, vectors.shape[1]), np.float32)

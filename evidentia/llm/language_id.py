@@ -4,8 +4,13 @@ Kernel: blended-spectrum presence kernel. A text is the set of its hashed byte n
 k(x, y) = |S(x) & S(y)| / sqrt(|S(x)| |S(y)|). A Nystrom map on landmark texts and one-versus-rest kernel ridge
 regression give one weight per landmark and language; a batch of texts is scored by two matrix products.
 
-Cases: a text that is null or has no letter, and any text when nothing can be learned, is `und` with score 0.
-Rows whose lang is null are never learned from. Extra columns of the input are ignored. Repeated rows count as rows.
+Training never brings a text to the driver: tasks turn the sample into landmark bitmaps and into the sums of the normal
+equations, whose size depends on the landmarks and languages alone.
+
+Cases: a text that is null or has no letter, and any text when nothing can be learned, is `und` with score 0; so an empty
+table gives an empty result. Rows whose lang is null are never learned from. Of languages whose scores tie, the first by name
+is taken. A text of any length is one set of at most 37,120 slots; its whole bytes are read. Extra columns of the input are
+ignored. Repeated rows count as rows.
 """
 
 from __future__ import annotations
@@ -17,16 +22,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import give_back, only
+from evidentia.llm.common import give_back, only, saved, summed
 
 #: Slots per n-gram length (n = 1, 2, 3, 4); n = 1 is exact.
 SLOTS = (256, 4096, 16384, 16384)
 STARTS = np.concatenate([[0], np.cumsum(SLOTS)])
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 BATCH = 64
+#: More languages than this are an error: each has a landmark of 148 KB in the model that is broadcast.
+MOST_LANGUAGES = 500
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in WORDLIKE.finditer(text))
 
 
 def presence(text: str, row: np.ndarray) -> None:
@@ -73,40 +84,86 @@ class Model:
         return np.where(full < 1, (share.max(1) - full) / np.maximum(1 - full, 1e-9), 1.0)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
+def features(marks: np.ndarray) -> np.ndarray:
+    """The Nystrom map: from kernel values with the landmarks to features."""
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    keep = values > 1e-6 * values.max()
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def equations(texts: list[str], langs: list[str], marks: np.ndarray, languages: list[str]) -> np.ndarray:
+    """K'K beside K'Y of some training rows: K their kernel values with the landmarks, Y their languages as 0 and 1."""
+    number = {lang: j for j, lang in enumerate(languages)}
+    total = np.zeros((len(marks), len(marks) + len(languages)))
+    for at in range(0, len(texts), BATCH):
+        k = (unit_rows(rows_of(texts[at : at + BATCH])) @ marks.T).astype(np.float64)
+        y = np.zeros((len(k), len(languages)))
+        y[np.arange(len(k)), [number[lang] for lang in langs[at : at + BATCH]]] = 1
+        total += k.T @ np.hstack([k, y])
+    return total
+
+
+def solved(marks: np.ndarray, languages: list[str], total: np.ndarray, n: int, ridge: float) -> Model:
+    """One-versus-rest ridge regression from the normal equations of n rows."""
+    to_features, m = features(marks), len(marks)
+    gram, right = to_features.T @ total[:, :m] @ to_features, to_features.T @ total[:, m:]
+    beta = np.linalg.solve(gram + ridge * n * np.eye(len(gram)), right)
+    return Model(languages, marks, (to_features @ beta).astype(np.float32))
+
+
 def fitted(texts: list[str], langs: list[str], landmarks: int = 64, ridge: float = 1e-3) -> Model | None:
-    """Landmarks are dealt evenly over the languages, in the order given."""
+    """Of rows at hand. Landmarks are dealt evenly over the languages, in the order given."""
     languages = sorted(set(langs))
     if not languages:
         return None
-    x = rows_of(texts)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    y = np.array([[float(lang == other) for other in languages] for lang in langs], np.float64)
     share = max(1, landmarks // len(languages))
-    chosen = [i for lang in languages for i in [j for j, own in enumerate(langs) if own == lang][:share]]
-    marks = x[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    keep = values > 1e-6 * values.max()
-    to_features = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ marks.T).astype(np.float64) @ to_features
-    beta = np.linalg.solve(phi.T @ phi + ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(languages, marks, (to_features @ beta).astype(np.float32))
+    marks = unit_rows(rows_of([texts[i] for lang in languages for i in [j for j, own in enumerate(langs) if own == lang][:share]]))
+    return solved(marks, languages, equations(texts, langs, marks, languages), len(texts), ridge)
 
 
-def train(docs: DataFrame, may_learn, per_language: int = 200, max_languages: int = 200, landmarks: int = 64) -> Model | None:
-    """Fits on a bounded sample: the `per_language` rows of each language with the smallest hash of doc_id and text,
-    of the `max_languages` most frequent languages. may_learn: a condition on the rows."""
-    rows = only(docs, "doc_id", "text", "lang").where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64("doc_id", F.length("text")).bitwiseAND(F.lit((1 << 40) - 1))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+def sample(docs: DataFrame, may_learn, per_language: int) -> DataFrame:
+    """lang, text and rank (from 1) of the `per_language` rows of each language with the smallest hash of doc_id and text that have
+    a letter. may_learn: a condition on the rows."""
+    rows = only(docs, "doc_id", "text", "lang").where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return None
+        return rows.select("lang", "text", F.lit(1).alias("rank")).limit(0)
+    order = F.xxhash64("doc_id", F.length("text")).bitwiseAND(F.lit((1 << 40) - 1))
     # a share of the hash range that holds enough rows of each language; the exact cut follows on the few rows kept
     share = {r["lang"]: int(min(1.0, (1.3 * per_language + 60) / r["count"]) * (1 << 40)) for r in counts}
     limit = F.create_map(*(F.lit(v) for pair in share.items() for v in pair))[F.col("lang")]
-    few = rows.withColumn("o", order).where(F.col("o") < limit).select("lang", "text", "o").toPandas()
-    few = few.sort_values(["lang", "o", "text"]).groupby("lang").head(per_language)
-    few = few[few["text"].map(lambda t: bool(LETTER.search(t)))]
-    return fitted(list(few["text"]), list(few["lang"]), landmarks) if len(few) else None
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
+    return rows.withColumn("o", order).where(F.col("o") <= limit).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text", "rank")
+
+
+def train(docs: DataFrame, may_learn, per_language: int = 200, landmarks: int = 64, ridge: float = 1e-3) -> Model | None:
+    """Fits on the bounded sample of `per_language` rows a language; every language of the rows can be predicted."""
+    rows = saved(sample(docs, may_learn, per_language), "language-sample")
+    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # MOST_LANGUAGES at most
+    if not languages:
+        return None
+    share = max(1, landmarks // len(languages))
+
+    def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"lang": batch["lang"], "rank": batch["rank"], "bits": [np.packbits(rows_of([t])[0] > 0).tobytes() for t in batch["text"]]})
+
+    marks = rows.where(F.col("rank") <= share).mapInPandas(bitmaps, "lang string, rank int, bits binary").toPandas().sort_values(["lang", "rank"])
+    marks = unit_rows(np.stack([np.unpackbits(np.frombuffer(x, np.uint8))[: STARTS[-1]] for x in marks["bits"]]).astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield equations(batch["text"].tolist(), batch["lang"].tolist(), shared.value, languages)
+
+    total = summed(rows.select("lang", "text"), sums, (len(marks), len(marks) + len(languages)))
+    return solved(marks, languages, total, rows.count(), ridge)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -118,7 +175,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             pred, best = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if m and t is not None and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if m and has_letter(t)]
             for at in range(0, len(known), BATCH):
                 own = known[at : at + BATCH]
                 s = m.scores([texts[i] for i in own])
@@ -149,7 +206,7 @@ def recognised(docs: DataFrame, model: Model | None, min_score: float) -> DataFr
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             good = np.zeros(len(texts), bool)
-            known = [i for i, t in enumerate(texts) if m and t is not None and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if m and has_letter(t)]
             for at in range(0, len(known), BATCH):
                 own = known[at : at + BATCH]
                 good[own] = m.closeness([texts[i] for i in own]) >= min_score
