@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import byte_bpe, chat, decontaminate, embedding_dedup, language_id, set_join, substring_dedup, suffix_dedup, url_filter, warc
+from evidentia.llm import byte_bpe, chat, decontaminate, embedding_dedup, language_id, set_join, substring_dedup, suffix_dedup, warc
 from evidentia.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, _rid int, chunk string"
@@ -218,16 +218,6 @@ def test_chat_windows(spark):
     assert chat.chat_windows(df.limit(0)).count() == 0
 
 
-def test_url_filter(spark):
-    urls = ["https://WWW.Example.NET/en/1?x", "https://a.example.com/de/", "http://badexample.com/de/", "x.org/fr/1", None, "http://q.org/fr/a#b", "http://x.net", "https://blog.cheap-pills.example.com/en/4", "https://www.theatre.example.com/en/4", "http://net/a", "", "http://a.org?x://y/z"]
-    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(None, None, None)], "page_id long, url string, rule string")
-    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.url_filter(df).collect()}
-    assert got[0] == ("www.example.net", "/en/1", "example.net/en/", "allow") and got[1][2:] == ("example.com/de/", "block")
-    assert got[2][2] is None and got[3][:3] == ("", "", None) and got[4][:2] == ("", "") and got[5] == ("q.org", "/fr/a", "org/fr/", "allow")
-    assert got[6][:3] == ("x.net", "", None) and got[7][3] == "block" and got[8][3] == "allow" and got[9][2:] == ("net/", "block") and got[11][:2] == ("a.org", "")
-    assert url_filter.url_filter(df.limit(0)).count() == 0
-
-
 def test_embedding_dedup_against_brute_force(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((40, 16))
