@@ -3,13 +3,13 @@
 1. Equal vectors become one node with a number of copies. Centroids fitted on a bounded sample deal the nodes to their
    nearest shards, OVERLAP each; shards that are too large are dealt out again in pairs of blocks, so any two of their nodes
    still meet.
-2. In each shard a graph is built by robust pruning of near candidates; the adjacency lists of a node from all its
-   shards are united.
-3. Each node searches the united graph of its shard greedily from the medoid and from one node of every connected part, then
-   the search widens: every node found in range is expanded until nothing new is in range. A graph of nearest nodes has no
-   edges between tight groups, so an exact pass follows: parts of a shard whose first nodes and radii allow a pair in range
-   are compared whole. A shard's links are thus complete. Links are verified by cosine in double precision.
-4. audit_recall() measures the links found against brute force for a query set.
+2. In each shard a graph is built node by node, in batches that double: a node walks the graph built so far from the medoid,
+   and robust pruning of what the walk met gives its edges; edges back are pruned the same way. The adjacency lists of a node
+   from all its shards are united.
+3. Each node walks the united graph of its shard greedily from the medoid, then the search widens: every node found in
+   range is opened until nothing new is in range. A node that its own walk does not meet is held against the whole shard.
+   Every link is verified by cosine in double precision, so none below the floor is told.
+4. audit_recall() holds the links of a query set against brute force over all rows, pair by pair.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with
 nothing; null vec_ids have a null component and link with nothing; rows that repeat a vec_id are one vector of the
@@ -31,7 +31,9 @@ OVERLAP = 3
 SHARD_ROWS, MOST_ROWS = 1200, 3000
 #: Bounds of the sample and of the number of centroids that are fitted on the driver.
 SAMPLE_PER_CENTROID, MOST_CENTROIDS = 32, 8192
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 12
+#: Candidates that are pruned, about how many of them are not of the nearest, edges of a node in one shard, how much nearer an
+#: edge must be to cover another, nodes that a walk keeps, and nodes that walk at a time.
+CANDIDATES, FAR, DEGREE, ALPHA, BEAM, AT_ONCE = 48, 8, 16, 1.2, 16, 256
 NODES = "cid long, copies long, unit array<double>, shards array<long>"
 
 
@@ -51,157 +53,150 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def walked(x: np.ndarray, q: np.ndarray, table: np.ndarray, start: int, beam: int = BEAM) -> np.ndarray:
+    """Cosines of the nodes that greedy walks for the rows q meet, -2 for the others: q x nodes. table: edges, -1 for none.
+    Each walk opens the best node it has met and not yet opened, as long as that is one of its best `beam`."""
+    n, m, rows = len(q), len(x), np.arange(len(q))
+    met = np.full((n, m), -2.0)
+    met[:, start] = x[q] @ x[start]
+    best, score = np.full((n, beam), -1), np.full((n, beam), -2.0)
+    best[:, 0], score[:, 0] = start, met[:, start]
+    shut = np.zeros((n, beam), bool)
+    while True:
+        open_ = np.where((best >= 0) & ~shut, score, -3)
+        place = open_.argmax(1)
+        go = np.flatnonzero(open_[rows, place] > -3)
+        if not len(go):
+            return met
+        shut[go, place[go]] = True
+        near = table[best[go, place[go]]]
+        new = (near >= 0) & (met[go[:, None], np.maximum(near, 0)] == -2)
+        r, c = np.nonzero(new)
+        s = np.full(near.shape, -2.0)
+        s[r, c] = np.einsum("ij,ij->i", x[q[go[r]]], x[near[r, c]])
+        met[go[r], near[r, c]] = s[r, c]
+        all_nodes, all_scores = np.hstack([best[go], np.where(new, near, -1)]), np.hstack([score[go], s])
+        all_shut = np.hstack([shut[go], np.zeros(near.shape, bool)])
+        top = np.argpartition(-all_scores, beam - 1, axis=1)[:, :beam]
+        best[go], score[go], shut[go] = (np.take_along_axis(v, top, 1) for v in (all_nodes, all_scores, all_shut))
+
+
+def robustly_pruned(x: np.ndarray, q: np.ndarray, near: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """At most DEGREE of each row's candidates (score -2: none): the nearest, then the nearest that no chosen one covers,
+    which is ALPHA times nearer to it than the row is; -1 for none."""
+    order = np.argsort(-score, axis=1, kind="stable")
+    near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
+    between = np.sqrt(np.maximum(2 - 2 * np.einsum("qid,qjd->qij", x[near], x[near]), 0))
+    distance = np.sqrt(np.maximum(2 - 2 * score, 0))
+    alive, rows = score > -2, np.arange(len(q))
+    chosen = np.full((len(q), DEGREE), -1)
+    for d in range(DEGREE):
+        first = alive.argmax(1)
+        left = alive[rows, first]
+        if not left.any():
+            break
+        chosen[left, d] = near[rows[left], first[left]]
+        alive[rows, first] = False
+        alive &= ALPHA * between[rows, first] > distance
+    return chosen
+
+
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency by robust pruning of each row's nearest candidates, made mutual."""
+    """Adjacency of each row, built from walks; the medoid is the first node."""
     m = len(x)
-    c = min(CANDIDATES, m - 1)
-    if c < 1:
-        return [np.zeros(0, np.int64) for _ in range(m)]
-    chosen = np.full((m, DEGREE), -1)
-    for a in range(0, m, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), a + np.arange(len(s))] = -2
-        near = np.argpartition(-s, c - 1, axis=1)[:, :c]
-        score = np.take_along_axis(s, near, 1)
-        order = np.argsort(-score, axis=1, kind="stable")
-        near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
-        between = np.einsum("qid,qjd->qij", x[near], x[near])
-        distance = np.sqrt(np.maximum(2 - 2 * score, 0))
-        between = np.sqrt(np.maximum(2 - 2 * between, 0))
-        alive = np.ones(near.shape, bool)
-        rows = np.arange(len(near))
-        for d in range(DEGREE):
-            first = alive.argmax(1)
-            any_left = alive[rows, first]
-            chosen[a + rows[any_left], d] = near[rows[any_left], first[any_left]]
-            alive[rows, first] = False
-            alive &= ALPHA * between[rows, first] > distance
-            if not any_left.any():
-                break
-    src, dst = np.repeat(np.arange(m), DEGREE), chosen.ravel()
+    table = np.full((m, DEGREE), -1)
+    start = medoid(x)
+    order = np.random.default_rng(m).permutation(m)
+    order = np.concatenate([[start], order[order != start]])
+    done, c, r = 1, min(CANDIDATES, m), np.random.default_rng(m + 1)
+    while done < m:
+        q = order[done : done + min(done, AT_ONCE)]
+        met = walked(x, q, table, start)
+        met[np.arange(len(q)), q] = -2
+        # the nearest that the walk met and, for edges that lead far, some of the others
+        choice = np.where(met > -2, met + 4 * (r.random(met.shape) < FAR / np.maximum((met > -2).sum(1, keepdims=True), 1)), -2)
+        choice[met[:, start] > -2, start] += 4
+        near = np.argpartition(-choice, c - 1, axis=1)[:, :c]
+        table[q] = robustly_pruned(x, q, near, np.take_along_axis(met, near, 1))
+        back(x, table, q)
+        done += len(q)
+    return [a[a >= 0] for a in table]
+
+
+def back(x: np.ndarray, table: np.ndarray, q: np.ndarray) -> None:
+    """Adds edges back to the rows q; a node that has too many is pruned."""
+    src, dst = np.repeat(q, DEGREE), table[q].ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
-    pairs = np.unique(np.concatenate([src * m + dst, dst * m + src]))
-    return np.split(pairs % m, np.searchsorted(pairs // m, np.arange(1, m)))
-
-
-def connected_parts(adjacency: list[np.ndarray]) -> np.ndarray:
-    """The first node of each connected part of a mutual graph."""
-    seen, first = np.zeros(len(adjacency), bool), []
-    for i in range(len(adjacency)):
-        if seen[i]:
-            continue
-        first.append(i)
-        seen[i] = True
-        ahead = [i]
-        while ahead:
-            near = np.unique(np.concatenate([adjacency[j] for j in ahead]))
-            ahead = near[~seen[near]]
-            seen[ahead] = True
-            ahead = ahead.tolist()
-    return np.array(first, np.int64)
-
-
-def compare_parts(x: np.ndarray, floor: float, found: np.ndarray) -> None:
-    """Sets found for every pair of rows at a cosine of floor or more. Rows are dealt to the nearest of some of them; two
-    parts are compared unless the angle of their centres exceeds both radii and the angle of floor."""
-    m = len(x)
-    centre = x[np.linspace(0, m - 1, int(np.ceil(np.sqrt(m)))).astype(int)]
-    own = (x @ centre.T).argmax(1)
-    angle = np.arccos(np.clip(np.einsum("ij,ij->i", x, centre[own]), -1, 1))
-    radius = np.zeros(len(centre))
-    np.maximum.at(radius, own, angle)
-    apart = np.arccos(np.clip(centre @ centre.T, -1, 1))
-    meet = apart <= radius[:, None] + radius[None, :] + np.arccos(np.clip(floor, -1, 1)) + 1e-6
-    for p in range(len(centre)):
-        rows = np.flatnonzero(own == p)
-        columns = np.flatnonzero(meet[p, own])
-        r, c = np.nonzero(x[rows] @ x[columns].T >= floor)
-        found[rows[r], columns[c]] = True
-    np.fill_diagonal(found, False)
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    nodes, first, size = np.unique(dst, return_index=True, return_counts=True)
+    for a in range(0, len(nodes), AT_ONCE):
+        own, f, n = nodes[a : a + AT_ONCE], first[a : a + AT_ONCE], size[a : a + AT_ONCE]
+        wide = np.full((len(own), DEGREE + int(n.max())), -1)
+        wide[:, :DEGREE] = table[own]
+        at = np.repeat(np.arange(len(own)), n)
+        wide[at, DEGREE + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = src[f[0] : f[0] + n.sum()]
+        score = np.where(wide >= 0, np.einsum("id,ijd->ij", x[own], x[wide]), -2)
+        if wide.shape[1] > CANDIDATES:  # all edges, and the nearest of the new ones
+            top = np.argpartition(-score[:, DEGREE:], CANDIDATES - DEGREE - 1, axis=1)[:, : CANDIDATES - DEGREE] + DEGREE
+            wide, score = (np.hstack([v[:, :DEGREE], np.take_along_axis(v, top, 1)]) for v in (wide, score))
+        table[own] = robustly_pruned(x, own, np.maximum(wide, 0), score)
+
+
+def medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(0)).argmax())
 
 
 def in_range(x: np.ndarray, adjacency: list[np.ndarray], floor: float) -> np.ndarray:
-    """m x m booleans: the other rows at a cosine of floor or more, by search and an exact pass over what it may miss."""
+    """m x m booleans: the other rows at a cosine of floor or more, as the walks and the widened search meet them."""
     m = len(x)
-    width = max(1, max(len(a) for a in adjacency))
-    table = np.full((m, width), -1)
+    degree = np.array([len(a) for a in adjacency])
+    table = np.full((m, max(1, int(degree.max()))), -1)
     for i, a in enumerate(adjacency):
         table[i, : len(a)] = a
-    degree, flat = np.array([len(a) for a in adjacency]), np.concatenate(adjacency)
-    first = np.cumsum(degree) - degree
-    entries = np.unique(np.append(connected_parts(adjacency), (x @ x.mean(0)).argmax()))
-    found = np.zeros((m, m), bool)
-    for a in range(0, m, 256):
-        q = np.arange(a, min(m, a + 256))
-        n = len(q)
-        tested, hit, opened = (np.zeros((n, m), bool) for _ in range(3))
-        beam = np.full((n, BEAM), -1)
-        score = np.full((n, BEAM), -2.0)
-        start = x[q] @ x[entries].T
-        top = np.argsort(-start, axis=1, kind="stable")[:, :BEAM]
-        beam[:, : top.shape[1]], score[:, : top.shape[1]] = entries[top], np.take_along_axis(start, top, 1)
-        tested[:, entries] = True
-        hit[:, entries] = start >= floor
-        rows = np.arange(n)
-        while True:  # greedy: open the best node of the beam that is not yet opened
-            shut = np.where((beam >= 0) & ~opened[rows[:, None], np.maximum(beam, 0)], score, -3)
-            best = shut.argmax(1)
-            go = np.flatnonzero(shut[rows, best] > -3)
-            if not len(go):
-                break
-            node = beam[go, best[go]]
-            opened[go, node] = True
-            near = table[node]
-            new = (near >= 0) & ~tested[go[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(new)
-            target = near[r, c]
-            tested[go[r], target] = True
-            s = np.full(near.shape, -2.0)
-            s[r, c] = np.einsum("ij,ij->i", x[q[go[r]]], x[target])
-            all_nodes, all_scores = np.concatenate([beam[go], np.where(new, near, -1)], 1), np.concatenate([score[go], s], 1)
-            top = np.argsort(-all_scores, axis=1, kind="stable")[:, :BEAM]
-            beam[go], score[go] = np.take_along_axis(all_nodes, top, 1), np.take_along_axis(all_scores, top, 1)
-            r2 = s[r, c] >= floor
-            hit[go[r[r2]], target[r2]] = True
-        hit[rows, q] = True  # a query is a node of the graph itself
-        opened[:] = False
-        tested |= hit
-        while True:  # range expansion: open all nodes in range, in pieces, as a group of near copies opens all of its pairs
-            r, c = np.nonzero(hit & ~opened)
+    start, found = medoid(x), np.zeros((m, m), bool)
+    for a in range(0, m, AT_ONCE):
+        q = np.arange(a, min(m, a + AT_ONCE))
+        rows = np.arange(len(q))
+        met = walked(x, q, table, start)
+        lost = np.flatnonzero(met[rows, q] == -2)  # the graph does not lead to these nodes
+        if len(lost):
+            met[lost] = x[q[lost]] @ x.T
+        opened = np.zeros((len(q), m), bool)
+        opened[lost] = True
+        while True:  # all nodes in range are opened, in pieces, as a group of near copies opens all of its pairs
+            r, c = np.nonzero((met >= floor) & ~opened)
             if not len(r):
                 break
             opened[r, c] = True
-            new = np.zeros((n, m), bool)
-            ends = np.cumsum(degree[c])
-            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]), 1 << 20)), len(r)))
-            for b, e in zip(np.append(0, cuts[:-1]), cuts, strict=True):
-                size = degree[c[b:e]]
-                at = np.repeat(first[c[b:e]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                new[np.repeat(r[b:e], size), flat[at]] = True
-            new &= ~tested
-            tested |= new
-            r, c = np.nonzero(new)
-            if len(r) > n * m // 16:
-                hit |= new & (x[q] @ x.T >= floor)
-                continue
-            for b in range(0, len(r), 1 << 16):
-                rr, cc = r[b : b + (1 << 16)], c[b : b + (1 << 16)]
-                good = np.einsum("ij,ij->i", x[q[rr]], x[cc]) >= floor
-                hit[rr[good], cc[good]] = True
-        hit[rows, q] = False
-        found[q] = hit
-    compare_parts(x, floor, found)
-    return found | found.T
+            for b in range(0, len(r), 1 << 15):
+                near = table[c[b : b + (1 << 15)]]
+                new = np.zeros((len(q), m), bool)
+                new[np.repeat(r[b : b + (1 << 15)], near.shape[1])[near.ravel() >= 0], near[near >= 0]] = True
+                rr, cc = np.nonzero(new & (met == -2))
+                for e in range(0, len(rr), 1 << 16):
+                    i, j = rr[e : e + (1 << 16)], cc[e : e + (1 << 16)]
+                    met[i, j] = np.einsum("ij,ij->i", x[q[i]], x[j])
+        found[q] = met >= floor
+    found |= found.T
+    np.fill_diagonal(found, False)
+    return found
+
+
+def shard_found(group: pd.DataFrame, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a shard's nodes, sorted as the rows are sorted, and which pairs are in range."""
+    group.sort_values("cid", kind="stable", inplace=True, ignore_index=True)
+    ids = group["cid"].to_numpy(np.int64)
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    adjacency = [np.array([place[int(v)] for v in own if int(v) in place], np.int64) for own in group["near"]]
+    return ids, in_range(units(group["unit"]), adjacency, floor)
 
 
 def shard_links(group: pd.DataFrame, shard: int, floor: float) -> pd.DataFrame:
     """Rows of a shard: cid, links (copies linked, of the pairs that this shard owns) and v, the least id of its component.
     A pair is owned by the first shard that both nodes are in."""
-    group = group.sort_values("cid", kind="stable").reset_index(drop=True)
-    ids, copies, x = group["cid"].to_numpy(np.int64), group["copies"].to_numpy(np.int64), units(group["unit"])
-    place = {v: i for i, v in enumerate(ids.tolist())}
-    adjacency = [np.array([place[int(v)] for v in own if int(v) in place], np.int64) for own in group["near"]]
-    found = in_range(x, adjacency, floor)
+    ids, found = shard_found(group, floor)
+    copies = group["copies"].to_numpy(np.int64)
     earlier = [[s for s in own if s < shard] for own in group["shards"]]
     by_shard: dict[int, list[int]] = {}
     for i, own in enumerate(earlier):
@@ -272,9 +267,8 @@ def sharded(nodes: DataFrame) -> DataFrame:
     return near.withColumn("shards", F.array_sort(F.array_distinct(F.flatten(F.transform("shards", split)))))
 
 
-def embedding_dedup(vectors: DataFrame, min_cosine: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector."""
-    members, nodes = nodes_of(vectors)
+def shards_and_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NODES with their shards, and the united adjacency (cid, near) of the graphs of all shards."""
     near = saved(sharded(nodes), "shards")
     dealt = near.select("*", F.explode("shards").alias("shard"))
 
@@ -283,7 +277,13 @@ def embedding_dedup(vectors: DataFrame, min_cosine: float = 0.95) -> DataFrame:
         return pd.DataFrame({"cid": ids, "near": [ids[a] for a in pruned_graph(units(group["unit"]))]})
 
     graph = dealt.groupBy("shard").applyInPandas(build, "cid long, near array<long>")
-    graph = graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return near, graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+
+def embedding_dedup(vectors: DataFrame, min_cosine: float = 0.95) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    members, nodes = nodes_of(vectors)
+    near, graph = shards_and_graph(nodes)
     searched = near.join(graph, "cid").select("*", F.explode("shards").alias("shard"))
 
     def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -298,21 +298,40 @@ def embedding_dedup(vectors: DataFrame, min_cosine: float = 0.95) -> DataFrame:
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
 
 
-def audit_recall(vectors: DataFrame, result: DataFrame, min_cosine: float = 0.95, every: int = 100) -> DataFrame:
-    """One row: n_true and n_found, links of the query rows (vec_id divisible by `every`) by brute force, in blocks against
-    all rows, and by result."""
-    members, nodes = nodes_of(vectors)
-    rows = members.join(nodes.select("cid", "unit"), "cid").select("vec_id", "unit")
-    queries = rows.where(F.col("vec_id") % every == 0).toPandas()
-    shared = vectors.sparkSession.sparkContext.broadcast(queries)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        for batch in batches:
-            if len(q) and len(batch):
-                near = units(q["unit"]) @ units(batch["unit"]).T >= min_cosine
-                near &= q["vec_id"].to_numpy()[:, None] != batch["vec_id"].to_numpy()[None, :]
-                yield pd.DataFrame({"vec_id": q["vec_id"], "n": near.sum(1)})
+def shard_pairs(near: DataFrame, graph: DataFrame, min_cosine: float) -> DataFrame:
+    """cid, other: the links between nodes that the shards tell, each once."""
+    searched = near.join(graph, "cid").select("*", F.explode("shards").alias("shard"))
 
-    true = rows.mapInPandas(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    return true.join(result.select("vec_id", "n_links"), "vec_id").agg(F.sum("n").alias("n_true"), F.sum(F.least("n", "n_links")).alias("n_found"))
+    def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ids, found = shard_found(group, min_cosine)
+        a, b = np.nonzero(found)
+        return pd.DataFrame({"cid": ids[a], "other": ids[b]})
+
+    return searched.groupBy("shard").applyInPandas(pairs, "cid long, other long").distinct()
+
+
+def audit_recall(vectors: DataFrame, min_cosine: float = 0.95, every: int = 100, block: int = 2048) -> DataFrame:
+    """One row: n_true, the links between distinct vectors of the query nodes (cid divisible by `every`) by brute force;
+    n_found, how many of these very pairs the graph tells; n_false, pairs that it tells and brute force does not. Queries go
+    in blocks, joined with all nodes by the number of the block, so neither side is broadcast or collected."""
+    _, nodes = nodes_of(vectors)
+    near, graph = shards_and_graph(nodes)
+    told = shard_pairs(near, graph, min_cosine).where(F.col("cid") % every == 0)
+    queries = nodes.where(F.col("cid") % every == 0).select("cid", "unit")
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
+    parts = 64
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    against = nodes.select(F.col("cid").alias("other"), F.col("unit").alias("vector")).withColumn("part_", F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int"))
+    against = against.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.zeros(0, int), np.zeros(0, int)
+        if len(left) and len(right):
+            close = units(left["unit"]) @ units(right["vector"]).T >= min_cosine
+            a, b = np.nonzero(close & (left["cid"].to_numpy()[:, None] != right["other"].to_numpy()[None, :]))
+        return pd.DataFrame({"cid": left["cid"].to_numpy(np.int64)[a], "other": right["other"].to_numpy(np.int64)[b]})
+
+    true = asked.groupBy("block", "part").cogroup(against.groupBy("block_", "part_")).applyInPandas(compare, "cid long, other long")
+    both = true.withColumn("t", F.lit(1)).join(told.withColumn("f", F.lit(1)), ["cid", "other"], "full_outer")
+    return both.agg(F.count("t").alias("n_true"), F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("n_found"), F.count_if(F.col("t").isNull()).alias("n_false"))

@@ -30,6 +30,11 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+#: Bases and byte values of a second hash, independent of the first.
+OTHER, OTHER2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+OTHER_VALUES = mixed(np.arange(1000, 1256, dtype=np.uint64) * np.uint64(OTHER))
+#: Arrays with fewer entries are not compressed on their own.
+SMALL = 48
 PIECE = 1 << 19
 
 
@@ -64,37 +69,38 @@ def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """A 64-bit hash per word; in pieces, so that a long text needs no more memory than a short one."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
         a, b = starts[i], ends[j - 1]
-        out[i:j] = rolling(BYTE_VALUES[text[a:b]], starts[i:j] - a, ends[i:j] - a, BASE)
+        out[i:j] = rolling(values[text[a:b]], starts[i:j] - a, ends[i:j] - a, base)
         i = j
     return mixed(out + (ends - starts).astype(np.uint64))
 
 
-def window_keys(hashes: np.ndarray, k: int) -> np.ndarray:
+def window_keys(hashes: np.ndarray, k: int, base: int = BASE2) -> np.ndarray:
     """Rabin-Karp hashes of every k consecutive word hashes."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     at = np.arange(n)
-    return mixed(rolling(hashes, at, at + k, BASE2) + np.uint64(k))
+    return mixed(rolling(hashes, at, at + k, base) + np.uint64(k))
 
 
 class Words:
     """The words of a chunk of texts: hashes of all words, and where each text's words begin."""
 
-    def __init__(self, texts: list[str | None], lowered: bool = False):
+    def __init__(self, texts: list[str | None], lowered: bool = False, twice: bool = False):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         buffer = LOWERED[buffer] if lowered else buffer
         ends_of_texts = np.cumsum([len(r) + 1 for r in raw])
         starts, ends = word_spans(buffer)
         self.hashes = word_hashes(buffer, starts, ends)
+        self.others = word_hashes(buffer, starts, ends, OTHER, OTHER_VALUES) if twice else None
         self.first = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)]).astype(np.int64)
         self.counts = np.diff(self.first)
 
@@ -114,13 +120,18 @@ def packed(x: np.ndarray, delta: bool = False) -> bytes:
     """A whole-number array; its bytes are compressed plane by plane."""
     x = np.ascontiguousarray(x)
     y = np.diff(x, prepend=x.dtype.type(0)) if delta else x
+    if len(x) < SMALL:
+        return bytes([x.itemsize | 128]) + y.tobytes()
     return bytes([x.itemsize]) + _packer.compress(y.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unpacked(data: bytes, dtype, delta: bool = False) -> np.ndarray:
     size = data[0]
-    planes = np.frombuffer(_unpacker.decompress(data[1:]), np.uint8)
-    x = np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
+    if size & 128:
+        x = np.frombuffer(data, dtype, offset=1)
+    else:
+        planes = np.frombuffer(_unpacker.decompress(data[1:]), np.uint8)
+        x = np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
     return np.cumsum(x, dtype=dtype) if delta else x
 
 

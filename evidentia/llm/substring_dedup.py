@@ -1,7 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of 50 words, counted over the corpus.
 
 A window is repeated if its word sequence also starts in a document with a smaller doc_id. Repeated windows of a document
-merge into maximal removal intervals.
+merge into maximal removal intervals. A window is told by two independent Rabin-Karp hashes of 64 bits each, over words
+that are hashed twice as well: the first chooses the bucket, and both together the key in it, so that in n bits of buckets two
+different windows are taken for one with odds of 2^-(64 + n) a pair, even where one of the hashes fails altogether.
 
 Cases: null text has no words; a text shorter than the window loses nothing; a null doc_id counts as larger than all
 others and null ids do not compare with each other; rows with one doc_id never remove each other's windows, equal rows get
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from evidentia.llm import keyblocks as kb
 from evidentia.llm.common import text_bytes, with_row_key
 
-WIDTH = 7
+#: Bytes of text whose windows are dealt out together.
+UNIT_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 SPANS = "_rid long, _did long, spans array<int>"
 
@@ -35,17 +38,27 @@ def merged_runs(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def repeated_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
+def first_hash(words: kb.Words, window: int) -> np.ndarray:
+    return kb.window_keys(words.hashes, window)
+
+
+def second_hash(words: kb.Words, window: int) -> np.ndarray:
+    return kb.window_keys(words.others, window, kb.OTHER2)
+
+
+def repeated_windows(docs: DataFrame, window: int, n_bytes: int, hashes: tuple = (first_hash, second_hash)) -> DataFrame:
     """_rid, _did, spans (word offsets start, end, start, end, ...) of the documents that lose words.
-    docs: with_row_key()."""
+    docs: with_row_key(); hashes: the two independent hashes of all windows of a chunk's words."""
     bits = kb.bits_for(n_bytes / 6)
 
     def make(chunk: pd.DataFrame) -> Iterator[tuple]:
         ids = chunk["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
         order = np.argsort(ids, kind="stable")
         ids, rids = ids[order], chunk["_rid"].to_numpy(np.int64)[order]
-        words = kb.Words([chunk["text"].iloc[i] for i in order])
-        keys, at, text = words.windows(window)
+        words = kb.Words([chunk["text"].iloc[i] for i in order], twice=True)
+        _, at, text = words.windows(window)
+        first, second = (f(words, window)[at] for f in hashes)
+        keys = first ^ second
         # the smallest id of each key within the chunk; all other documents are met here
         sort = np.argsort(keys, kind="stable")
         starts, sizes = kb.group_sizes(keys[sort])
@@ -54,12 +67,12 @@ def repeated_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
         later = ids[text] > least
         yield -1, "docs", kb.packed(ids), kb.packed(rids), kb.packed(words.first[:-1])
         yield -1, "found", kb.packed(at[later].astype(np.uint32), True), None, None
-        keys, at, text = keys[~later], at[~later], text[~later]
-        for bucket, own in kb.dealt(keys, bits):
-            yield bucket, "keys", kb.packed_keys(keys[own], bits, WIDTH), kb.packed(at[own].astype(np.uint32), True), kb.packed_runs(ids[text[own]])
+        first, keys, at, text = first[~later], keys[~later], at[~later], text[~later]
+        for bucket, own in kb.dealt(first, bits):
+            yield bucket, "keys", kb.packed_keys(keys[own], 0, 8), kb.packed(at[own].astype(np.uint32), True), kb.packed_runs(ids[text[own]])
 
     def answer(bucket: int, group: pd.DataFrame) -> Iterator[tuple]:
-        keys = [kb.unpacked_keys(a, bucket, bits, WIDTH) for a in group["a"]]
+        keys = [np.frombuffer(a, "<u8") for a in group["a"]]
         docs_of = [kb.unpacked_runs(c) for c in group["c"]]
         at = [kb.unpacked(b, np.uint32, True) for b in group["b"]]
         piece = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -85,15 +98,15 @@ def repeated_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
             rows.append((rids[t], ids[t], np.stack([a, b], 1).ravel().astype(np.int32)))
         return pd.DataFrame(rows, columns=["_rid", "_did", "spans"])
 
-    blocks = kb.blocks(docs, make, bits)
+    blocks = kb.blocks(docs, make, bits, UNIT_BYTES)
     return kb.by_chunk(kb.answered(blocks, answer, bits), put_together, SPANS).dropDuplicates(["_rid", "_did"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, hashes: tuple = (first_hash, second_hash)) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed word offsets start, end, ...; empty where none) and kept_text (the
     words left, joined by one space) of every whole text."""
     rows = with_row_key(docs)
-    spans = repeated_windows(rows, window, text_bytes(docs))
+    spans = repeated_windows(rows, window, text_bytes(docs), hashes)
     both = rows.withColumn("_did", F.coalesce("doc_id", F.lit(NO_ID))).join(spans, ["_rid", "_did"], "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
