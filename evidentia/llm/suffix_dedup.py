@@ -8,7 +8,7 @@ Every byte covered by a 200-byte string that also starts elsewhere (same documen
 2. Segments of a hash range form a collection, aligned at their anchors. Its suffix order is built column by column from the
    right: each round inserts one symbol per segment, sorts the suffixes stably by it (the symbols in suffix order are that
    column's Burrows-Wheeler transform) and updates the common prefixes of neighbours. Windows whose common prefix with a
-   neighbour reaches 200 are repeated. Columns are read from a sequential external file, one per round.
+   neighbour reaches 200 are repeated. Columns stand one after the other in the order of the rounds.
    The segments of a frequent anchor are dealt out over several collections, by where they come from; each of those passes
    one of all its equal segments on to fewer collections of the same anchor, until one is left. Segments that have an equal
    one in their collection are repeated as a whole, so they need no later answer.
@@ -23,7 +23,6 @@ apart by their texts. Other columns are left out; an empty table gives an empty
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,35 +182,22 @@ def repeated_in_collection(segments: list[bytes], offsets: np.ndarray, length: i
     """(segment, window start in it) of every window that also starts in another segment, in order. Segments hold whole
     windows; offsets are those of their anchors."""
     m, reach = len(segments), length - GRAM
-    width = reach + length
-    with tempfile.TemporaryFile() as columns:
-        step = 4096
-        for a in range(0, m, step):
-            block = np.full((min(step, m - a), width), OUTSIDE, np.uint8)
-            for i, (data, off) in enumerate(zip(segments[a : a + step], offsets[a : a + step], strict=True)):
-                block[i, reach - off : reach - off + len(data)] = np.frombuffer(data, np.uint8)
-            columns.write(np.ascontiguousarray(block.T))
-
-        def column(c: int) -> np.ndarray:
-            out = np.empty(m, np.uint8)
-            for a in range(0, m, step):
-                rows = min(step, m - a)
-                columns.seek(a * width + c * rows)
-                out[a : a + rows] = np.frombuffer(columns.read(rows), np.uint8)
-            return out
-
-        order, prefix = np.arange(m), np.zeros(m, np.uint8)
-        found = []
-        for c in range(width - 1, -1, -1):
-            own = column(c)[order]
-            stable = np.argsort(own, kind="stable")
-            prefix = neighbours_after(prefix, stable, own[stable], length)
-            order = order[stable]
-            if c <= reach:
-                hit = np.flatnonzero(prefix >= length)
-                if len(hit):
-                    which = np.unique(np.concatenate([order[hit], order[hit - 1]]))
-                    found.append((which, c - reach + offsets[which]))
+    # column after column, in the order of the rounds; a collection is bounded, so they stand in memory and not in a file
+    columns = np.full((reach + length, m), OUTSIDE, np.uint8)
+    for i, (data, off) in enumerate(zip(segments, offsets, strict=True)):
+        columns[reach - off : reach - off + len(data), i] = np.frombuffer(data, np.uint8)
+    order, prefix = np.arange(m), np.zeros(m, np.uint8)
+    found = []
+    for c in range(len(columns) - 1, -1, -1):
+        own = columns[c][order]
+        stable = np.argsort(own, kind="stable")
+        prefix = neighbours_after(prefix, stable, own[stable], length)
+        order = order[stable]
+        if c <= reach:
+            hit = np.flatnonzero(prefix >= length)
+            if len(hit):
+                which = np.unique(np.concatenate([order[hit], order[hit - 1]]))
+                found.append((which, c - reach + offsets[which]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     which, start = (np.concatenate(x) for x in zip(*found, strict=True))
