@@ -8,8 +8,11 @@ A document is the set of its 5-word shingles (64-bit hashes). Two documents link
    set joins the pivot that its lists name most often, and answers are derived from the pivot's: with o(x) = |x & r|,
    |x & y| = |r| - lost(x) - lost(y) + |lost(x) & lost(y)| + |gained(x) & gained(y)|; only what differs from r is read.
    Within a cluster only sets that do not link to the pivot are held against the others.
-3. Lists are cut into blocks by set size; sets of different components are compared block by block, skipping blocks of
-   incompatible size and positions that cannot reach the bound, and each pair that is left is verified on the whole sets.
+3. Across components, lists are cut into narrow blocks by set size, and a set meets only the blocks that its position in the
+   list lets it reach. Where the larger set v holds the shingle at position p, at most |v| - p shingles are left to share, so the
+   smaller one has at most (|v| - p) (100 + t) / t - |v| shingles at a threshold of t percent: the deeper the position, the
+   fewer blocks are left, and all others are skipped. The smaller set itself is listed only under as many of its first
+   shingles as an equally large partner allows. Each pair that is left is verified on the whole sets.
 
 Pairs inside one component are never made, so groups of copies cost their size, not its square; no link between
 components is lost.
@@ -32,8 +35,10 @@ from evidentia.llm import keyblocks as kb
 from evidentia.llm.common import components, only, saved, text_bytes
 
 WIDTH = 6
-#: Shingles that one task takes of a cluster; larger clusters are dealt out, each part with the pivot.
-CLUSTER_KEYS = 1 << 21
+#: Shingles and sets that one task takes of a cluster; larger clusters are dealt out, each part with the pivot.
+CLUSTER_KEYS, CLUSTER_SETS = 1 << 21, 1 << 12
+#: Blocks by set size that lie between a set and the smallest that it can link with.
+BLOCKS = 4
 SETS = "doc_id long, n int, s1 long, s2 long, m int, keys binary, dfs binary"
 
 
@@ -206,7 +211,7 @@ def ngram_links(reps: DataFrame, percent: int) -> DataFrame:
     named = named.groupBy("x", "r").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", (-F.col("r")).alias("minus"))).alias("p")).select("x", (-F.col("p.minus")).alias("r"))
     named = saved(named, "pivots")
     sets = reps.select("x", "n", "keys")
-    parts = named.join(reps.select("x", "m"), "x").groupBy("r").agg(F.ceil(F.sum("m") / CLUSTER_KEYS).cast("int").alias("parts"))
+    parts = named.join(reps.select("x", "m"), "x").groupBy("r").agg(F.greatest(F.ceil(F.sum("m") / CLUSTER_KEYS), F.ceil(F.count("*") / CLUSTER_SETS)).cast("int").alias("parts"))
     members = named.join(parts, "r").select("x", "r", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_pivot"))
     heads = parts.select(F.col("r").alias("x"), "r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"))
     clusters = members.unionByName(heads).join(sets, "x")
@@ -214,12 +219,17 @@ def ngram_links(reps: DataFrame, percent: int) -> DataFrame:
     # across components: block by block
     known = components(links)
     lists = lists.select("key", "x", "n", "pos").join(known.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    ratio = 100.0 / percent
-    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9)
-    a = lists.select("key", F.col("x").alias("u"), F.col("n").alias("un"), F.col("pos").alias("up"), F.col("component").alias("uc"), F.explode(F.array(block, block + 1)).alias("block"))
-    b = lists.select("key", F.col("x").alias("v"), F.col("n").alias("vn"), F.col("pos").alias("vp"), F.col("component").alias("vc"), block.alias("block"))
+    width = float(np.log(100.0 / percent)) / BLOCKS
+    block = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
+    n, pos = F.col("n"), F.col("pos")
+    # u, the smaller set of a pair, shares at least what two sets of its size must share
+    a = lists.where(n - pos >= least_overlap(n, n, percent)).select("key", F.col("x").alias("u"), F.col("n").alias("un"), F.col("pos").alias("up"), F.col("component").alias("uc"), block(n).alias("block"))
+    most = F.least(n, F.floor((n - pos) * (100 + percent) / F.lit(percent) - n + 1e-9))
+    least = F.ceil(n * percent / F.lit(100) - 1e-9)
+    b = lists.withColumns({"most": most, "least": least}).where("most >= least AND most > 0")
+    b = b.select("key", F.col("x").alias("v"), F.col("n").alias("vn"), F.col("pos").alias("vp"), F.col("component").alias("vc"), F.explode(F.sequence(block(F.greatest("least", F.lit(1))), block(F.col("most")))).alias("block"))
     fits = (F.col("uc") != F.col("vc")) & ((F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))) & (F.col("vn") * percent <= F.col("un") * 100)
-    reach = 1 + F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp")) - 1 >= least_overlap(F.col("un"), F.col("vn"), percent)
+    reach = F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp")) >= least_overlap(F.col("un"), F.col("vn"), percent)
     pairs = a.join(b, ["key", "block"]).where(fits & reach).select("u", "v").distinct()
     u = sets.select(F.col("x").alias("u"), F.col("n").alias("un"), F.col("keys").alias("uk"))
     v = sets.select(F.col("x").alias("v"), F.col("n").alias("vn"), F.col("keys").alias("vk"))
