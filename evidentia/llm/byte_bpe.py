@@ -1,8 +1,10 @@
 """Byte-level BPE with tiktoken and a local rank file.
 
 Long texts are cut before the regex split at boundaries where the pattern always starts a new match, so the ids are
-those of the whole text. A null or empty text has no ids. Ids decode to raw bytes, so any id sequence decodes.
-Extra columns of the input are ignored; repeated rows give repeated results.
+those of the whole text, however long it is; where no such boundary comes, the rest is one piece. A null or empty text has no
+ids. Ids decode to raw bytes, so any id sequence decodes. Extra columns of the input are ignored; repeated rows give repeated
+results; an empty table gives an empty result. Nothing is chosen among equals, so there are no ties but those that the ranks
+settle.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from collections.abc import Iterator
 import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evidentia.llm.common import give_back, only
 
@@ -105,8 +106,3 @@ def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "decoded": [coder.decode_bytes([] if x is None else list(map(int, x))) for x in batch["ids"]]})
 
     return only(encoded, "doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")
-
-
-def with_token_counts(digests: DataFrame) -> DataFrame:
-    """A one-row summary: documents and tokens."""
-    return digests.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))

@@ -10,7 +10,8 @@ turns of the span before it up to `history` tokens, and its own span. The loss m
 in the own span; repeated targets are masked out.
 
 Cases: null text is empty, null role an empty role; a null conv_id is a conversation of its own; turns are ordered by turn
-(nulls first), then role and text, so repeated rows are turns of their own. Empty tables give no windows. Extra columns
+(nulls first), then role and text, so repeated rows are turns of their own. A system turn over the budget leaves a stride of 1,
+so every other turn has a window of its own, with the system turn repeated in each. A turn of any length is kept whole. Empty tables give no windows. Extra columns
 are ignored. One conversation is put together in one task, as its digest needs it whole.
 """
 

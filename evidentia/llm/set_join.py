@@ -19,7 +19,8 @@ components is lost.
 
 Cases: null, empty or wordless texts have the empty set and link with nothing; fewer than 5 words make one shingle;
 a null doc_id has a null component and links with nothing; rows that share a doc_id are one node. Other columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. A text of any length is one set, made in one task. Ties between pivots go to
+the smallest id. A chunk's rows must come in the same order when a lost task runs again, as those of a written table do.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ different windows are taken for one with odds of 2^-(64 + n) a pair, even where
 
 Cases: null text has no words; a text shorter than the window loses nothing; a null doc_id counts as larger than all
 others and null ids do not compare with each other; rows with one doc_id never remove each other's windows, equal rows get
-equal results. An empty table gives an empty result. Other columns of the input are left out of the result.
+equal results. An empty table gives an empty result. A text of any length is read whole, in one task. A unit's rows must come in the
+same order when a lost task runs again, as those of a written table do. Other columns of the input are left out of the result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ Aligned at anchors, equal strings always meet in one column, so a column keeps i
 into one transform, which costs the collection's size per round, is not needed.
 
 Cases: null text is empty; texts under 200 bytes lose nothing; equal rows are copies of each other; null doc_ids are kept
-apart by their texts. Other columns are left out; an empty table gives an empty result.
+apart by their texts. Other columns are left out, but for those to carry; an empty table gives an empty result. Texts over 4 MiB
+are anchored slice by slice. A chunk's rows must come in the same order when a lost task runs again, as those of a written
+table do.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ one frame, one record.
 
 Cases: null html is an empty payload; a null url has no target header; null page_ids sort after all others (their record
 id is `null`), and rows that repeat the smallest page_id of a payload are all responses. Control characters of a url are
-percent-encoded in the header. An empty table gives an empty archive. Extra columns are ignored. A retried task writes
+percent-encoded in the header. A payload of any length is one record in one frame; a task holds one frame at a time. An empty
+table gives an empty archive. Extra columns are ignored. A retried task writes
 bundles under new names; only bundles that the committed index names are part of the archive.
 """
 

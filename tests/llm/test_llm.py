@@ -77,6 +77,16 @@ def test_suffix_dedup_against_brute_force(spark):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_very_long_texts_and_carried_columns(spark):
+    """Texts over a slice, with a passage across the border of two slices, and carried columns of clashing names."""
+    r = np.random.default_rng(6)
+    long = bytes(r.integers(97, 123, suffix_dedup.SLICE + 5000, np.uint8)).decode()
+    a = suffix_dedup.SLICE - 150
+    df = spark.createDataFrame([(1, long, "k", "s"), (2, "x" * 50 + long[a : a + 300] + "y" * 50, None, "t")], "doc_id long, text string, kept string, segments string")
+    got = {x["doc_id"]: (x["n_removed"], list(x["spans"]), x["segments"]) for x in suffix_dedup.suffix_dedup(df, carry=("segments",)).collect()}
+    assert got == {1: (300, [a, a + 300], "s"), 2: (300, [50, 350], "t")}
+
+
 def test_suffix_dedup_deals_out_frequent_anchors(spark):
     """Several rounds of collections give what one collection per anchor gives."""
     base, passage = words(1, 300), words(2, 70)
@@ -206,6 +216,7 @@ def test_byte_bpe_against_merges_by_rank(spark):
         ids = [x for m in regex.findall(public_tokenizers.PATTERN, t or "") for x in merged_bytes(m.encode(), ranks)]
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert got == want
+    assert byte_bpe.bpe_digests(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     assert "".join(byte_bpe.pieces("ab cd ef gh", 3)) == "ab cd ef gh" and len(list(byte_bpe.pieces("ab cd ef gh", 3))) > 1
     back = byte_bpe.bpe_decode(byte_bpe.bpe_encode(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
     assert Counter(bytes(r["decoded"]) for r in back.collect()) == Counter((t or "").encode() for _, t in rows_of(df))
@@ -222,6 +233,8 @@ def test_warc_round_trip(spark):
     assert (got[3]["record_type"], got[3]["refers_to"], got[1]["record_type"]) == ("revisit", 1, "response") and got[8]["refers_to"] == 7
     assert {r["record_type"] for r in warc.warc_round_trip(df, 5).where("page_id IN (7, 8)").collect()} == {"response"}
     assert warc.warc_round_trip(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(4, "u", "same"), (4, "v", "same"), (6, "w", "same")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(twice).collect()) == [(4, "response", None), (4, "response", None), (6, "revisit", 4)]
 
 
 def test_chat_windows(spark):

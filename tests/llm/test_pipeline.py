@@ -1,8 +1,13 @@
 """Stages of the corpus pipeline on small tables, against brute force."""
 
+import base64
+import hashlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import tiktoken
+from test_decontaminate import brute
 
 import corpus_pipeline
 from evidentia.llm import language_id
@@ -64,3 +69,47 @@ def test_language_keeps_clean_texts_of_any_length(spark):
     df = spark.createDataFrame([(i, t, lang, "x", len(t)) for i, t, lang in rows + short + long + foreign], DOCS)
     kept = {x["doc_id"] for x in language_id.recognised(df, model, corpus_pipeline.MIN_SCORE).collect()}
     assert kept == {i for i, _, _ in rows + short + long}
+
+
+def brute_cut(texts):
+    """Every 200-byte string that starts more than once goes; a character that is cut in part goes whole."""
+    raws = [t.encode() for t in texts]
+    count = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - 199):
+            if count[r[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        out.append(bytes(np.frombuffer(r, np.uint8)[~gone]).decode("utf-8", "ignore"))
+    return out
+
+
+def test_all_stages_against_brute_force(spark, tmp_path):
+    r = np.random.default_rng(1)
+    parts = {"en": ["the", "ing", "er", "an", "re", "tion", "ou", "th"], "de": ["sch", "ein", "ung", "ich", "keit", "von", "au", "gé"]}
+    text = lambda lang, n: syllables(r, parts[lang], n)
+    rows = [(i, text("en" if i % 2 else "de", int(r.integers(5, 120))), "en" if i % 2 else "de") for i in range(60)]
+    passage, item = text("en", 60), text("de", 30)
+    rows += [(100, rows[3][1], "en"), (101, rows[3][1].replace(" ", "  ", 3), "en"), (102, rows[4][1], "de"), (None, rows[5][1], "en"), (5, rows[5][1], "en")]
+    rows += [(200 + k, text("en", 20) + " " + passage + " " + text("en", 25), "en") for k in range(5)]
+    rows += [(300, text("de", 30) + " " + item + " " + text("de", 30), "de"), (301, " ".join("neu" if k % 6 == 0 else w for k, w in enumerate(item.split())), "de")]
+    rows += [(400, "漢字仮名交文" * 9, None), (401, None, "en"), (402, "12 34", "de"), (403, "", None)]
+    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, item), (2, text("en", 25)), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter((x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    known = [(i, t) for i, t, _ in rows if t and any(c.isascii() and c.isalpha() for c in t)]
+    kept = sorted(brute_near(known), key=lambda x: (x[0] is None, x[0] or 0))
+    cut = list(zip([i for i, _ in kept], brute_cut([t for _, t in kept])))
+    leaks = {k[0] for k in brute(cut, items)}
+    assert {300, 301} <= leaks
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for i, t in cut:
+        if i is None or i not in leaks:
+            ids = coder.encode_ordinary(t)
+            want[i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())] += 1
+    assert got == want and len(want) > 50 and any(len(t) < 500 for i, t in cut if i and 200 <= i < 205)
