@@ -94,24 +94,31 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             each = [anchors(np.frombuffer(r, np.uint8), length) for r in raw]
             text = np.repeat(np.arange(len(raw)), [len(x[0]) for x in each])
             hashes, starts, sizes, offsets = (np.concatenate(x) for x in zip(*each, strict=True))
-        yield -1, "docs", kb.packed(rids), kb.joined(kb.packed_runs(text), kb.packed(starts.astype(np.int32), True)), kb.joined(kb.packed(sizes.astype(np.uint8)), kb.packed(offsets.astype(np.uint8)))
-        for bucket, own in kb.dealt(hashes, bits):
-            yield bucket, "keys", kb.packed_keys(hashes[own], bits, WIDTH), kb.packed(own.astype(np.uint32), True), None
+        # anchors of one hash go as one entry with their number; numbered as they appear, so most follow each other
+        _, first, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        appear = np.argsort(first, kind="stable")
+        number = np.empty(len(appear), np.uint32)
+        number[appear] = np.arange(len(appear))
+        keys, times = hashes[first[appear]], times[appear].astype(np.uint32)
+        shape = kb.joined(kb.packed(sizes.astype(np.uint8)), kb.packed(offsets.astype(np.uint8)))
+        yield -1, "docs", kb.packed(rids), kb.joined(kb.packed_runs(text), kb.packed(starts.astype(np.int32), True)), kb.joined(kb.packed(number[which], True), shape)
+        for bucket, own in kb.dealt(keys, bits):
+            yield bucket, "keys", kb.packed_keys(keys[own], bits, WIDTH), kb.packed(own.astype(np.uint32), True), kb.packed(times[own])
 
     def answer(bucket: int, group: pd.DataFrame) -> Iterator[tuple]:
         keys = [kb.unpacked_keys(a, bucket, bits, WIDTH) for a in group["a"]]
-        key = np.concatenate(keys)
+        key, counted = np.concatenate(keys), np.concatenate([kb.unpacked(c, np.uint32) for c in group["c"]])
         sort = np.argsort(key, kind="stable")
-        _, runs = kb.group_sizes(key[sort])
-        times = np.empty(len(key), np.uint32)
-        times[sort] = np.repeat(runs, runs)
+        starts, runs = kb.group_sizes(key[sort])
+        times = np.empty(len(key), np.int64)
+        times[sort] = np.repeat(np.add.reduceat(counted[sort].astype(np.int64), starts), runs)
         at = 0
         for number, own, data in zip(group["chunk"], keys, group["b"], strict=True):
             n = times[at : at + len(own)]
             hit = n > 1
             at += len(own)
             if hit.any():
-                yield int(number), "found", kb.packed_keys(own[hit], 0, 8), kb.packed(kb.unpacked(data, np.uint32, True)[hit], True), kb.packed(n[hit])
+                yield int(number), "found", kb.packed_keys(own[hit], 0, 8), kb.packed(kb.unpacked(data, np.uint32, True)[hit], True), kb.packed(np.minimum(n[hit], 1 << 31).astype(np.uint32))
 
     def put_together(group: pd.DataFrame) -> pd.DataFrame:
         head, hits = group[group["kind"] == "docs"].iloc[0], group[group["kind"] == "found"]
@@ -120,12 +127,15 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             rids = kb.unpacked(head["a"], np.int64)
             text, starts = kb.parted(head["b"])
             text, starts = kb.unpacked_runs(text), kb.unpacked(starts, np.int32, True)
-            sizes, offsets = (kb.unpacked(x, np.uint8) for x in kb.parted(head["c"]))
+            which, shape = kb.parted(head["c"])
+            which, (sizes, offsets) = kb.unpacked(which, np.uint32, True), (kb.unpacked(x, np.uint8) for x in kb.parted(shape))
             key = np.concatenate([np.frombuffer(a, "<u8") for a in hits["a"]])
-            at = np.concatenate([kb.unpacked(b, np.uint32, True) for b in hits["b"]]).astype(np.int64)
+            number = np.concatenate([kb.unpacked(b, np.uint32, True) for b in hits["b"]])
             times = np.concatenate([kb.unpacked(c, np.uint32) for c in hits["c"]])
-            order = np.argsort(at, kind="stable")
-            key, at, times = key[order], at[order], times[order]
+            place = np.full(int(which.max()) + 1, -1, np.int64)
+            place[number] = np.arange(len(number))
+            at = np.flatnonzero(place[which] >= 0)
+            key, times = key[place[which[at]]], times[place[which[at]]]
             begins, counts = kb.group_sizes(text[at])
             for s, n in zip(begins, counts, strict=True):
                 own = at[s : s + n]
