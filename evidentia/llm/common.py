@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +43,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns of df, whatever else it has. Arrow batches are kept small, so long texts need little memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """The named columns of df, whatever else it has. Arrow batches are kept small, so long texts need little memory, unless
+    the session has a setting of its own."""
+    conf = df.sparkSession.conf
+    if BATCH_ROWS not in conf.getAll:
+        conf.set(BATCH_ROWS, "1000")
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 

@@ -316,7 +316,10 @@ def merged(spans: list[np.ndarray]) -> list[int]:
 
 def suffix_dedup(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = (), frequent: int = FREQUENT, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (removed byte offsets start, end, ...), kept (the bytes left) of every
-    whole text, and the string columns named in carry. frequent and fan_in only set how work is dealt out."""
+    whole text, and the string columns named in carry; one that has the name of a result is an error. frequent and fan_in only
+    set how work is dealt out."""
+    if clash := {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "spans", "kept", "_rid"} & set(carry):
+        raise ValueError(f"columns that cannot be carried: {sorted(clash)}")
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rid"), *carry)
     parts = repeated_spans(with_row_key(docs), length, text_bytes(docs), frequent, fan_in)
     spans = parts.groupBy("_rid").agg(F.collect_list("spans").alias("spans"))

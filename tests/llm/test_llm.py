@@ -85,6 +85,8 @@ def test_suffix_dedup_of_very_long_texts_and_carried_columns(spark):
     df = spark.createDataFrame([(1, long, "k", "s"), (2, "x" * 50 + long[a : a + 300] + "y" * 50, None, "t")], "doc_id long, text string, kept string, segments string")
     got = {x["doc_id"]: (x["n_removed"], list(x["spans"]), x["segments"]) for x in suffix_dedup.suffix_dedup(df, carry=("segments",)).collect()}
     assert got == {1: (300, [a, a + 300], "s"), 2: (300, [50, 350], "t")}
+    with pytest.raises(ValueError, match="kept"):
+        suffix_dedup.suffix_dedup(df, carry=("kept",))
 
 
 def test_suffix_dedup_deals_out_frequent_anchors(spark):
