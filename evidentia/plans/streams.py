@@ -12,8 +12,13 @@ from evidentia.streaming import run_streams as st
 
 
 def folder(spark) -> str:
-    """A new folder under the shared one (spark.checkpoint.dir); a temporary one where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new folder under the shared one (spark.checkpoint.dir). Where that is unset, a temporary one on this machine, but only
+    if all tasks run here too."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
