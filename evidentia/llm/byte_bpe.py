@@ -89,7 +89,12 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             out = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
                 ids = encode(text, coder)
-                out.append((doc_id, len(ids), hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(), hashlib.sha256(coder.decode_bytes(ids)).hexdigest()))
+                out.append((
+                    doc_id,
+                    len(ids),
+                    hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(),
+                    hashlib.sha256(coder.decode_bytes(ids)).hexdigest(),
+                ))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         release()
 
@@ -103,6 +108,9 @@ def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoding(ranks.value, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "decoded": [coder.decode_bytes([] if x is None else list(map(int, x))) for x in batch["ids"]]})
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64"),
+                "decoded": [coder.decode_bytes([] if x is None else list(map(int, x))) for x in batch["ids"]],
+            })
 
     return only(encoded, "doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")

@@ -48,28 +48,55 @@ def tokens(text: Column) -> Column:
 def chat_windows(conversations: DataFrame, budget: int = 512, history: int = 96) -> DataFrame:
     """One row per window: conv_id, window (0, 1, ...), n_repeated (turns that stood in an earlier window), formatted, and
     loss (array of struct start, length: 0-based code points of formatted). budget and history count tokens()."""
-    rows = only(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = only(conversations, "conv_id", "turn", "role", "text").select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     whole = Window.partitionBy("conv_id")
     rows = rows.withColumn("ordinal", F.row_number().over(order)).withColumn("tokens", tokens(F.col("text")))
     by_turn = Window.partitionBy("conv_id").orderBy("ordinal")
     rows = rows.withColumn("system", (F.col("ordinal") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.floor((budget - history - F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(whole)) / 2)))
+    rows = rows.withColumn(
+        "stride",
+        F.greatest(F.lit(1), F.floor((budget - history - F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(whole)) / 2)),
+    )
     rows = rows.withColumn("sum", F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(by_turn))
     span = F.struct(F.floor(F.col("sum") / F.col("stride")).alias("k"), F.when(F.col("tokens") > F.col("stride"), 0).otherwise(1).alias("short"))
     rows = rows.withColumn("span", F.when(F.col("system"), F.struct(F.lit(-1).cast("long").alias("k"), F.lit(0).alias("short"))).otherwise(span))
     # the system turn shares the first window
-    rows = rows.withColumn("new", F.when(F.col("system"), 0).otherwise(F.coalesce((F.lag("span").over(by_turn) != F.col("span")) & ~F.coalesce(F.lag("system").over(by_turn), F.lit(False)), F.lit(False)).cast("int")))
+    rows = rows.withColumn(
+        "new",
+        F.when(F.col("system"), 0).otherwise(F.coalesce(
+            (F.lag("span").over(by_turn) != F.col("span")) & ~F.coalesce(F.lag("system").over(by_turn), F.lit(False)),
+            F.lit(False),
+        ).cast("int")),
+    )
     rows = rows.withColumn("window", F.sum("new").over(by_turn))
     rows = rows.withColumn("last", F.max("window").over(whole))
     # tokens from this turn to the end of its span
     rows = rows.withColumn("after", F.max("sum").over(Window.partitionBy("conv_id", "window")) - F.col("sum") + F.col("tokens"))
     last, after = F.col("last"), F.col("after")
     own = F.array(F.col("window"))
-    again = F.when(F.col("system"), F.when(last > 0, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))).when((after <= history) & (F.col("window") < last), F.array(F.col("window") + 1)).otherwise(F.array().cast("array<bigint>"))
+    again = F.when(
+        F.col("system"),
+        F.when(last > 0, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<bigint>")),
+    ).when((after <= history) & (F.col("window") < last), F.array(F.col("window") + 1)).otherwise(F.array().cast("array<bigint>"))
     placed = rows.select("conv_id", "ordinal", "role", "text", F.col("window").alias("own"), F.explode(F.concat(own, again)).alias("window"))
     piece = F.concat(F.lit("### "), escaped(F.col("role"), ((":", "c"),)), F.lit(": "))
-    placed = placed.select("conv_id", "window", F.struct("ordinal", (F.col("own") < F.col("window")).alias("repeated"), F.col("role").alias("role"), piece.alias("head"), escaped(F.col("text")).alias("body")).alias("t"))
+    placed = placed.select(
+        "conv_id",
+        "window",
+        F.struct(
+            "ordinal",
+            (F.col("own") < F.col("window")).alias("repeated"),
+            F.col("role").alias("role"),
+            piece.alias("head"),
+            escaped(F.col("text")).alias("body"),
+        ).alias("t"),
+    )
     windows = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     formatted = F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(TURN_END + "\n"))), "")
     empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
@@ -78,11 +105,20 @@ def chat_windows(conversations: DataFrame, budget: int = 512, history: int = 96)
     def step(s: Column, t: Column) -> Column:
         at = s["at"] + F.length(t["head"])
         n = F.length(t["body"]).cast("long")
-        spans = F.when((t["role"] == "assistant") & ~t["repeated"], F.array_append(s["spans"], F.struct(at.alias("start"), n.alias("length")))).otherwise(s["spans"])
+        spans = F.when(
+            (t["role"] == "assistant") & ~t["repeated"],
+            F.array_append(s["spans"], F.struct(at.alias("start"), n.alias("length"))),
+        ).otherwise(s["spans"])
         return F.struct((at + n + len(TURN_END) + 1).alias("at"), spans.alias("spans"))
 
     loss = F.aggregate("ts", start, step, lambda s: s["spans"])
-    return windows.select("conv_id", "window", F.size(F.filter("ts", lambda t: t["repeated"])).alias("n_repeated"), formatted.alias("formatted"), loss.alias("loss"))
+    return windows.select(
+        "conv_id",
+        "window",
+        F.size(F.filter("ts", lambda t: t["repeated"])).alias("n_repeated"),
+        formatted.alias("formatted"),
+        loss.alias("loss"),
+    )
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -96,15 +132,37 @@ def read_windows(windows: DataFrame) -> DataFrame:
         return F.struct(unescaped(F.substring(c, F.lit(5), at - 5), ((":", "c"),)).alias("role"), unescaped(F.substring(c, at + 2, F.length(c))).alias("text"))
 
     texts = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return windows.select("conv_id", "window", F.length("formatted").cast("long").alias("formatted_chars"), F.transform(chunks, turn).alias("turns"), texts.alias("loss_texts"))
+    return windows.select(
+        "conv_id",
+        "window",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.transform(chunks, turn).alias("turns"),
+        texts.alias("loss_texts"),
+    )
 
 
 def chat_digest(windows: DataFrame) -> DataFrame:
     """Per conversation, read back from its windows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     w = read_windows(windows)
     texts = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    w = w.select("conv_id", "formatted_chars", F.size("turns").alias("n"), F.struct("window", texts.alias("turns"), F.array_join("loss_texts", "").alias("loss")).alias("w"))
-    w = w.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sum("formatted_chars").cast("long").alias("formatted_chars"), F.array_sort(F.collect_list("w")).alias("ws"))
+    w = w.select(
+        "conv_id",
+        "formatted_chars",
+        F.size("turns").alias("n"),
+        F.struct("window", texts.alias("turns"), F.array_join("loss_texts", "").alias("loss")).alias("w"),
+    )
+    w = w.groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"),
+        F.sum("formatted_chars").cast("long").alias("formatted_chars"),
+        F.array_sort(F.collect_list("w")).alias("ws"),
+    )
     turns = F.array_join(F.transform("ws", lambda x: x["turns"]), "")
     loss = F.array_join(F.transform("ws", lambda x: x["loss"]), "")
-    return w.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    return w.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

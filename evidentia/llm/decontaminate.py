@@ -86,7 +86,12 @@ def compact_passages(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             tokens, ids = Tokens(chunk["text"]), chunk["doc_id"].astype("Int64")
             at, number = known.value.find(tokens.hashes)
             both = kb.joined(kb.packed(ids.fillna(0).to_numpy(np.int64)), kb.packed(ids.isna().to_numpy(np.uint8)))
-            yield pd.DataFrame({"ids": [both], "first": [kb.packed(tokens.first, True)], "at": [kb.packed(at.astype(np.uint32), True)], "number": [kb.packed(number.astype(np.uint32))]})
+            yield pd.DataFrame({
+                "ids": [both],
+                "first": [kb.packed(tokens.first, True)],
+                "at": [kb.packed(at.astype(np.uint32), True)],
+                "number": [kb.packed(number.astype(np.uint32))],
+            })
 
     return docs.mapInPandas(compact, COMPACT)
 
@@ -280,7 +285,15 @@ class Band:
         needed = np.array([rule.needed(len(item.words)) for item in items])
         # the words that count least; float32 products are off by far less than the margin
         least = np.array([np.sort(idf[item.words] ** 2)[:k].sum() for item, k in zip(items, needed, strict=True)]) * 0.999
-        return cls(block, items, (idf[:, None] * directions).astype(np.float32), (rows @ directions).T.astype(np.float32), least.astype(np.float32), present, needed)
+        return cls(
+            block,
+            items,
+            (idf[:, None] * directions).astype(np.float32),
+            (rows @ directions).T.astype(np.float32),
+            least.astype(np.float32),
+            present,
+            needed,
+        )
 
     def search(self, words: Passages, rule: Rule) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, item of the band): (share, answer share, cosine) of the best leak."""
@@ -388,7 +401,10 @@ def searched(table: DataFrame, renumber: np.ndarray, bands: list[Band], rule: Ru
                     for (k, i), (share, answer, cosine) in band.search(words, rule).items():
                         out.append((None if null[k] else int(ids[k]), band.items[i].item_id, cosine, share, answer))
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                    yield pd.DataFrame(
+                        out,
+                        columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
+                    ).astype({"doc_id": "Int64", "item_id": "Int64"})
         give_back()
 
     return table.mapInPandas(search, LEAKS)

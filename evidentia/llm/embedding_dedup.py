@@ -221,7 +221,10 @@ def bound(value, f):
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, cid, copies) of the rows that can link, and (cid, copies, unit) of each distinct vector."""
-    rows = only(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = only(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").withColumn(
+        "embedding",
+        F.col("embedding").cast("array<double>"),
+    )
     rows = rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("embedding") == (size["n"] if size else 0)).withColumn("h", F.xxhash64("embedding"))
@@ -238,7 +241,10 @@ def sharded(nodes: DataFrame) -> DataFrame:
     """NODES: each node with its shards."""
     spark, n = nodes.sparkSession, nodes.count()
     k = max(1, min(MOST_CENTROIDS, -(-OVERLAP * n // SHARD_ROWS)))
-    few = nodes.withColumn("o", F.xxhash64("cid").bitwiseAND(F.lit((1 << 40) - 1))).where(F.col("o") < int(min(1.0, SAMPLE_PER_CENTROID * k / max(n, 1)) * (1 << 40))).select("o", "cid", "unit")
+    few = nodes.withColumn(
+        "o",
+        F.xxhash64("cid").bitwiseAND(F.lit((1 << 40) - 1)),
+    ).where(F.col("o") < int(min(1.0, SAMPLE_PER_CENTROID * k / max(n, 1)) * (1 << 40))).select("o", "cid", "unit")
     few = few.toPandas().sort_values(["o", "cid"])
     if k == 1 or len(few) < k:
         return nodes.withColumn("shards", F.array(F.lit(0).cast("long")))
@@ -261,7 +267,10 @@ def sharded(nodes: DataFrame) -> DataFrame:
     def split(s):
         b = F.element_at(parts, s)
         own = F.pmod(F.xxhash64("cid", s), b)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), b.cast("long") - 1), lambda j: s + (F.least(own, j) * b + F.greatest(own, j) + 1) * F.lit(1 << 20))
+        pairs = F.transform(
+            F.sequence(F.lit(0).cast("long"), b.cast("long") - 1),
+            lambda j: s + (F.least(own, j) * b + F.greatest(own, j) + 1) * F.lit(1 << 20),
+        )
         return F.when(b.isNull(), F.array(s)).otherwise(pairs)
 
     return near.withColumn("shards", F.array_sort(F.array_distinct(F.flatten(F.transform("shards", split)))))
@@ -292,10 +301,18 @@ def embedding_dedup(vectors: DataFrame, min_cosine: float = 0.95) -> DataFrame:
     found = saved(searched.groupBy("shard").applyInPandas(search, "cid long, links long, v long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     component = components(found.where("cid <> v").select(F.col("cid").alias("u"), "v")).withColumnRenamed("id", "cid")
-    own = members.join(links, "cid").join(component, "cid", "left").groupBy("vec_id").agg(F.max(F.col("links") + F.col("copies") - 1).alias("links"), F.min(F.coalesce("component", "cid")).alias("component"))
+    own = members.join(links, "cid").join(component, "cid", "left").groupBy("vec_id").agg(
+        F.max(F.col("links") + F.col("copies") - 1).alias("links"),
+        F.min(F.coalesce("component", "cid")).alias("component"),
+    )
     out = only(vectors, "vec_id").join(own, "vec_id", "left")
     component_id = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        component_id.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"),
+    )
 
 
 def shard_pairs(near: DataFrame, graph: DataFrame, min_cosine: float) -> DataFrame:
@@ -322,7 +339,10 @@ def audit_recall(vectors: DataFrame, min_cosine: float = 0.95, every: int = 100,
     asked = queries.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
     parts = 64
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    against = nodes.select(F.col("cid").alias("other"), F.col("unit").alias("vector")).withColumn("part_", F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int"))
+    against = nodes.select(F.col("cid").alias("other"), F.col("unit").alias("vector")).withColumn(
+        "part_",
+        F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int"),
+    )
     against = against.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -334,4 +354,8 @@ def audit_recall(vectors: DataFrame, min_cosine: float = 0.95, every: int = 100,
 
     true = asked.groupBy("block", "part").cogroup(against.groupBy("block_", "part_")).applyInPandas(compare, "cid long, other long")
     both = true.withColumn("t", F.lit(1)).join(told.withColumn("f", F.lit(1)), ["cid", "other"], "full_outer")
-    return both.agg(F.count("t").alias("n_true"), F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("n_found"), F.count_if(F.col("t").isNull()).alias("n_false"))
+    return both.agg(
+        F.count("t").alias("n_true"),
+        F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("n_found"),
+        F.count_if(F.col("t").isNull()).alias("n_false"),
+    )

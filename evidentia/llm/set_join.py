@@ -72,10 +72,16 @@ def shared_sets(docs: DataFrame, shingle: int, percent: int, n_bytes: int) -> Da
         keys, text = shingle_sets(kb.Words([chunk["text"].iloc[i] for i in order], lowered=True), shingle)
         n = np.bincount(text, minlength=len(ids))
         ends = np.cumsum(n)
-        sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(kb.mixed(keys + np.uint64(c)), dtype=np.uint64)[ends - 1] * (ends > 0)])) for c in (11, 77)] if len(keys) else [np.zeros(len(ids), np.uint64)] * 2
+        sums = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(kb.mixed(keys + np.uint64(c)), dtype=np.uint64)[ends - 1] * (ends > 0)])) for c in (11, 77)] if len(keys) else [np.zeros(
+            len(ids),
+            np.uint64,
+        )] * 2
         kinds = pd.DataFrame({"n": n, "s1": sums[0], "s2": sums[1]})
         first = ~kinds.duplicated().to_numpy() & (n > 0) & ~null
-        yield -1, "docs", kb.joined(kb.packed(ids), kb.packed(null.astype(np.uint8) + 2 * first.astype(np.uint8))), kb.packed(n.astype(np.int32)), kb.joined(kb.packed(sums[0]), kb.packed(sums[1]))
+        yield -1, "docs", kb.joined(
+            kb.packed(ids),
+            kb.packed(null.astype(np.uint8) + 2 * first.astype(np.uint8)),
+        ), kb.packed(n.astype(np.int32)), kb.joined(kb.packed(sums[0]), kb.packed(sums[1]))
         keep = first[text]
         keys, text = keys[keep], text[keep]
         for bucket, own in kb.dealt(keys, bits):
@@ -95,7 +101,11 @@ def shared_sets(docs: DataFrame, shingle: int, percent: int, n_bytes: int) -> Da
             at += size
             hit = np.flatnonzero(d > 1)
             if len(hit):
-                yield int(number), "keys", kb.packed_keys(own[hit], 0, 8), kb.packed(np.minimum(d[hit], 65535).astype(np.uint16)), kb.packed_runs(kb.unpacked_runs(data)[hit])
+                yield int(number), "keys", kb.packed_keys(
+                    own[hit],
+                    0,
+                    8,
+                ), kb.packed(np.minimum(d[hit], 65535).astype(np.uint16)), kb.packed_runs(kb.unpacked_runs(data)[hit])
 
     def put_together(group: pd.DataFrame) -> pd.DataFrame:
         head = group[group["kind"] == "docs"].iloc[0]
@@ -191,7 +201,13 @@ def candidate_lists(reps: DataFrame, percent: int) -> DataFrame:
                 alone = n - len(own)
                 take = n - (percent * n + 99) // 100 + 1 - alone
                 df = np.frombuffer(dfs, np.uint16)
-                parts.append(pd.DataFrame({"key": own[:take].view(np.int64), "x": x, "n": n, "pos": alone + np.arange(min(take, len(own))), "cen": (int(df.sum(dtype=np.int64)) * 16) // n}))
+                parts.append(pd.DataFrame({
+                    "key": own[:take].view(np.int64),
+                    "x": x,
+                    "n": n,
+                    "pos": alone + np.arange(min(take, len(own))),
+                    "cen": (int(df.sum(dtype=np.int64)) * 16) // n,
+                }))
             if parts:
                 yield pd.concat(parts)
 
@@ -207,28 +223,58 @@ def ngram_links(reps: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) whose components are those of all linked pairs of reps (x, n, keys, dfs)."""
     lists = saved(candidate_lists(reps, percent), "lists")
     # pivots: the most central set of each list; each set takes the pivot most of its lists name
-    pivots = lists.groupBy("key").agg(F.max(F.struct("cen", (-F.col("x")).alias("minus"), F.col("n").alias("rn"))).alias("p"), F.count("*").alias("size")).where("size > 1")
-    named = lists.join(pivots.select("key", (-F.col("p.minus")).alias("r"), "p.rn"), "key").where("r <> x").where((F.col("rn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("rn") * percent))
-    named = named.groupBy("x", "r").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", (-F.col("r")).alias("minus"))).alias("p")).select("x", (-F.col("p.minus")).alias("r"))
+    pivots = lists.groupBy("key").agg(
+        F.max(F.struct("cen", (-F.col("x")).alias("minus"), F.col("n").alias("rn"))).alias("p"),
+        F.count("*").alias("size"),
+    ).where("size > 1")
+    named = lists.join(
+        pivots.select("key", (-F.col("p.minus")).alias("r"), "p.rn"),
+        "key",
+    ).where("r <> x").where((F.col("rn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("rn") * percent))
+    named = named.groupBy("x", "r").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", (-F.col("r")).alias("minus"))).alias("p")).select(
+        "x",
+        (-F.col("p.minus")).alias("r"),
+    )
     named = saved(named, "pivots")
     sets = reps.select("x", "n", "keys")
-    parts = named.join(reps.select("x", "m"), "x").groupBy("r").agg(F.greatest(F.ceil(F.sum("m") / CLUSTER_KEYS), F.ceil(F.count("*") / CLUSTER_SETS)).cast("int").alias("parts"))
+    parts = named.join(
+        reps.select("x", "m"),
+        "x",
+    ).groupBy("r").agg(F.greatest(F.ceil(F.sum("m") / CLUSTER_KEYS), F.ceil(F.count("*") / CLUSTER_SETS)).cast("int").alias("parts"))
     members = named.join(parts, "r").select("x", "r", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_pivot"))
     heads = parts.select(F.col("r").alias("x"), "r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"))
     clusters = members.unionByName(heads).join(sets, "x")
     links = saved(clusters.groupBy("r", "part").applyInPandas(lambda g: cluster_links(g, percent), "u long, v long"), "links")
     # across components: block by block
     known = components(links)
-    lists = lists.select("key", "x", "n", "pos").join(known.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    lists = lists.select("key", "x", "n", "pos").join(
+        known.select(F.col("id").alias("x"), "component"),
+        "x",
+        "left",
+    ).withColumn("component", F.coalesce("component", "x"))
     width = float(np.log(100.0 / percent)) / BLOCKS
     block = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
     n, pos = F.col("n"), F.col("pos")
     # u, the smaller set of a pair, shares at least what two sets of its size must share
-    a = lists.where(n - pos >= least_overlap(n, n, percent)).select("key", F.col("x").alias("u"), F.col("n").alias("un"), F.col("pos").alias("up"), F.col("component").alias("uc"), block(n).alias("block"))
+    a = lists.where(n - pos >= least_overlap(n, n, percent)).select(
+        "key",
+        F.col("x").alias("u"),
+        F.col("n").alias("un"),
+        F.col("pos").alias("up"),
+        F.col("component").alias("uc"),
+        block(n).alias("block"),
+    )
     most = F.least(n, F.floor((n - pos) * (100 + percent) / F.lit(percent) - n + 1e-9))
     least = F.ceil(n * percent / F.lit(100) - 1e-9)
     b = lists.withColumns({"most": most, "least": least}).where("most >= least AND most > 0")
-    b = b.select("key", F.col("x").alias("v"), F.col("n").alias("vn"), F.col("pos").alias("vp"), F.col("component").alias("vc"), F.explode(F.sequence(block(F.greatest("least", F.lit(1))), block(F.col("most")))).alias("block"))
+    b = b.select(
+        "key",
+        F.col("x").alias("v"),
+        F.col("n").alias("vn"),
+        F.col("pos").alias("vp"),
+        F.col("component").alias("vc"),
+        F.explode(F.sequence(block(F.greatest("least", F.lit(1))), block(F.col("most")))).alias("block"),
+    )
     fits = (F.col("uc") != F.col("vc")) & ((F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))) & (F.col("vn") * percent <= F.col("un") * 100)
     reach = F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp")) >= least_overlap(F.col("un"), F.col("vn"), percent)
     pairs = a.join(b, ["key", "block"]).where(fits & reach).select("u", "v").distinct()
@@ -251,7 +297,10 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("x"))
     able = rows.where("keys IS NOT NULL").dropDuplicates(["doc_id", "n", "s1", "s2"])
     reps = saved(able.join(classes, ["n", "s1", "s2"]).where("doc_id = x").select("x", "n", "m", "keys", "dfs"), "reps")
-    same = rows.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "s1", "s2"]).where("doc_id <> x").select(F.col("doc_id").alias("u"), F.col("x").alias("v"))
+    same = rows.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "s1", "s2"]).where("doc_id <> x").select(
+        F.col("doc_id").alias("u"),
+        F.col("x").alias("v"),
+    )
     found = components(ngram_links(reps, percent).unionByName(same))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

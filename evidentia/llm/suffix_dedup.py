@@ -101,7 +101,10 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
         number[appear] = np.arange(len(appear))
         keys, times = hashes[first[appear]], times[appear].astype(np.uint32)
         shape = kb.joined(kb.packed(sizes.astype(np.uint8)), kb.packed(offsets.astype(np.uint8)))
-        yield -1, "docs", kb.packed(rids), kb.joined(kb.packed_runs(text), kb.packed(starts.astype(np.int32), True)), kb.joined(kb.packed(number[which], True), shape)
+        yield -1, "docs", kb.packed(rids), kb.joined(
+            kb.packed_runs(text),
+            kb.packed(starts.astype(np.int32), True),
+        ), kb.joined(kb.packed(number[which], True), shape)
         for bucket, own in kb.dealt(keys, bits):
             yield bucket, "keys", kb.packed_keys(keys[own], bits, WIDTH), kb.packed(own.astype(np.uint32), True), kb.packed(times[own])
 
@@ -118,7 +121,10 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             hit = n > 1
             at += len(own)
             if hit.any():
-                yield int(number), "found", kb.packed_keys(own[hit], 0, 8), kb.packed(kb.unpacked(data, np.uint32, True)[hit], True), kb.packed(np.minimum(n[hit], 1 << 31).astype(np.uint32))
+                yield int(number), "found", kb.packed_keys(own[hit], 0, 8), kb.packed(
+                    kb.unpacked(data, np.uint32, True)[hit],
+                    True,
+                ), kb.packed(np.minimum(n[hit], 1 << 31).astype(np.uint32))
 
     def put_together(group: pd.DataFrame) -> pd.DataFrame:
         head, hits = group[group["kind"] == "docs"].iloc[0], group[group["kind"] == "found"]
@@ -139,7 +145,13 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             begins, counts = kb.group_sizes(text[at])
             for s, n in zip(begins, counts, strict=True):
                 own = at[s : s + n]
-                rows.append((rids[text[own[0]]], kb.joined(kb.packed(starts[own], True), kb.joined(kb.packed(sizes[own]), kb.joined(kb.packed(offsets[own]), kb.joined(kb.packed(times[s : s + n]), key[s : s + n].tobytes()))))))
+                rows.append((
+                    rids[text[own[0]]],
+                    kb.joined(
+                        kb.packed(starts[own], True),
+                        kb.joined(kb.packed(sizes[own]), kb.joined(kb.packed(offsets[own]), kb.joined(kb.packed(times[s : s + n]), key[s : s + n].tobytes()))),
+                    ),
+                ))
         return pd.DataFrame(rows, columns=["_rid", "segments"])
 
     rows = kb.answered(kb.blocks(docs, make, bits), answer, bits)
@@ -253,7 +265,14 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int, frequent: int = F
                 offsets, data = kb.parted(data)
                 times, data = kb.parted(data)
                 starts, sizes, offsets = kb.unpacked(starts, np.int32, True), kb.unpacked(sizes, np.uint8), kb.unpacked(offsets, np.uint8)
-                parts.append((np.full(len(starts), i), starts.astype(np.int64), sizes.astype(np.int64), offsets, kb.unpacked(times, np.uint32), np.frombuffer(data, "<u8")))
+                parts.append((
+                    np.full(len(starts), i),
+                    starts.astype(np.int64),
+                    sizes.astype(np.int64),
+                    offsets,
+                    kb.unpacked(times, np.uint32),
+                    np.frombuffer(data, "<u8"),
+                ))
             text_of, starts, sizes, offsets, times, key = (np.concatenate(x) for x in zip(*parts, strict=True))
             raw, rids = [t.encode("utf-8", "surrogatepass") for t in chunk["text"]], chunk["_rid"].to_numpy(np.int64)
             # a frequent anchor has collections of its own, numbered below zero

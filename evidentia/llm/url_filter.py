@@ -100,7 +100,15 @@ def featured(rows: DataFrame, slots: int = 1 << 14) -> DataFrame:
 def train(labelled: DataFrame) -> LogisticRegressionModel:
     """Fits the classifier to a table (url, blocked)."""
     rows = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("double").alias("label"))
-    fit = LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.01, maxIter=60, predictionCol="_says", rawPredictionCol="_raw", probabilityCol="_probability")
+    fit = LogisticRegression(
+        featuresCol="_features",
+        labelCol="label",
+        regParam=0.01,
+        maxIter=60,
+        predictionCol="_says",
+        rawPredictionCol="_raw",
+        probabilityCol="_probability",
+    )
     return fit.fit(featured(rows))
 
 

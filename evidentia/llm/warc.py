@@ -46,7 +46,14 @@ def record(page_id: str, url: str | None, payload: bytes, digest: str, refers_to
     """One WARC record; refers_to makes it a revisit, whose block is the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    lines = [
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        "Content-Type: application/http;msgtype=response",
+        f"Content-Length: {len(block)}",
+    ]
     if url is not None:
         lines.insert(3, "WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
@@ -64,7 +71,15 @@ def parsed(data: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    return {"record_type": fields["WARC-Type"], "id": fields["WARC-Record-ID"][10:-1], "url": fields.get("WARC-Target-URI"), "payload": payload, "payload_bytes": size, "digest": digest, "refers_to": fields["WARC-Refers-To"][10:-1] if "WARC-Refers-To" in fields else None}
+    return {
+        "record_type": fields["WARC-Type"],
+        "id": fields["WARC-Record-ID"][10:-1],
+        "url": fields.get("WARC-Target-URI"),
+        "payload": payload,
+        "payload_bytes": size,
+        "digest": digest,
+        "refers_to": fields["WARC-Refers-To"][10:-1] if "WARC-Refers-To" in fields else None,
+    }
 
 
 class BundleWriter:
@@ -167,7 +182,14 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for a in range(0, len(batch), 1000):
                 part, out = batch.iloc[a : a + 1000], []
-                for page_id, bundle, k, at, n in zip(part["page_id"].astype("Int64"), part["bundle"], part["frame"], part["offset"], part["length"], strict=True):
+                for page_id, bundle, k, at, n in zip(
+                    part["page_id"].astype("Int64"),
+                    part["bundle"],
+                    part["frame"],
+                    part["offset"],
+                    part["length"],
+                    strict=True,
+                ):
                     if bundle != name:
                         name, reader = bundle, BundleReader(store, f"{top}/{bundle}")
                     r = parsed(reader.frame(k)[at : at + n])

@@ -68,7 +68,15 @@ def corpus():
             r.shuffle(kept)
         text = list(r.choice(pool, r.integers(0, 80), p=often)) + kept + list(r.choice(pool, r.integers(0, 60), p=often))
         docs.append((k, " ".join(text)))
-    docs += [(100, "photosynthesis"), (101, "and PHOTOSYNTHESIS, too"), (102, None), (103, ""), (None, items[6][1]), (104, "nothing has this name but one text"), (104, "nothing has this name but one text")]
+    docs += [
+        (100, "photosynthesis"),
+        (101, "and PHOTOSYNTHESIS, too"),
+        (102, None),
+        (103, ""),
+        (None, items[6][1]),
+        (104, "nothing has this name but one text"),
+        (104, "nothing has this name but one text"),
+    ]
     return docs, items
 
 
@@ -109,7 +117,13 @@ def searched_here(docs, items):
     own = [de.Item(i, number(tokens, k), number(answers, k)) for k, (i, _) in enumerate(kept)]
     r = np.random.default_rng(0)
     idf = r.uniform(0.1, 9, n)
-    bands = [de.Band.of(b, [x for x in own if de.block_for(de.stretch(len(x.words))) == b], idf, np.linalg.qr(r.standard_normal((n, 3)))[0], rule) for b in sorted({de.block_for(de.stretch(len(x.words))) for x in own})]
+    bands = [de.Band.of(
+        b,
+        [x for x in own if de.block_for(de.stretch(len(x.words))) == b],
+        idf,
+        np.linalg.qr(r.standard_normal((n, 3)))[0],
+        rule,
+    ) for b in sorted({de.block_for(de.stretch(len(x.words))) for x in own})]
     t = de.Tokens([d for _, d in docs])
     at, num = vocabulary.find(t.hashes)
     words = de.Passages(t.first, at, num, np.searchsorted(t.first, at, side="right") - 1)

@@ -39,7 +39,11 @@ def test_regression_equals_dense_algebra():
 
 def test_distributed_training_equals_that_of_rows_at_hand(spark):
     r = np.random.default_rng(3)
-    rows = [(k, "".join(r.choice(list("abcdefg " if k % 3 else "mnopqrs "), 80)), "x" if k % 3 else "y") for k in range(60)] + [(90, "12", "x"), (91, None, "y"), (92, "abc", None)]
+    rows = [(
+        k,
+        "".join(r.choice(list("abcdefg " if k % 3 else "mnopqrs "), 80)),
+        "x" if k % 3 else "y",
+    ) for k in range(60)] + [(90, "12", "x"), (91, None, "y"), (92, "abc", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = li.train(df, F.lit(True), per_language=15, landmarks=6)
     few = [(x["lang"], x["rank"], x["text"]) for x in li.sample(df, F.lit(True), 15).collect()]
@@ -61,7 +65,10 @@ def test_accuracy_on_held_out_rows(spark):
 def test_edges(spark):
     assert [li.has_letter(t) for t in (None, "", "12 ²½ _", "é", "日", "1a")] == [False, False, False, True, True, True]
     long = "the quick brown fox " * 100000
-    df = spark.createDataFrame([(1, long, "en", 0), (2, "der schnelle fuchs und so", "de", 0), (3, "", None, 0), (None, None, None, None)], "doc_id long, text string, lang string, score int")
+    df = spark.createDataFrame(
+        [(1, long, "en", 0), (2, "der schnelle fuchs und so", "de", 0), (3, "", None, 0), (None, None, None, None)],
+        "doc_id long, text string, lang string, score int",
+    )
     got = {x["doc_id"]: x["lang_pred"] for x in li.predict(df, li.train(df, F.lit(True))).collect()}
     assert got == {1: "en", 2: "de", 3: "und", None: "und"}
     held, li.MOST_LANGUAGES = li.MOST_LANGUAGES, 1

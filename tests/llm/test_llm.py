@@ -26,7 +26,24 @@ def documents(spark):
     base, passage = words(1, 300), words(2, 70)
     near = base.split()
     near[7] = near[150] = "changed"
-    texts = [base, base, " ".join(near), None, "", "  \n ", "one two", "one two", "ONE two", words(3, 80) + " " + passage, passage + "\n" + words(4, 90), "é" * 450, "ab" * 700, words(5, 30000), base + " tail", "日本語 " * 200]
+    texts = [
+        base,
+        base,
+        " ".join(near),
+        None,
+        "",
+        "  \n ",
+        "one two",
+        "one two",
+        "ONE two",
+        words(3, 80) + " " + passage,
+        passage + "\n" + words(4, 90),
+        "é" * 450,
+        "ab" * 700,
+        words(5, 30000),
+        base + " tail",
+        "日本語 " * 200,
+    ]
     rows = [(i, t, "en" if i % 2 else None, i, "x") for i, t in enumerate(texts)]
     rows += [(None, base, "en", 1, "x"), (0, base, "en", 2, "y"), (None, None, None, None, None)]
     return spark.createDataFrame(rows, DOCS)
@@ -72,7 +89,10 @@ def test_suffix_dedup_against_brute_force(spark):
     df = documents(spark)
     own = df.select("doc_id", "text")
     want = Counter(zip([r[0] for r in rows_of(own)], brute_suffix([r[1] for r in rows_of(own)])))
-    got = Counter((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"])) for r in suffix_dedup.suffix_dedup(df).select("*", F.sha2("kept", 256).alias("h")).collect())
+    got = Counter((
+        r["doc_id"],
+        (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]),
+    ) for r in suffix_dedup.suffix_dedup(df).select("*", F.sha2("kept", 256).alias("h")).collect())
     assert got == want
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
@@ -82,7 +102,10 @@ def test_suffix_dedup_of_very_long_texts_and_carried_columns(spark):
     r = np.random.default_rng(6)
     long = bytes(r.integers(97, 123, suffix_dedup.SLICE + 5000, np.uint8)).decode()
     a = suffix_dedup.SLICE - 150
-    df = spark.createDataFrame([(1, long, "k", "s"), (2, "x" * 50 + long[a : a + 300] + "y" * 50, None, "t")], "doc_id long, text string, kept string, segments string")
+    df = spark.createDataFrame(
+        [(1, long, "k", "s"), (2, "x" * 50 + long[a : a + 300] + "y" * 50, None, "t")],
+        "doc_id long, text string, kept string, segments string",
+    )
     got = {x["doc_id"]: (x["n_removed"], list(x["spans"]), x["segments"]) for x in suffix_dedup.suffix_dedup(df, carry=("segments",)).collect()}
     assert got == {1: (300, [a, a + 300], "s"), 2: (300, [50, 350], "t")}
     with pytest.raises(ValueError, match="kept"):
@@ -92,7 +115,11 @@ def test_suffix_dedup_of_very_long_texts_and_carried_columns(spark):
 def test_suffix_dedup_deals_out_frequent_anchors(spark):
     """Several rounds of collections give what one collection per anchor gives."""
     base, passage = words(1, 300), words(2, 70)
-    texts = [base] * 20 + [words(10 + i, 40) + " " + passage + " " + words(50 + i, 30) for i in range(20)] + [base[:900] + words(90 + i, 50) for i in range(8)] + ["ab" * 400, None, ""]
+    texts = [base] * 20 + [words(10 + i, 40) + " " + passage + " " + words(50 + i, 30) for i in range(20)] + [base[:900] + words(90 + i, 50) for i in range(8)] + [
+        "ab" * 400,
+        None,
+        "",
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
     want = dict(enumerate(brute_suffix(texts)))
     # other partitions mean other chunks, so equal segments come from several places
@@ -212,7 +239,12 @@ def test_byte_bpe_against_merges_by_rank(spark):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     df = documents(spark)
-    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.bpe_digests(df, RANKS, public_tokenizers.PATTERN).collect())
+    got = Counter((
+        r["doc_id"],
+        r["n_tokens"],
+        r["ids_sha256"],
+        r["decoded_sha256"],
+    ) for r in byte_bpe.bpe_digests(df, RANKS, public_tokenizers.PATTERN).collect())
     want = Counter()
     for i, t in rows_of(df):
         ids = [x for m in regex.findall(public_tokenizers.PATTERN, t or "") for x in merged_bytes(m.encode(), ranks)]
@@ -225,7 +257,14 @@ def test_byte_bpe_against_merges_by_rank(spark):
 
 
 def test_warc_round_trip(spark):
-    rows = [(3, "http://a/\n b", "<p>é</p>", "x"), (1, None, "<p>é</p>", "x"), (7, "u", None, "x"), (8, "u", "", "x"), (None, "u", "solo", "x"), (9, "u", "<p>\r\n\r\nx</p>" * 90000, "x")]
+    rows = [
+        (3, "http://a/\n b", "<p>é</p>", "x"),
+        (1, None, "<p>é</p>", "x"),
+        (7, "u", None, "x"),
+        (8, "u", "", "x"),
+        (None, "u", "solo", "x"),
+        (9, "u", "<p>\r\n\r\nx</p>" * 90000, "x"),
+    ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
     got = {r["page_id"]: r for r in warc.warc_round_trip(df).collect()}
     for page, _, html, _ in rows:
@@ -236,12 +275,26 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in warc.warc_round_trip(df, 5).where("page_id IN (7, 8)").collect()} == {"response"}
     assert warc.warc_round_trip(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(4, "u", "same"), (4, "v", "same"), (6, "w", "same")], "page_id long, url string, html string")
-    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(twice).collect()) == [(4, "response", None), (4, "response", None), (6, "revisit", 4)]
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(twice).collect()) == [
+        (4, "response", None),
+        (4, "response", None),
+        (6, "revisit", 4),
+    ]
 
 
 def test_chat_windows(spark):
-    rows = [(1, 0, "system", "be # good", 0), (1, 1, "user", "\\### Assistant: </turn> ok", 0)] + [(1, k, "assistant" if k % 2 == 0 else "user", words(k, 60) + "\\l<", 0) for k in range(2, 30)]
-    rows += [(2, None, None, None, 0), (2, 1, "assis: tant", "x\ny", 0), (None, 1, "assistant", "é</turn>\n### user: ", 0), (3, 1, "assistant", "a", 0), (3, 1, "assistant", "a", 0), (4, 0, "assistant", words(9, 3000), 0)]
+    rows = [
+        (1, 0, "system", "be # good", 0),
+        (1, 1, "user", "\\### Assistant: </turn> ok", 0),
+    ] + [(1, k, "assistant" if k % 2 == 0 else "user", words(k, 60) + "\\l<", 0) for k in range(2, 30)]
+    rows += [
+        (2, None, None, None, 0),
+        (2, 1, "assis: tant", "x\ny", 0),
+        (None, 1, "assistant", "é</turn>\n### user: ", 0),
+        (3, 1, "assistant", "a", 0),
+        (3, 1, "assistant", "a", 0),
+        (4, 0, "assistant", words(9, 3000), 0),
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int")
     windows = chat.chat_windows(df)
     got = {r["conv_id"]: r for r in chat.chat_digest(windows).collect()}
@@ -296,7 +349,16 @@ def test_decontamination(spark):
     changed = items[1][1].split()
     for k in range(0, 40, 5):
         changed[k] = "other"
-    texts = [words(1, 200) + " " + items[0][1].upper() + " " + words(2, 50), words(3, 90) + " " + " ".join(changed), words(4, 400), None, "", items[2][1], items[2][1], words(7, 100) + " " + items[10][1]]
+    texts = [
+        words(1, 200) + " " + items[0][1].upper() + " " + words(2, 50),
+        words(3, 90) + " " + " ".join(changed),
+        words(4, 400),
+        None,
+        "",
+        items[2][1],
+        items[2][1],
+        words(7, 100) + " " + items[10][1],
+    ]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, items[3][1], None, None, None)], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
@@ -325,7 +387,10 @@ def test_decontamination_of_items_changed_in_their_rare_words(spark):
             span = len(own) + len(own) // 3 + 4
             if max(decontaminate.common_subsequence(masks, len(own), w[a : a + span]) for a in range(len(w))) >= 0.6 * len(own):
                 want.add((i, k))
-    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = decontaminate.leaks(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
     assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want >= {(k, k) for k in range(8)}
 
 

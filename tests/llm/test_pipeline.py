@@ -43,11 +43,34 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
     a, b, c, d, e = (prose(k, 80) for k in range(5))
     near = a.replace(a.split()[40], "changed")
     # repeated rows, nulls with and without a named copy, one doc_id of two texts, texts of their own
-    rows = [(7, a), (7, a), (3, near), (None, a), (None, a), (5, b), (5, b), (5, b), (None, c), (None, c), (9, d), (9, a), (2, e), (4, "two words"), (4, "two words")]
+    rows = [
+        (7, a),
+        (7, a),
+        (3, near),
+        (None, a),
+        (None, a),
+        (5, b),
+        (5, b),
+        (5, b),
+        (None, c),
+        (None, c),
+        (9, d),
+        (9, a),
+        (2, e),
+        (4, "two words"),
+        (4, "two words"),
+    ]
     df = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(rows)], DOCS).repartition(4)
     kept = corpus_pipeline.near_duplicates(spark, df, "")
     assert kept.columns == df.columns
-    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == brute_near(rows) == Counter([(3, near), (5, b), (None, c), (9, d), (2, e), (4, "two words")])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == brute_near(rows) == Counter([
+        (3, near),
+        (5, b),
+        (None, c),
+        (9, d),
+        (2, e),
+        (4, "two words"),
+    ])
     # the copy that stays is not cut by the next stage
     after = corpus_pipeline.repeated_passages(spark, kept, "")
     assert Counter((r["doc_id"], r["text"]) for r in after.collect()) == brute_near(rows)
@@ -93,7 +116,10 @@ def test_all_stages_against_brute_force(spark, tmp_path):
     passage, item = text("en", 60), text("de", 30)
     rows += [(100, rows[3][1], "en"), (101, rows[3][1].replace(" ", "  ", 3), "en"), (102, rows[4][1], "de"), (None, rows[5][1], "en"), (5, rows[5][1], "en")]
     rows += [(200 + k, text("en", 20) + " " + passage + " " + text("en", 25), "en") for k in range(5)]
-    rows += [(300, text("de", 30) + " " + item + " " + text("de", 30), "de"), (301, " ".join("neu" if k % 6 == 0 else w for k, w in enumerate(item.split())), "de")]
+    rows += [
+        (300, text("de", 30) + " " + item + " " + text("de", 30), "de"),
+        (301, " ".join("neu" if k % 6 == 0 else w for k, w in enumerate(item.split())), "de"),
+    ]
     rows += [(400, "漢字仮名交文" * 9, None), (401, None, "en"), (402, "12 34", "de"), (403, "", None)]
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     items = [(1, item), (2, text("en", 25)), (3, None)]

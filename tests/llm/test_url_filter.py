@@ -43,13 +43,30 @@ def test_hosts_that_are_held_out(spark):
 
 
 def test_cases(spark):
-    urls = ["https://WWW.Example.NET/en/1?x", "https://a.example.com/de/", "http://badexample.com/de/", "x.org/fr/1", None, "http://q.org/fr/a#b", "http://x.net", "https://blog.discount-pills.example.com/en/4", "https://www.theatre.example.com/en/4", "http://net/a", "", "http://a.org?x://y/z"]
+    urls = [
+        "https://WWW.Example.NET/en/1?x",
+        "https://a.example.com/de/",
+        "http://badexample.com/de/",
+        "x.org/fr/1",
+        None,
+        "http://q.org/fr/a#b",
+        "http://x.net",
+        "https://blog.discount-pills.example.com/en/4",
+        "https://www.theatre.example.com/en/4",
+        "http://net/a",
+        "",
+        "http://a.org?x://y/z",
+    ]
     urls += ["http://a.com/" + "x" * 100000, "http://\U0001f600.com/\U0001f600"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(None, None, None)], "page_id long, url string, rule string")
     got = {r["page_id"]: tuple(r)[1:] for r in uf.url_filter(df).collect()}
     assert got[0] == ("www.example.net", "/en/1", "example.net/en/", "allow") and got[1][2:] == ("example.com/de/", "block")
     assert got[2][2] is None and got[3][:3] == ("", "", None) and got[4][:2] == ("", "") and got[5] == ("q.org", "/fr/a", "org/fr/", "allow")
-    assert got[6][:3] == ("x.net", "", None) and got[7][3] == "block" and got[8][3] == "allow" and got[9][2:] == ("net/", "block") and got[11][:2] == ("a.org", "")
+    assert got[6][:3] == (
+        "x.net",
+        "",
+        None,
+    ) and got[7][3] == "block" and got[8][3] == "allow" and got[9][2:] == ("net/", "block") and got[11][:2] == ("a.org", "")
     assert len(got[12][1]) == 100001 and got[13][:2] == ("\U0001f600.com", "/\U0001f600")
     assert uf.url_filter(df.limit(0)).count() == 0
     tie = (("block", "a.com", "/x"), ("allow", "a.com", "/x"))
