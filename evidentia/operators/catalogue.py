@@ -56,10 +56,20 @@ def open_bounded(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     size = F.octet_length("content")
     like_text = F.col("media_type").isin(*TEXT_MEDIA) | F.lower("path").rlike(r"[^/](" + "|".join(TEXT_ENDS).replace(".", r"\.") + ")$")
     note = F.when(F.col("path").isNull(), "This artifact is represented by a resource reference.")
-    note = note.when(~like_text, "Binary artifact; use the scientific viewer or package file.").when(size > limit, f"Text exceeds the {limit}-byte display limit.")
+    note = note.when(
+        ~like_text,
+        "Binary artifact; use the scientific viewer or package file.",
+    ).when(size > limit, f"Text exceeds the {limit}-byte display limit.")
     shown = F.col("path").isNotNull() & like_text & (size <= limit)
     here = F.col("path").isNotNull()
-    return files.select("path", "media_type", F.when(here, size.cast("long")).alias("bytes"), F.when(shown, F.col("content")).alias("content"), F.when(here, size > limit).alias("truncated"), note.alias("note"))
+    return files.select(
+        "path",
+        "media_type",
+        F.when(here, size.cast("long")).alias("bytes"),
+        F.when(shown, F.col("content")).alias("content"),
+        F.when(here, size > limit).alias("truncated"),
+        note.alias("note"),
+    )
 
 
 def with_category(cases: DataFrame, categories: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -104,13 +114,24 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 def first_section(sections: DataFrame, headings: list[str]) -> DataFrame:
     """The first section that is not empty among headings in order of priority."""
     order = F.array_position(F.array(*map(F.lit, headings)), F.col("heading"))
-    return sections.where(F.col("heading").isin(*headings) & (F.col("body") != "")).groupBy("doc_id").agg(F.min_by("heading", order).alias("heading"), F.min_by("body", order).alias("body"))
+    return sections.where(F.col("heading").isin(*headings) & (F.col("body") != "")).groupBy("doc_id").agg(
+        F.min_by("heading", order).alias("heading"),
+        F.min_by("body", order).alias("body"),
+    )
 
 
 # Headings of the sections that statements of each kind come from, in order of priority.
 HEADINGS = {
     "source": ("source observations", "verified observations", "source and method", "observed interface state"),
-    "computed": ("computed results", "computed result", "viewer analysis", "result", "computed summary", "starter-contract metric", "alignment result carried by the starter contract"),
+    "computed": (
+        "computed results",
+        "computed result",
+        "viewer analysis",
+        "result",
+        "computed summary",
+        "starter-contract metric",
+        "alignment result carried by the starter contract",
+    ),
     "interpretation": ("interpretation", "scientific interpretation"),
     "limitations": ("limitations", "limitation"),
     "question": ("scientific question", "scientific objective", "proposed analysis"),
@@ -137,7 +158,10 @@ def case_statements(cases: DataFrame, sections: DataFrame, headings: dict = HEAD
     rows = cases.join(held.withColumnRenamed("doc_id", "case_id"), "case_id", "left")
 
     def section(kind: str) -> Column:
-        texts = F.transform(F.array(*map(F.lit, headings[kind])), lambda h: F.coalesce(F.element_at(F.coalesce("held", F.create_map().cast("map<string,string>")), h), F.lit("")))
+        texts = F.transform(
+            F.array(*map(F.lit, headings[kind])),
+            lambda h: F.coalesce(F.element_at(F.coalesce("held", F.create_map().cast("map<string,string>")), h), F.lit("")),
+        )
         return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit(""))
 
     rows = rows.withColumns({f"_{kind}": section(kind) for kind in headings})
@@ -166,15 +190,27 @@ def build_claims(statements: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def search_text(cases: DataFrame) -> DataFrame:
     """cases with search_text: title, summary, question, category, plugin_name and sources, each once, joined and lower-cased."""
-    parts = F.concat(F.array(*(F.coalesce(c, F.lit("")) for c in ("title", "summary", "question", "category", "plugin_name"))), F.coalesce("sources", F.array().cast("array<string>")))
+    parts = F.concat(
+        F.array(*(F.coalesce(c, F.lit("")) for c in ("title", "summary", "question", "category", "plugin_name"))),
+        F.coalesce("sources", F.array().cast("array<string>")),
+    )
     return cases.withColumn("search_text", F.lower(F.array_join(unique_texts(parts), " ")))
 
 
 def case_index(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per case its readme, prompt and the paths of its artifacts, in order."""
-    fixed = cases.select("case_id", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("readme").alias("path")), F.struct(F.lit(1).alias("n"), F.col("prompt").alias("path")))).alias("x"))
+    fixed = cases.select(
+        "case_id",
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("n"), F.col("readme").alias("path")),
+            F.struct(F.lit(1).alias("n"), F.col("prompt").alias("path")),
+        )).alias("x"),
+    )
     own = artifacts.where("path IS NOT NULL").select("case_id", F.struct((F.col("ordinal") + 2).cast("int").alias("n"), "path").alias("x"))
-    return fixed.unionByName(own).where("x.path IS NOT NULL").groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["path"]).alias("paths"))
+    return fixed.unionByName(own).where("x.path IS NOT NULL").groupBy("case_id").agg(F.transform(
+        F.array_sort(F.collect_list("x")),
+        lambda x: x["path"],
+    ).alias("paths"))
 
 
 def features_in_region(features: DataFrame, regions: DataFrame, bin_size: int) -> DataFrame:

@@ -11,7 +11,13 @@ from evidentia.functions import text as tx
 
 
 def check(case_id: Column, name: Column, ok: Column, actual: Column, expected: Column) -> list[Column]:
-    return [case_id.alias("case_id"), name.alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), actual.cast("string").alias("actual"), expected.cast("string").alias("expected")]
+    return [
+        case_id.alias("case_id"),
+        name.alias("name"),
+        F.coalesce(ok, F.lit(False)).alias("ok"),
+        actual.cast("string").alias("actual"),
+        expected.cast("string").alias("expected"),
+    ]
 
 
 def file_stats(files: DataFrame) -> DataFrame:
@@ -74,7 +80,11 @@ def all_checks(*parts: DataFrame) -> DataFrame:
 def validation_rollup(checks: DataFrame, order: str = "ordinal", code: str = "REPLAY_VALIDATION_FAILED") -> DataFrame:
     """Per case: whether all checks are ok, their number, the error code, and the failed names in the order of the checks."""
     failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct(F.col(order).alias("o"), "name"))))
-    out = checks.groupBy("case_id").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("checks"), F.array_join(F.transform(failed, lambda x: x["name"]), ", ").alias("failed"))
+    out = checks.groupBy("case_id").agg(
+        F.bool_and("ok").alias("ok"),
+        F.count("*").alias("checks"),
+        F.array_join(F.transform(failed, lambda x: x["name"]), ", ").alias("failed"),
+    )
     return out.select("case_id", "ok", "checks", F.when(~F.col("ok"), code).alias("error_code"), F.when(~F.col("ok"), F.col("failed")).alias("error_message"))
 
 
@@ -97,10 +107,17 @@ def review_report(statements: DataFrame, sources: DataFrame, artifacts: DataFram
     artifact_id; checks: case_id, name, ok, actual."""
     in_order = lambda rows: F.transform(F.array_sort(rows), lambda x: x["v"])
     texts = statements.groupBy("case_id").agg(*(in_order(F.collect_list(F.when(F.col("kind") == kind, F.struct("ordinal", F.col("statement").alias("v"))))).alias(name) for kind, name in REVIEW.items()))
-    cited = sources.groupBy("case_id").agg(in_order(F.collect_list(F.struct("ordinal", F.struct("source", F.col("source").rlike("^https?://").alias("valid")).alias("v")))).alias("citation_checks"))
+    cited = sources.groupBy("case_id").agg(in_order(F.collect_list(F.struct(
+        "ordinal",
+        F.struct("source", F.col("source").rlike("^https?://").alias("valid")).alias("v"),
+    ))).alias("citation_checks"))
     first = checks.groupBy("case_id", F.col("name").alias("artifact_id")).agg(F.first(F.struct("ok", "actual")).alias("c"))
     seen = F.struct("artifact_id", F.coalesce("c.ok", F.lit(True)).alias("present"), F.coalesce("c.actual", F.lit("resource reference")).alias("note"))
-    held = artifacts.join(first, ["case_id", "artifact_id"], "left").groupBy("case_id").agg(in_order(F.collect_list(F.struct("ordinal", seen.alias("v")))).alias("artifact_checks"))
+    held = artifacts.join(
+        first,
+        ["case_id", "artifact_id"],
+        "left",
+    ).groupBy("case_id").agg(in_order(F.collect_list(F.struct("ordinal", seen.alias("v")))).alias("artifact_checks"))
     out = texts.join(cited, "case_id", "full_outer").join(held, "case_id", "full_outer")
     empty = {name: F.coalesce(name, F.array().cast("array<string>")) for name in REVIEW.values()}
     empty["citation_checks"] = F.coalesce("citation_checks", F.array().cast("array<struct<source:string,valid:boolean>>"))

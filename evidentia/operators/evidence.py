@@ -29,9 +29,21 @@ def ambiguous_rsids(variants: DataFrame) -> DataFrame:
 def preprint_publication(versions: DataFrame, links: DataFrame, publications: DataFrame) -> DataFrame:
     """First version of each preprint with its publication, days between them, and whether the title changed; preprints
     without a link are kept."""
-    first = versions.groupBy("preprint").agg(F.min("version_date").alias("first_date"), F.count("*").alias("versions"), F.min_by("title", F.struct("version_date", "title")).alias("preprint_title"))
+    first = versions.groupBy("preprint").agg(
+        F.min("version_date").alias("first_date"),
+        F.count("*").alias("versions"),
+        F.min_by("title", F.struct("version_date", "title")).alias("preprint_title"),
+    )
     out = first.join(links, "preprint", "left").join(publications, "pub_id", "left")
-    return out.select("preprint", "versions", "first_date", "pub_id", "pub_date", F.datediff("pub_date", "first_date").alias("elapsed_days"), F.when(F.col("pub_id").isNotNull(), ~F.col("pub_title").eqNullSafe(F.col("preprint_title"))).alias("title_changed"))
+    return out.select(
+        "preprint",
+        "versions",
+        "first_date",
+        "pub_id",
+        "pub_date",
+        F.datediff("pub_date", "first_date").alias("elapsed_days"),
+        F.when(F.col("pub_id").isNotNull(), ~F.col("pub_title").eqNullSafe(F.col("preprint_title"))).alias("title_changed"),
+    )
 
 
 def article_availability(articles: DataFrame, crosswalk: DataFrame, files: DataFrame) -> DataFrame:
@@ -51,10 +63,23 @@ def evidence_edges(*parts: tuple[DataFrame, str, str, str, str, str]) -> DataFra
 def gene_summary(expression: DataFrame, observations: DataFrame) -> DataFrame:
     """Per gene over all observations: n, nonzero, min, max, mean; entries that are absent are zeros and are never made."""
     n = observations.agg(F.count("*").alias("n"))
-    per = expression.groupBy("gene").agg(F.count_if(F.col("value") != 0).alias("nonzero"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("total"), F.count("*").alias("stored"))
+    per = expression.groupBy("gene").agg(
+        F.count_if(F.col("value") != 0).alias("nonzero"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.sum("value").alias("total"),
+        F.count("*").alias("stored"),
+    )
     per = per.join(F.broadcast(n))  # one row
     sparse = F.col("stored") < F.col("n")
-    return per.select("gene", "n", "nonzero", F.when(sparse, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min"), F.when(sparse, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max"), (F.col("total") / F.col("n")).alias("mean"))
+    return per.select(
+        "gene",
+        "n",
+        "nonzero",
+        F.when(sparse, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min"),
+        F.when(sparse, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max"),
+        (F.col("total") / F.col("n")).alias("mean"),
+    )
 
 
 def expression_qc(counts: DataFrame, mitochondrial: Column, parts: int = 256) -> DataFrame:
@@ -62,7 +87,11 @@ def expression_qc(counts: DataFrame, mitochondrial: Column, parts: int = 256) ->
 
     Ranks come from the distinct sizes: these are dealt into `parts` ranges by approximate quantiles, summed up range by range,
     and each range gets the number of cells in the ranges above it; no task sees all cells."""
-    cells = counts.groupBy("cell").agg(F.sum("value").alias("library"), F.countDistinct(F.when(F.col("value") > 0, F.col("gene"))).alias("genes"), F.sum(F.when(mitochondrial, F.col("value")).otherwise(0.0)).alias("mt"))
+    cells = counts.groupBy("cell").agg(
+        F.sum("value").alias("library"),
+        F.countDistinct(F.when(F.col("value") > 0, F.col("gene"))).alias("genes"),
+        F.sum(F.when(mitochondrial, F.col("value")).otherwise(0.0)).alias("mt"),
+    )
     cells = cells.select("cell", F.round("library", 6).alias("library"), "genes", F.try_divide("mt", "library").alias("mt_share"))
     edges = sorted(set(cells.approxQuantile("library", [k / parts for k in range(1, parts)], 1 / (4 * parts))))  # fewer than `parts` numbers
     part = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col("library")))
@@ -70,7 +99,10 @@ def expression_qc(counts: DataFrame, mitochondrial: Column, parts: int = 256) ->
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.groupBy("part").agg(F.sum("n").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(above), F.lit(0))).drop("total")  # at most `parts` rows
     before = Window.partitionBy("part").orderBy(F.desc("library")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.join(F.broadcast(offsets), "part").select("library", (1 + F.col("offset") + F.coalesce(F.sum("n").over(before), F.lit(0))).cast("int").alias("rank"))
+    ranks = sizes.join(F.broadcast(offsets), "part").select(
+        "library",
+        (1 + F.col("offset") + F.coalesce(F.sum("n").over(before), F.lit(0))).cast("int").alias("rank"),
+    )
     return cells.join(ranks, "library").select("cell", "library", "genes", "mt_share", "rank")
 
 
@@ -82,17 +114,34 @@ def theme_counts(records: DataFrame) -> DataFrame:
 
 def eqtl_summary(rows: DataFrame) -> DataFrame:
     """Per variant and gene: rows, sorted tissues, effect and p-value ranges."""
-    return rows.groupBy("variant", "gene").agg(F.count("*").alias("rows"), F.array_join(F.sort_array(F.collect_set("tissue")), ",").alias("tissues"), F.min("effect").alias("effect_min"), F.max("effect").alias("effect_max"), F.min("p").alias("p_min"), F.max("p").alias("p_max"))
+    return rows.groupBy("variant", "gene").agg(
+        F.count("*").alias("rows"),
+        F.array_join(F.sort_array(F.collect_set("tissue")), ",").alias("tissues"),
+        F.min("effect").alias("effect_min"),
+        F.max("effect").alias("effect_max"),
+        F.min("p").alias("p_min"),
+        F.max("p").alias("p_max"),
+    )
 
 
 def mechanism_slice(mechanisms: DataFrame) -> DataFrame:
     """Per target and action type: rows, rows at phase 4, and whether all are."""
-    return mechanisms.groupBy("target", "action").agg(F.count("*").alias("rows"), F.count_if(F.col("phase") == 4).alias("at_phase_4"), F.every(F.col("phase") == 4).alias("all_phase_4"))
+    return mechanisms.groupBy("target", "action").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("phase") == 4).alias("at_phase_4"),
+        F.every(F.col("phase") == 4).alias("all_phase_4"),
+    )
 
 
 def ensemble_scores(models: DataFrame) -> DataFrame:
     """Per candidate: models, mean and sample sd of the score, severe clashes, and the best model (least id on ties)."""
-    return models.groupBy("candidate").agg(F.count("*").alias("models"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.count_if("severe_clash").alias("severe_clashes"), F.min_by("model", F.struct((-F.col("score")).alias("s"), "model")).alias("best_model"))
+    return models.groupBy("candidate").agg(
+        F.count("*").alias("models"),
+        F.avg("score").alias("mean"),
+        F.stddev_samp("score").alias("sd"),
+        F.count_if("severe_clash").alias("severe_clashes"),
+        F.min_by("model", F.struct((-F.col("score")).alias("s"), "model")).alias("best_model"),
+    )
 
 
 def rank_candidates(scores: DataFrame, k: int, by: str, *ties: str, within: str | None = None) -> DataFrame:
@@ -109,4 +158,7 @@ def recent_records(records: DataFrame, n: int, date: str, *ties: str) -> DataFra
 def version_history(versions: DataFrame) -> DataFrame:
     """Versions of each record in order: number, first date, days since the version before."""
     w = Window.partitionBy("record").orderBy("date", "version")
-    return versions.withColumn("number", F.row_number().over(w)).withColumn("first_date", F.first("date").over(w)).withColumn("gap_days", F.datediff("date", F.lag("date").over(w)))
+    return versions.withColumn("number", F.row_number().over(w)).withColumn("first_date", F.first("date").over(w)).withColumn(
+        "gap_days",
+        F.datediff("date", F.lag("date").over(w)),
+    )

@@ -59,7 +59,12 @@ def overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 30) -> D
 def state_counts(events: DataFrame, window: str, slide: str | None = None) -> DataFrame:
     """Events per window and state; a plain aggregation, for tables and streams."""
     w = F.window("at", window, slide) if slide else F.window("at", window)
-    return events.groupBy(w.alias("w"), "state").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "state", "events")
+    return events.groupBy(w.alias("w"), "state").agg(F.count("*").alias("events")).select(
+        F.col("w.start").alias("start"),
+        F.col("w.end").alias("end"),
+        "state",
+        "events",
+    )
 
 
 def missing_acknowledgements(plans: DataFrame) -> DataFrame:

@@ -54,7 +54,15 @@ def triplet_branch_lengths(distances: DataFrame) -> DataFrame:
     ik = d.toDF("alignment_id", "i", "k", "dik")
     jk = d.toDF("alignment_id", "j", "k", "djk")
     t = ij.join(ik, ["alignment_id", "i"]).join(jk, ["alignment_id", "j", "k"])
-    return t.select("alignment_id", "i", "j", "k", ((F.col("dij") + F.col("dik") - F.col("djk")) / 2).alias("branch_i"), ((F.col("dij") + F.col("djk") - F.col("dik")) / 2).alias("branch_j"), ((F.col("dik") + F.col("djk") - F.col("dij")) / 2).alias("branch_k"))
+    return t.select(
+        "alignment_id",
+        "i",
+        "j",
+        "k",
+        ((F.col("dij") + F.col("dik") - F.col("djk")) / 2).alias("branch_i"),
+        ((F.col("dij") + F.col("djk") - F.col("dik")) / 2).alias("branch_j"),
+        ((F.col("dik") + F.col("djk") - F.col("dij")) / 2).alias("branch_k"),
+    )
 
 
 def column_identity(alignment: DataFrame) -> DataFrame:
@@ -88,7 +96,11 @@ def conserved_runs(alignment: DataFrame, min_length: int, reference_row: int = 0
     """Maximal runs of columns with identity 1.0: first and last column, and the reference's residue numbers there."""
     full = column_identity(alignment).where("top = residues").select("alignment_id", "col")
     island = F.col("col") - F.row_number().over(Window.partitionBy("alignment_id").orderBy("col"))
-    runs = full.withColumn("island", island).groupBy("alignment_id", "island").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.count("*").alias("columns")).where(F.col("columns") >= min_length).drop("island")
+    runs = full.withColumn("island", island).groupBy("alignment_id", "island").agg(
+        F.min("col").alias("first_col"),
+        F.max("col").alias("last_col"),
+        F.count("*").alias("columns"),
+    ).where(F.col("columns") >= min_length).drop("island")
     # the reference's residue number at a column, from the piece that holds it
     reference = stretches(alignment.where(F.col("row_no") == reference_row)).select("alignment_id", "stretch", "piece", "before")
 
@@ -112,7 +124,14 @@ def read_quality(reads: DataFrame, *keys: str) -> DataFrame:
     n = F.length("seq").cast("long")
     gc = F.regexp_count("seq", F.lit("[GCgc]")).cast("long")
     q30 = quality_at_least(F.col("qual"), 30).cast("long")
-    return reads.groupBy(*keys).agg(F.count("*").alias("records"), F.sum(n).alias("bases"), F.min(n).alias("read_length_min"), F.max(n).alias("read_length_max"), F.try_divide(100 * F.sum(gc), F.sum(n)).alias("gc_percent"), F.try_divide(100 * F.sum(q30), F.sum(n)).alias("q30_percent"))
+    return reads.groupBy(*keys).agg(
+        F.count("*").alias("records"),
+        F.sum(n).alias("bases"),
+        F.min(n).alias("read_length_min"),
+        F.max(n).alias("read_length_max"),
+        F.try_divide(100 * F.sum(gc), F.sum(n)).alias("gc_percent"),
+        F.try_divide(100 * F.sum(q30), F.sum(n)).alias("q30_percent"),
+    )
 
 
 def per_base_quality(reads: DataFrame) -> DataFrame:
@@ -135,7 +154,10 @@ def length_histogram(reads: DataFrame, bin_size: int = 1) -> DataFrame:
 def duplicate_rate(reads: DataFrame) -> DataFrame:
     """One row: reads, distinct sequences, share of reads that repeat another one."""
     kinds = reads.groupBy("seq").count()
-    return kinds.agg(F.sum("count").alias("reads"), F.count("*").alias("distinct_reads")).withColumn("duplicate_rate", F.try_divide(F.col("reads") - F.col("distinct_reads"), F.col("reads")))
+    return kinds.agg(F.sum("count").alias("reads"), F.count("*").alias("distinct_reads")).withColumn(
+        "duplicate_rate",
+        F.try_divide(F.col("reads") - F.col("distinct_reads"), F.col("reads")),
+    )
 
 
 def first_n(records: DataFrame, n: int, key: str, *order: str) -> DataFrame:
@@ -158,7 +180,14 @@ def cds_translation_check(features: DataFrame, genomes: DataFrame) -> DataFrame:
     rows = rows.withColumn("dna", dna)
     codons = F.regexp_extract_all("dna", F.lit(r"[\s\S]{3}"), F.lit(0))
     rows = rows.withColumn("protein", F.regexp_replace(translated(codons), r"\*$", ""))
-    return rows.select("accession", "feature_no", F.length("dna").cast("long").alias("bases"), F.length("protein").cast("long").alias("residues"), F.sha2("protein", 256).alias("protein_sha256"), (F.col("protein") == F.col("translation")).alias("ok"))
+    return rows.select(
+        "accession",
+        "feature_no",
+        F.length("dna").cast("long").alias("bases"),
+        F.length("protein").cast("long").alias("residues"),
+        F.sha2("protein", 256).alias("protein_sha256"),
+        (F.col("protein") == F.col("translation")).alias("ok"),
+    )
 
 
 def mutation_check(candidates: DataFrame, parents: DataFrame) -> DataFrame:
@@ -169,5 +198,17 @@ def mutation_check(candidates: DataFrame, parents: DataFrame) -> DataFrame:
     place = lambda m: F.regexp_extract(m, r"^.(\d+).$", 1).try_cast("int")
     rows = rows.withColumn("edits", edits)
     fits = F.forall("edits", lambda m: F.coalesce(F.substring(F.col("parent_sequence"), place(m), F.lit(1)) == m.substr(1, 1), F.lit(False)))
-    applied = F.aggregate("edits", F.col("parent_sequence"), lambda s, m: F.concat(F.substring(s, F.lit(1), place(m) - 1), F.right(m, F.lit(1)), F.substring(s, place(m) + 1, F.length(s))))
-    return rows.select("candidate", F.size("edits").cast("long").alias("n_mutations"), fits.alias("wild_type_ok"), (applied == F.col("sequence")).alias("sequence_ok"), F.length("sequence").cast("long").alias("length"), F.regexp_count("sequence", F.lit("C")).cast("long").alias("cysteines"))
+    applied = F.aggregate(
+        "edits",
+        F.col("parent_sequence"),
+        lambda s,
+        m: F.concat(F.substring(s, F.lit(1), place(m) - 1), F.right(m, F.lit(1)), F.substring(s, place(m) + 1, F.length(s))),
+    )
+    return rows.select(
+        "candidate",
+        F.size("edits").cast("long").alias("n_mutations"),
+        fits.alias("wild_type_ok"),
+        (applied == F.col("sequence")).alias("sequence_ok"),
+        F.length("sequence").cast("long").alias("length"),
+        F.regexp_count("sequence", F.lit("C")).cast("long").alias("cysteines"),
+    )

@@ -58,11 +58,18 @@ def atom_counts(atoms: DataFrame, *keys: str) -> DataFrame:
 
 def spatial_coverage(observations: DataFrame) -> DataFrame:
     """One row: coordinate bounds, observations, and how many lie in tissue."""
-    return observations.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("observations"), F.count_if("in_tissue").alias("in_tissue"))
+    return observations.agg(
+        *(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))),
+        F.count("*").alias("observations"),
+        F.count_if("in_tissue").alias("in_tissue"),
+    )
 
 
 def circle_polygons(points: DataFrame, radius: float, segments: int) -> DataFrame:
     """A closed ring of `segments` sides around each point, corners rounded to 3 decimals."""
     angle = lambda k: k * (2 * 3.141592653589793 / segments)
-    ring = F.transform(F.sequence(F.lit(0), F.lit(segments)), lambda k: F.array(F.round(F.col("x") + radius * F.cos(angle(k % segments)), 3), F.round(F.col("y") + radius * F.sin(angle(k % segments)), 3)))
+    ring = F.transform(
+        F.sequence(F.lit(0), F.lit(segments)),
+        lambda k: F.array(F.round(F.col("x") + radius * F.cos(angle(k % segments)), 3), F.round(F.col("y") + radius * F.sin(angle(k % segments)), 3)),
+    )
     return points.withColumn("ring", ring)

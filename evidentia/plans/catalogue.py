@@ -13,7 +13,13 @@ def t(spark, d, name):
 
 
 def search(s, d):
-    c = t(s, d, "documents").select("doc_id", F.col("lang").alias("category"), F.lower("text").alias("search_text"), F.lit("ready").alias("status"), (F.col("n_chars") > 100).alias("runnable"))
+    c = t(s, d, "documents").select(
+        "doc_id",
+        F.col("lang").alias("category"),
+        F.lower("text").alias("search_text"),
+        F.lit("ready").alias("status"),
+        (F.col("n_chars") > 100).alias("runnable"),
+    )
     return ca.catalogue_search(c, "  The TH", "en", True).select("doc_id")
 
 
@@ -26,7 +32,10 @@ def get(s, d):
 
 def opened(s, d):
     n = F.col("doc_id")
-    path = F.when(n % 13 != 0, F.concat(F.lit("dir.md/"), n.cast("string"), F.element_at(F.array(*map(F.lit, (".md", ".bin", ".PDB", "", ".png"))), (n % 5 + 1).cast("int"))))
+    path = F.when(
+        n % 13 != 0,
+        F.concat(F.lit("dir.md/"), n.cast("string"), F.element_at(F.array(*map(F.lit, (".md", ".bin", ".PDB", "", ".png"))), (n % 5 + 1).cast("int"))),
+    )
     media = F.element_at(F.array(*map(F.lit, ("text/plain", "image/png", "chemical/x-mmcif", "application/octet-stream"))), (n % 4 + 1).cast("int"))
     f = t(s, d, "documents").select("doc_id", path.alias("path"), media.alias("media_type"), F.col("text").alias("content"))
     return ca.open_bounded(f.drop("doc_id"), 4096).select("path", "bytes", F.octet_length("content").cast("long").alias("opened"), "truncated", "note")
@@ -37,12 +46,22 @@ def path_column():
 
 
 def escapes(s, d):
-    p = t(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("a/../.."), path_column())).when(F.col("page_id") % 3 == 1, path_column()).otherwise(F.substring(path_column(), F.lit(2), F.length("url"))).alias("path"))
+    p = t(s, d, "pages").select(
+        "page_id",
+        F.when(
+            F.col("page_id") % 3 == 0,
+            F.concat(F.lit("a/../.."), path_column()),
+        ).when(F.col("page_id") % 3 == 1, path_column()).otherwise(F.substring(path_column(), F.lit(2), F.length("url"))).alias("path"),
+    )
     return p.select("page_id", tx.path_problem(F.col("path")).alias("problem"))
 
 
 def regions(s, d):
-    o = t(s, d, "orders").select((F.col("o_custkey") % 10).alias("accession"), "o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("start"))
+    o = t(s, d, "orders").select(
+        (F.col("o_custkey") % 10).alias("accession"),
+        "o_orderkey",
+        F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("start"),
+    )
     f = o.withColumn("end", F.col("start") + F.col("o_orderkey") % 7)
     r = s.range(10).select(F.col("id").alias("accession"), F.explode(F.array(*(F.lit(x) for x in (1500, 2500, 3500)))).alias("region_start"))
     r = r.withColumn("region_end", F.col("region_start") + 30)
@@ -50,12 +69,19 @@ def regions(s, d):
 
 
 def claims_input(s, d):
-    return t(s, d, "documents").select(F.col("doc_id").alias("case_id"), F.lit("observation").alias("kind"), F.posexplode(F.split("text", "\n")).alias("ordinal", "statement"))
+    return t(s, d, "documents").select(
+        F.col("doc_id").alias("case_id"),
+        F.lit("observation").alias("kind"),
+        F.posexplode(F.split("text", "\n")).alias("ordinal", "statement"),
+    )
 
 
 def sections(s, d):
     lines = F.split("text", "\n")
-    return t(s, d, "documents").select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("##  H"), (i % 3).cast("string"), F.lit(" \n"), x)), "\n").alias("text"))
+    return t(s, d, "documents").select(
+        "doc_id",
+        F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("##  H"), (i % 3).cast("string"), F.lit(" \n"), x)), "\n").alias("text"),
+    )
 
 
 def sectioned(s, d):
@@ -69,11 +95,20 @@ def case_rows(s, d):
     """Documents as cases: lines are sections in turn; a third of the cases has other headings, half have observations."""
     docs, n = t(s, d, "documents"), F.col("doc_id")
     heads = F.array(*(F.when(n % 3 == 0, F.lit(o)).otherwise(F.lit(h)) for o, h in (("Other", "Source observations"), ("Else", "Computed results"), ("Interpretation", "Interpretation"), ("Limitation", "Limitations"))))
-    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("## "), F.element_at(heads, (i % 4 + 1).cast("int")), F.lit("\n"), x)), "\n")
+    text = F.array_join(
+        F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("## "), F.element_at(heads, (i % 4 + 1).cast("int")), F.lit("\n"), x)),
+        "\n",
+    )
     own = F.when(n % 2 == 0, F.array(F.concat(F.lit(" "), F.substring_index("text", "\n", 1)), F.lit("Fixed. "), F.lit("")))
     limits = F.when(n % 5 == 0, F.array(F.lit("One."), F.lit("Two."), F.lit(" One.")))
     none = F.lit(None).cast("array<string>")
-    cases = docs.select(n.alias("case_id"), F.col("source").alias("summary"), own.alias("observations"), none.alias("interpretation"), limits.alias("limitations"))
+    cases = docs.select(
+        n.alias("case_id"),
+        F.col("source").alias("summary"),
+        own.alias("observations"),
+        none.alias("interpretation"),
+        limits.alias("limitations"),
+    )
     return ca.case_statements(cases, ca.markdown_sections(docs.select("doc_id", text.alias("text"))))
 
 
@@ -88,7 +123,15 @@ def claims(s, d):
 
 def search_texts(s, d):
     docs = t(s, d, "documents")
-    cases = docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("summary"), F.concat(F.lit(" "), "source").alias("question"), F.col("lang").alias("category"), F.lit("Plugin").alias("plugin_name"), F.array("source", F.lit("HTTP://x"), F.lit("")).alias("sources"))
+    cases = docs.select(
+        "doc_id",
+        F.col("source").alias("title"),
+        F.col("text").alias("summary"),
+        F.concat(F.lit(" "), "source").alias("question"),
+        F.col("lang").alias("category"),
+        F.lit("Plugin").alias("plugin_name"),
+        F.array("source", F.lit("HTTP://x"), F.lit("")).alias("sources"),
+    )
     return ca.search_text(cases).select("doc_id", F.sha2("search_text", 256).alias("search_text"))
 
 
@@ -107,7 +150,10 @@ def validated(s, d):
     kinds = {
         "image/svg+xml": (F.concat(F.lit("<svg w>"), "html", F.lit("</svg>")), F.concat(F.lit("<svgx>"), "html", F.lit("</svg>"))),
         "chemical/x-mmcif": (F.concat(F.lit("data_x\n_atom_site.id\n"), "html"), F.concat(F.lit(" data_x\n_atom_site.id\n"), "html")),
-        "text/x-genbank": (F.concat(F.lit("LOCUS x\n"), "html", F.lit("\nORIGIN \n1 acg\n//\n")), F.concat(F.lit("LOCUS x\n"), "html", F.lit("\nORIGIN\n1 acg\n"))),
+        "text/x-genbank": (
+            F.concat(F.lit("LOCUS x\n"), "html", F.lit("\nORIGIN \n1 acg\n//\n")),
+            F.concat(F.lit("LOCUS x\n"), "html", F.lit("\nORIGIN\n1 acg\n")),
+        ),
         "text/x-newick": (F.lit(" ((a,b),c); "), F.lit("(a))(;")),
         "text/x-fasta": (F.lit(">a b\nAC-*\n\nGT\n>c\nA?.\n"), F.lit(">a\n>b\nAC\n")),
         "text/csv": (F.lit('a,b\n1,"x,""\ny"\n'), F.lit("a,b\n1\n")),
@@ -135,21 +181,60 @@ QUERIES = {
     "f9_citation_check": lambda s, d: t(s, d, "pages").select("page_id", F.col("url").rlike("^https?://").alias("is_citation")),
     "f10_validate_contents": validated,
     "f10_validate_html": lambda s, d: t(s, d, "pages").select("page_id", tx.content_ok(F.lit("text/html"), F.col("html")).alias("ok")),
-    "f10_validate_json": lambda s, d: t(s, d, "events").select("event_id", tx.content_ok(F.lit("application/json"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))).alias("ok")),
-    "j5_with_category": lambda s, d: ca.with_category(t(s, d, "nation"), t(s, d, "region").where("r_regionkey <> 2").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")[0].select("n_nationkey", "r_name"),
-    "j15_case_index": lambda s, d: ca.case_index(t(s, d, "conversations").select(F.col("conv_id").alias("case_id")).distinct().select("case_id", F.concat(F.lit("README-"), "case_id").alias("readme"), F.lit("prompt").alias("prompt")), t(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), F.col("role").alias("path"))).withColumn("paths", F.array_join("paths", ",")),
-    "w5_dedupe_keep_first": lambda s, d: ca.dedupe_keep_first(t(s, d, "documents"), ["text"], F.when(F.col("lang") == "en", 0).otherwise(1), F.col("doc_id")).select("doc_id"),
-    "w6_number_claims": lambda s, d: ca.number_claims(t(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("role").alias("kind"), F.col("turn").alias("ordinal"))).select("case_id", "ordinal", "claim_id"),
-    "u1_unique_statements": lambda s, d: hashed(ca.unique_statements(claims_input(s, d)).select("case_id", "statement", F.col("ordinal").cast("long").alias("ordinal")), "statement"),
-    "u2_statements_not_in_section": lambda s, d: ca.statements_not_in_section(t(s, d, "benchmark").select((F.col("item_id") % 20).alias("case_id"), "item_id", F.col("text").alias("statement")), t(s, d, "documents").select((F.col("doc_id") % 20).alias("case_id"), "doc_id", F.col("text").alias("section_text"))).groupBy("item_id").agg(F.count("*").alias("missing")),
+    "f10_validate_json": lambda s, d: t(s, d, "events").select(
+        "event_id",
+        tx.content_ok(F.lit("application/json"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))).alias("ok"),
+    ),
+    "j5_with_category": lambda s, d: ca.with_category(
+        t(s, d, "nation"),
+        t(s, d, "region").where("r_regionkey <> 2").withColumnRenamed("r_regionkey", "n_regionkey"),
+        "n_regionkey",
+    )[0].select("n_nationkey", "r_name"),
+    "j15_case_index": lambda s, d: ca.case_index(
+        t(s, d, "conversations").select(F.col("conv_id").alias("case_id")).distinct().select(
+            "case_id",
+            F.concat(F.lit("README-"), "case_id").alias("readme"),
+            F.lit("prompt").alias("prompt"),
+        ),
+        t(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), F.col("role").alias("path")),
+    ).withColumn("paths", F.array_join("paths", ",")),
+    "w5_dedupe_keep_first": lambda s, d: ca.dedupe_keep_first(
+        t(s, d, "documents"),
+        ["text"],
+        F.when(F.col("lang") == "en", 0).otherwise(1),
+        F.col("doc_id"),
+    ).select("doc_id"),
+    "w6_number_claims": lambda s, d: ca.number_claims(t(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("role").alias("kind"), F.col("turn").alias("ordinal"))).select(
+        "case_id",
+        "ordinal",
+        "claim_id",
+    ),
+    "u1_unique_statements": lambda s, d: hashed(
+        ca.unique_statements(claims_input(s, d)).select("case_id", "statement", F.col("ordinal").cast("long").alias("ordinal")),
+        "statement",
+    ),
+    "u2_statements_not_in_section": lambda s, d: ca.statements_not_in_section(
+        t(s, d, "benchmark").select((F.col("item_id") % 20).alias("case_id"), "item_id", F.col("text").alias("statement")),
+        t(s, d, "documents").select((F.col("doc_id") % 20).alias("case_id"), "doc_id", F.col("text").alias("section_text")),
+    ).groupBy("item_id").agg(F.count("*").alias("missing")),
     "t1_markdown_sections": lambda s, d: hashed(sectioned(s, d), "body"),
     "t2_clean_markdown": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(tx.clean_markdown(F.concat(F.lit(MARKED), "text")), 256).alias("cleaned")),
-    "t3_split_statements": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(F.array_join(tx.split_statements(F.concat(F.lit("One * two. 3 is\n- four -five"), "text")), "|"), 256).alias("statements")),
+    "t3_split_statements": lambda s, d: t(s, d, "documents").select(
+        "doc_id",
+        F.sha2(F.array_join(tx.split_statements(F.concat(F.lit("One * two. 3 is\n- four -five"), "text")), "|"), 256).alias("statements"),
+    ),
     "t4_first_section": lambda s, d: hashed(ca.first_section(sectioned(s, d), ["h2", "h0"]), "body"),
     "t5_build_claims": claims,
     "t5_search_text": search_texts,
-    "t10_numbers_from_text": lambda s, d: t(s, d, "documents").select("doc_id", tx.number_in(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "12345678901234").otherwise("")), r"([0-9]+)").alias("number")),
-    "t11_media_type": lambda s, d: t(s, d, "pages").select("page_id", tx.media_type(paths()).alias("media_type"), tx.final_role(F.concat(paths(), F.when(F.col("page_id") % 3 == 0, ".Provenance.json").otherwise("")), F.lit("output")).alias("role")),
+    "t10_numbers_from_text": lambda s, d: t(s, d, "documents").select(
+        "doc_id",
+        tx.number_in(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "12345678901234").otherwise("")), r"([0-9]+)").alias("number"),
+    ),
+    "t11_media_type": lambda s, d: t(s, d, "pages").select(
+        "page_id",
+        tx.media_type(paths()).alias("media_type"),
+        tx.final_role(F.concat(paths(), F.when(F.col("page_id") % 3 == 0, ".Provenance.json").otherwise("")), F.lit("output")).alias("role"),
+    ),
     "a1_count_by_media_type": lambda s, d: t(s, d, "pages").groupBy(tx.media_type(paths()).alias("media_type")).agg(F.count("*").alias("files")),
 }
 
@@ -160,7 +245,14 @@ PATH = "regexp_extract(url, '^\\w+://[^/]*(.*)$', 1)"
 
 
 def cleaned(x: str) -> str:
-    for pattern, to in (("(?m)^!\\[[^\\]]*\\]\\([^)]*\\)\\s*$", ""), ("(?m)^[-*]\\s+", ""), ("`([^`]+)`", "\\1"), ("\\[([^\\]]+)\\]\\([^)]+\\)", "\\1"), ("\\*\\*([^*]+)\\*\\*", "\\1"), ("\\s+", " ")):
+    for pattern, to in (
+        ("(?m)^!\\[[^\\]]*\\]\\([^)]*\\)\\s*$", ""),
+        ("(?m)^[-*]\\s+", ""),
+        ("`([^`]+)`", "\\1"),
+        ("\\[([^\\]]+)\\]\\([^)]+\\)", "\\1"),
+        ("\\*\\*([^*]+)\\*\\*", "\\1"),
+        ("\\s+", " "),
+    ):
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return f"trim({x})"
 
@@ -193,12 +285,16 @@ SELECT doc_id AS case_id, doc_id || ':' || kind || ':' || number AS claim_id, ki
 
 SQL = {
     "f1_catalogue_search": "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 100 AND contains(lower(text), 'the th')",
-    "f2_catalogue_get": "WITH i AS (SELECT DISTINCT l_partkey * 2 AS id FROM lineitem) SELECT id, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'found' END AS state FROM i LEFT JOIN part ON p_partkey = id",
+    "f2_catalogue_get": """WITH i AS (SELECT DISTINCT l_partkey * 2 AS id
+FROM lineitem) SELECT id, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'found' END AS state
+FROM i
+LEFT JOIN part ON p_partkey = id""",
     "f3_artifacts_by_role": "SELECT role, count(*) AS artifacts FROM conversations GROUP BY role",
     "f4_open_bounded": """WITH f AS (SELECT CASE WHEN doc_id % 13 <> 0 THEN 'dir.md/' || doc_id || (['.md', '.bin', '.PDB', '', '.png'])[doc_id % 5 + 1] END AS path, strlen(text) AS n, doc_id % 4 IN (0, 2) OR doc_id % 5 IN (0, 2) AS plain FROM documents)
 SELECT path, CASE WHEN path IS NOT NULL THEN n END AS bytes, CASE WHEN path IS NOT NULL AND plain AND n <= 4096 THEN n END AS opened, CASE WHEN path IS NOT NULL THEN n > 4096 END AS truncated,
 CASE WHEN path IS NULL THEN 'This artifact is represented by a resource reference.' WHEN NOT plain THEN 'Binary artifact; use the scientific viewer or package file.' WHEN n > 4096 THEN 'Text exceeds the 4096-byte display limit.' END AS note FROM f""",
-    "f5_path_escape": f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'escaping' WHEN 1 THEN CASE WHEN trim({PATH}) = '' THEN 'blank' ELSE 'absolute' END ELSE CASE WHEN length(trim({PATH})) < 2 THEN 'blank' END END AS problem FROM pages",
+    "f5_path_escape": f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'escaping' WHEN 1 THEN CASE WHEN trim({PATH}) = '' THEN 'blank' ELSE 'absolute' END ELSE CASE WHEN length(trim({PATH})) < 2 THEN 'blank' END END AS problem
+FROM pages""",
     "f6_features_in_region": """WITH f AS (SELECT o_custkey % 10 AS accession, o_orderkey, (o_orderdate::DATE - DATE '1990-01-01')::BIGINT AS s FROM orders), r AS (SELECT unnest([1500, 2500, 3500])::INTEGER AS region_start)
 SELECT accession, region_start, o_orderkey FROM f, r WHERE s <= region_start + 30 AND s + o_orderkey % 7 >= region_start""",
     "f9_citation_check": "SELECT page_id, regexp_matches(url, '^https?://') AS is_citation FROM pages",
@@ -208,16 +304,27 @@ SELECT accession, region_start, o_orderkey FROM f, r WHERE s <= region_start + 3
     "j5_with_category": "SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 2",
     "j15_case_index": "SELECT conv_id AS case_id, 'README-' || conv_id || ',prompt,' || string_agg(role, ',' ORDER BY turn, role) AS paths FROM conversations GROUP BY conv_id",
     "w5_dedupe_keep_first": "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) = 1",
-    "w6_number_claims": "SELECT conv_id AS case_id, turn AS ordinal, conv_id || ':' || role || ':' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS claim_id FROM conversations",
-    "u1_unique_statements": "WITH l AS (SELECT doc_id AS case_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, trim(unnest(string_split(text, chr(10)))) AS s FROM documents) SELECT case_id, sha256(s) AS statement, min(ordinal) AS ordinal FROM l WHERE s <> '' GROUP BY case_id, s",
-    "u2_statements_not_in_section": "SELECT item_id, count(*) AS missing FROM benchmark b JOIN documents d ON item_id % 20 = doc_id % 20 AND NOT contains(d.text, trim(regexp_replace(b.text, '[ \\t\\r\\n]+', ' ', 'g'))) GROUP BY item_id",
+    "w6_number_claims": """SELECT conv_id AS case_id, turn AS ordinal, conv_id || ':' || role || ':' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS claim_id
+FROM conversations""",
+    "u1_unique_statements": """WITH l AS (SELECT doc_id AS case_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, trim(unnest(string_split(text, chr(10)))) AS s
+FROM documents) SELECT case_id, sha256(s) AS statement, min(ordinal) AS ordinal
+FROM l
+WHERE s <> ''
+GROUP BY case_id, s""",
+    "u2_statements_not_in_section": """SELECT item_id, count(*) AS missing
+FROM benchmark b JOIN documents d ON item_id % 20 = doc_id % 20 AND NOT contains(d.text, trim(regexp_replace(b.text, '[ \\t\\r\\n]+', ' ', 'g')))
+GROUP BY item_id""",
     "t1_markdown_sections": f"{SECTIONS} SELECT doc_id, heading, sha256(body) AS body FROM m",
     "t2_clean_markdown": f"SELECT doc_id, sha256({cleaned(MARKED_SQL)}) AS cleaned FROM documents",
     "t3_split_statements": f"""SELECT doc_id, sha256(array_to_string({statements("'One * two. 3 is' || chr(10) || '- four -five' || text")}, '|')) AS statements FROM documents""",
     "t5_build_claims": CLAIMS,
     "t5_search_text": f"""SELECT doc_id, sha256(lower(array_to_string({once("[coalesce(source, ''), coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ''), coalesce(' ' || source, ''), coalesce(lang, ''), 'Plugin', coalesce(source, ''), 'HTTP://x']")}, ' '))) AS search_text FROM documents""",
-    "t4_first_section": f"{SECTIONS} SELECT doc_id, arg_min(heading, CASE heading WHEN 'h2' THEN 0 ELSE 1 END) AS heading, sha256(arg_min(body, CASE heading WHEN 'h2' THEN 0 ELSE 1 END)) AS body FROM m WHERE heading IN ('h2', 'h0') AND body <> '' GROUP BY doc_id",
-    "t10_numbers_from_text": "SELECT doc_id, try_cast(nullif(regexp_extract(text || CASE WHEN doc_id % 2 = 0 THEN '12345678901234' ELSE '' END, '([0-9]+)', 1), '') AS DOUBLE) AS number FROM documents",
+    "t4_first_section": f"""{SECTIONS} SELECT doc_id, arg_min(heading, CASE heading WHEN 'h2' THEN 0 ELSE 1 END) AS heading, sha256(arg_min(body, CASE heading WHEN 'h2' THEN 0 ELSE 1 END)) AS body
+FROM m
+WHERE heading IN ('h2', 'h0') AND body <> ''
+GROUP BY doc_id""",
+    "t10_numbers_from_text": """SELECT doc_id, try_cast(nullif(regexp_extract(text || CASE WHEN doc_id % 2 = 0 THEN '12345678901234' ELSE '' END, '([0-9]+)', 1), '') AS DOUBLE) AS number
+FROM documents""",
     "t11_media_type": f"SELECT page_id, {MEDIA} AS media_type, CASE WHEN page_id % 3 = 0 THEN 'provenance' ELSE 'output' END AS role FROM pages",
     "a1_count_by_media_type": f"SELECT {MEDIA} AS media_type, count(*) AS files FROM pages GROUP BY 1",
 }

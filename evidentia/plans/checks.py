@@ -45,32 +45,61 @@ def rollup(s, d):
 
 def stale(s, d):
     sha = F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).when(F.col("doc_id") % 3 == 1, F.lit("0"))
-    return ck.stale_metadata(t(s, d, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 6 != 5, F.col("n_chars")).alias("bytes"), sha.alias("sha256")), stats(s, d))
+    return ck.stale_metadata(
+        t(s, d, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 6 != 5, F.col("n_chars")).alias("bytes"), sha.alias("sha256")),
+        stats(s, d),
+    )
 
 
 def review(s, d):
     c = t(s, d, "conversations")
-    kind = F.when(F.col("role") == "user", "observation").when(F.col("role") == "assistant", "computed").when(F.col("turn") == 0, "interpretation").otherwise("limitation")
-    statements = c.select((F.col("conv_id") % 50).alias("case_id"), kind.alias("kind"), F.struct("conv_id", "turn", "text").alias("ordinal"), F.col("text").alias("statement"))
-    sources = t(s, d, "pages").select((F.col("page_id") % 60).alias("case_id"), F.col("page_id").alias("ordinal"), F.when(F.col("page_id") % 3 == 0, "DOI").otherwise(F.col("url")).alias("source"))
+    kind = F.when(F.col("role") == "user", "observation").when(
+        F.col("role") == "assistant",
+        "computed",
+    ).when(F.col("turn") == 0, "interpretation").otherwise("limitation")
+    statements = c.select(
+        (F.col("conv_id") % 50).alias("case_id"),
+        kind.alias("kind"),
+        F.struct("conv_id", "turn", "text").alias("ordinal"),
+        F.col("text").alias("statement"),
+    )
+    sources = t(s, d, "pages").select(
+        (F.col("page_id") % 60).alias("case_id"),
+        F.col("page_id").alias("ordinal"),
+        F.when(F.col("page_id") % 3 == 0, "DOI").otherwise(F.col("url")).alias("source"),
+    )
     held = artifacts(s, d).select("case_id", F.col("artifact_id").alias("ordinal"), F.col("artifact_id").cast("string").alias("artifact_id"))
     held = held.unionByName(held.where("ordinal % 9 = 0").withColumn("artifact_id", F.concat(F.lit("x"), "artifact_id")))
     out = ck.review_report(statements, sources, held, sizes(s, d))
     joined = lambda rows, text: F.sha2(F.array_join(F.transform(rows, text), "|"), 256)
     texts = [joined(c, lambda x: x).alias(c) for c in ck.REVIEW.values()]
     cited = joined("citation_checks", lambda x: F.concat(x["source"], x["valid"].cast("string"))).alias("citation_checks")
-    return out.select("case_id", *texts, cited, joined("artifact_checks", lambda x: F.concat(x["artifact_id"], x["present"].cast("string"), x["note"])).alias("artifact_checks"))
+    return out.select(
+        "case_id",
+        *texts,
+        cited,
+        joined("artifact_checks", lambda x: F.concat(x["artifact_id"], x["present"].cast("string"), x["note"])).alias("artifact_checks"),
+    )
 
 
 QUERIES = {
     "s3_scan_files": lambda s, d: stats(s, d),
-    "j1_unresolved_refs": lambda s, d: ck.unresolved_claim_refs(t(s, d, "documents").select((F.col("doc_id") % 3).alias("case_id"), F.col("doc_id").alias("artifact_id")), t(s, d, "labels").select((F.col("doc_id") % 3).alias("case_id"), F.col("doc_id").alias("artifact_id"))),
-    "j2_missing_files": lambda s, d: ck.missing_recipe_files(t(s, d, "orders").select(F.col("o_orderkey").alias("path")), t(s, d, "lineitem").select(F.col("l_orderkey").alias("path")))[0],
+    "j1_unresolved_refs": lambda s, d: ck.unresolved_claim_refs(
+        t(s, d, "documents").select((F.col("doc_id") % 3).alias("case_id"), F.col("doc_id").alias("artifact_id")),
+        t(s, d, "labels").select((F.col("doc_id") % 3).alias("case_id"), F.col("doc_id").alias("artifact_id")),
+    ),
+    "j2_missing_files": lambda s, d: ck.missing_recipe_files(
+        t(s, d, "orders").select(F.col("o_orderkey").alias("path")),
+        t(s, d, "lineitem").select(F.col("l_orderkey").alias("path")),
+    )[0],
     "j3_artifact_size_check": sizes,
     "j4_stale_metadata": stale,
     "u4_all_checks": every_check,
     "a14_validation_rollup": rollup,
-    "a2_release_checks": lambda s, d: ck.release_checks(t(s, d, "part").select((F.col("p_partkey") % 1500).alias("case_id"), (F.col("p_size") > 0).alias("ready")), 2000),
+    "a2_release_checks": lambda s, d: ck.release_checks(
+        t(s, d, "part").select((F.col("p_partkey") % 1500).alias("case_id"), (F.col("p_size") > 0).alias("ready")),
+        2000,
+    ),
     "a15_review_report": review,
 }
 

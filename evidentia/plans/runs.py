@@ -56,11 +56,23 @@ def providers(s, d):
 
 def readiness(s, d):
     out = runs.provider_readiness(providers(s, d))
-    return out.select("provider_id", "installed", "credential_required", "credential_configured", "runnable", F.col("estimated_cost.max").alias("cost_max"), F.array_join("diagnostics", " ").alias("diagnostics"), runs.confirmation_reason(F.col("kind")).alias("reason"))
+    return out.select(
+        "provider_id",
+        "installed",
+        "credential_required",
+        "credential_configured",
+        "runnable",
+        F.col("estimated_cost.max").alias("cost_max"),
+        F.array_join("diagnostics", " ").alias("diagnostics"),
+        runs.confirmation_reason(F.col("kind")).alias("reason"),
+    )
 
 
 def report(s, d):
-    cases = t(s, d, "nation").select(F.col("n_nationkey").alias("case_id"), F.when(F.col("n_nationkey") % 4 != 0, F.array(F.col("n_nationkey").cast("string"))).alias("provider_ids"))
+    cases = t(s, d, "nation").select(
+        F.col("n_nationkey").alias("case_id"),
+        F.when(F.col("n_nationkey") % 4 != 0, F.array(F.col("n_nationkey").cast("string"))).alias("provider_ids"),
+    )
     return runs.provider_report(cases, providers(s, d)).select("case_id", "provider_id", "s_nationkey")
 
 
@@ -85,14 +97,18 @@ COUNTS = f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, {STATE} AS s
 SQL = {
     "w9_run_event_audit": AUDIT,
     "w10_latest_run_state": LATEST,
-    "u3_missing_acknowledgements": f"WITH g AS (SELECT user_id AS run_id, list(DISTINCT {STATE}) AS given FROM events GROUP BY 1) SELECT run_id, array_to_string(list_filter(['failed', 'refund', 'running'], lambda r: NOT list_contains(given, r)), ',') AS missing FROM g",
+    "u3_missing_acknowledgements": f"""WITH g AS (SELECT user_id AS run_id, list(DISTINCT {STATE}) AS given
+FROM events
+GROUP BY 1) SELECT run_id, array_to_string(list_filter(['failed', 'refund', 'running'], lambda r: NOT list_contains(given, r)), ',') AS missing
+FROM g""",
     "f7_provider_readiness": """WITH p AS (SELECT s_suppkey::VARCHAR AS provider_id, s_nationkey % 4 AS k, s_suppkey % 3 <> 0 OR (s_suppkey % 2 = 0 AND s_acctbal > 0) AS c,
   s_nationkey % 4 <> 1 OR s_suppkey % 5 <> 0 AS e, s_nationkey % 4 < 2 OR s_suppkey % 7 <> 0 AS a, s_nationkey % 4 <> 3 OR s_suppkey % 11 <> 0 AS g FROM supplier)
 SELECT provider_id, c AND e AS installed, k >= 2 AS credential_required, a AS credential_configured, c AND e AND a AND g AS runnable, CASE WHEN k = 2 THEN 2.0::DOUBLE END AS cost_max,
   array_to_string(list_filter([CASE WHEN NOT c THEN 'Required command is unavailable: tool.' END, CASE WHEN NOT e THEN 'Live source is not authorized; configure ENABLE to enable it.' END, CASE WHEN NOT a THEN 'Credential is not configured: TOKEN.' END,
     CASE WHEN NOT g THEN 'Remote target is not configured: TARGET.' END, CASE WHEN c AND e AND a AND g THEN 'Provider prerequisites are available.' END], lambda n: n IS NOT NULL), ' ') AS diagnostics,
   CASE k WHEN 2 THEN 'This provider may create billable API usage.' WHEN 3 THEN 'This provider may start a GPU workload.' END AS reason FROM p""",
-    "j6_provider_report": "SELECT n_nationkey AS case_id, s_suppkey::VARCHAR AS provider_id, s_nationkey FROM nation JOIN supplier ON n_nationkey % 4 = 0 OR s_suppkey = n_nationkey",
+    "j6_provider_report": """SELECT n_nationkey AS case_id, s_suppkey::VARCHAR AS provider_id, s_nationkey
+FROM nation JOIN supplier ON n_nationkey % 4 = 0 OR s_suppkey = n_nationkey""",
     "st3_overdue_runs_batch": """WITH r AS (SELECT user_id AS run_id, min(ts) AS started, min(ts) FILTER (WHERE event_type = 'purchase') AS ended FROM events GROUP BY 1)
 SELECT run_id, epoch_us(started) AS started_us FROM r, (SELECT max(ts) AS now FROM events) WHERE started + INTERVAL 30 MINUTE < now AND (ended IS NULL OR ended > started + INTERVAL 30 MINUTE)""",
     "st6_state_counts_batch": COUNTS,

@@ -13,13 +13,24 @@ from evidentia.operators import sequence as sq
 def alignment(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet")
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "-")
-    rows = t.select(F.floor(F.col("doc_id") / 4).alias("alignment_id"), (F.col("doc_id") % 4).alias("row_no"), F.col("doc_id").alias("seq_id"), text.alias("sequence"))
+    rows = t.select(
+        F.floor(F.col("doc_id") / 4).alias("alignment_id"),
+        (F.col("doc_id") % 4).alias("row_no"),
+        F.col("doc_id").alias("seq_id"),
+        text.alias("sequence"),
+    )
     longest = F.max(F.length("sequence")).over(Window.partitionBy("alignment_id"))
     return rows.withColumn("sequence", F.rpad("sequence", longest, F.lit("-")))
 
 
 def reads(spark, d):
-    return spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") % 10).alias("file"), "conv_id", "turn", F.col("text").alias("seq"), F.col("text").alias("qual"))
+    return spark.read.parquet(f"{d}/conversations.parquet").select(
+        (F.col("conv_id") % 10).alias("file"),
+        "conv_id",
+        "turn",
+        F.col("text").alias("seq"),
+        F.col("text").alias("qual"),
+    )
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -29,14 +40,24 @@ AS_BASES = ("ACGT" * 7)[:26]
 def cds(spark, d):
     """Two features of each document: its sequence after the first codon, translated by the frame of the text itself. Every
     third translation is right, every third is one residue short, the others are missing."""
-    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("accession"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES).alias("sequence"))
+    t = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.col("doc_id").alias("accession"),
+        F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES).alias("sequence"),
+    )
     # the features' translations come from a table that other tools would have written: here from SQL text functions
     codon = F.expr("transform(sequence(0, greatest(0, length(dna) div 3 - 1)), k -> substring('" + sq.AMINO_ACIDS + "', 1 + 16 * (locate(substring(dna, 3 * k + 1, 1), 'TCAG') - 1) + 4 * (locate(substring(dna, 3 * k + 2, 1), 'TCAG') - 1) + locate(substring(dna, 3 * k + 3, 1), 'TCAG') - 1, 1))")
     dna = F.substring(F.col("sequence"), F.lit(4), F.length("sequence"))
     rows = t.withColumn("dna", F.when(F.col("accession") % 2 == 1, F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna))
     protein = F.regexp_replace(F.when(F.length("dna") >= 3, F.array_join(codon, "")).otherwise(""), r"\*$", "")
     said = F.when(F.col("accession") % 3 == 0, protein).when(F.col("accession") % 3 == 1, F.concat(protein, F.lit("M")))
-    f = rows.select("accession", F.lit(1).alias("feature_no"), F.lit(4).alias("start"), F.length("sequence").alias("end"), (F.col("accession") % 2 == 1).alias("complement"), said.alias("translation"))
+    f = rows.select(
+        "accession",
+        F.lit(1).alias("feature_no"),
+        F.lit(4).alias("start"),
+        F.length("sequence").alias("end"),
+        (F.col("accession") % 2 == 1).alias("complement"),
+        said.alias("translation"),
+    )
     return sq.cds_translation_check(f, t)
 
 
@@ -44,18 +65,47 @@ def mutations(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.upper("p_name").alias("n"), "p_size")
     wrong = F.when(F.col("p_size") % 3 == 0, F.lit("#")).otherwise(F.substring("n", 3, 1))
     m = F.when(F.col("p_size") % 5 == 0, F.lit("WT")).otherwise(F.concat(F.substring("n", 1, 1), F.lit("1C;"), wrong, F.lit("3W")))
-    got = F.when(F.col("p_size") % 5 == 0, F.col("n")).otherwise(F.concat(F.lit("C"), F.substring("n", 2, 1), F.lit("W"), F.substring(F.col("n"), F.lit(4), F.length("n"))))
+    got = F.when(F.col("p_size") % 5 == 0, F.col("n")).otherwise(F.concat(
+        F.lit("C"),
+        F.substring("n", 2, 1),
+        F.lit("W"),
+        F.substring(F.col("n"), F.lit(4), F.length("n")),
+    ))
     got = F.when(F.col("p_size") % 7 == 0, F.concat(got, F.lit("C"))).otherwise(got)
     c = p.select(F.col("p_partkey").alias("candidate"), F.col("p_partkey").alias("parent"), m.alias("mutations"), got.alias("sequence"))
     return sq.mutation_check(c, p.select(F.col("p_partkey").alias("parent"), F.col("n").alias("parent_sequence")))
 
 
 QUERIES = {
-    "j9_p_distance": lambda s, d: sq.p_distance(alignment(s, d)).select("alignment_id", "seq_i", "seq_j", "compared", "mismatches", F.round("distance", 6).alias("distance")),
-    "j10_triplet_branches": lambda s, d: sq.triplet_branch_lengths(sq.p_distance(alignment(s, d))).select("alignment_id", "i", "j", "k", *(F.round(f"branch_{x}", 6).alias(f"branch_{x}") for x in "ijk")),
-    "a5_column_identity": lambda s, d: sq.mean_identity(sq.column_identity(alignment(s, d))).select("alignment_id", "columns", F.round("mean_identity", 6).alias("mean_identity")),
-    "w7_ungapped_positions": lambda s, d: sq.ungapped_positions(alignment(s, d)).groupBy("alignment_id").agg(F.count("*").alias("columns"), F.max("position").alias("residues"), F.sum(F.col("col") * F.col("position")).alias("weighted")),
-    "w8_conserved_runs": lambda s, d: sq.conserved_runs(alignment(s, d), 2).select("alignment_id", *(F.col(c).cast("long").alias(c) for c in ("first_col", "last_col", "columns", "ref_start", "ref_end"))),
+    "j9_p_distance": lambda s, d: sq.p_distance(alignment(s, d)).select(
+        "alignment_id",
+        "seq_i",
+        "seq_j",
+        "compared",
+        "mismatches",
+        F.round("distance", 6).alias("distance"),
+    ),
+    "j10_triplet_branches": lambda s, d: sq.triplet_branch_lengths(sq.p_distance(alignment(s, d))).select(
+        "alignment_id",
+        "i",
+        "j",
+        "k",
+        *(F.round(f"branch_{x}", 6).alias(f"branch_{x}") for x in "ijk"),
+    ),
+    "a5_column_identity": lambda s, d: sq.mean_identity(sq.column_identity(alignment(s, d))).select(
+        "alignment_id",
+        "columns",
+        F.round("mean_identity", 6).alias("mean_identity"),
+    ),
+    "w7_ungapped_positions": lambda s, d: sq.ungapped_positions(alignment(s, d)).groupBy("alignment_id").agg(
+        F.count("*").alias("columns"),
+        F.max("position").alias("residues"),
+        F.sum(F.col("col") * F.col("position")).alias("weighted"),
+    ),
+    "w8_conserved_runs": lambda s, d: sq.conserved_runs(alignment(s, d), 2).select(
+        "alignment_id",
+        *(F.col(c).cast("long").alias(c) for c in ("first_col", "last_col", "columns", "ref_start", "ref_end")),
+    ),
     "a3_read_quality": lambda s, d: sq.read_quality(reads(s, d), "file").withColumns({c: F.round(c, 6) for c in ("gc_percent", "q30_percent")}),
     "a4_per_base_quality": lambda s, d: sq.per_base_quality(reads(s, d)).withColumns({c: F.round(c, 6) for c in ("mean_quality", "gc", "q30")}),
     "a4_length_histogram": lambda s, d: sq.length_histogram(reads(s, d), 50),
@@ -78,12 +128,15 @@ i AS (SELECT alignment_id, col, list_max(list_transform(r, lambda x: len(list_fi
 POS = """u AS (SELECT alignment_id, col, CASE WHEN r0 <> '-' THEN (sum(CASE WHEN r0 <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY alignment_id ORDER BY col))::BIGINT END AS position FROM c WHERE r0 IS NOT NULL)"""
 
 SQL = {
-    "j9_p_distance": f"{DIST} SELECT alignment_id, 4 * alignment_id + i AS seq_i, 4 * alignment_id + j AS seq_j, compared, mismatches, round(mismatches / compared, 6) AS distance FROM d",
+    "j9_p_distance": f"""{DIST} SELECT alignment_id, 4 * alignment_id + i AS seq_i, 4 * alignment_id + j AS seq_j, compared, mismatches, round(mismatches / compared, 6) AS distance
+FROM d""",
     "j10_triplet_branches": f"""{DIST}, e AS (SELECT *, mismatches / compared AS q FROM d)
 SELECT x.alignment_id, x.i, x.j, z.j AS k, round((x.q + y.q - z.q) / 2, 6) AS branch_i, round((x.q + z.q - y.q) / 2, 6) AS branch_j, round((y.q + z.q - x.q) / 2, 6) AS branch_k
 FROM e x JOIN e y ON x.alignment_id = y.alignment_id AND x.i = y.i JOIN e z ON z.alignment_id = x.alignment_id AND z.i = x.j AND z.j = y.j""",
     "a5_column_identity": f"{SIDE}, {IDENT} SELECT alignment_id, count(*) AS columns, round(avg(top / residues), 6) AS mean_identity FROM i GROUP BY alignment_id",
-    "w7_ungapped_positions": f"{SIDE}, {POS} SELECT alignment_id, count(*) AS columns, max(position) AS residues, sum(col * position)::BIGINT AS weighted FROM u GROUP BY alignment_id",
+    "w7_ungapped_positions": f"""{SIDE}, {POS} SELECT alignment_id, count(*) AS columns, max(position) AS residues, sum(col * position)::BIGINT AS weighted
+FROM u
+GROUP BY alignment_id""",
     "w8_conserved_runs": f"""{SIDE}, {IDENT}, {POS}, h AS (SELECT alignment_id, col, col - row_number() OVER (PARTITION BY alignment_id ORDER BY col) AS island FROM i WHERE top = residues),
 r AS (SELECT alignment_id, min(col) AS first_col, max(col) AS last_col, count(*) AS columns FROM h GROUP BY alignment_id, island HAVING count(*) >= 2)
 SELECT r.*, x.position AS ref_start, y.position AS ref_end FROM r LEFT JOIN u x ON x.alignment_id = r.alignment_id AND x.col = first_col LEFT JOIN u y ON y.alignment_id = r.alignment_id AND y.col = last_col""",
@@ -92,7 +145,8 @@ round(100 * sum(len(regexp_extract_all(text, '[GCgc]'))) / sum(length(text)), 6)
     "a4_per_base_quality": """WITH x AS (SELECT generate_subscripts(string_split(text, ''), 1) AS position, unnest(string_split(text, '')) AS b FROM conversations WHERE text <> '')
 SELECT position, count(*) AS reads, round(avg(unicode(b) - 33), 6) AS mean_quality, round(avg(CASE WHEN regexp_matches(b, '[GCgc]') THEN 1 ELSE 0 END), 6) AS gc, round(avg(CASE WHEN unicode(b) >= 63 THEN 1 ELSE 0 END), 6) AS q30 FROM x GROUP BY 1""",
     "a4_length_histogram": "SELECT length(text) // 50 * 50 AS length, count(*) AS reads FROM conversations GROUP BY 1",
-    "a4_duplicate_rate": "SELECT count(*) AS reads, count(DISTINCT text) AS distinct_reads, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate FROM conversations",
+    "a4_duplicate_rate": """SELECT count(*) AS reads, count(DISTINCT text) AS distinct_reads, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate
+FROM conversations""",
     "w1_first_n": "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
     "t7_cds_translation": f"""WITH s AS (SELECT doc_id AS accession, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}'), 4) AS x FROM documents),
 r AS (SELECT accession, CASE WHEN accession % 2 = 1 THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS dna FROM s),

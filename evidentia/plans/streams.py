@@ -53,7 +53,13 @@ def counts(s, d):
     return out.select(F.unix_seconds("start").alias("start_s"), "state", "events")
 
 
-QUERIES = {"st1_stream_run_audit": audit, "st2_stream_run_status": status, "st3_stream_overdue_runs": overdue, "st4_stream_dedupe": deduped, "st6_stream_state_counts": counts}
+QUERIES = {
+    "st1_stream_run_audit": audit,
+    "st2_stream_run_status": status,
+    "st3_stream_overdue_runs": overdue,
+    "st4_stream_dedupe": deduped,
+    "st6_stream_state_counts": counts,
+}
 
 SQL = {
     "st1_stream_run_audit": plan.AUDIT,

@@ -35,7 +35,11 @@ def load_manifests(spark: SparkSession, glob: str) -> DataFrame:
 
     def entries(role: str, column: str):
         files = F.coalesce(column, F.array().cast(FILE_ENTRY))
-        return F.transform(files, lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("ordinal"), x["path"].alias("path"), x["bytes"].alias("bytes"), x["sha256"].alias("sha256")))
+        return F.transform(
+            files,
+            lambda x,
+            i: F.struct(F.lit(role).alias("role"), i.alias("ordinal"), x["path"].alias("path"), x["bytes"].alias("bytes"), x["sha256"].alias("sha256")),
+        )
 
     roles = F.concat(entries("input", "inputs"), entries("preview", "previews"), entries("output", "outputs"))
     return raw.select(F.col("id").alias("case_id"), F.inline(roles))
@@ -49,11 +53,23 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 def load_fasta(spark: SparkSession, glob: str) -> DataFrame:
     """path, header, id (its first word), sequence; an empty id or sequence, or a letter outside the alphabet, is an error."""
-    text = spark.read.option("lineSep", "\n>").text(glob).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^>", "").alias("v")).where(F.trim("v") != "")
-    rows = text.select("path", F.trim(F.substring_index("v", "\n", 1)).alias("header"), F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))
+    text = spark.read.option("lineSep", "\n>").text(glob).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace("value", "^>", "").alias("v"),
+    ).where(F.trim("v") != "")
+    rows = text.select(
+        "path",
+        F.trim(F.substring_index("v", "\n", 1)).alias("header"),
+        F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"),
+    )
     rows = rows.withColumn("id", F.split("header", r"\s+")[0])
     good = (F.col("id") != "") & F.col("sequence").rlike(r"^[A-Za-z*.\-]+$")
-    return rows.select("path", "header", "id", F.when(good, F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("bad FASTA record "), "header"))).alias("sequence"))
+    return rows.select(
+        "path",
+        "header",
+        "id",
+        F.when(good, F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("bad FASTA record "), "header"))).alias("sequence"),
+    )
 
 
 def load_fastq(spark: SparkSession, glob: str, at_once: int = 4096) -> DataFrame:
@@ -87,20 +103,41 @@ def load_fastq(spark: SparkSession, glob: str, at_once: int = 4096) -> DataFrame
 
 def load_pdb_atoms(spark: SparkSession, glob: str) -> DataFrame:
     """ATOM and HETATM records by their fixed columns; a blank coordinate is null."""
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("value").startswith("ATOM  ") | F.col("value").startswith("HETATM"))
+    lines = spark.read.text(glob).select(
+        F.col("_metadata.file_path").alias("path"),
+        "value",
+    ).where(F.col("value").startswith("ATOM  ") | F.col("value").startswith("HETATM"))
     cut = lambda a, b: F.trim(F.substring("value", a, b - a + 1))
     fields = {"record": (1, 6), "serial": (7, 11), "atom_name": (13, 16), "alt_loc": (17, 17), "res_name": (18, 20), "chain": (22, 22), "res_seq": (23, 27)}
-    return lines.select("path", *(cut(*ab).alias(n) for n, ab in fields.items()), *(cut(*ab).try_cast("double").alias(n) for n, ab in {"x": (31, 38), "y": (39, 46), "z": (47, 54)}.items()))
+    return lines.select(
+        "path",
+        *(cut(*ab).alias(n) for n, ab in fields.items()),
+        *(cut(*ab).try_cast("double").alias(n) for n, ab in {"x": (31, 38), "y": (39, 46), "z": (47, 54)}.items()),
+    )
 
 
 def load_mmcif_atoms(spark: SparkSession, glob: str) -> DataFrame:
     """Atom rows of mmCIF files in the schema of load_pdb_atoms; columns by the order of the header lines of each file."""
     lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n"))
-    heads = lines.where(F.col("value").startswith("_atom_site.")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("value").alias("v")))), lambda x: x["v"]).alias("names"))
-    rows = lines.where(F.col("value").startswith("ATOM ") | F.col("value").startswith("HETATM ")).join(heads, "path").withColumn("f", F.transform(F.regexp_extract_all("value", F.lit(MMCIF_VALUE), F.lit(0)), lambda v: F.regexp_replace(v, MMCIF_QUOTES, "$2")))
+    heads = lines.where(F.col("value").startswith("_atom_site.")).groupBy("path").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("n", F.trim("value").alias("v")))),
+        lambda x: x["v"],
+    ).alias("names"))
+    rows = lines.where(F.col("value").startswith("ATOM ") | F.col("value").startswith("HETATM ")).join(heads, "path").withColumn(
+        "f",
+        F.transform(F.regexp_extract_all("value", F.lit(MMCIF_VALUE), F.lit(0)), lambda v: F.regexp_replace(v, MMCIF_QUOTES, "$2")),
+    )
     at = lambda name: F.get("f", F.array_position("names", "_atom_site." + name).cast("int") - 1)
     plain = lambda c: F.when(~c.isin(".", "?"), c)
-    names = {"record": "group_PDB", "serial": "id", "atom_name": "label_atom_id", "alt_loc": "label_alt_id", "res_name": "label_comp_id", "chain": "auth_asym_id", "res_seq": "auth_seq_id"}
+    names = {
+        "record": "group_PDB",
+        "serial": "id",
+        "atom_name": "label_atom_id",
+        "alt_loc": "label_alt_id",
+        "res_name": "label_comp_id",
+        "chain": "auth_asym_id",
+        "res_seq": "auth_seq_id",
+    }
     return rows.select("path", *(plain(at(v)).alias(k) for k, v in names.items()), *(at(f"Cartn_{c}").try_cast("double").alias(c) for c in "xyz"))
 
 
@@ -134,14 +171,20 @@ def load_genbank_features(spark: SparkSession, glob: str) -> DataFrame:
                         value = q[2] if q[2] is not None else q[3]
                         found.setdefault(q[1], []).append(value.replace(" ", "") if q[1] == "translation" else value)
                     rows.append((accession, n, m[1], "complement" in m[2], int(span[1]) if span else None, int(span[2]) if span else None, found))
-                yield pd.DataFrame(rows, columns=["accession", "feature_no", "type", "complement", "start", "end", "qualifiers"]).astype({"start": "Int32", "end": "Int32"})
+                yield pd.DataFrame(
+                    rows,
+                    columns=["accession", "feature_no", "type", "complement", "start", "end", "qualifiers"],
+                ).astype({"start": "Int32", "end": "Int32"})
 
     return records.mapInPandas(parse, FEATURES)
 
 
 def load_csv_strict(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """Quoted CSV with a header; rows of another width and open quotes are errors."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').option("enforceSchema", False).option("sep", sep).csv(path)
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').option(
+        "enforceSchema",
+        False,
+    ).option("sep", sep).csv(path)
 
 
 def load_geojson(spark: SparkSession, glob: str) -> DataFrame:
@@ -161,5 +204,9 @@ def write_csv_with_provenance(df: DataFrame, path: str, bounds: list[str]) -> Da
     df.write.option("header", True).mode("errorifexists").csv(path)
     written = df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
     totals = written.agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in bounds for n, f in (("min", F.min), ("max", F.max))))
-    files = df.sparkSession.read.format("binaryFile").load(f"{path}/*.csv").select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = df.sparkSession.read.format("binaryFile").load(f"{path}/*.csv").select(
+        "path",
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+    )
     return files.join(F.broadcast(totals))  # totals: one row

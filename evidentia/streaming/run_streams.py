@@ -17,7 +17,14 @@ def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def stream_run_audit(events: DataFrame, transitions: dict = runs.TRANSITIONS, start: str = "draft", noted: tuple = runs.NOTED, lateness: str = "10 minutes", keep_days: int = 30) -> DataFrame:
+def stream_run_audit(
+    events: DataFrame,
+    transitions: dict = runs.TRANSITIONS,
+    start: str = "draft",
+    noted: tuple = runs.NOTED,
+    lateness: str = "10 minutes",
+    keep_days: int = 30,
+) -> DataFrame:
     """Every event with its run's state before it and whether the step is allowed; the last state of each run is kept
     between batches, and dropped once the watermark is keep_days past the run's last event. Within a batch, events are taken in
     order of at and seq."""
@@ -40,7 +47,13 @@ def stream_run_audit(events: DataFrame, transitions: dict = runs.TRANSITIONS, st
         yield pd.DataFrame(out, columns=["run_id", "seq", "previous", "state", "allowed"])
 
     marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
-    return marked.groupBy("run_id").applyInPandasWithState(audit, "run_id long, seq long, previous string, state string, allowed boolean", "last string, newest long", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("run_id").applyInPandasWithState(
+        audit,
+        "run_id long, seq long, previous string, state string, allowed boolean",
+        "last string, newest long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def stream_run_status(events: DataFrame) -> DataFrame:
@@ -73,7 +86,13 @@ def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 3
             state.setTimeoutTimestamp(limit_ms)
 
     marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
-    return marked.groupBy("run_id").applyInPandasWithState(watch, "run_id long, started_us long", "started long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("run_id").applyInPandasWithState(
+        watch,
+        "run_id long, started_us long",
+        "started long, done boolean",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def stream_dedupe(events: DataFrame, keys: list[str], lateness: str) -> DataFrame:

@@ -30,9 +30,16 @@ def test_ras_identity(ras):
 
 def test_lambda_repressor(spark):
     genomes = spark.createDataFrame([("L", LAMBDA)], "accession string, sequence string")
-    features = spark.createDataFrame([("L", 1, 7, 720, True, CI)], "accession string, feature_no int, start int, end int, complement boolean, translation string")
+    features = spark.createDataFrame(
+        [("L", 1, 7, 720, True, CI)],
+        "accession string, feature_no int, start int, end int, complement boolean, translation string",
+    )
     r = sq.cds_translation_check(features, genomes).first()
-    assert (r["bases"], r["residues"], r["ok"]) == (714, 237, True) and r["protein_sha256"] == "ec5d954fd10be8c19c920e78badc5d9e9cc281f6801e2c5fde3803c9f133f580"
+    assert (
+        r["bases"],
+        r["residues"],
+        r["ok"],
+    ) == (714, 237, True) and r["protein_sha256"] == "ec5d954fd10be8c19c920e78badc5d9e9cc281f6801e2c5fde3803c9f133f580"
 
 
 def test_interface_contacts(spark):
@@ -55,6 +62,9 @@ def test_preprint_interval(spark):
     day = datetime.date
     versions = spark.createDataFrame([("p", day(2020, 9, 10), "T")], "preprint string, version_date date, title string")
     links = spark.createDataFrame([("p", "33608522")], "preprint string, pub_id string")
-    pubs = spark.createDataFrame([("33608522", day(2021, 2, 19), "Evolution of immune responses to SARS-CoV-2 in mild-moderate COVID-19.")], "pub_id string, pub_date date, pub_title string")
+    pubs = spark.createDataFrame(
+        [("33608522", day(2021, 2, 19), "Evolution of immune responses to SARS-CoV-2 in mild-moderate COVID-19.")],
+        "pub_id string, pub_date date, pub_title string",
+    )
     r = ev.preprint_publication(versions, links, pubs).first()
     assert (r["elapsed_days"], r["title_changed"]) == (162, True)

@@ -22,8 +22,14 @@ def mapped(spark, values, f, kind="string"):
 
 STATES = list(runs.TRANSITIONS)
 LEGAL = {
-    ("draft", "awaiting_confirmation"), ("draft", "queued"), ("draft", "cancelled"), ("awaiting_confirmation", "queued"), ("awaiting_confirmation", "cancelled"),
-    ("queued", "running"), ("queued", "cancelled"), ("queued", "failed"), ("running", "completed"), ("running", "failed"), ("running", "cancelled"), ("running", "running"),
+    ("draft", "awaiting_confirmation"), ("draft", "queued"), ("draft", "cancelled"), ("awaiting_confirmation", "queued"), (
+        "awaiting_confirmation",
+        "cancelled",
+    ),
+    ("queued", "running"), ("queued", "cancelled"), ("queued", "failed"), (
+        "running",
+        "completed",
+    ), ("running", "failed"), ("running", "cancelled"), ("running", "running"),
 }
 
 
@@ -58,10 +64,28 @@ def test_stream_audit_over_several_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     out = st.drained(st.stream_run_audit(st.read_stream(spark, f"{tmp_path}/in/*", schema), lateness="0 seconds", keep_days=2), str(tmp_path / "audit"))
     got = {r["seq"]: (r["previous"], r["allowed"]) for r in spark.read.parquet(out).collect()}
-    assert got == {1: (None, True), 2: ("draft", True), 3: (None, True), 4: ("queued", True), 5: ("draft", False), 6: (None, False), 7: ("running", True), 8: ("completed", False), 9: ("completed", False), 10: (None, True), 11: ("draft", True), 12: (None, True)}
+    assert got == {
+        1: (None, True),
+        2: ("draft", True),
+        3: (None, True),
+        4: ("queued", True),
+        5: ("draft", False),
+        6: (None, False),
+        7: ("running", True),
+        8: ("completed", False),
+        9: ("completed", False),
+        10: (None, True),
+        11: ("draft", True),
+        12: (None, True),
+    }
     folder = st.drained(st.stream_run_status(st.read_stream(spark, f"{tmp_path}/in/*", schema)), str(tmp_path / "status"), "update")
     status = spark.read.parquet(folder)
-    assert {(r["run_id"], r["seq"]) for r in status.groupBy("run_id").agg(F.max_by("seq", "batch").alias("seq")).collect()} == {(1, 12), (2, 9), (3, 6), (9, 11)}
+    assert {(r["run_id"], r["seq"]) for r in status.groupBy("run_id").agg(F.max_by("seq", "batch").alias("seq")).collect()} == {
+        (1, 12),
+        (2, 9),
+        (3, 6),
+        (9, 11),
+    }
     n = status.count()
     st.write_batch(spark.read.parquet(f"{folder}/batch=1"), 7, folder)
     st.write_batch(spark.read.parquet(f"{folder}/batch=1"), 7, folder)  # a batch that is played again
@@ -71,14 +95,28 @@ def test_stream_audit_over_several_batches(spark, tmp_path):
 def test_markdown(spark):
     texts = ["see ![a](b) here\n  - indented", "![only](x)  \n- one\n* two", "`a` [b](c) **d** `` []() ****", "a\u00a0\u00a0b\n\n c "]
     assert mapped(spark, texts, tx.clean_markdown) == ["see !a here - indented", "one two", "a b d `` []() ****", "a b c"]
-    assert mapped(spark, ["One. Two. three - four * five -six. 7 is. `x`", "", None], tx.split_statements) == [["One.", "Two. three", "four", "five -six.", "7 is.", "`x`"], [], None]
-    docs = spark.createDataFrame([(1, "# T\n## A b \nx `y`\n\n### sub\n##no\n##  A B\n- z\n## empty\n"), (2, None), (3, "no heading")], "doc_id int, text string")
+    assert mapped(
+        spark,
+        ["One. Two. three - four * five -six. 7 is. `x`", "", None],
+        tx.split_statements,
+    ) == [["One.", "Two. three", "four", "five -six.", "7 is.", "`x`"], [], None]
+    docs = spark.createDataFrame(
+        [(1, "# T\n## A b \nx `y`\n\n### sub\n##no\n##  A B\n- z\n## empty\n"), (2, None), (3, "no heading")],
+        "doc_id int, text string",
+    )
     assert {(r["doc_id"], r["heading"], r["body"]) for r in ca.markdown_sections(docs).collect()} == {(1, "a b", "z"), (1, "empty", "")}
 
 
 def test_media_types_and_roles(spark):
     paths = ["a/b.JSON", "x.aln-fasta", ".aln-fasta", "x.tar.gb", "dir.md/file", ".json", "a.html", "b.", None, "c.geojson"]
-    assert mapped(spark, paths, tx.media_type) == ["application/json", "text/x-fasta", "text/x-fasta", "text/x-genbank", *["application/octet-stream"] * 5, "application/geo+json"]
+    assert mapped(spark, paths, tx.media_type) == [
+        "application/json",
+        "text/x-fasta",
+        "text/x-fasta",
+        "text/x-genbank",
+        *["application/octet-stream"] * 5,
+        "application/geo+json",
+    ]
     assert mapped(spark, ["a/Provenance.json", "b.json"], lambda p: tx.final_role(p, F.lit("output"))) == ["provenance", "output"]
 
 
@@ -87,8 +125,17 @@ GOOD = {
     "text/x-fasta": "\n>a\nAC-*?.\n\nGT\n>b c\nA", "text/x-genbank": "LOCUS x\nORIGIN  \n1 a\n//\n", "text/x-newick": " ((a,b),c); ", "text/markdown": "x", "application/octet-stream": "x",
 }
 BAD = {
-    "application/json": ['{"a": [1]', "{} x", ""], "text/csv": ["a,b\n1\n", 'a,"b\n', "a\n\nb,c"], "image/svg+xml": ["<svgx></svg>", "<svg>"], "chemical/x-pdb": ["ATOM x\n HETATM"], "chemical/x-mmcif": [" data_a\n_atom_site.id", "data_a"],
-    "text/x-fasta": ["AC\n>a\nAC", ">\nAC", ">a\n>b\nAC", ">a\nAC1", ">a"], "text/x-genbank": ["LOCUS x\nORIGIN\n1 a\n", "LOCUS x\nORIGIN 1\n//"], "text/x-newick": ["(a", "(a))(;", "(a)"], "text/markdown": [" \n"],
+    "application/json": ['{"a": [1]', "{} x", ""], "text/csv": ["a,b\n1\n", 'a,"b\n', "a\n\nb,c"], "image/svg+xml": ["<svgx></svg>", "<svg>"], "chemical/x-pdb": ["ATOM x\n HETATM"], "chemical/x-mmcif": [
+        " data_a\n_atom_site.id",
+        "data_a",
+    ],
+    "text/x-fasta": [
+        "AC\n>a\nAC",
+        ">\nAC",
+        ">a\n>b\nAC",
+        ">a\nAC1",
+        ">a",
+    ], "text/x-genbank": ["LOCUS x\nORIGIN\n1 a\n", "LOCUS x\nORIGIN 1\n//"], "text/x-newick": ["(a", "(a))(;", "(a)"], "text/markdown": [" \n"],
 }
 
 
@@ -97,51 +144,121 @@ def test_contents(spark):
     df = spark.createDataFrame(rows, "m string, c string, want boolean").withColumn("got", tx.content_ok(F.col("m"), F.col("c")))
     assert [tuple(r) for r in df.where("got <> want").collect()] == []
     png = b"\x89PNG\r\n\x1a\n"
-    assert mapped(spark, [png + b"\xff", b"not a png", png[:7], b"", None], lambda c: tx.content_ok(F.lit("image/png"), c), "binary") == [True, False, False, False, False]
+    assert mapped(
+        spark,
+        [png + b"\xff", b"not a png", png[:7], b"", None],
+        lambda c: tx.content_ok(F.lit("image/png"), c),
+        "binary",
+    ) == [True, False, False, False, False]
     long = ">a\n" + "ACGT" * 20 + "\n" + ("ACGT" * 20 + "\n") * 20000
-    assert mapped(spark, [long, "a,b\n" + '1,"x ""y"" z"\n' * 50000], lambda c: F.when(c.startswith(">"), tx.content_ok(F.lit("text/x-fasta"), c)).otherwise(tx.content_ok(F.lit("text/csv"), c))) == [True, True]
+    assert mapped(
+        spark,
+        [long, "a,b\n" + '1,"x ""y"" z"\n' * 50000],
+        lambda c: F.when(c.startswith(">"), tx.content_ok(F.lit("text/x-fasta"), c)).otherwise(tx.content_ok(F.lit("text/csv"), c)),
+    ) == [True, True]
 
 
 def test_opening_is_bounded_by_size_and_kind(spark):
-    rows = [("a.txt", "text/plain", "abc"), ("a.txt", "text/plain", "abcdef"), ("a.PDB", "application/octet-stream", "abc"), ("a.png", "image/png", "abcdef"), ("x.cif", "chemical/x-mmcif", "abc"), (None, None, None)]
-    got = [(r["content"], r["truncated"], (r["note"] or "")[:6]) for r in ca.open_bounded(spark.createDataFrame(rows, "path string, media_type string, content string").coalesce(1), 4).collect()]
+    rows = [
+        ("a.txt", "text/plain", "abc"),
+        ("a.txt", "text/plain", "abcdef"),
+        ("a.PDB", "application/octet-stream", "abc"),
+        ("a.png", "image/png", "abcdef"),
+        ("x.cif", "chemical/x-mmcif", "abc"),
+        (None, None, None),
+    ]
+    got = [(r["content"], r["truncated"], (r["note"] or "")[:6]) for r in ca.open_bounded(
+        spark.createDataFrame(rows, "path string, media_type string, content string").coalesce(1),
+        4,
+    ).collect()]
     assert got == [("abc", False, ""), (None, True, "Text e"), ("abc", False, ""), (None, True, "Binary"), ("abc", False, ""), (None, None, "This a")]
 
 
 def test_sizes_and_stale_metadata(spark):
-    content = [("lf", "text/markdown", b"alpha\nbeta\n"), ("crlf", "text/markdown", b"alpha\r\nbeta\r\n"), ("png", "image/png", b"\x89PNG\r\n\x1a\n" + b"x" * 15)]
+    content = [
+        ("lf", "text/markdown", b"alpha\nbeta\n"),
+        ("crlf", "text/markdown", b"alpha\r\nbeta\r\n"),
+        ("png", "image/png", b"\x89PNG\r\n\x1a\n" + b"x" * 15),
+    ]
     stats = ck.file_stats(spark.createDataFrame(content, "path string, media_type string, content binary"))
     declared = [("lf", 11), ("lf", 13), ("lf", 12), ("crlf", 11), ("png", 23), ("png", 22), ("png", 21), ("gone", 1), (None, 5), ("lf", None)]
-    artifacts = spark.createDataFrame([("c", f"a{k}", p, n) for k, (p, n) in enumerate(declared)], "case_id string, artifact_id string, path string, bytes long")
+    artifacts = spark.createDataFrame(
+        [("c", f"a{k}", p, n) for k, (p, n) in enumerate(declared)],
+        "case_id string, artifact_id string, path string, bytes long",
+    )
     got = {r["name"]: (r["ok"], r["actual"]) for r in ck.artifact_size_check(artifacts, stats).collect()}
     assert [got[f"a{k}"][0] for k in range(10)] == [True, True, False, True, True, True, False, False, True, True]
     assert got["a1"][1] == "11 bytes (LF-equivalent 11; CRLF-equivalent 13)" and got["a7"][1] == "missing" and got["a8"][1] == "resource"
-    stale = ck.stale_metadata(spark.createDataFrame([("lf", 11, None), ("crlf", 11, None), ("crlf", 13, "x"), ("png", 23, None), ("png", 19, None)], "path string, bytes long, sha256 string"), stats)
-    assert {(r["path"], r["bytes"], (r["sha256"] or "")[:1]) for r in stale.collect()} >= {("png", 23, "")} and stale.where("path = 'crlf'").first()["bytes"] == 11 and stale.count() == 2
+    stale = ck.stale_metadata(
+        spark.createDataFrame(
+            [("lf", 11, None), ("crlf", 11, None), ("crlf", 13, "x"), ("png", 23, None), ("png", 19, None)],
+            "path string, bytes long, sha256 string",
+        ),
+        stats,
+    )
+    assert {(
+        r["path"],
+        r["bytes"],
+        (r["sha256"] or "")[:1],
+    ) for r in stale.collect()} >= {("png", 23, "")} and stale.where("path = 'crlf'").first()["bytes"] == 11 and stale.count() == 2
 
 
 def test_rollup_and_review(spark):
-    checks = spark.createDataFrame([("c", "z", False, "1", "2", 1), ("c", "a", False, None, "2", 2), ("c", "m", True, "", "", 3), ("d", "x", True, "", "", 1)], "case_id string, name string, ok boolean, actual string, expected string, ordinal int")
+    checks = spark.createDataFrame(
+        [("c", "z", False, "1", "2", 1), ("c", "a", False, None, "2", 2), ("c", "m", True, "", "", 3), ("d", "x", True, "", "", 1)],
+        "case_id string, name string, ok boolean, actual string, expected string, ordinal int",
+    )
     assert {tuple(r) for r in ck.validation_rollup(checks).collect()} == {("c", False, 3, "REPLAY_VALIDATION_FAILED", "z, a"), ("d", True, 1, None, None)}
-    statements = spark.createDataFrame([("c", "observation", 2, "B"), ("c", "observation", 1, "A"), ("c", "limitation", 1, "L"), ("e", "computed", 1, "R")], "case_id string, kind string, ordinal int, statement string")
+    statements = spark.createDataFrame(
+        [("c", "observation", 2, "B"), ("c", "observation", 1, "A"), ("c", "limitation", 1, "L"), ("e", "computed", 1, "R")],
+        "case_id string, kind string, ordinal int, statement string",
+    )
     sources = spark.createDataFrame([("c", 1, "https://x"), ("c", 2, "PMID 1")], "case_id string, ordinal int, source string")
     artifacts = spark.createDataFrame([("c", 1, "z"), ("c", 2, "q"), ("f", 1, "g")], "case_id string, ordinal int, artifact_id string")
     got = {r["case_id"]: r for r in ck.review_report(statements, sources, artifacts, checks).collect()}
-    assert got["c"]["source_observations"] == ["A", "B"] and got["c"]["computed_results"] == [] and got["c"]["limitations"] == ["L"] and got["e"]["computed_results"] == ["R"]
+    assert got["c"]["source_observations"] == [
+        "A",
+        "B",
+    ] and got["c"]["computed_results"] == [] and got["c"]["limitations"] == ["L"] and got["e"]["computed_results"] == ["R"]
     assert [tuple(x) for x in got["c"]["citation_checks"]] == [("https://x", True), ("PMID 1", False)]
     assert [tuple(x) for x in got["c"]["artifact_checks"]] == [("z", False, "1"), ("q", True, "resource reference")] and len(got["f"]["artifact_checks"]) == 1
 
 
 def test_claims_and_search_text(spark):
-    sections = spark.createDataFrame([("c", "verified observations", "Seen. Told - Seen."), ("c", "result", "Ten."), ("c", "limitation", "Few."), ("d", "other", "x")], "doc_id string, heading string, body string")
-    cases = spark.createDataFrame([("c", "S", ["Seen.", " New `one` "], None, None), ("d", "S", ["Only.", "Only. ", ""], ["I"], ["L"]), ("e", "S", None, None, None)], "case_id string, summary string, observations array<string>, interpretation array<string>, limitations array<string>")
+    sections = spark.createDataFrame(
+        [("c", "verified observations", "Seen. Told - Seen."), ("c", "result", "Ten."), ("c", "limitation", "Few."), ("d", "other", "x")],
+        "doc_id string, heading string, body string",
+    )
+    cases = spark.createDataFrame(
+        [("c", "S", ["Seen.", " New `one` "], None, None), ("d", "S", ["Only.", "Only. ", ""], ["I"], ["L"]), ("e", "S", None, None, None)],
+        "case_id string, summary string, observations array<string>, interpretation array<string>, limitations array<string>",
+    )
     st_ = ca.case_statements(cases, sections)
     got = {r["case_id"]: tuple(r)[1:] for r in st_.collect()}
-    assert got["c"] == (["Seen.", "Told"], ["Ten.", "New `one`"], [], ["Few."], "S") and got["d"] == (["Only."], [], ["I"], ["L"], "S") and got["e"] == ([], [], [], [], "S")
-    artifacts = spark.createDataFrame([("c", 2, "out", "output"), ("c", 1, "in", "input"), ("c", 3, "prov", "provenance"), ("c", 4, "log", "log")], "case_id string, ordinal int, artifact_id string, role string")
+    assert got["c"] == (
+        ["Seen.", "Told"],
+        ["Ten.", "New `one`"],
+        [],
+        ["Few."],
+        "S",
+    ) and got["d"] == (["Only."], [], ["I"], ["L"], "S") and got["e"] == ([], [], [], [], "S")
+    artifacts = spark.createDataFrame(
+        [("c", 2, "out", "output"), ("c", 1, "in", "input"), ("c", 3, "prov", "provenance"), ("c", 4, "log", "log")],
+        "case_id string, ordinal int, artifact_id string, role string",
+    )
     claims = {r["claim_id"]: (r["statement"], r["artifact_ids"]) for r in ca.build_claims(st_, artifacts).collect()}
-    assert claims == {"c:observation:1": ("Seen.", ["in", "prov"]), "c:observation:2": ("Told", ["in", "prov"]), "c:computed:1": ("Ten.", ["out", "prov"]), "c:computed:2": ("New `one`", ["out", "prov"]), "d:observation:1": ("Only.", []), "d:interpretation:1": ("I", [])}
-    one = spark.createDataFrame([("Title", "sum", "Title", "cat", "Plug", ["HTTP://s", "sum"])], "title string, summary string, question string, category string, plugin_name string, sources array<string>")
+    assert claims == {
+        "c:observation:1": ("Seen.", ["in", "prov"]),
+        "c:observation:2": ("Told", ["in", "prov"]),
+        "c:computed:1": ("Ten.", ["out", "prov"]),
+        "c:computed:2": ("New `one`", ["out", "prov"]),
+        "d:observation:1": ("Only.", []),
+        "d:interpretation:1": ("I", []),
+    }
+    one = spark.createDataFrame(
+        [("Title", "sum", "Title", "cat", "Plug", ["HTTP://s", "sum"])],
+        "title string, summary string, question string, category string, plugin_name string, sources array<string>",
+    )
     assert ca.search_text(one).first()["search_text"] == "title sum cat plug http://s"
 
 
@@ -167,7 +284,13 @@ def test_provider_readiness(spark):
 def test_provider_report(spark):
     cases = spark.createDataFrame([("a", ["p"]), ("b", []), ("c", None)], "case_id string, provider_ids array<string>")
     providers = spark.createDataFrame([("p", 1), ("q", 2)], "provider_id string, n int")
-    assert {(r["case_id"], r["provider_id"]) for r in runs.provider_report(cases, providers).collect()} == {("a", "p"), ("b", "p"), ("b", "q"), ("c", "p"), ("c", "q")}
+    assert {(r["case_id"], r["provider_id"]) for r in runs.provider_report(cases, providers).collect()} == {
+        ("a", "p"),
+        ("b", "p"),
+        ("b", "q"),
+        ("c", "p"),
+        ("c", "q"),
+    }
     assert {(r["case_id"], r["provider_id"]) for r in runs.provider_report(cases, providers, ["q"]).collect()} == {("a", "q"), ("b", "q"), ("c", "q")}
 
 
@@ -194,19 +317,34 @@ def test_stretches_of_long_rows(spark):
     assert position == {c + 1: (len(rows[0][: c + 1].replace("-", "")) if rows[0][c] != "-" else None) for c in range(130)}
     conserved = [c for c in sorted(want) if want[c][0] == want[c][1]]
     got = {(x["first_col"], x["last_col"], x["columns"], x["ref_start"], x["ref_end"]) for x in sq.conserved_runs(al, 1).collect()}
-    spans = [(a, b) for a in conserved if a - 1 not in conserved for b in conserved if b >= a and b + 1 not in conserved and all(c in conserved for c in range(a, b + 1))]
+    spans = [(
+        a,
+        b,
+    ) for a in conserved if a - 1 not in conserved for b in conserved if b >= a and b + 1 not in conserved and all(c in conserved for c in range(a, b + 1))]
     assert got == {(a, b, b - a + 1, position[a], position[b]) for a, b in spans}
 
 
 def test_translation_and_mutations_that_fail(spark):
     genomes = spark.createDataFrame([("g", "ccATGAAACTTTAAgg")], "accession string, sequence string")
     rows = [("g", 1, 3, 14, False, "MKL"), ("g", 2, 3, 14, False, "MKV"), ("g", 3, 3, 14, True, None), ("g", 4, 3, 13, False, "MKL")]
-    got = {r["feature_no"]: (r["bases"], r["residues"], r["ok"]) for r in sq.cds_translation_check(spark.createDataFrame(rows, "accession string, feature_no int, start int, end int, complement boolean, translation string"), genomes).collect()}
+    got = {r["feature_no"]: (r["bases"], r["residues"], r["ok"]) for r in sq.cds_translation_check(
+        spark.createDataFrame(rows, "accession string, feature_no int, start int, end int, complement boolean, translation string"),
+        genomes,
+    ).collect()}
     assert got == {1: (12, 3, True), 2: (12, 3, False), 3: (12, 4, None), 4: (11, 3, True)}
     parents = spark.createDataFrame([("p", "MKCL")], "parent string, parent_sequence string")
     rows = [("a", "p", "K2A;L4C", "MACC"), ("b", "p", "K3A", "MKAL"), ("c", "p", "K2A", "MKCL"), ("d", "p", "WT", "MKCL"), ("e", "p", "K9A", "MKCL")]
-    got = {r["candidate"]: tuple(r)[1:] for r in sq.mutation_check(spark.createDataFrame(rows, "candidate string, parent string, mutations string, sequence string"), parents).collect()}
-    assert {k: v[1:3] for k, v in got.items()} == {"a": (True, True), "b": (False, True), "c": (True, False), "d": (True, True), "e": (False, False)} and got["a"][3:] == (4, 2)
+    got = {r["candidate"]: tuple(r)[1:] for r in sq.mutation_check(
+        spark.createDataFrame(rows, "candidate string, parent string, mutations string, sequence string"),
+        parents,
+    ).collect()}
+    assert {k: v[1:3] for k, v in got.items()} == {
+        "a": (True, True),
+        "b": (False, True),
+        "c": (True, False),
+        "d": (True, True),
+        "e": (False, False),
+    } and got["a"][3:] == (4, 2)
 
 
 @pytest.mark.parametrize("name", ["signup", "view", "click", "purchase", "error"])

@@ -15,7 +15,10 @@ def test_fasta_and_p_distance(spark, tmp_path):
     (tmp_path / "a.aln-fasta").write_text(">s1 first\nAC-T\nAA\n>s2\nACGT\nA-\n")
     rows = {r["id"]: r for r in files.load_fasta(spark, str(tmp_path / "a.aln-fasta")).collect()}
     assert rows["s1"]["sequence"] == "AC-TAA" and rows["s1"]["header"] == "s1 first" and rows["s2"]["sequence"] == "ACGTA-"
-    al = spark.createDataFrame([(1, 0, "s1", "AC-TAA-"), (1, 1, "s2", "ACGTA--"), (1, 2, "s3", "-------")], "alignment_id int, row_no int, seq_id string, sequence string")
+    al = spark.createDataFrame(
+        [(1, 0, "s1", "AC-TAA-"), (1, 1, "s2", "ACGTA--"), (1, 2, "s3", "-------")],
+        "alignment_id int, row_no int, seq_id string, sequence string",
+    )
     got = {(r["row_i"], r["row_j"]): (r["compared"], r["mismatches"]) for r in sq.p_distance(al).collect()}
     assert got == {(0, 1): (6, 2), (0, 2): (5, 5), (1, 2): (5, 5)}
 
@@ -24,7 +27,12 @@ def test_fastq(spark, tmp_path):
     (tmp_path / "r.fastq").write_text("@a\nACGT\n+\nII?>\n@b\nGG\n+\n!!\n")
     reads = files.load_fastq(spark, str(tmp_path / "r.fastq"))
     q = sq.read_quality(reads).first()
-    assert (q["records"], q["bases"], q["read_length_min"], q["read_length_max"]) == (2, 6, 2, 4) and round(q["q30_percent"], 3) == 50.0 and round(q["gc_percent"], 3) == 66.667
+    assert (
+        q["records"],
+        q["bases"],
+        q["read_length_min"],
+        q["read_length_max"],
+    ) == (2, 6, 2, 4) and round(q["q30_percent"], 3) == 50.0 and round(q["gc_percent"], 3) == 66.667
     (tmp_path / "bad.fastq").write_text("@a\nACGT\n+\nII\n")
     with pytest.raises(Exception, match="damaged FASTQ"):
         files.load_fastq(spark, str(tmp_path / "bad.fastq")).collect()
@@ -32,10 +40,25 @@ def test_fastq(spark, tmp_path):
 
 def test_pdb_mmcif_and_contacts(spark, tmp_path):
     line = "{:<6}{:>5} {:<4}{:1}{:>3} {:1}{:>4}{:1}   {:>8}{:>8}{:>8}\n"
-    (tmp_path / "x.pdb").write_text(line.format("ATOM", 1, "CA", "", "GLY", "A", 1, "", "1.000", "2.000", "3.000") + line.format("HETATM", 2, "O", "", "HOH", "B", 2, "A", "1.000", "2.000", "7.000") + line.format("ATOM", 3, "N", "", "GLY", "B", 3, "", "", "", "") + "END\n")
+    (tmp_path / "x.pdb").write_text(line.format("ATOM", 1, "CA", "", "GLY", "A", 1, "", "1.000", "2.000", "3.000") + line.format(
+        "HETATM",
+        2,
+        "O",
+        "",
+        "HOH",
+        "B",
+        2,
+        "A",
+        "1.000",
+        "2.000",
+        "7.000",
+    ) + line.format("ATOM", 3, "N", "", "GLY", "B", 3, "", "", "", "") + "END\n")
     rows = files.load_pdb_atoms(spark, str(tmp_path / "x.pdb")).collect()
     assert [(r["chain"], r["res_seq"], r["x"]) for r in rows] == [("A", "1", 1.0), ("B", "2A", 1.0), ("B", "3", None)]
-    atoms = spark.createDataFrame([(0, i, r["chain"], f"{r['res_name']}:{r['res_seq']}", r["x"], r["y"], r["z"]) for i, r in enumerate(rows)], "structure int, atom_id int, chain string, residue string, x double, y double, z double")
+    atoms = spark.createDataFrame(
+        [(0, i, r["chain"], f"{r['res_name']}:{r['res_seq']}", r["x"], r["y"], r["z"]) for i, r in enumerate(rows)],
+        "structure int, atom_id int, chain string, residue string, x double, y double, z double",
+    )
     from pyspark.sql import functions as F
 
     pairs = st.contacts(atoms, F.col("chain") == "A", F.col("chain") == "B", 4.0)
@@ -49,7 +72,13 @@ def test_genbank(spark, tmp_path):
     text = "LOCUS       X 12 bp\nACCESSION   X1\nFEATURES             Location/Qualifiers\n     CDS             complement(4..9)\n                     /gene=\"cI\"\n                     /translation=\"MK\n                     L\"\nORIGIN\n        1 acgtacgtac gt\n//\n"
     (tmp_path / "x.gb").write_text(text)
     r = files.load_genbank_features(spark, str(tmp_path / "x.gb")).first()
-    assert (r["accession"], r["type"], r["complement"], r["start"], r["end"]) == ("X1", "CDS", True, 4, 9) and r["qualifiers"] == {"gene": ["cI"], "translation": ["MKL"]}
+    assert (
+        r["accession"],
+        r["type"],
+        r["complement"],
+        r["start"],
+        r["end"],
+    ) == ("X1", "CDS", True, 4, 9) and r["qualifiers"] == {"gene": ["cI"], "translation": ["MKL"]}
     assert [tuple(x) for x in files.load_genbank_records(spark, str(tmp_path / "x.gb")).collect()] == [("X1", "acgtacgtacgt")]
 
 
@@ -89,14 +118,28 @@ def test_json_export(spark, tmp_path):
 
 
 def test_catalogue_manifests_csv_geojson(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"plugins": [{"id": "p", "name": "P", "version": "1", "kind": "k", "readme": "r", "showcases": [{"id": "a", "title": "A", "status": "ready", "summary": "s", "next_step": "n", "case_path": "c", "preview": "v"}]}]}))
+    (tmp_path / "c.json").write_text(json.dumps({"plugins": [{
+        "id": "p",
+        "name": "P",
+        "version": "1",
+        "kind": "k",
+        "readme": "r",
+        "showcases": [{"id": "a", "title": "A", "status": "ready", "summary": "s", "next_step": "n", "case_path": "c", "preview": "v"}],
+    }]}))
     r = files.load_catalogue(spark, str(tmp_path / "c.json")).first()
     assert (r["plugin_id"], r["id"], r["status"]) == ("p", "a", "ready")
     (tmp_path / "m.json").write_text(json.dumps({"id": "a", "inputs": [{"path": "i"}], "outputs": [{"path": "o", "bytes": 3, "sha256": "x"}]}))
-    assert {(m["role"], m["path"], m["bytes"]) for m in files.load_manifests(spark, str(tmp_path / "m.json")).collect()} == {("input", "i", None), ("output", "o", 3)}
+    assert {(m["role"], m["path"], m["bytes"]) for m in files.load_manifests(spark, str(tmp_path / "m.json")).collect()} == {
+        ("input", "i", None),
+        ("output", "o", 3),
+    }
     (tmp_path / "t.csv").write_text('a,b\n1,"x, ""y"""\n')
     assert files.load_csv_strict(spark, str(tmp_path / "t.csv"), "a int, b string").first()["b"] == 'x, "y"'
-    (tmp_path / "g.geojson").write_text(json.dumps({"features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 3]]]}, "properties": {"n": "1"}}]}))
+    (tmp_path / "g.geojson").write_text(json.dumps({"features": [{
+        "type": "Feature",
+        "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 3]]]},
+        "properties": {"n": "1"},
+    }]}))
     g = files.load_geojson(spark, str(tmp_path / "g.geojson")).first()
     assert g["geometry"] == "Polygon" and g["rings"] == [[[0.0, 1.0], [2.0, 3.0]]]
 
