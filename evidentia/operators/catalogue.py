@@ -213,11 +213,31 @@ def case_index(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
     ).alias("paths"))
 
 
+#: How much wider the bins of a level are than those of the level before.
+WIDER = 8
+
+
 def features_in_region(features: DataFrame, regions: DataFrame, bin_size: int) -> DataFrame:
-    """Features (accession, start, end) that overlap regions (accession, region_start, region_end): both are put into bins, and
-    a pair counts in the first bin they share."""
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size)))
-    f = features.withColumn("bin", bins("start", "end"))
-    r = regions.withColumn("bin", bins("region_start", "region_end"))
-    both = f.join(r, ["accession", "bin"]).where("start <= region_end AND end >= region_start")
-    return both.where(F.col("bin") == F.floor(F.greatest("start", "region_start") / bin_size)).drop("bin")
+    """Features (accession, start, end) that overlap regions (accession, region_start, region_end), ends included.
+
+    An interval's level is the first whose bins are as long as it is, so it lies in two bins there, and in two of each level
+    above. A pair meets at the higher of its two levels, in the first bin that both share; however long an interval is, it is
+    copied at most twice per level that occurs."""
+
+    def leveled(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        length = (F.col(b) - F.col(a) + 1) / bin_size
+        return df.where(F.col(b) >= F.col(a)).withColumn(name, F.greatest(F.lit(0), F.ceil(F.log(float(WIDER), length) - 1e-9)).cast("int"))
+
+    f, r = leveled(features, "start", "end", "_own"), leveled(regions, "region_start", "region_end", "_other")
+    levels = sorted({x[0] for df, c in ((f, "_own"), (r, "_other")) for x in df.select(c).distinct().collect()})  # some 20 at most
+    size = lambda level: F.lit(float(bin_size)) * F.pow(F.lit(float(WIDER)), level)
+
+    def dealt(df: DataFrame, a: str, b: str, own: str) -> DataFrame:
+        every = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.col(own))
+        rows = df.withColumn("_level", F.explode(every))
+        bins = F.sequence(F.floor(F.col(a) / size(F.col("_level"))), F.floor(F.col(b) / size(F.col("_level"))))
+        return rows.withColumn("_bin", F.explode(bins))
+
+    both = dealt(f, "start", "end", "_own").join(dealt(r, "region_start", "region_end", "_other"), ["accession", "_level", "_bin"])
+    meet = (F.col("_level") == F.greatest("_own", "_other")) & (F.col("_bin") == F.floor(F.greatest("start", "region_start") / size(F.col("_level"))))
+    return both.where(meet & (F.col("start") <= F.col("region_end")) & (F.col("end") >= F.col("region_start"))).drop("_own", "_other", "_level", "_bin")

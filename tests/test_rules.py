@@ -350,3 +350,15 @@ def test_translation_and_mutations_that_fail(spark):
 @pytest.mark.parametrize("name", ["signup", "view", "click", "purchase", "error"])
 def test_stand_in_states_are_states(name):
     assert plan.STAND_IN[name] in runs.TRANSITIONS
+
+
+def test_overlaps_of_short_and_long_intervals(spark):
+    r = __import__("random").Random(4)
+    interval = lambda: (a := r.randrange(0, 3000), a + int(2 ** r.uniform(0, 13)))
+    features = [(k % 2, k, *interval()) for k in range(120)] + [(0, 900, 0, 10**9)]
+    regions = [(k % 2, k, *interval()) for k in range(30)] + [(1, 900, 5, 5), (0, 901, 10**6, 10**8)]
+    f = spark.createDataFrame(features, "accession int, id int, start long, end long")
+    g = spark.createDataFrame(regions, "accession int, rid int, region_start long, region_end long")
+    got = sorted((x["id"], x["rid"]) for x in ca.features_in_region(f, g, 8).collect())
+    assert got == sorted((i, j) for a, i, s, e in features for b, j, t, u in regions if a == b and s <= u and e >= t)
+    assert ca.features_in_region(f.limit(0), g, 8).count() == 0
