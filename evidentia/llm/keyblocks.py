@@ -218,7 +218,13 @@ def answered(rows: DataFrame, answer: Callable[[int, pd.DataFrame], Iterator[tup
 
 def by_chunk(rows: DataFrame, put_together: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """put_together(all rows of a chunk), for each chunk."""
-    return rows.groupBy(F.col("chunk")).applyInPandas(lambda group: put_together(group), schema)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = put_together(group)
+        give_back()
+        return out
+
+    return rows.groupBy(F.col("chunk")).applyInPandas(run, schema)
 
 
 def group_sizes(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ WIDTH = 6
 #: Shingles and sets that one task takes of a cluster; larger clusters are dealt out, each part with the pivot.
 CLUSTER_KEYS, CLUSTER_SETS = 1 << 21, 1 << 12
 #: Blocks by set size that lie between a set and the smallest that it can link with.
-BLOCKS = 4
+BLOCKS = 2
 SETS = "doc_id long, n int, s1 long, s2 long, m int, keys binary, dfs binary"
 
 
