@@ -80,3 +80,62 @@ FROM embeddings JOIN c ON id = vec_id
 """
 
 SQL |= {"op7_embedding_dedup": EMBEDDINGS}
+
+
+def _crc_table() -> str:
+    """SQL for the 256 entries of the table of crc32: each entry is eight steps from its number."""
+    return """(WITH RECURSIVE s AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM s WHERE k < 8)
+  SELECT list(c ORDER BY i) AS crc FROM s WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of a text's UTF-8 bytes; it needs the column crc of the table."""
+    step = "xor(c >> 8, crc[(xor(c, b) & 255)::INTEGER + 1])"
+    return f"""xor(list_reduce(list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), (2 * i + 1)::INTEGER, 2))::BIGINT),
+    lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+LOWER_AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = rf"""
+WITH RECURSIVE tab AS {_crc_table()},
+o AS (SELECT doc_id, unnest(regexp_extract_all({LOWER_AZ}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS n FROM o WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32("named")} AS h FROM d, tab),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0
+  THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM c),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.i = b.i AND a.cut = b.cut AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.cut
+  UNION SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = k.cut),
+b AS (SELECT word, count(*)::BIGINT AS n_near, min(struct_pack(m := -other_n, f := other)) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * w.n THEN best.f END AS form, CASE WHEN -best.m >= 5 * w.n THEN -best.m END AS form_n
+  FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+"""
+
+#: The words of a text: runs of digits, letters and characters beyond ASCII.
+FEATURES = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+IMPORTANCE = rf"""
+WITH tab AS {_crc_table()},
+o AS (SELECT doc_id, unnest({FEATURES}) AS w FROM documents), t AS (SELECT unnest({FEATURES}) AS w FROM benchmark),
+k AS (SELECT w, {_crc32("w")} % 10000 AS b FROM (SELECT w FROM o UNION SELECT w FROM t), tab),
+os AS (SELECT b, count(*) AS s FROM o JOIN k USING (w) GROUP BY b), ts AS (SELECT b, count(*) AS t FROM t JOIN k USING (w) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM o) AS s_all, (SELECT count(*) FROM t) AS t_all),
+g AS (SELECT k.w, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM k LEFT JOIN os USING (b) LEFT JOIN ts USING (b), n),
+d AS (SELECT doc_id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS total FROM o JOIN g USING (w) GROUP BY doc_id),
+x AS (SELECT documents.doc_id, coalesce(n_features, 0) AS n_features,
+  coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(documents.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM r
+"""
+
+SQL |= {"op11_spelling_variants": SPELLING, "op13_importance_resample": IMPORTANCE}

@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import byte_bpe, chat, decontaminate, embedding_dedup, language_id, oracles, set_join, substring_dedup, suffix_dedup, url_filter, warc
+from evidentia.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    embedding_dedup,
+    importance,
+    language_id,
+    oracles,
+    set_join,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,6 +81,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_language_id,
@@ -78,6 +105,9 @@ def queries() -> dict:
         op8_decontaminate,
         op9_chat_format,
         op10_url_filter,
+        op11_spelling_variants,
+        op12_toxicity,
+        op13_importance_resample,
     )}
 
 
