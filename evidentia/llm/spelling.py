@@ -154,7 +154,7 @@ def best_of(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     """Per word: the number of pairs that it is in, and the largest n among its partners with the smallest such word."""
     of, other = np.concatenate([x, y]), np.concatenate([y, x])
     if not len(of):
-        return pd.DataFrame({"word": [], "n_near": [], "best": []})
+        return pd.DataFrame({"word": [], "n_near": [], "best": []}, dtype=object)
     names, places = np.unique(rows["word"].to_numpy(object), return_inverse=True)
     n = rows["n"].to_numpy(np.int64)
     of, other, other_n = places[of], places[other], n[other]

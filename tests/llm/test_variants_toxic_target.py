@@ -118,6 +118,9 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 def test_variants_of_an_empty_table(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], CLASHING)).count() == 0
     assert spelling.spelling_variants(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 0
+    # words of one group, none of them near another
+    far = spark.createDataFrame([(1, "abcdef " * 5 + "abcxyz " * 6)], "doc_id long, text string")
+    assert {tuple(r) for r in spelling.spelling_variants(far, every=1 << 40).select("word", "n_near", "root").collect()} == {("abcdef", 0, "abcdef"), ("abcxyz", 0, "abcxyz")}
 
 
 # --- 13
