@@ -1,7 +1,9 @@
 """Byte-level BPE with tiktoken and a local rank file.
 
 Long texts are cut before the regex split at boundaries where the pattern always starts a new match, so the ids are
-those of the whole text, however long it is; where no such boundary comes, the rest is one piece. A null or empty text has no
+those of the whole text. A long run of white space is one match, less its last blank where more text follows; the library's regex
+engine fails on runs of about a million, so such a match is cut out by the same rule and its bytes are merged by the ranks without
+the regex. Runs of letters, numbers or marks, however long, need no such help. A null or empty text has no
 ids. Ids decode to raw bytes, so any id sequence decodes. Extra columns of the input are ignored; repeated rows give repeated
 results; an empty table gives an empty result. Nothing is chosen among equals, so there are no ties but those that the ranks
 settle.
@@ -26,6 +28,9 @@ PIECE_CHARS = 1 << 16
 #: the space is the optional first character of the next run.
 SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
+#: White space as the pattern has it, in runs that go past the regex split.
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
+
 _encoders: dict[str, tiktoken.Encoding] = {}
 
 
@@ -54,7 +59,14 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(text: str | None, coder: tiktoken.Encoding) -> list[int]:
-    return [i for p in pieces(text or "") for i in coder.encode_ordinary(p)]
+    ids, start, text = [], 0, text or ""
+    for run in BLANKS.finditer(text):
+        # the last blank of a run starts the next match, unless the text ends with the run
+        end = run.end() - (run.end() < len(text))
+        ids += [i for p in pieces(text[start : run.start()]) for i in coder.encode_ordinary(p)]
+        ids += coder._encode_single_piece(text[run.start() : end])
+        start = end
+    return ids + [i for p in pieces(text[start:]) for i in coder.encode_ordinary(p)]
 
 
 def read_ranks(path: str, most: int = 64 << 20) -> bytes:

@@ -8,6 +8,7 @@ is shuffled is a few bytes per key. Callers leave out what they can settle insid
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,12 +31,12 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-#: Bases and byte values of a second hash, independent of the first.
-OTHER, OTHER2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
-OTHER_VALUES = mixed(np.arange(1000, 1256, dtype=np.uint64) * np.uint64(OTHER))
+#: Seeds and multipliers of two hashes of words, and the base of a second hash of windows.
+SEED, OTHER, OTHER2 = 0x243F6A8885A308D3, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+#: Words of more bytes are hashed one by one, by BLAKE2b.
+LONG_WORD = 512
 #: Arrays with fewer entries are not compressed on their own.
 SMALL = 48
-PIECE = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -69,16 +70,25 @@ def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """A 64-bit hash per word; in pieces, so that a long text needs no more memory than a short one."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
-        a, b = starts[i], ends[j - 1]
-        out[i:j] = rolling(values[text[a:b]], starts[i:j] - a, ends[i:j] - a, base)
-        i = j
-    return mixed(out + (ends - starts).astype(np.uint64))
+def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """A 64-bit hash per word: eight bytes at a time are mixed in, each bit into all others, so that words that repeat a pattern
+    are told apart like any others. Long words go through BLAKE2b."""
+    sizes = ends - starts
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    at_each_byte = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = mixed(sizes.astype(np.uint64) * np.uint64(BASE) + np.uint64(seed))
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    done = 0
+    while len(live):
+        left = np.minimum(sizes[live] - done, 8).astype(np.uint64)
+        part = at_each_byte[starts[live] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8)))
+        out[live] = mixed(out[live] ^ (mixed(part + np.uint64(seed)) * np.uint64(seed | 1)))
+        done += 8
+        live = live[sizes[live] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        digest = hashlib.blake2b(text[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    return out
 
 
 def window_keys(hashes: np.ndarray, k: int, base: int = BASE2) -> np.ndarray:
@@ -100,7 +110,7 @@ class Words:
         ends_of_texts = np.cumsum([len(r) + 1 for r in raw])
         starts, ends = word_spans(buffer)
         self.hashes = word_hashes(buffer, starts, ends)
-        self.others = word_hashes(buffer, starts, ends, OTHER, OTHER_VALUES) if twice else None
+        self.others = word_hashes(buffer, starts, ends, OTHER) if twice else None
         self.first = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)]).astype(np.int64)
         self.counts = np.diff(self.first)
 

@@ -1,9 +1,10 @@
 """Substring dedup: Rabin-Karp hashes of every window of 50 words, counted over the corpus.
 
 A window is repeated if its word sequence also starts in a document with a smaller doc_id. Repeated windows of a document
-merge into maximal removal intervals. A window is told by two independent Rabin-Karp hashes of 64 bits each, over words
-that are hashed twice as well: the first chooses the bucket, and both together the key in it, so that in n bits of buckets two
-different windows are taken for one with odds of 2^-(64 + n) a pair, even where one of the hashes fails altogether.
+merge into maximal removal intervals. A window is told by two Rabin-Karp hashes of 64 bits each with different bases, over words
+that are hashed twice as well, by mixing and not by polynomials: the first chooses the bucket, and both together the key in it.
+Two different windows are taken for one with odds of about 2^-(64 + n) a pair in n bits of buckets; a window that repeats a pattern
+of words can take some 20 bits off each Rabin-Karp hash, as polynomials modulo 2^64 do.
 
 Cases: null text has no words; a text shorter than the window loses nothing; a null doc_id counts as larger than all
 others and null ids do not compare with each other; rows with one doc_id never remove each other's windows, equal rows get

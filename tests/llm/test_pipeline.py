@@ -120,22 +120,26 @@ def test_all_stages_against_brute_force(spark, tmp_path):
         (300, text("de", 30) + " " + item + " " + text("de", 30), "de"),
         (301, " ".join("neu" if k % 6 == 0 else w for k, w in enumerate(item.split())), "de"),
     ]
+    # a leak without an id, and a clean row that shares the id of a leak
+    other = text("de", 30)
+    rows += [(None, text("de", 40) + " " + other + " " + text("de", 20), "de"), (300, text("de", 70), "de")]
     rows += [(400, "漢字仮名交文" * 9, None), (401, None, "en"), (402, "12 34", "de"), (403, "", None)]
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    items = [(1, item), (2, text("en", 25)), (3, None)]
+    items = [(1, item), (2, text("en", 25)), (3, None), (4, other)]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     got = Counter((x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     known = [(i, t) for i, t, _ in rows if t and any(c.isascii() and c.isalpha() for c in t)]
     kept = sorted(brute_near(known), key=lambda x: (x[0] is None, x[0] or 0))
     cut = list(zip([i for i, _ in kept], brute_cut([t for _, t in kept])))
-    leaks = {k[0] for k in brute(cut, items)}
-    assert {300, 301} <= leaks
+    leaks = {k[0] for k in brute([(n, t) for n, (_, t) in enumerate(cut)], items)}
+    named = [cut[n][0] for n in leaks]
+    assert {300, 301, None} <= set(named) and named.count(300) == 1 < [i for i, _ in cut].count(300)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = Counter()
-    for i, t in cut:
-        if i is None or i not in leaks:
+    for n, (i, t) in enumerate(cut):
+        if n not in leaks:
             ids = coder.encode_ordinary(t)
             want[i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())] += 1
     assert got == want and len(want) > 50 and any(len(t) < 500 for i, t in cut if i and 200 <= i < 205)
