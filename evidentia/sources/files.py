@@ -72,35 +72,6 @@ def load_fasta(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def load_fastq(spark: SparkSession, glob: str, at_once: int = 4096) -> DataFrame:
-    """path, record_no, name, seq, qual from four-line records, file by file (a gzip file does not split), a few records at
-    a time; lines of unequal length are an error. A file is one row of the binary reader, so it must stay below 2 GiB."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-
-    def records(path: str, content: bytes) -> Iterator[pd.DataFrame]:
-        import gzip
-        import io
-        from itertools import islice
-
-        stream = io.BytesIO(content)
-        lines = io.TextIOWrapper(gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream, "ascii", newline="\n")
-        done = 0
-        while held := [x.rstrip("\r\n") for x in islice(lines, 4 * at_once)]:
-            heads, seqs, marks, quals = (held[k::4] for k in range(4))
-            sound = len(held) % 4 == 0 and all(h.startswith("@") for h in heads) and all(m.startswith("+") for m in marks)
-            if not sound or any(len(s) != len(q) for s, q in zip(seqs, quals, strict=True)):
-                raise ValueError(f"damaged FASTQ file {path}")
-            yield pd.DataFrame({"path": path, "record_no": range(done + 1, done + len(heads) + 1), "name": [h[1:] for h in heads], "seq": seqs, "qual": quals})
-            done += len(heads)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield from records(path, content)
-
-    return files.mapInPandas(parse, "path string, record_no long, name string, seq string, qual string")
-
-
 def load_pdb_atoms(spark: SparkSession, glob: str) -> DataFrame:
     """ATOM and HETATM records by their fixed columns; a blank coordinate is null."""
     lines = spark.read.text(glob).select(

@@ -8,7 +8,7 @@ import pytest
 from evidentia.operators import checks as ck
 from evidentia.operators import sequence as sq
 from evidentia.operators import structure as st
-from evidentia.sources import files
+from evidentia.sources import fastq, files
 
 
 def test_fasta_and_p_distance(spark, tmp_path):
@@ -25,7 +25,7 @@ def test_fasta_and_p_distance(spark, tmp_path):
 
 def test_fastq(spark, tmp_path):
     (tmp_path / "r.fastq").write_text("@a\nACGT\n+\nII?>\n@b\nGG\n+\n!!\n")
-    reads = files.load_fastq(spark, str(tmp_path / "r.fastq"))
+    reads = fastq.load_fastq(spark, str(tmp_path / "r.fastq"))
     q = sq.read_quality(reads).first()
     assert (
         q["records"],
@@ -35,7 +35,7 @@ def test_fastq(spark, tmp_path):
     ) == (2, 6, 2, 4) and round(q["q30_percent"], 3) == 50.0 and round(q["gc_percent"], 3) == 66.667
     (tmp_path / "bad.fastq").write_text("@a\nACGT\n+\nII\n")
     with pytest.raises(Exception, match="damaged FASTQ"):
-        files.load_fastq(spark, str(tmp_path / "bad.fastq")).collect()
+        fastq.load_fastq(spark, str(tmp_path / "bad.fastq")).collect()
 
 
 def test_pdb_mmcif_and_contacts(spark, tmp_path):
@@ -93,7 +93,7 @@ def test_fastq_in_pieces_and_gzip(spark, tmp_path):
 
     text = "".join(f"@r{k}\n{'ACGT' * (k % 3)}\n+\n{'IIII' * (k % 3)}\n" for k in range(25))
     (tmp_path / "r.fastq.gz").write_bytes(gzip.compress(text.encode()))
-    rows = files.load_fastq(spark, str(tmp_path / "r.fastq.gz"), 10).collect()
+    rows = fastq.load_fastq(spark, str(tmp_path / "r.fastq.gz"), 100).collect()
     assert [(r["record_no"], r["name"], len(r["seq"])) for r in rows] == [(k + 1, f"r{k}", 4 * (k % 3)) for k in range(25)]
 
 
