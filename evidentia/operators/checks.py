@@ -20,8 +20,8 @@ def check(case_id: Column, name: Column, ok: Column, actual: Column, expected: C
     ]
 
 
-def file_stats(files: DataFrame) -> DataFrame:
-    """files (path, media_type, content as text or binary): bytes; bytes with LF and with CRLF line ends, counted byte by
+def file_stats(files: DataFrame, *carry: str) -> DataFrame:
+    """files (path, media_type, content as text or binary), with the columns named in carry: bytes; bytes with LF and with CRLF line ends, counted byte by
     byte; canonical_bytes and sha256 of the content as it is compared: with LF line ends for texts, unchanged for others."""
     raw = F.col("content").cast("binary")
     text = raw.cast("string")  # the same bytes, valid or not
@@ -31,6 +31,7 @@ def file_stats(files: DataFrame) -> DataFrame:
     canonical = F.when(tx.is_text(F.col("media_type")), F.replace(F.make_valid_utf8(text), F.lit("\r\n"), F.lit("\n")).cast("binary")).otherwise(raw)
     return files.select(
         "path",
+        *carry,
         size(raw).alias("bytes"),
         size(lf).alias("lf_bytes"),
         (size(lf) + endings).alias("crlf_bytes"),
@@ -49,19 +50,25 @@ def missing_recipe_files(declared: DataFrame, listing: DataFrame) -> tuple[DataF
     return declared.join(listing, "path", "left_anti"), declared.join(listing, "path", "left_semi")
 
 
-def artifact_size_check(artifacts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Recorded against actual sizes. A record without a path is a resource and passes; without a file it is missing; without
-    a size it passes; else the size must be that of the file, or of its LF or CRLF form."""
-    rows = artifacts.join(stats.select("path", F.col("bytes").alias("actual"), "lf_bytes", "crlf_bytes"), "path", "left")
-    expected = F.coalesce("bytes", "actual")
+def size_rule(recorded: str, actual: str) -> tuple[Column, Column, Column]:
+    """ok, actual and expected of rows with a recorded size (or null), and path, actual size, lf_bytes and crlf_bytes of the file. A
+    record without a path is a resource and passes; without a file it is missing; without a size it passes; else the size must be
+    that of the file, or of its LF or CRLF form."""
+    size = F.col(actual)
+    expected = F.coalesce(recorded, actual)
     alike = (expected == F.col("lf_bytes")) | (expected == F.col("crlf_bytes"))
     text = lambda c: F.col(c).cast("string")
-    note = F.concat(text("actual"), F.lit(" bytes (LF-equivalent "), text("lf_bytes"), F.lit("; CRLF-equivalent "), text("crlf_bytes"), F.lit(")"))
-    resource, missing, equal = F.col("path").isNull(), F.col("actual").isNull(), F.col("actual") == expected
-    ok = resource | (~missing & (equal | alike))
-    actual = F.when(resource, "resource").when(missing, "missing").when(~equal & alike, note).otherwise(text("actual"))
+    note = F.concat(text(actual), F.lit(" bytes (LF-equivalent "), text("lf_bytes"), F.lit("; CRLF-equivalent "), text("crlf_bytes"), F.lit(")"))
+    resource, missing, equal = F.col("path").isNull(), size.isNull(), size == expected
+    told = F.when(resource, "resource").when(missing, "missing").when(~equal & alike, note).otherwise(text(actual))
     wanted = F.when(resource, "resource").when(missing, "present").otherwise(expected.cast("string"))
-    return rows.select(*check(F.col("case_id"), F.col("artifact_id").cast("string"), ok, actual, wanted))
+    return resource | (~missing & (equal | alike)), told, wanted
+
+
+def artifact_size_check(artifacts: DataFrame, stats: DataFrame) -> DataFrame:
+    """Recorded against actual sizes, by size_rule()."""
+    rows = artifacts.join(stats.select("path", F.col("bytes").alias("actual"), "lf_bytes", "crlf_bytes"), "path", "left")
+    return rows.select(*check(F.col("case_id"), F.col("artifact_id").cast("string"), *size_rule("bytes", "actual")))
 
 
 def stale_metadata(declared: DataFrame, stats: DataFrame) -> DataFrame:
@@ -101,7 +108,8 @@ REVIEW = {"observation": "source_observations", "computed": "computed_results",
 
 def review_report(statements: DataFrame, sources: DataFrame, artifacts: DataFrame, checks: DataFrame) -> DataFrame:
     """Per case that has any: the statements of each kind in order, citation_checks (is the source a web address), and
-    artifact_checks (present and note, by the check of the artifact's name; without a check it counts as present).
+    artifact_checks (present and note, by the check of the artifact's name, of several a failed one first; without a check it counts
+    as present).
 
     statements: case_id, kind, ordinal, statement; sources: case_id, ordinal, source; artifacts: case_id, ordinal,
     artifact_id; checks: case_id, name, ok, actual."""
@@ -111,7 +119,7 @@ def review_report(statements: DataFrame, sources: DataFrame, artifacts: DataFram
         "ordinal",
         F.struct("source", F.col("source").rlike("^https?://").alias("valid")).alias("v"),
     ))).alias("citation_checks"))
-    first = checks.groupBy("case_id", F.col("name").alias("artifact_id")).agg(F.first(F.struct("ok", "actual")).alias("c"))
+    first = checks.groupBy("case_id", F.col("name").alias("artifact_id")).agg(F.min(F.struct("ok", "actual")).alias("c"))
     seen = F.struct("artifact_id", F.coalesce("c.ok", F.lit(True)).alias("present"), F.coalesce("c.actual", F.lit("resource reference")).alias("note"))
     held = artifacts.join(
         first,

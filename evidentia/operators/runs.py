@@ -56,6 +56,17 @@ def overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 30) -> D
     return runs.join(F.broadcast(now)).where(late).drop("now")  # now: one row
 
 
+def overdue_sessions(events: DataFrame, terminal: list[str], minutes: int = 30, gap_minutes: int = 30) -> DataFrame:
+    """Sessions of runs (events at most gap_minutes apart) without a terminal event within `minutes` of their first event; the newest
+    event of all tells the time. A run that goes on after a gap is a new session. The twin of the stream of the same rule."""
+    ended = F.min(F.when(F.col("state").isin(*terminal), F.col("at")))
+    sessions = events.groupBy("run_id", F.session_window("at", f"{gap_minutes} minutes")).agg(F.min("at").alias("started"), ended.alias("ended"))
+    now = events.agg(F.max("at").alias("now"))
+    limit = F.col("started") + F.make_interval(mins=F.lit(minutes))
+    late = (limit < F.col("now")) & (F.col("ended").isNull() | (F.col("ended") > limit))
+    return sessions.join(F.broadcast(now)).where(late).select("run_id", "started", "ended")  # now: one row
+
+
 def state_counts(events: DataFrame, window: str, slide: str | None = None) -> DataFrame:
     """Events per window and state; a plain aggregation, for tables and streams."""
     w = F.window("at", window, slide) if slide else F.window("at", window)

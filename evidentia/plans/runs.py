@@ -83,6 +83,7 @@ QUERIES = {
     "f7_provider_readiness": readiness,
     "j6_provider_report": report,
     "st3_overdue_runs_batch": lambda s, d: runs.overdue_runs(events(s, d), ["completed"], 30).select("run_id", F.unix_micros("started").alias("started_us")),
+    "st3_overdue_sessions_batch": lambda s, d: runs.overdue_sessions(events(s, d), ["completed"], 30, 30).select("run_id", F.unix_micros("started").alias("started_us")),
     "st6_state_counts_batch": lambda s, d: runs.state_counts(events(s, d), "1 hour").select(F.unix_seconds("start").alias("start_s"), "state", "events"),
 }
 
@@ -111,5 +112,10 @@ SELECT provider_id, c AND e AS installed, k >= 2 AS credential_required, a AS cr
 FROM nation JOIN supplier ON n_nationkey % 4 = 0 OR s_suppkey = n_nationkey""",
     "st3_overdue_runs_batch": """WITH r AS (SELECT user_id AS run_id, min(ts) AS started, min(ts) FILTER (WHERE event_type = 'purchase') AS ended FROM events GROUP BY 1)
 SELECT run_id, epoch_us(started) AS started_us FROM r, (SELECT max(ts) AS now FROM events) WHERE started + INTERVAL 30 MINUTE < now AND (ended IS NULL OR ended > started + INTERVAL 30 MINUTE)""",
+    # gaps and islands: an event over half an hour after the one before opens a session
+    "st3_overdue_sessions_batch": """WITH g AS (SELECT user_id AS run_id, ts, event_type, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+s AS (SELECT run_id, min(ts) AS started, min(ts) FILTER (WHERE event_type = 'purchase') AS ended FROM i GROUP BY run_id, session)
+SELECT run_id, epoch_us(started) AS started_us FROM s, (SELECT max(ts) AS now FROM events) WHERE started + INTERVAL 30 MINUTE < now AND (ended IS NULL OR ended > started + INTERVAL 30 MINUTE)""",
     "st6_state_counts_batch": COUNTS,
 }

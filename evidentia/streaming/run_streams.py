@@ -1,4 +1,8 @@
-"""Streams of run events (run_id, at, seq, state): audit, status, deduplication, counts, arriving files."""
+"""Streams of run events (run_id, at, seq, state): audit, status, overdue runs, deduplication, counts.
+
+State that outlives a batch is typed and stands in the operator-state interface on a RocksDB store: `started()` gives a query that
+store, whatever the session's own is. State ends: the audit's by a time to live, that of overdue runs by event-time timers.
+"""
 
 from __future__ import annotations
 
@@ -7,92 +11,153 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from evidentia.operators import runs
+from evidentia.streaming.snapshot import Snapshot
 
-from evidentia.functions import text as tx
-from evidentia.operators import checks, runs
+STORE = "spark.sql.streaming.stateStore.providerClass"
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+class Audit(StatefulProcessor):
+    """The last state of a run, kept for some time after its last event."""
+
+    def __init__(self, allowed: set, start: str, keep_ms: int):
+        self.allowed, self.start, self.keep_ms = allowed, start, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "state string", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["at_us", "seq"])
+        last, out = (self.last.get()[0] if self.last.exists() else None), []
+        for seq, now in zip(events["seq"], events["state"], strict=True):
+            out.append((key[0], seq, last, now, now == self.start if last is None else (last, now) in self.allowed))
+            last = now
+        self.last.update((last,))
+        yield pd.DataFrame(out, columns=["run_id", "seq", "previous", "state", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_run_audit(
     events: DataFrame,
     transitions: dict = runs.TRANSITIONS,
     start: str = "draft",
     noted: tuple = runs.NOTED,
-    lateness: str = "10 minutes",
-    keep_days: int = 30,
+    keep_days: float = 30,
 ) -> DataFrame:
     """Every event with its run's state before it and whether the step is allowed; the last state of each run is kept
-    between batches, and dropped once the watermark is keep_days past the run's last event. Within a batch, events are taken in
+    between batches, and dropped keep_days (of real time) after the batch that held its last event. Within a batch, events are taken in
     order of at and seq."""
-    allowed = set(runs.legal_steps(transitions, noted))
-
-    def audit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["at_us", "seq"])
-        last, newest, out = *(state.get if state.exists else (None, 0)), []
-        for seq, now in zip(rows["seq"], rows["state"], strict=True):
-            out.append((key[0], seq, last, now, now == start if last is None else (last, now) in allowed))
-            last = now
-        newest = max(newest, int(rows["at_us"].max()))
-        state.update((last, newest))
-        limit = newest // 1000 + keep_days * 86_400_000
-        if limit > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(limit)
-        yield pd.DataFrame(out, columns=["run_id", "seq", "previous", "state", "allowed"])
-
-    marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
-    return marked.groupBy("run_id").applyInPandasWithState(
-        audit,
+    processor = Audit(set(runs.legal_steps(transitions, noted)), start, int(keep_days * 86_400_000))
+    return events.withColumn("at_us", F.unix_micros("at")).groupBy("run_id").transformWithStateInPandas(
+        processor,
         "run_id long, seq long, previous string, state string, allowed boolean",
-        "last string, newest long",
         "append",
-        GroupStateTimeout.EventTimeTimeout,
+        "processingTime",
     )
 
 
-def stream_run_status(events: DataFrame) -> DataFrame:
-    """The newest event of each run; update mode. A run's row is its state, and has no end: what is kept per run is one row."""
+def status_of(events: DataFrame) -> DataFrame:
+    """The newest event of each run and its number of events, as rows of the status snapshot."""
     return runs.latest_run_state(events)
 
 
-def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 30, lateness: str = "10 minutes") -> DataFrame:
-    """Runs that have no terminal event `minutes` after their first one, once the watermark has passed that time."""
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started, done = state.get
-            state.update((started, True))
-            if not done:
-                yield pd.DataFrame({"run_id": [key[0]], "started_us": [started]})
-            return
-        started, done = state.get if state.exists else (None, False)
-        for batch in batches:
-            us = batch["at_us"]
-            started = int(us.min()) if started is None else min(started, int(us.min()))
-            limit = started + minutes * 60_000_000
-            done = done or bool((batch["state"].isin(terminal) & (us <= limit)).any())
-        limit_ms = (started + minutes * 60_000_000) // 1000
-        late = not done and limit_ms <= state.getCurrentWatermarkMs()
-        state.update((started, done or late))
-        if late:  # new rows of a run put off its timer, so a limit that has passed is told here
-            yield pd.DataFrame({"run_id": [key[0]], "started_us": [started]})
-        elif not done:
-            state.setTimeoutTimestamp(limit_ms)
-
+def newer_status(rows: DataFrame) -> DataFrame:
+    """One row per run from several: the newest event, all events counted."""
+    out = rows.groupBy("run_id").agg(F.max(F.struct("at", "seq", "state")).alias("e"), F.sum("events").alias("events"))
+    return out.select("run_id", F.col("e.at").alias("at"), F.col("e.seq").alias("seq"), F.col("e.state").alias("state"), "events")
+
+
+def stream_run_status(events: DataFrame, snapshot: Snapshot, checkpoint: str) -> StreamingQuery:
+    """Merges each batch into the snapshot, which holds one row per run and is the only state; a batch that is played again changes
+    nothing. The query runs over all that is there."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        snapshot.merge(status_of(batch), n, newer_status)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+
+
+SESSIONS = "started long, last long, ended long, told boolean"
+
+
+class Sessions(StatefulProcessor):
+    """The open sessions of a run, each until the watermark is `gap` past its last event."""
+
+    def __init__(self, terminal: list, limit_us: int, gap_us: int):
+        self.terminal, self.limit_us, self.gap_us = set(terminal), limit_us, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.sessions = handle, handle.getListState("sessions", SESSIONS)
+
+    def held(self) -> list[list]:
+        return [list(s) for s in self.sessions.get()] if self.sessions.exists() else []
+
+    def keep(self, open_sessions: list[list]) -> None:
+        if open_sessions:
+            self.sessions.put([tuple(s) for s in open_sessions])
+        else:
+            self.sessions.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows))
+        ends = events["state"].isin(self.terminal)
+        new = [[int(at), int(at), int(at) if end else None, False] for at, end in zip(events["at_us"], ends, strict=True)]
+        merged: list[list] = []
+        for s in sorted(self.held() + new, key=lambda s: s[0]):
+            if merged and s[0] - merged[-1][1] <= self.gap_us:
+                m = merged[-1]
+                m[1] = max(m[1], s[1])
+                m[2] = min((x for x in (m[2], s[2]) if x is not None), default=None)
+                m[3] = m[3] or s[3]
+            else:
+                merged.append(s)
+        yield self.looked_at(key, merged, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.looked_at(key, self.held(), timerValues.getCurrentWatermarkInMs())
+
+    def looked_at(self, key, sessions: list[list], watermark_ms: int) -> pd.DataFrame:
+        """Tells the sessions whose limit has passed, drops those that are over, and sets a timer for what comes next."""
+        out, left, due = [], [], lambda us: us // 1000 + 1
+        for s in sessions:
+            limit = s[0] + self.limit_us
+            if not s[3] and due(limit) <= watermark_ms and (s[2] is None or s[2] > limit):
+                s[3] = True
+                out.append((key[0], s[0]))
+            if max(due(s[1] + self.gap_us), due(limit)) > watermark_ms:
+                left.append(s)
+        self.keep(left)
+        wanted = {t for s in left for t in (due(s[0] + self.limit_us), max(due(s[1] + self.gap_us), due(s[0] + self.limit_us))) if t > watermark_ms}
+        for t in list(self.handle.listTimers()):
+            if t not in wanted:
+                self.handle.deleteTimer(t)
+        for t in wanted:
+            self.handle.registerTimer(t)
+        return pd.DataFrame(out, columns=["run_id", "started_us"]).astype({"started_us": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 30, gap_minutes: int = 30, lateness: str = "10 minutes") -> DataFrame:
+    """Sessions of runs (events at most gap_minutes apart) that have no terminal event within `minutes` of their first one, once the
+    watermark has passed that time. A session's state is removed when the watermark is past its last event by the gap and past its limit;
+    a run that goes on later starts a new session, as in overdue_sessions()."""
+    if gap_minutes < minutes:
+        raise ValueError("a session must not close before its limit")
+    processor = Sessions(terminal, minutes * 60_000_000, gap_minutes * 60_000_000)
     marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
-    return marked.groupBy("run_id").applyInPandasWithState(
-        watch,
-        "run_id long, started_us long",
-        "started long, done boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return marked.groupBy("run_id").transformWithStateInPandas(processor, "run_id long, started_us long", "append", "eventTime")
 
 
 def stream_dedupe(events: DataFrame, keys: list[str], lateness: str) -> DataFrame:
@@ -105,30 +170,24 @@ def stream_state_counts(events: DataFrame, window: str, lateness: str, slide: st
     return runs.state_counts(events.withWatermark("at", lateness), window, slide)
 
 
-def stream_validate_files(spark: SparkSession, folder: str, declared: DataFrame) -> DataFrame:
-    """Checks of arriving files: size against the declared (case_id, artifact_id, path, bytes), and content by media type.
-    declared is a static table; path is the file's name."""
-    files = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(folder).schema).load(folder)
-    files = files.select(F.substring_index("path", "/", -1).alias("path"), "content", F.col("length"))
-    ok = tx.content_ok(tx.media_type(F.col("path")), F.col("content"))
-    rows = files.join(declared, "path")
-    size_ok = F.col("bytes").isNull() | (F.col("bytes") == F.col("length"))
-    both = F.array(*(F.struct(*checks.check(F.col("case_id"), F.concat_ws(":", F.lit(n), "artifact_id"), c, a, e)) for n, c, a, e in (("size", size_ok, F.col("length"), F.col("bytes")), ("content", ok, tx.media_type(F.col("path")), tx.media_type(F.col("path"))))))
-    return rows.select(F.inline(both))
-
-
-def write_batch(df: DataFrame, n: int, folder: str) -> None:
-    """One batch in a folder of its own; a batch that is played again replaces itself."""
-    df.write.mode("overwrite").parquet(f"{folder}/batch={n}")
-
-
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> str:
-    """Runs a stream over all that is there into Parquet (append) or, batch by batch, the changed rows (update, with a column
-    batch); the folder."""
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").outputMode("append").start(f"{folder}/out")
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, n: write_batch(df, n, f"{folder}/out")).start()
-    query.awaitTermination()
+def started(stream: DataFrame, folder: str, idle_batches: bool = True) -> StreamingQuery:
+    """Starts a stream over all that is there, into Parquet in folder/out; its state stands in a RocksDB store. idle_batches: whether
+    batches without rows run, which event-time timers and windows need at the end; a time to live asks for them without end. The
+    session's own settings are as before when this returns."""
+    conf = stream.sparkSession.conf
+    own = {STORE: ROCKS, IDLE: str(idle_batches).lower()}
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        return writer.format("parquet").outputMode("append").start(f"{folder}/out")
+    finally:
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
+
+
+def drained(stream: DataFrame, folder: str, idle_batches: bool = True) -> str:
+    """Runs a stream over all that is there; the folder of its results. Run again with the same folder, it goes on where it was."""
+    started(stream, folder, idle_batches).awaitTermination()
     return f"{folder}/out"
