@@ -8,15 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.packed import bit_planes, column_counts, compared_pairs, position_sums
+
 # The standard genetic code, codons in the order of bases TCAG.
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
-def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 #: Columns of an alignment that travel together.
 STRETCH = 64
 
@@ -35,16 +33,16 @@ def stretches(alignment: DataFrame) -> DataFrame:
 
 def p_distance(alignment: DataFrame) -> DataFrame:
     """Uncorrected distance of every pair of rows of an alignment: columns where both have a gap are skipped, a gap against
-    a residue is a mismatch, the longer row's rest is left out; null where no column is compared. Rows are split into letters
-    once, before they are paired."""
-    split = alignment.select("alignment_id", "row_no", "seq_id", characters(F.col("sequence")).alias("s"))
-    a, b = (split.select("alignment_id", F.col("row_no").alias(f"row_{x}"), F.col("seq_id").alias(f"seq_{x}"), F.col("s").alias(f"s{x}")) for x in "ij")
-    pairs = a.join(b, "alignment_id").where("row_i < row_j")
-    # the shorter row's rest is null; 1 + 2^32 marks a mismatch and 1 an equal pair, so one pass counts both
-    mark = lambda x, y: F.when(x.isNull() | y.isNull() | ((x == "-") & (y == "-")), 0).when(x == y, 1).otherwise((1 << 32) + 1).cast("long")
-    pairs = pairs.withColumn("n", F.aggregate(F.zip_with("si", "sj", mark), F.lit(0).cast("long"), lambda t, m: t + m))
-    pairs = pairs.withColumns({"mismatches": F.shiftright("n", 32), "compared": F.col("n").bitwiseAND(F.lit((1 << 32) - 1))})
-    return pairs.select("alignment_id", "row_i", "row_j", "seq_i", "seq_j", "compared", "mismatches", F.try_divide("mismatches", "compared").alias("distance"))
+    a residue is a mismatch, the longer row's rest is left out; null where no column is compared. Rows are packed as bit planes, a long
+    for 64 columns; a pair's stretches are compared by exclusive or and counts of bits. A null sequence counts as empty."""
+    kinds = dict(alignment.dtypes)
+    planes = bit_planes(alignment, ", ".join(f"{k} {kinds[k]}" for k in ("alignment_id", "row_no", "seq_id")))
+    a, b = (planes.withColumnsRenamed({"row_no": f"row_{x}", "seq_id": f"seq_{x}", "longs": f"longs_{x}", "planes": f"planes_{x}"}) for x in "ij")
+    pairs = a.join(b, ["alignment_id", "stretch"]).where("row_i < row_j")
+    keys = {"alignment_id": "alignment_id", "row_i": "row_no", "row_j": "row_no", "seq_i": "seq_id", "seq_j": "seq_id"}
+    found = compared_pairs(pairs, ", ".join(f"{name} {kinds[of]}" for name, of in keys.items()))
+    sums = found.groupBy(*keys).agg(F.sum("compared").alias("compared"), F.sum("mismatches").alias("mismatches"))
+    return sums.withColumn("distance", F.try_divide("mismatches", "compared"))
 
 
 def triplet_branch_lengths(distances: DataFrame) -> DataFrame:
@@ -66,16 +64,8 @@ def triplet_branch_lengths(distances: DataFrame) -> DataFrame:
 
 
 def column_identity(alignment: DataFrame) -> DataFrame:
-    """Per column: share of its most common residue among its residues; columns of gaps alone are left out. Pieces of all
-    rows of a stretch of columns meet in one group."""
-    groups = stretches(alignment).groupBy("alignment_id", "stretch").agg(F.collect_list("piece").alias("pieces"))
-    at = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", F.length))))
-    columns = groups.select("alignment_id", (F.col("stretch") * STRETCH).alias("left"), "pieces", at.alias("at"))
-    residues = F.filter(F.transform("pieces", lambda p: F.substring(p, F.col("at"), F.lit(1))), lambda r: (r != "-") & (r != ""))
-    columns = columns.select("alignment_id", (F.col("left") + F.col("at")).cast("int").alias("col"), residues.alias("r")).where(F.size("r") > 0)
-    top = F.array_max(F.transform(F.array_distinct("r"), lambda x: F.size(F.filter("r", lambda y: y == x))))
-    columns = columns.select("alignment_id", "col", top.cast("long").alias("top"), F.size("r").cast("long").alias("residues"))
-    return columns.withColumn("identity", F.col("top") / F.col("residues"))
+    """Per column: share of its most common residue among its residues; columns of gaps alone are left out."""
+    return column_counts(alignment).withColumn("identity", F.col("top") / F.col("residues"))
 
 
 def mean_identity(columns: DataFrame) -> DataFrame:
@@ -136,14 +126,9 @@ def read_quality(reads: DataFrame, *keys: str) -> DataFrame:
 
 def per_base_quality(reads: DataFrame) -> DataFrame:
     """Per position (from 1): reads that reach it, mean quality (Phred+33), share of G and C, share of Q30."""
-    at = reads.select(F.posexplode(F.arrays_zip(characters(F.col("seq")).alias("b"), characters(F.col("qual")).alias("q"))).alias("pos", "x"))
-    quality = F.ascii("x.q") - 33
-    return at.groupBy((F.col("pos") + 1).cast("long").alias("position")).agg(
-        F.count("*").alias("reads"),
-        F.avg(quality).alias("mean_quality"),
-        F.avg(F.col("x.b").rlike("[GCgc]").cast("int")).alias("gc"),
-        F.avg((quality >= 30).cast("int")).alias("q30"),
-    )
+    sums = position_sums(reads).groupBy("position").agg(*(F.sum(c).alias(c) for c in ("reads", "bases", "gc", "qualities", "quality", "q30")))
+    means = (F.try_divide(x, n).alias(name) for x, n, name in (("quality", "qualities", "mean_quality"), ("gc", "bases", "gc"), ("q30", "qualities", "q30")))
+    return sums.select("position", "reads", *means)
 
 
 def length_histogram(reads: DataFrame, bin_size: int = 1) -> DataFrame:
