@@ -45,8 +45,12 @@ def final_role(path: Column, role: Column) -> Column:
     return F.when(F.lower(path).contains("provenance"), F.lit("provenance")).otherwise(role)
 
 
+#: The same characters, one by one.
+BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_markdown(text: Column) -> Column:
@@ -69,7 +73,8 @@ def clean_markdown(text: Column) -> Column:
 def split_statements(text: Column) -> Column:
     """Statements: cut after a full stop before a capital, digit or backtick, or at a dash or star between blanks; trimmed,
     none empty."""
-    parts = F.split(text, rf"(?<=\.){BLANK}+(?=[A-Z0-9`])|{BLANK}+[-*]{BLANK}+")
+    # a run of blanks is tried once, from its first one, and never given back
+    parts = F.split(text, rf"(?<=\.){BLANK}++(?=[A-Z0-9`])|(?={BLANK})(?<!{BLANK}){BLANK}++[-*]{BLANK}++")
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 
@@ -116,12 +121,20 @@ def csv_ok(text: Column) -> Column:
     return ~bare.contains('"') & (F.size(widths) == 1)
 
 
+def one_json_value(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. The parser takes the first value and lets anything follow, so the text is parsed as
+    a member of a list and of an object, with a last member after it that must be there: a text that closes or leaves the one is no member
+    of the other. An object that repeats a key is refused."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"end"]')))
+    named = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":"end"}')))
+    last = lambda x, path: F.try_variant_get(x, path, "string") == "end"
+    return F.coalesce(last(listed, "$[1]") & F.try_variant_get(listed, "$[2]", "string").isNull() & last(named, "$.end"), F.lit(False))
+
+
 def content_ok(media: Column, content: Column) -> Column:
     """Whether a file (binary or text) is what its media type says; any file that is not empty passes for other types."""
     text = content.cast("string")
-    # the JSON parser lets text follow a value
-    whole = text.rlike(r'(?s)^\s*(\{.*\}|\[.*\]|"[^"]*"|[-+.0-9A-Za-z]+)\s*$')
-    kinds = F.when(media.isin("application/json", "application/geo+json"), F.try_parse_json(text).isNotNull() & whole)
+    kinds = F.when(media.isin("application/json", "application/geo+json"), one_json_value(text))
     kinds = kinds.when(media == "text/csv", csv_ok(text))
     kinds = kinds.when(media == "image/svg+xml", text.rlike(r"<svg\b") & F.contains(text, F.lit("</svg>")))
     kinds = kinds.when(media == "image/png", F.hex(F.substring(content.cast("binary"), 1, 8)) == PNG_SIGNATURE)

@@ -156,14 +156,26 @@ def translated(codons: Column) -> Column:
     return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(code, c), F.lit("X"))), "")
 
 
+#: Letters of bases, with those that stand for several, and their complements.
+LETTERS, COMPLEMENTS = "ACGTURYKMBDHVSWN", "TGCAAYRMKVHDBSWN"
+
+
+def spliced(sequence: Column, exons: Column) -> Column:
+    """The bases of exons (start, end, complement) one after the other, each turned round and over where it lies on the other strand."""
+    cut = lambda e: F.substring(sequence, e["start"], e["end"] - e["start"] + 1)
+    return F.array_join(F.transform(exons, lambda e: F.when(e["complement"], F.reverse(F.translate(cut(e), LETTERS, COMPLEMENTS))).otherwise(cut(e))), "")
+
+
 def cds_translation_check(features: DataFrame, genomes: DataFrame) -> DataFrame:
-    """features (accession, feature_no, start, end, complement, translation) against genomes (accession, sequence): slice,
-    reverse-complement, translate, drop a terminal stop, compare. A null translation gives a null ok."""
-    rows = features.join(genomes.select("accession", "sequence"), "accession")
-    dna = F.substring(F.upper("sequence"), F.col("start"), F.col("end") - F.col("start") + 1)
-    dna = F.when(F.col("complement"), F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna)
-    rows = rows.withColumn("dna", dna)
-    codons = F.regexp_extract_all("dna", F.lit(r"[\s\S]{3}"), F.lit(0))
+    """features (accession, feature_no, exons, translation; or start, end and complement for one exon; codon_start, 1 if absent or
+    null) against genomes (accession, sequence): splice, start at codon_start, translate, drop a terminal stop, compare. A null
+    translation gives a null ok."""
+    one = F.array(F.struct("start", "end", "complement")) if "exons" not in features.columns else F.col("exons")
+    first = F.coalesce("codon_start", F.lit(1)) if "codon_start" in features.columns else F.lit(1)
+    rows = features.withColumns({"_exons": one, "_first": first}).join(genomes.select("accession", F.upper("sequence").alias("sequence")), "accession")
+    rows = rows.withColumn("dna", spliced(F.col("sequence"), F.col("_exons")))
+    coding = F.substring(F.col("dna"), F.col("_first").cast("int"), F.length("dna"))
+    codons = F.regexp_extract_all(coding, F.lit(r"[\s\S]{3}"), F.lit(0))
     rows = rows.withColumn("protein", F.regexp_replace(translated(codons), r"\*$", ""))
     return rows.select(
         "accession",

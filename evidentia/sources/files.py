@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
@@ -16,7 +17,8 @@ FILE_ENTRY = "array<struct<path: string, bytes: bigint, sha256: string>>"
 MANIFEST = f"id string, plugin_id string, inputs {FILE_ENTRY}, outputs {FILE_ENTRY}, previews {FILE_ENTRY}"
 GEOJSON = "features array<struct<type: string, geometry: struct<type: string, coordinates: array<array<array<double>>>>, properties: map<string, string>>>"
 ATOMS = "path string, record string, serial string, atom_name string, alt_loc string, res_name string, chain string, res_seq string, x double, y double, z double"
-FEATURES = "accession string, feature_no int, type string, complement boolean, start int, end int, qualifiers map<string, array<string>>"
+EXONS = "array<struct<start: int, end: int, complement: boolean>>"
+FEATURES = f"accession string, feature_no int, type string, location string, complement boolean, start int, end int, open_start boolean, open_end boolean, parts string, exons {EXONS}, qualifiers map<string, array<string>>"
 #: A value of an mmCIF row: quoted, where a quote ends it only before a blank, or without blanks.
 MMCIF_VALUE = r"""'(?:[^']|'(?=\S))*'|"(?:[^"]|"(?=\S))*"|\S+"""
 MMCIF_QUOTES = r"""^(['"])(.*)\1$"""
@@ -52,18 +54,24 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_fasta(spark: SparkSession, glob: str) -> DataFrame:
-    """path, header, id (its first word), sequence; an empty id or sequence, or a letter outside the alphabet, is an error."""
-    text = spark.read.option("lineSep", "\n>").text(glob).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.regexp_replace("value", "^>", "").alias("v"),
-    ).where(F.trim("v") != "")
-    rows = text.select(
+    """path, header, id (its first word), sequence. An empty id or sequence, a letter outside the alphabet, and text before a file's
+    first header are errors; blank lines there are not."""
+    place = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    text = spark.read.option("lineSep", "\n>").text(glob).select(*place, "value")
+    # how each file begins, and its blank pieces: one row a file
+    blank = F.trim(F.regexp_replace("value", r"\s", "")) == ""
+    begins = F.min_by(F.when(blank, "").otherwise(F.left("value", F.lit(1))), F.when(F.col("at") == 0, F.col("n")))
+    files = text.groupBy("path").agg(begins.alias("begins"), F.count_if(blank).alias("blanks"))
+    rows = text.where(~blank).join(files, "path")
+    v = F.regexp_replace("value", "^>", "")
+    rows = rows.select(
         "path",
-        F.trim(F.substring_index("v", "\n", 1)).alias("header"),
-        F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"),
+        F.trim(F.substring_index(v, "\n", 1)).alias("header"),
+        F.regexp_replace(F.regexp_replace(v, r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"),
+        (F.col("begins").isin("", ">") & (F.col("blanks") <= (F.col("begins") == "").cast("int"))).alias("whole"),
     )
     rows = rows.withColumn("id", F.split("header", r"\s+")[0])
-    good = (F.col("id") != "") & F.col("sequence").rlike(r"^[A-Za-z*.\-]+$")
+    good = F.col("whole") & (F.col("id") != "") & F.col("sequence").rlike(r"^[A-Za-z*?.\-]+$")
     return rows.select(
         "path",
         "header",
@@ -124,28 +132,89 @@ def load_genbank_records(spark: SparkSession, glob: str) -> DataFrame:
     return genbank_texts(spark, glob).select("accession", F.regexp_replace(origin, "[^a-z]", "").alias("sequence"))
 
 
+class BadLocation(ValueError):
+    pass
+
+
+def location_of(text: str) -> dict:
+    """A feature's location as exons in the order in which they are spliced.
+
+    join and order list their parts; complement turns the order of its parts round and each part over, at any depth. A single base is
+    an exon of one; a site between two bases (n^m) and one base of a range (n.m) have no exon; `<` and `>` mark open ends. parts: join,
+    order or null. A part on another record, or text that is no location, is an error."""
+    tokens = re.findall(r"[A-Za-z_][\w.]*:|complement|join|order|[(),]|[<>]?\d+(?:(?:\.\.|\^|\.)[<>]?\d+)?|\S", re.sub(r"\s", "", text))
+    place, kinds, marks = 0, [], [False, False]
+
+    def one() -> list[tuple[int, int, bool]]:
+        nonlocal place
+        token = tokens[place] if place < len(tokens) else ""
+        place += 1
+        if token in ("complement", "join", "order"):
+            if place >= len(tokens) or tokens[place] != "(":
+                raise BadLocation(text)
+            found = []
+            while tokens[place] in ("(", ","):
+                place += 1
+                found += [one()]
+                if place >= len(tokens):
+                    raise BadLocation(text)
+            if tokens[place] != ")" or (token == "complement" and len(found) != 1):
+                raise BadLocation(text)
+            place += 1
+            flat = [x for part in found for x in part]
+            if token == "complement":
+                return [(a, b, not turned) for a, b, turned in reversed(flat)]
+            kinds.append(token)
+            return flat
+        if not (m := re.fullmatch(r"([<>]?)(\d+)(?:(\.\.|\^|\.)([<>]?)(\d+))?", token)):
+            raise BadLocation(text)
+        a, b = int(m[2]), int(m[5] or m[2])
+        bounds.append((a, b))
+        marks[0] |= "<" in (m[1], m[4] or "")
+        marks[1] |= ">" in (m[1], m[4] or "")
+        if b < a and m[3] != "^":
+            raise BadLocation(text)
+        return [] if m[3] in ("^", ".") else [(a, b, False)]
+
+    bounds: list[tuple[int, int]] = []
+    exons = one()
+    if place != len(tokens):
+        raise BadLocation(text)
+    return {
+        "complement": bool(exons) and all(x[2] for x in exons) or (not exons and "complement" in tokens),
+        "start": min(a for a, _ in bounds),
+        "end": max(b for _, b in bounds),
+        "open_start": marks[0],
+        "open_end": marks[1],
+        "parts": kinds[0] if kinds else None,
+        "exons": [{"start": a, "end": b, "complement": turned} for a, b, turned in exons],
+    }
+
+
+#: A feature: its type and location, which goes on until a qualifier, and the lines of its qualifiers.
+FEATURE = re.compile(r"^ {5}(\S+) +(\S.*(?:\n {21}(?!/).*)*)\n((?: {21}.*(?:\n|$))*)", re.M)
+QUALIFIER = re.compile(r'/(\w+)(?:=(?:"((?:[^"]|"")*)"|(\S+)))?')
+
+
 def load_genbank_features(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per feature of each record: accession, feature_no, type, complement, start, end, qualifiers."""
+    """One row per feature of each record: accession, feature_no, type, location, complement (all exons), start and end (the outermost
+    bases), open_start, open_end, parts, exons in the order of splicing, qualifiers (a value for each time; empty for a flag)."""
     block = F.substring_index(F.substring_index("value", "\nORIGIN", 1), "\nFEATURES", -1)
     records = genbank_texts(spark, glob).where(F.contains("value", F.lit("\nFEATURES"))).select("accession", block.alias("block"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         for batch in batches:
             for accession, text in zip(batch["accession"], batch["block"], strict=True):
                 rows = []
-                for n, m in enumerate(re.finditer(r"^ {5}(\S+)\s+(\S+)\n((?: {21}.*(?:\n|$))*)", text + "\n", re.M), 1):
-                    span = re.search(r"(\d+)\.\.>?(\d+)", m[2])
+                for n, m in enumerate(FEATURE.finditer(text + "\n"), 1):
+                    location = re.sub(r"\s", "", m[2])
                     found: dict[str, list[str]] = {}
-                    for q in re.finditer(r'/(\w+)=(?:"([^"]*)"|(\S+))', re.sub(r"\n {21}(?!/)", " ", m[3])):
-                        value = q[2] if q[2] is not None else q[3]
+                    for q in QUALIFIER.finditer(re.sub(r"\n {21}(?!/)", " ", m[3])):
+                        value = q[2].replace('""', '"') if q[2] is not None else q[3] or ""
                         found.setdefault(q[1], []).append(value.replace(" ", "") if q[1] == "translation" else value)
-                    rows.append((accession, n, m[1], "complement" in m[2], int(span[1]) if span else None, int(span[2]) if span else None, found))
-                yield pd.DataFrame(
-                    rows,
-                    columns=["accession", "feature_no", "type", "complement", "start", "end", "qualifiers"],
-                ).astype({"start": "Int32", "end": "Int32"})
+                    rows.append({"accession": accession, "feature_no": n, "type": m[1], "location": location, **location_of(location), "qualifiers": found})
+                if rows:
+                    yield pd.DataFrame(rows)
 
     return records.mapInPandas(parse, FEATURES)
 
@@ -170,14 +239,13 @@ def write_json_export(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_csv_with_provenance(df: DataFrame, path: str, bounds: list[str]) -> DataFrame:
-    """Writes CSV; returns the sidecar: one row per file with bytes and sha256, the rows written and the columns' bounds, both
-    read from what was written."""
-    df.write.option("header", True).mode("errorifexists").csv(path)
-    written = df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
-    totals = written.agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in bounds for n, f in (("min", F.min), ("max", F.max))))
-    files = df.sparkSession.read.format("binaryFile").load(f"{path}/*.csv").select(
-        "path",
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-    return files.join(F.broadcast(totals))  # totals: one row
+    """Writes CSV; returns the sidecar: one row per file with bytes and sha256, the rows written and the columns' bounds. Rows and
+    bounds are observed while the rows are written, so df is worked out once; only the files' bytes are read again."""
+    seen = Observation("written")
+    metrics = [F.count(F.lit(1)).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in bounds for n, f in (("min", F.min), ("max", F.max)))]
+    df.observe(seen, *metrics).write.option("header", True).mode("errorifexists").csv(path)
+    kinds = dict(df.dtypes)
+    found = [F.lit(seen.get["rows"]).cast("long").alias("rows")]
+    found += [F.lit(seen.get[f"{n}_{c}"]).cast(kinds[c]).alias(f"{n}_{c}") for c in bounds for n in ("min", "max")]
+    files = df.sparkSession.read.format("binaryFile").load(f"{path}/*.csv")
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), *found)

@@ -13,6 +13,7 @@ from evidentia.operators import runs
 from evidentia.operators import sequence as sq
 from evidentia.plans import runs as plan
 from evidentia.streaming import run_streams as st
+from evidentia.streaming.snapshot import Snapshot
 
 
 def mapped(spark, values, f, kind="string"):
@@ -49,7 +50,7 @@ def test_every_legal_and_illegal_step(spark):
 
 
 def test_stream_audit_over_several_batches(spark, tmp_path):
-    """The state before the first event of a batch comes from the batch before; a run that was silent for long is forgotten."""
+    """The state before the first event of a batch comes from the batch before, however late it comes within the time to live."""
     at = lambda d, h: datetime.datetime(2024, 5, d, h)
     batches = [
         [(1, at(1, 10), 1, "draft"), (1, at(1, 11), 2, "queued"), (2, at(1, 10), 3, "draft")],
@@ -62,7 +63,7 @@ def test_stream_audit_over_several_batches(spark, tmp_path):
     schema = "run_id long, at timestamp, seq long, state string"
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    out = st.drained(st.stream_run_audit(st.read_stream(spark, f"{tmp_path}/in/*", schema), lateness="0 seconds", keep_days=2), str(tmp_path / "audit"))
+    out = st.drained(st.stream_run_audit(st.read_stream(spark, f"{tmp_path}/in/*", schema)), str(tmp_path / "audit"), idle_batches=False)
     got = {r["seq"]: (r["previous"], r["allowed"]) for r in spark.read.parquet(out).collect()}
     assert got == {
         1: (None, True),
@@ -76,20 +77,12 @@ def test_stream_audit_over_several_batches(spark, tmp_path):
         9: ("completed", False),
         10: (None, True),
         11: ("draft", True),
-        12: (None, True),
+        12: ("running", False),
     }
-    folder = st.drained(st.stream_run_status(st.read_stream(spark, f"{tmp_path}/in/*", schema)), str(tmp_path / "status"), "update")
-    status = spark.read.parquet(folder)
-    assert {(r["run_id"], r["seq"]) for r in status.groupBy("run_id").agg(F.max_by("seq", "batch").alias("seq")).collect()} == {
-        (1, 12),
-        (2, 9),
-        (3, 6),
-        (9, 11),
-    }
-    n = status.count()
-    st.write_batch(spark.read.parquet(f"{folder}/batch=1"), 7, folder)
-    st.write_batch(spark.read.parquet(f"{folder}/batch=1"), 7, folder)  # a batch that is played again
-    assert spark.read.parquet(folder).count() == n + spark.read.parquet(f"{folder}/batch=1").count()
+    table = Snapshot(spark, f"{tmp_path}/table", "run_id long, at timestamp, seq long, state string, events long", "run_id")
+    st.stream_run_status(st.read_stream(spark, f"{tmp_path}/in/*", schema), table, f"{tmp_path}/status").awaitTermination()
+    assert {(r["run_id"], r["seq"]) for r in table.read().collect()} == {(1, 12), (2, 9), (3, 6), (9, 11)}
+    assert table.versions() == [0, 1, 2, 3, 4, 5]
 
 
 def test_markdown(spark):
@@ -362,3 +355,24 @@ def test_overlaps_of_short_and_long_intervals(spark):
     got = sorted((x["id"], x["rid"]) for x in ca.features_in_region(f, g, 8).collect())
     assert got == sorted((i, j) for a, i, s, e in features for b, j, t, u in regions if a == b and s <= u and e >= t)
     assert ca.features_in_region(f.limit(0), g, 8).count() == 0
+
+
+GOOD_JSON = ('{"a":1}', "[1, [2, {}], \"x]}\"]", "  12.5e3\n", '"a\\"b"', "null", "true", '[{"end":1}]', '{"end":"end"}', "[]")
+BAD_JSON = ('{"a":1}\n{"b":2}', "[1] x", "1,2", '1,"x":2', '1,"end":"end"} x', '1,"end"] x', "1],[2", "1}, {", "[1,]", "{a:1}", "'a'", "[1", "01", "tru", " ", '"a', "{}}", "[]]", "1 2", '"a" "b"')
+
+
+def test_a_json_file_is_one_value(spark):
+    import json
+
+    rows = spark.createDataFrame([(t,) for t in GOOD_JSON + BAD_JSON], "t string")
+    got = {r["t"]: r["ok"] for r in rows.select("t", tx.one_json_value(F.col("t")).alias("ok")).collect()}
+    assert got == {t: t in GOOD_JSON for t in got} and len(got) == len(GOOD_JSON + BAD_JSON)
+    for t in GOOD_JSON:
+        json.loads(t)
+    assert rows.select(tx.one_json_value(F.lit(None).cast("string"))).first()[0] is False
+
+
+def test_long_runs_of_blanks_take_little_time(spark):
+    text = "One." + " " * 200_000 + "Two" + " " * 200_000 + "x -" + "\t" * 100_000 + "end" + " " * 100_000
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(tx.split_statements(F.col("t")).alias("s")).first()["s"] == ["One.", "Two" + " " * 200_000 + "x", "end"]

@@ -147,3 +147,75 @@ def test_catalogue_manifests_csv_geojson(spark, tmp_path):
 def test_csv_with_provenance(spark, tmp_path):
     side = files.write_csv_with_provenance(spark.range(5).coalesce(1), str(tmp_path / "out"), ["id"]).first()
     assert (side["rows"], side["min_id"], side["max_id"]) == (5, 0, 4) and side["bytes"] > 0 and len(side["sha256"]) == 64
+
+
+@pytest.mark.parametrize("text", ["junk\nACGT\n>a\nAC\n", ">a\nAC\n>\nGT\n", ">a\nAC\n>b\n>c\nGT\n", "\n>a\nAC\n>\n>b\nGT\n", ">a\nAC!\n", "ACGT\n"])
+def test_damaged_fasta_is_an_error(spark, tmp_path, text):
+    (tmp_path / "x.fasta").write_text(text)
+    with pytest.raises(Exception, match="bad FASTA record"):
+        files.load_fasta(spark, str(tmp_path / "x.fasta")).collect()
+
+
+def test_fasta_alphabet_and_blank_lines(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text("\n\n>a one\nAC?*\n.-gt\n\n>b\nN\n")
+    (tmp_path / "y.fasta").write_text(">c\nM\n")
+    got = {r["id"]: (r["header"], r["sequence"]) for r in files.load_fasta(spark, str(tmp_path / "*.fasta")).collect()}
+    assert got == {"a": ("a one", "AC?*.-gt"), "b": ("b", "N"), "c": ("c", "M")}
+
+
+def exons(text):
+    return [(e["start"], e["end"], e["complement"]) for e in files.location_of(text)["exons"]]
+
+
+def test_locations():
+    assert exons("7") == [(7, 7, False)] and exons("complement(4..9)") == [(4, 9, True)]
+    assert exons("join(1..5,9..12,20)") == [(1, 5, False), (9, 12, False), (20, 20, False)]
+    assert exons("complement(join(1..5,9..12))") == [(9, 12, True), (1, 5, True)] == exons("join(complement(9..12),complement(1..5))")
+    assert exons("complement(join(1..2,complement(5..6),order(8..9,11)))") == [(11, 11, True), (8, 9, True), (5, 6, False), (1, 2, True)]
+    assert exons("12^13") == [] and exons("join(1..3,5^6)") == [(1, 3, False)]
+    whole = files.location_of("join(<3..8,12..>20)")
+    assert (whole["start"], whole["end"], whole["open_start"], whole["open_end"], whole["parts"], whole["complement"]) == (3, 20, True, True, "join", False)
+    assert files.location_of("order(complement(2..4),complement(9))")["parts"] == "order" and files.location_of("complement(<1..9)")["open_start"]
+    for bad in ("", "join(1..5", "join(1..5,)", "9..4", "J00194.1:100..202", "complement(1..2,4..5)", "1..5)", "one"):
+        with pytest.raises(files.BadLocation):
+            files.location_of(bad)
+
+
+def test_spliced_features_of_a_record(spark, tmp_path):
+    head = "LOCUS       X 60 bp\nACCESSION   X1\nFEATURES             Location/Qualifiers\n"
+    feature = lambda kind, *lines: f"     {kind:<16}" + ("\n" + " " * 21).join(lines) + "\n"
+    dna = "ccatgaaatttgtaagtttttttagggccctaacc" + "ggttagggccctaaaaacattt"
+    text = head + feature("CDS", "join(3..11,", "26..33)", '/gene="a ""b"""', "/pseudo", '/translation="MKFG', 'P"', "/codon_start=1")
+    text += feature("CDS", f"complement({36 + 2}..{36 + 19})", "/codon_start=2") + feature("gene", "5") + f"ORIGIN\n        1 {dna}\n//\n"
+    (tmp_path / "x.gb").write_text(text)
+    rows = files.load_genbank_features(spark, str(tmp_path / "x.gb"))
+    got = rows.orderBy("feature_no").collect()
+    assert [(r["location"], r["start"], r["end"], len(r["exons"])) for r in got] == [("join(3..11,26..33)", 3, 33, 2), ("complement(38..55)", 38, 55, 1), ("5", 5, 5, 1)]
+    assert got[0]["qualifiers"] == {"gene": ['a "b"'], "pseudo": [""], "translation": ["MKFGP"], "codon_start": ["1"]}
+    from pyspark.sql import functions as F
+
+    first = lambda name: F.get(F.try_element_at("qualifiers", F.lit(name)), F.lit(0))
+    cds = rows.where("type = 'CDS'").select("accession", "feature_no", "exons", first("translation").alias("translation"), first("codon_start").cast("int").alias("codon_start"))
+    check = {r["feature_no"]: r for r in sq.cds_translation_check(cds, files.load_genbank_records(spark, str(tmp_path / "x.gb"))).collect()}
+    turned = dna[37:55].translate(str.maketrans("acgt", "tgca"))[::-1].upper()
+    codon = {a + b + c: sq.AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+    protein = "".join(codon[turned[k : k + 3]] for k in range(1, len(turned) - 3, 3))
+    spliced = (dna[2:11] + dna[25:33]).upper()
+    assert check[1]["bases"] == 17 and check[1]["residues"] == len("".join(codon[spliced[k : k + 3]] for k in range(0, 15, 3)).rstrip("*"))
+    assert check[1]["ok"] == ("".join(codon[spliced[k : k + 3]] for k in range(0, 15, 3)) == "MKFGP")
+    assert check[2]["ok"] is None and check[2]["protein_sha256"] == hashlib.sha256(protein.removesuffix("*").encode()).hexdigest()
+
+
+def test_export_works_its_rows_out_once(spark, tmp_path):
+    """Bounds come from the write itself: rows that differ each time they are worked out still agree with the file."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select("id", F.expr("cast(rand() * 1000000000 as long)").alias("v"), F.lit("2024-02-03").cast("date").alias("d"))
+    side = files.write_csv_with_provenance(df, str(tmp_path / "out"), ["v", "d"]).collect()
+    back = spark.read.option("header", True).schema("id long, v long, d date").csv(str(tmp_path / "out"))
+    low, high = back.agg(F.min("v"), F.max("v")).first()
+    assert {(r["rows"], r["min_v"], r["max_v"], str(r["min_d"])) for r in side} == {(1000, low, high, "2024-02-03")} and len(side) > 1
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        files.write_csv_with_provenance(df, str(tmp_path / "out"), ["v"])
+    empty = files.write_csv_with_provenance(df.limit(0).coalesce(1), str(tmp_path / "none"), ["v"]).first()
+    assert (empty["rows"], empty["min_v"]) == (0, None)
