@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.operators import sequence as sq
+from evidentia.plans.streams import folder
+from evidentia.sources import fastq
 
 
 def alignment(spark, d):
@@ -38,29 +40,48 @@ AS_BASES = ("ACGT" * 7)[:26]
 
 
 def cds(spark, d):
-    """Two features of each document: its sequence after the first codon, translated by the frame of the text itself. Every
-    third translation is right, every third is one residue short, the others are missing."""
+    """A spliced feature of each document: two exons, on the other strand for odd ones, read from the first to third base by codon_start. Every
+    third translation is right, every third is one residue too long, the others are missing."""
     t = spark.read.parquet(f"{d}/documents.parquet").select(
         F.col("doc_id").alias("accession"),
         F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES).alias("sequence"),
     )
+    n, odd = F.length("sequence"), F.col("accession") % 2 == 1
+    exon = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), odd.alias("complement"))
+    one, two = exon(F.lit(4), F.floor(n / 2)), exon(F.floor(n / 2) + 10, n)
+    t = t.where("sequence IS NOT NULL")
     # the features' translations come from a table that other tools would have written: here from SQL text functions
     codon = F.expr("transform(sequence(0, greatest(0, length(dna) div 3 - 1)), k -> substring('" + sq.AMINO_ACIDS + "', 1 + 16 * (locate(substring(dna, 3 * k + 1, 1), 'TCAG') - 1) + 4 * (locate(substring(dna, 3 * k + 2, 1), 'TCAG') - 1) + locate(substring(dna, 3 * k + 3, 1), 'TCAG') - 1, 1))")
-    dna = F.substring(F.col("sequence"), F.lit(4), F.length("sequence"))
-    rows = t.withColumn("dna", F.when(F.col("accession") % 2 == 1, F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna))
-    protein = F.regexp_replace(F.when(F.length("dna") >= 3, F.array_join(codon, "")).otherwise(""), r"\*$", "")
+    dna = F.concat(F.substring("sequence", F.lit(4), F.floor(n / 2).cast("int") - 3), F.substring("sequence", (F.floor(n / 2) + 10).cast("int"), n))
+    first = (F.col("accession") % 3 + 1).cast("int")
+    rows = t.where(n >= 40).withColumn("dna", F.when(odd, F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna))
+    rows = rows.withColumn("dna", F.substring("dna", first, F.length("dna")))
+    protein = F.regexp_replace(F.array_join(codon, ""), r"\*$", "")
     said = F.when(F.col("accession") % 3 == 0, protein).when(F.col("accession") % 3 == 1, F.concat(protein, F.lit("M")))
-    f = rows.select(
-        "accession",
-        F.lit(1).alias("feature_no"),
-        F.lit(4).alias("start"),
-        F.length("sequence").alias("end"),
-        (F.col("accession") % 2 == 1).alias("complement"),
-        said.alias("translation"),
-    )
+    f = rows.select("accession", F.lit(1).alias("feature_no"), F.when(odd, F.array(two, one)).otherwise(F.array(one, two)).alias("exons"), said.alias("translation"), first.alias("codon_start"))
     return sq.cds_translation_check(f, t)
 
 
+def fastq_records(s, d):
+    """Conversations as FASTQ files that Spark writes and the FASTQ source reads back, in ranges: letters A, C, G and T of a turn, with the
+    first ones' quality by their number."""
+    at = folder(s)
+    n = F.length("seq")
+    rows = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("seq"))
+    qual = F.rpad(F.repeat(F.lit("@"), (n % 5).cast("int")), n, F.lit("I"))
+    record = F.concat_ws("\n", F.concat(F.lit("@"), F.concat_ws(":", "conv_id", "turn")), "seq", F.lit("+"), F.when(n > 0, qual).otherwise(""))
+    rows.select(record.alias("value")).write.text(f"{at}/reads")
+    return fastq.load_fastq(s, f"{at}/reads/part-*", 16 << 10)
+
+
+def fastq_reads(s, d):
+    """Reads of each name, and whether the numbers of each file run from 1 on."""
+    reads = fastq_records(s, d)
+    whole = F.max("record_no") == F.count("*")
+    files = reads.groupBy("path").agg(whole.alias("numbered"), F.count("*").alias("n")).agg(F.bool_and("numbered").alias("numbered"))
+    return reads.select("name", "seq", F.col("qual").alias("quality")).join(F.broadcast(files))  # files: one row
+
+
 def mutations(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.upper("p_name").alias("n"), "p_size")
     wrong = F.when(F.col("p_size") % 3 == 0, F.lit("#")).otherwise(F.substring("n", 3, 1))
@@ -77,6 +98,7 @@ def mutations(spark, d):
 
 
 QUERIES = {
+    "s5_load_fastq": fastq_reads,
     "j9_p_distance": lambda s, d: sq.p_distance(alignment(s, d)).select(
         "alignment_id",
         "seq_i",
@@ -148,10 +170,13 @@ SELECT position, count(*) AS reads, round(avg(unicode(b) - 33), 6) AS mean_quali
     "a4_duplicate_rate": """SELECT count(*) AS reads, count(DISTINCT text) AS distinct_reads, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate
 FROM conversations""",
     "w1_first_n": "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
-    "t7_cds_translation": f"""WITH s AS (SELECT doc_id AS accession, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}'), 4) AS x FROM documents),
-r AS (SELECT accession, CASE WHEN accession % 2 = 1 THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS dna FROM s),
-p AS (SELECT accession, dna, regexp_replace(array_to_string(list_transform(regexp_extract_all(dna, '...'), lambda c: substr('{sq.AMINO_ACIDS}', (16 * (strpos('TCAG', c[1:1]) - 1) + 4 * (strpos('TCAG', c[2:2]) - 1) + strpos('TCAG', c[3:3]))::INTEGER, 1)), ''), '\\*$', '') AS protein FROM r)
-SELECT accession, 1 AS feature_no, length(dna) AS bases, length(protein) AS residues, sha256(protein) AS protein_sha256, CASE accession % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ok FROM p""",
+    "t7_cds_translation": f"""WITH s AS (SELECT doc_id AS accession, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS x FROM documents),
+j AS (SELECT accession, substr(x, 4, length(x) // 2 - 3) || substr(x, length(x) // 2 + 10) AS x FROM s WHERE length(x) >= 40),
+r AS (SELECT accession, length(x) AS bases, substr(CASE WHEN accession % 2 = 1 THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END, (accession % 3 + 1)::INTEGER) AS dna FROM j),
+p AS (SELECT accession, bases, regexp_replace(array_to_string(list_transform(regexp_extract_all(dna, '...'), lambda c: substr('{sq.AMINO_ACIDS}', (16 * (strpos('TCAG', c[1:1]) - 1) + 4 * (strpos('TCAG', c[2:2]) - 1) + strpos('TCAG', c[3:3]))::INTEGER, 1)), ''), '\\*$', '') AS protein FROM r)
+SELECT accession, 1 AS feature_no, bases, length(protein) AS residues, sha256(protein) AS protein_sha256, CASE accession % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ok FROM p""",
+    "s5_load_fastq": """WITH r AS (SELECT conv_id || ':' || turn AS name, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM conversations)
+SELECT name, seq, CASE WHEN length(seq) > 0 THEN rpad(repeat('@', length(seq) % 5), length(seq)::INTEGER, 'I') ELSE '' END AS quality, true AS numbered FROM r""",
     "t8_mutation_check": """WITH p AS (SELECT p_partkey, upper(p_name) AS n, p_size, CASE WHEN p_size % 5 = 0 THEN upper(p_name) ELSE 'C' || upper(p_name)[2:2] || 'W' || substr(upper(p_name), 4) END || CASE WHEN p_size % 7 = 0 THEN 'C' ELSE '' END AS got FROM part)
 SELECT p_partkey AS candidate, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n_mutations, p_size % 5 = 0 OR (p_size % 3 <> 0 AND length(n) >= 3) AS wild_type_ok, p_size % 7 <> 0 AS sequence_ok,
 length(got) AS length, length(regexp_replace(got, '[^C]', '', 'g')) AS cysteines FROM p""",
