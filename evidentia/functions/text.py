@@ -63,7 +63,7 @@ def clean_markdown(text: Column) -> Column:
         (r"`([^`]+)`", "$1"),
         (r"\[([^\]]+)\]\([^)]+\)", "$1"),
         (r"\*\*([^*]+)\*\*", "$1"),
-        (rf"{BLANK}+", " "),
+        (rf"(?=[^!-~]){BLANK}+", " "),
     )
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -73,8 +73,8 @@ def clean_markdown(text: Column) -> Column:
 def split_statements(text: Column) -> Column:
     """Statements: cut after a full stop before a capital, digit or backtick, or at a dash or star between blanks; trimmed,
     none empty."""
-    # a run of blanks is tried once, from its first one, and never given back
-    parts = F.split(text, rf"(?<=\.){BLANK}++(?=[A-Z0-9`])|(?={BLANK})(?<!{BLANK}){BLANK}++[-*]{BLANK}++")
+    # most characters fail at the first look; a run of blanks is tried once, from its first one, and never given back
+    parts = F.split(text, rf"(?=[^!-~])(?:(?<=\.){BLANK}++(?=[A-Z0-9`])|(?={BLANK})(?<!{BLANK}){BLANK}++[-*]{BLANK}++)")
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 

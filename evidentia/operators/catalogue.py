@@ -197,6 +197,73 @@ def search_text(cases: DataFrame) -> DataFrame:
     return cases.withColumn("search_text", F.lower(F.array_join(unique_texts(parts), " ")))
 
 
+# Where the cases of a category are run; those of any other need the network.
+STRATEGIES = {"sequence": "local", "structure": "local", "workbench": "local", "ngs": "conditional", "slide": "conditional"}
+OTHER_STRATEGY = "network"
+#: Roles of the artifacts that a case's recipe expects as its results.
+RESULT_ROLES = ("output", "preview", "provenance")
+
+
+def recipes(cases: DataFrame, artifacts: DataFrame, rules: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """case_id, adapter, provider_ids, strategy, required_inputs, expected_outputs.
+
+    cases: case_id, category; artifacts: case_id, ordinal, role (the final one), path; rules: category, adapter, provider_ids; own: case_id
+    with adapter, provider_ids and strategy of cases that differ from their category (null: they do not). Paths come in the order of the
+    artifacts; those without a path are left out. rules and own are small dimensions; Spark broadcasts them by their size."""
+    of_role = lambda *roles: F.transform(F.array_sort(F.collect_list(F.when(F.col("role").isin(*roles) & F.col("path").isNotNull(), F.struct("ordinal", "path")))), lambda x: x["path"])
+    paths = artifacts.groupBy("case_id").agg(of_role("input").alias("required_inputs"), of_role(*RESULT_ROLES).alias("expected_outputs"))
+    known = F.create_map(*(F.lit(x) for pair in STRATEGIES.items() for x in pair))
+    rows = cases.select("case_id", "category").join(rules, "category", "left").withColumn("strategy", F.coalesce(F.try_element_at(known, F.col("category")), F.lit(OTHER_STRATEGY)))
+    fields = ("adapter", "provider_ids", "strategy")
+    if own is not None:
+        rows = rows.join(own.select("case_id", *(F.col(c).alias(f"_{c}") for c in fields)), "case_id", "left")
+        rows = rows.withColumns({c: F.coalesce(f"_{c}", c) for c in fields})
+    none = F.array().cast("array<string>")
+    rows = rows.join(paths, "case_id", "left")
+    return rows.select("case_id", *fields, *(F.coalesce(c, none).alias(c) for c in ("required_inputs", "expected_outputs")))
+
+
+#: Order of a case's declared files.
+ROLE_ORDER = ("input", "preview", "output")
+
+
+def artifact_rows(cases: DataFrame, declared: DataFrame, files: DataFrame, scheme: str) -> DataFrame:
+    """The artifacts of each case in order: its README and prompt, then what it declares, each path once: inputs, previews, outputs.
+
+    cases: case_id, case_path (its folder), prompt (a file in it), run_date; declared: case_id, role, ordinal, path (in the folder), bytes,
+    sha256 (recorded or null); files: path, canonical_bytes, sha256 (of file_stats()) and content. Gives case_id, ordinal (from 0), artifact_id, role
+    (provenance where the path says so), media_type, source (a note where the record is stale), generated_at (the run date of results),
+    path, resource_uri (an SVG as a data URI, another preview by `scheme`), bytes, sha256 (where one was recorded). A declared file that
+    is not there is left out, as missing_recipe_files() tells it."""
+    order = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role"))
+    listed = dedupe_keep_first(declared, ["case_id", "path"], order, F.col("ordinal")).withColumn("at", F.struct(order.cast("int").alias("role"), F.col("ordinal").cast("int").alias("n")))
+    first = F.array(*(F.struct(f.alias("path"), F.struct(F.lit(0).alias("role"), F.lit(n).alias("n")).alias("at")) for n, f in enumerate((F.lit("README.md"), F.col("prompt")))))
+    heads = cases.select("case_id", F.inline(first)).select("case_id", F.lit("input").alias("role"), "path", F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("sha256"), "at", F.lit(True).alias("head"))
+    rows = heads.unionByName(listed.select("case_id", "role", "path", "bytes", "sha256", "at", F.lit(False).alias("head"))).join(cases.select("case_id", "case_path", "run_date"), "case_id")
+    full = F.concat_ws("/", "case_path", "path")
+    rows = rows.withColumns({"short": F.col("path"), "path": full}).join(files.select("path", "content", "canonical_bytes", F.col("sha256").alias("actual_sha")), "path")
+    media, final = tx.media_type(F.col("path")), F.when(F.col("head"), F.col("role")).otherwise(tx.final_role(F.col("short"), F.col("role")))
+    differs = F.coalesce(F.col("bytes") != F.col("canonical_bytes"), F.lit(False)) | F.coalesce(F.col("sha256") != F.col("actual_sha"), F.lit(False))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unspecified"))
+    note = F.concat(F.lit("Pinned file identity supersedes stale source-manifest metadata (recorded bytes="), said("bytes"), F.lit(", sha256="), said("sha256"), F.lit(")."))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("binary").cast("string")), F.lit("\r\n"), F.lit("\n"))
+    uri = F.when(media == "image/svg+xml", F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(text.cast("binary")))).when(F.col("role") == "preview", F.concat(F.lit(scheme), "path"))
+    number = F.row_number().over(Window.partitionBy("case_id").orderBy("at")) - 1
+    return rows.select(
+        "case_id",
+        number.alias("ordinal"),
+        F.concat_ws(":", F.when(F.col("head"), F.col("case_id").cast("string")).otherwise(F.substring_index("case_path", "/", -1)), "short").alias("artifact_id"),
+        final.alias("role"),
+        media.alias("media_type"),
+        F.when(differs, note).alias("source"),
+        F.when(final.isin(*RESULT_ROLES), F.col("run_date")).alias("generated_at"),
+        "path",
+        F.when(~F.col("head"), uri).alias("resource_uri"),
+        F.col("canonical_bytes").alias("bytes"),
+        F.when(F.col("sha256").isNotNull(), F.col("actual_sha")).alias("sha256"),
+    )
+
+
 def case_index(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per case its readme, prompt and the paths of its artifacts, in order."""
     fixed = cases.select(

@@ -50,6 +50,31 @@ def missing_recipe_files(declared: DataFrame, listing: DataFrame) -> tuple[DataF
     return declared.join(listing, "path", "left_anti"), declared.join(listing, "path", "left_semi")
 
 
+#: Modes that a case declares, and the kinds of statements that it records.
+MODES = ("lesson", "replay", "reproduce")
+RECORDED = {"observation": "source observations", "computed": "computed results", "interpretation": "scientific interpretation", "limitation": "limitations"}
+
+
+def record_checks(cases: DataFrame, claims: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """The ten checks of a case's record: ready, three modes, four kinds of statements, claim references, recipe files; with their ordinal.
+
+    cases: case_id, status, modes, the arrays of case_statements() and required_inputs, expected_outputs (arrays; null counts as
+    empty); claims: case_id, artifact_ids; artifacts: case_id, artifact_id; files: path. A case without claims or recipe files has
+    none that fail."""
+    refs = claims.select("case_id", F.explode("artifact_ids").alias("artifact_id")).where("artifact_id IS NOT NULL")
+    open_refs = unresolved_claim_refs(refs, artifacts).groupBy("case_id").agg(F.count("*").alias("open_refs"))
+    none = F.array().cast("array<string>")
+    paths = F.concat(*(F.coalesce(c, none) for c in ("required_inputs", "expected_outputs")))
+    gone = missing_recipe_files(cases.select("case_id", F.explode(paths).alias("path")), files.select("path"))[0]
+    rows = cases.join(open_refs, "case_id", "left").join(gone.groupBy("case_id").agg(F.count("*").alias("gone")), "case_id", "left")
+    told = [("showcase is ready", F.col("status"), F.lit("ready"))]
+    told += [(f"{mode} mode declared", F.coalesce(F.array_contains("modes", mode), F.lit(False)), F.lit(True)) for mode in MODES]
+    told += [(f"{name} recorded", F.size(F.coalesce(kind, none)) > 0, F.lit(True)) for kind, name in RECORDED.items()]
+    told += [("claim artifact references resolve", F.col("open_refs").isNull(), F.lit(True)), ("recipe files are present", F.col("gone").isNull(), F.lit(True))]
+    each = [F.struct(F.lit(n).alias("ordinal"), *check(F.col("case_id"), F.lit(name), actual == expected, actual, expected)) for n, (name, actual, expected) in enumerate(told)]
+    return rows.select(F.inline(F.array(*each)))
+
+
 def size_rule(recorded: str, actual: str) -> tuple[Column, Column, Column]:
     """ok, actual and expected of rows with a recorded size (or null), and path, actual size, lf_bytes and crlf_bytes of the file. A
     record without a path is a resource and passes; without a file it is missing; without a size it passes; else the size must be

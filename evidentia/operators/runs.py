@@ -118,6 +118,15 @@ def provider_readiness(providers: DataFrame) -> DataFrame:
     )
 
 
+def provider_status(ids: DataFrame, readiness: DataFrame) -> DataFrame:
+    """The rows of provider_readiness() for each id of ids (provider_id); an id that is not registered has a status that says so."""
+    unknown = F.col("installed").isNull()
+    note = F.array(F.concat(F.lit("Provider "), "provider_id", F.lit(" is not registered.")))
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("installed", "credential_required", "credential_configured", "runnable")}
+    rows = ids.select("provider_id").distinct().join(readiness, "provider_id", "left")
+    return rows.withColumns({"diagnostics": F.when(unknown, note).otherwise(F.col("diagnostics")), "kind": F.coalesce("kind", F.lit("local")), **flags})
+
+
 def provider_report(cases: DataFrame, providers: DataFrame, ids: list[str] | None = None, salts: int = 16) -> DataFrame:
     """Providers of each case: the explicit ids, else the case's own, else all of them. The last is a report of every case
     with every provider; it is dealt out by a salt, so neither side is broadcast or gathered."""
