@@ -247,7 +247,7 @@ def artifact_rows(cases: DataFrame, declared: DataFrame, files: DataFrame, schem
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unspecified"))
     note = F.concat(F.lit("Pinned file identity supersedes stale source-manifest metadata (recorded bytes="), said("bytes"), F.lit(", sha256="), said("sha256"), F.lit(")."))
     text = F.replace(F.make_valid_utf8(F.col("content").cast("binary").cast("string")), F.lit("\r\n"), F.lit("\n"))
-    uri = F.when(media == "image/svg+xml", F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(text.cast("binary")))).when(F.col("role") == "preview", F.concat(F.lit(scheme), "path"))
+    uri = F.when(media == "image/svg+xml", F.concat(F.lit("data:image/svg+xml;base64,"), F.translate(F.base64(text.cast("binary")), "\r\n", ""))).when(F.col("role") == "preview", F.concat(F.lit(scheme), "path"))
     number = F.row_number().over(Window.partitionBy("case_id").orderBy("at")) - 1
     return rows.select(
         "case_id",

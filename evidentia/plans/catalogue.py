@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators import catalogue as ca
+from evidentia.operators import checks as ck
 
 
 def t(spark, d, name):
@@ -171,7 +172,38 @@ def hashed(df, *columns):
     return df.withColumns({c: F.sha2(c, 256) for c in columns})
 
 
+def recipe_rows(s, d):
+    """Conversations as cases of a category by their number, with turns as artifacts; rules by region; every tenth case has its own."""
+    c, n = t(s, d, "conversations"), F.col("conv_id")
+    category = F.element_at(F.array(*map(F.lit, ("sequence", "ngs", "literature", "workbench", "slide"))), F.col("k"))
+    cases = c.select(n.alias("case_id"), (n % 5 + 1).cast("int").alias("k")).distinct().select("case_id", category.alias("category"))
+    role = F.when(F.col("role") == "user", "input").when(F.col("role") == "assistant", "output").otherwise("provenance")
+    artifacts = c.select(n.alias("case_id"), F.col("turn").alias("ordinal"), role.alias("role"), F.when(F.col("turn") != 3, F.concat_ws("/", n, "turn")).alias("path"))
+    rules = t(s, d, "region").where("r_regionkey < 4").select((F.col("r_regionkey") + 1).cast("int").alias("k"), F.col("r_name").alias("adapter"), F.array("r_name", F.lit("local")).alias("provider_ids"))
+    own = cases.where("case_id % 10 = 0").select("case_id", F.lit(None).cast("string").alias("adapter"), F.array(F.lit("own")).alias("provider_ids"), F.lit("conditional").alias("strategy"))
+    out = ca.recipes(cases, artifacts, rules.select(category.alias("category"), "adapter", "provider_ids"), own)
+    return out.withColumns({x: F.array_join(x, ",") for x in ("provider_ids", "required_inputs", "expected_outputs")})
+
+
+def artifact_table(s, d):
+    """Documents as the files of fifty cases; sizes are recorded in characters, so many are stale. The document of a case's own number is
+    its prompt, and declared as well."""
+    n = F.col("doc_id")
+    name = F.concat(n.cast("string"), F.when(n % 4 == 1, ".svg").when(n % 4 == 2, ".provenance.json").otherwise(".md"))
+    docs = t(s, d, "documents").where("text IS NOT NULL").select("*", (n % 50).alias("case_id"), name.alias("name"))
+    cases = docs.where("doc_id < 50").select("case_id", F.concat(F.lit("cases/c"), "case_id").alias("case_path"), F.col("name").alias("prompt"), F.lit("2024-05-01").alias("run_date"))
+    path = lambda file: F.concat(F.lit("cases/c"), "case_id", F.lit("/"), file)
+    files = docs.select(path(F.col("name")).alias("path"), F.col("text").alias("content")).unionByName(cases.select(path(F.lit("README.md")).alias("path"), F.concat(F.lit("# case "), "case_id").alias("content")))
+    stats = ck.file_stats(files.withColumn("media_type", tx.media_type(F.col("path"))), "content")
+    role = F.element_at(F.array(*map(F.lit, ca.ROLE_ORDER)), (n % 3 + 1).cast("int"))
+    declared = docs.select("case_id", role.alias("role"), n.alias("ordinal"), F.col("name").alias("path"), F.when(n % 6 != 5, F.col("n_chars")).alias("bytes"), F.when(n % 5 == 0, "old").when(n % 5 == 1, F.sha2("text", 256)).alias("sha256"))
+    out = ca.artifact_rows(cases, declared, stats, "store://")
+    return out.withColumns({"resource_uri": F.sha2("resource_uri", 256), "ordinal": F.col("ordinal").cast("long")})
+
+
 QUERIES = {
+    "e1_recipes": recipe_rows,
+    "e1_artifact_rows": artifact_table,
     "f1_catalogue_search": search,
     "f2_catalogue_get": get,
     "f3_artifacts_by_role": lambda s, d: ca.artifacts_by_role(t(s, d, "conversations")),
@@ -328,3 +360,22 @@ FROM documents""",
     "t11_media_type": f"SELECT page_id, {MEDIA} AS media_type, CASE WHEN page_id % 3 = 0 THEN 'provenance' ELSE 'output' END AS role FROM pages",
     "a1_count_by_media_type": f"SELECT {MEDIA} AS media_type, count(*) AS files FROM pages GROUP BY 1",
 }
+
+SQL["e1_recipes"] = """WITH c AS (SELECT DISTINCT conv_id AS case_id, ['sequence', 'ngs', 'literature', 'workbench', 'slide'][(conv_id % 5 + 1)::INTEGER] AS category FROM conversations),
+a AS (SELECT conv_id AS case_id, string_agg(conv_id || '/' || turn, ',' ORDER BY turn, conv_id || '/' || turn) FILTER (WHERE role = 'user' AND turn <> 3) AS i,
+  string_agg(conv_id || '/' || turn, ',' ORDER BY turn, conv_id || '/' || turn) FILTER (WHERE (role IS NULL OR role <> 'user') AND turn <> 3) AS o FROM conversations GROUP BY 1)
+SELECT case_id, r_name AS adapter, CASE WHEN case_id % 10 = 0 THEN 'own' ELSE r_name || ',local' END AS provider_ids,
+  CASE WHEN case_id % 10 = 0 THEN 'conditional' ELSE ['local', 'conditional', 'network', 'local', 'conditional'][(case_id % 5 + 1)::INTEGER] END AS strategy,
+  coalesce(i, '') AS required_inputs, coalesce(o, '') AS expected_outputs FROM c JOIN a USING (case_id) LEFT JOIN region ON r_regionkey = case_id % 5 AND r_regionkey < 4"""
+SQL["e1_artifact_rows"] = """WITH f AS (SELECT *, doc_id % 50 AS case_id, doc_id || CASE doc_id % 4 WHEN 1 THEN '.svg' WHEN 2 THEN '.provenance.json' ELSE '.md' END AS name FROM documents WHERE text IS NOT NULL),
+c AS (SELECT case_id, name AS prompt, text FROM f WHERE doc_id < 50),
+u AS (SELECT case_id, -2 AS k, 0 AS doc_id, 'README.md' AS name, '# case ' || case_id AS text, 'input' AS role, NULL AS bytes, NULL AS sha FROM c
+  UNION ALL SELECT case_id, -1, 0, prompt, text, 'input', NULL, NULL FROM c
+  UNION ALL SELECT f.case_id, doc_id % 3, doc_id, name, f.text, ['input', 'preview', 'output'][(doc_id % 3 + 1)::INTEGER], CASE WHEN doc_id % 6 <> 5 THEN n_chars END, CASE doc_id % 5 WHEN 0 THEN 'old' WHEN 1 THEN sha256(f.text) END FROM f JOIN c USING (case_id)),
+w AS (SELECT *, CASE WHEN k >= 0 AND name LIKE '%provenance%' THEN 'provenance' ELSE role END AS final FROM u)
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY k, doc_id) - 1 AS ordinal, CASE WHEN k < 0 THEN '' ELSE 'c' END || case_id || ':' || name AS artifact_id, final AS role,
+  CASE WHEN name LIKE '%.svg' THEN 'image/svg+xml' WHEN name LIKE '%.json' THEN 'application/json' ELSE 'text/markdown' END AS media_type,
+  CASE WHEN bytes <> strlen(text) OR sha <> sha256(text) THEN 'Pinned file identity supersedes stale source-manifest metadata (recorded bytes=' || coalesce(bytes::VARCHAR, 'unspecified') || ', sha256=' || coalesce(sha, 'unspecified') || ').' END AS source,
+  CASE WHEN final <> 'input' THEN '2024-05-01' END AS generated_at, 'cases/c' || case_id || '/' || name AS path,
+  CASE WHEN k < 0 THEN NULL WHEN name LIKE '%.svg' THEN sha256('data:image/svg+xml;base64,' || base64(encode(text))) WHEN role = 'preview' THEN sha256('store://cases/c' || case_id || '/' || name) END AS resource_uri,
+  strlen(text) AS bytes, CASE WHEN sha IS NOT NULL THEN sha256(text) END AS sha256 FROM w"""

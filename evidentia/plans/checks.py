@@ -82,6 +82,30 @@ def review(s, d):
     )
 
 
+def record(s, d):
+    """Conversations as cases: roles stand for modes and kinds of statements, turns for artifacts and files. A claim names its own turn and the
+    next one; every seventh case needs a file that is not there."""
+    c = t(s, d, "conversations")
+    case = F.col("conv_id").alias("case_id")
+    file = lambda n: F.concat_ws(":", "conv_id", n.cast("string"))
+    of = lambda condition: F.array_sort(F.collect_list(F.when(condition, F.coalesce("text", F.lit("")))))
+    mode = F.when(F.col("role") == "user", "lesson").when(F.col("role") == "assistant", "replay").otherwise("reproduce")
+    cases = c.groupBy("conv_id").agg(
+        F.collect_set(mode).alias("modes"),
+        of(F.col("role") == "user").alias("observation"),
+        of(F.col("role") == "assistant").alias("computed"),
+        of(F.col("turn") > 2).alias("interpretation"),
+        of(F.col("role") == "system").alias("limitation"),
+        F.collect_list(file(F.col("turn"))).alias("required_inputs"),
+    )
+    gone = F.when(F.col("conv_id") % 7 == 0, F.array(file(F.lit(99))))
+    status = F.when(F.col("conv_id") % 5 == 0, "draft").otherwise("ready")
+    claims = c.where("conv_id % 3 <> 0").select(case, F.array(F.col("turn").cast("string"), F.when(F.col("conv_id") % 2 == 0, (F.col("turn") + 1).cast("string"))).alias("artifact_ids"))
+    held = c.select(case, F.col("turn").cast("string").alias("artifact_id"))
+    cases = cases.select("*", case, status.alias("status"), gone.alias("expected_outputs")).drop("conv_id")
+    return ck.record_checks(cases, claims, held, c.select(file(F.col("turn")).alias("path")))
+
+
 QUERIES = {
     "s3_scan_files": lambda s, d: stats(s, d),
     "j1_unresolved_refs": lambda s, d: ck.unresolved_claim_refs(
@@ -101,6 +125,7 @@ QUERIES = {
         2000,
     ),
     "a15_review_report": review,
+    "u4_record_checks": record,
 }
 
 CRLF = "chr(13) || chr(10)"
@@ -138,3 +163,21 @@ y AS (SELECT case_id, name, artifact_id, ok, actual FROM zc JOIN (SELECT case_id
 q AS (SELECT case_id, sha256(string_agg(name || ok || actual, '|' ORDER BY artifact_id, name)) AS artifact_checks FROM y GROUP BY 1), none AS (SELECT sha256('') AS z)
 SELECT case_id, {", ".join(f"coalesce({n}, z) AS {n}" for n in (*ck.REVIEW.values(), "citation_checks", "artifact_checks"))} FROM x FULL JOIN p USING (case_id) FULL JOIN q USING (case_id), none""",
 }
+
+#: Name, actual value and expected value of the ten checks, in their order, over one row per case.
+RECORD = (
+    ("showcase is ready", "status", "ready"),
+    ("lesson mode declared", "users > 0", "true"),
+    ("replay mode declared", "assistants > 0", "true"),
+    ("reproduce mode declared", "others > 0", "true"),
+    ("source observations recorded", "users > 0", "true"),
+    ("computed results recorded", "assistants > 0", "true"),
+    ("scientific interpretation recorded", "late > 0", "true"),
+    ("limitations recorded", "systems > 0", "true"),
+    ("claim artifact references resolve", "case_id % 3 = 0 OR case_id % 2 <> 0 OR open = 0", "true"),
+    ("recipe files are present", "case_id % 7 <> 0", "true"),
+)
+SQL["u4_record_checks"] = """WITH n AS (SELECT *, turn + 1 NOT IN (SELECT turn FROM conversations o WHERE o.conv_id = c.conv_id) AS last FROM conversations c),
+x AS (SELECT conv_id AS case_id, CASE WHEN conv_id % 5 = 0 THEN 'draft' ELSE 'ready' END AS status, count(*) FILTER (WHERE role = 'user') AS users, count(*) FILTER (WHERE role = 'assistant') AS assistants,
+  count(*) FILTER (WHERE role = 'system') AS systems, count(*) FILTER (WHERE role IS NULL OR role NOT IN ('user', 'assistant')) AS others, count(*) FILTER (WHERE turn > 2) AS late, count(*) FILTER (WHERE last) AS open FROM n GROUP BY 1)
+""" + " UNION ALL ".join(f"SELECT {k}::INTEGER AS ordinal, case_id, '{name}' AS name, ({actual})::VARCHAR = '{expected}' AS ok, ({actual})::VARCHAR AS actual, '{expected}' AS expected FROM x" for k, (name, actual, expected) in enumerate(RECORD))

@@ -68,6 +68,13 @@ def readiness(s, d):
     )
 
 
+def statuses(s, d):
+    """Of ids of which some are registered."""
+    ids = t(s, d, "orders").select(F.col("o_custkey").cast("string").alias("provider_id"))
+    out = runs.provider_status(ids, runs.provider_readiness(providers(s, d)))
+    return out.select("provider_id", "kind", "installed", "credential_required", "runnable", F.array_join("diagnostics", " ").alias("diagnostics"))
+
+
 def report(s, d):
     cases = t(s, d, "nation").select(
         F.col("n_nationkey").alias("case_id"),
@@ -81,6 +88,7 @@ QUERIES = {
     "w10_latest_run_state": lambda s, d: runs.latest_run_state(events(s, d)).select("run_id", "seq", "state", "events"),
     "u3_missing_acknowledgements": plans,
     "f7_provider_readiness": readiness,
+    "f7_provider_status": statuses,
     "j6_provider_report": report,
     "st3_overdue_runs_batch": lambda s, d: runs.overdue_runs(events(s, d), ["completed"], 30).select("run_id", F.unix_micros("started").alias("started_us")),
     "st3_overdue_sessions_batch": lambda s, d: runs.overdue_sessions(events(s, d), ["completed"], 30, 30).select("run_id", F.unix_micros("started").alias("started_us")),
@@ -119,3 +127,8 @@ s AS (SELECT run_id, min(ts) AS started, min(ts) FILTER (WHERE event_type = 'pur
 SELECT run_id, epoch_us(started) AS started_us FROM s, (SELECT max(ts) AS now FROM events) WHERE started + INTERVAL 30 MINUTE < now AND (ended IS NULL OR ended > started + INTERVAL 30 MINUTE)""",
     "st6_state_counts_batch": COUNTS,
 }
+
+SQL["f7_provider_status"] = f"""WITH f AS ({SQL["f7_provider_readiness"]}), k AS (SELECT f.*, ['local', 'public-api', 'paid-api', 'gpu'][(s_nationkey % 4 + 1)::INTEGER] AS kind FROM f JOIN supplier ON s_suppkey::VARCHAR = provider_id),
+i AS (SELECT DISTINCT o_custkey::VARCHAR AS provider_id FROM orders)
+SELECT provider_id, coalesce(kind, 'local') AS kind, coalesce(installed, false) AS installed, coalesce(credential_required, false) AS credential_required, coalesce(runnable, false) AS runnable,
+  coalesce(diagnostics, 'Provider ' || provider_id || ' is not registered.') AS diagnostics FROM i LEFT JOIN k USING (provider_id)"""
