@@ -6,6 +6,7 @@ import pytest
 from golden_values import CANDIDATES, CI, INTERFACE, LAMBDA, RAS
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as tx
 from evidentia.operators import evidence as ev
 from evidentia.operators import sequence as sq
 from evidentia.operators import structure as st
@@ -68,3 +69,39 @@ def test_preprint_interval(spark):
     )
     r = ev.preprint_publication(versions, links, pubs).first()
     assert (r["elapsed_days"], r["title_changed"]) == (162, True)
+
+
+# Themes of ten records, statements about a figure, and the first corners of a ring.
+THEMES = (
+    "injury response",
+    "variant and disease model",
+    "review",
+    "immunometabolism review",
+    "glioma review",
+    "intervention and injury",
+    "simulation review",
+    "therapeutic review",
+    "variant and systemic metabolism",
+    "innate immune memory review",
+)
+FIGURE = (
+    "The displayed model contained 225 protein residues, 1866 atoms, and CRO at chain A author residue 66.",
+    "The viewer returned 18 polymer residues within 4.0 angstrom of CRO using closest heavy-atom Euclidean distance.",
+)
+RING = [[1630.0, 98.0], [1625.813, 119.048], [1613.891, 136.891], [1596.048, 148.813]]
+
+
+def test_theme_split(spark):
+    rows = spark.createDataFrame([(t, False) for t in THEMES] + [("preprint review", True)], "theme string, is_preprint boolean")
+    assert {r["kind"]: r["records"] for r in ev.theme_counts(rows).collect()} == {"review": 6, "primary": 4, "preprint": 1}
+
+
+def test_numbers_of_a_figure(spark):
+    text = spark.createDataFrame([(" ".join(FIGURE),)], "t string")
+    patterns = (r"(\d+) protein residues", r"(\d+) atoms", r"(\d+) polymer residues within 4\.0", r"(\d+) ligands")
+    assert text.select(*(tx.number_in(F.col("t"), p).alias(f"n{k}") for k, p in enumerate(patterns))).first() == (225.0, 1866.0, 18.0, None)
+
+
+def test_ring_around_an_observation(spark):
+    ring = st.circle_polygons(spark.createDataFrame([(1575.0, 98.0)], "x double, y double"), 55.0, 16).first()["ring"]
+    assert ring[:4] == RING and len(ring) == 17 and ring[0] == ring[-1]
