@@ -66,3 +66,49 @@ def test_recall_over_many_shards(spark):
     assert audit["n_true"] == true.sum() - len(true) > 10000
     print("recall", audit["n_found"] / audit["n_true"])
     assert audit["n_found"] >= 0.98 * audit["n_true"] and audit["n_false"] == 0
+
+
+def hard_sets():
+    r = np.random.default_rng(1)
+    yield "groups", unit(np.repeat(r.standard_normal((500, 64)), 4, 0) + r.standard_normal((2000, 64)) * 0.2)
+    yield "few dimensions", unit(r.standard_normal((3000, 8)))
+    a, n = unit(r.standard_normal((1500, 64))), r.standard_normal((1500, 64))
+    n = unit(n - (n * a).sum(1, keepdims=True) * a)
+    yield "lone pairs", np.concatenate([a, 0.951 * a + np.sqrt(1 - 0.951**2) * n])
+
+
+@pytest.mark.parametrize("overlap, least", [(3, 0.999), (1, 0.99)])
+@pytest.mark.parametrize("name, x", list(hard_sets()))
+def test_links_across_shards(spark, monkeypatch, name, x, overlap, least):
+    """Links of nodes that share no shard are found by walks in foreign ones, each counted once. With one shard a node (production: 3) there
+    are many of them."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ed, "SHARD_ROWS", 200)
+    monkeypatch.setattr(ed, "PROBE_ROWS", 150)  # several blocks of walking nodes a shard
+    monkeypatch.setattr(ed, "OVERLAP", overlap)
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    got = np.array([r["n_links"] for r in ed.embedding_dedup(df).orderBy("vec_id").collect()])
+    home = {r["cid"]: set(r["shards"]) for r in ed.sharded(ed.nodes_of(df)[1]).collect()}
+    apart = sum(not home[a] & home[b] for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)), strict=True))
+    print(name, "links", true.sum() // 2, "missed", (true - got).sum() // 2, "apart", apart)
+    assert (got <= true).all() and got.sum() >= least * true.sum()
+    assert overlap > 1 or apart > 10 * ((true - got).sum() // 2)
+
+
+def test_a_pair_has_one_owner():
+    """Two nodes that walk in each other's shard are counted in one of the two tasks."""
+    x = unit(np.array([[1.0, 0.1], [1.0, 0.0]]))
+    rows = [{"cid": i, "copies": 1, "unit": x[i], "shards": np.array([i]), "probes": np.array([1 - i]), "near": np.zeros(0, np.int64)} for i in (0, 1)]
+    a, b = (ed.pd.DataFrame([row]) for row in rows)
+    first, second = ed.probe_links(a, b, 0, 0.95), ed.probe_links(b, a, 1, 0.95)
+    assert first["links"].tolist() == [1, 1] and second["links"].tolist() == [0, 0]
+    assert len(set(first["v"])) == len(set(second["v"])) == 1
+
+
+def test_long_vectors_have_few_centroids(spark, monkeypatch):
+    monkeypatch.setattr(ed, "SAMPLE_BYTES", 8 * 16 * 12)  # 12 sample rows of 16 dimensions, 3 centroids
+    monkeypatch.setattr(ed, "SHARD_ROWS", 30)
+    x = unit(np.random.default_rng(2).standard_normal((200, 16)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = ed.sharded(ed.nodes_of(df)[1])
+    assert near.count() == 200 and max(max(r["shards"]) for r in near.collect()) < 3
