@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.ordered import with_previous
+
 ALLELE = ("chrom", "pos", "ref", "alt")
 
 
@@ -146,6 +148,8 @@ def ensemble_scores(models: DataFrame) -> DataFrame:
 
 def rank_candidates(scores: DataFrame, k: int, by: str, *ties: str, within: str | None = None) -> DataFrame:
     """The k best by score, ranked; per group if `within` is named."""
+    if within is None:  # k rows meet in the window, not all
+        scores = scores.orderBy(F.desc(by), *ties).limit(k)
     order = Window.partitionBy(*([within] if within else [])).orderBy(F.desc(by), *ties)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -155,10 +159,13 @@ def recent_records(records: DataFrame, n: int, date: str, *ties: str) -> DataFra
     return records.orderBy(F.desc(date), *ties).limit(n)
 
 
-def version_history(versions: DataFrame) -> DataFrame:
-    """Versions of each record in order: number, first date, days since the version before."""
-    w = Window.partitionBy("record").orderBy("date", "version")
-    return versions.withColumn("number", F.row_number().over(w)).withColumn("first_date", F.first("date").over(w)).withColumn(
-        "gap_days",
-        F.datediff("date", F.lag("date").over(w)),
+def version_history(versions: DataFrame, piece: str = "month") -> DataFrame:
+    """Versions of each record in order: number, first date, days since the version before. A record's versions are cut into pieces of
+    time, so one record may have most of all rows."""
+    rows = with_previous(versions, "record", ("date", "version"), piece, ("date",))
+    return rows.select(
+        *versions.columns,
+        F.col("_number").alias("number"),
+        F.col("_first").alias("first_date"),
+        F.datediff("date", F.col("_before")["date"]).alias("gap_days"),
     )
