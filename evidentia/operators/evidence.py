@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.ordered import with_previous
+from evidentia.operators.ordered import CROWD, with_previous
 
 ALLELE = ("chrom", "pos", "ref", "alt")
 
@@ -159,10 +159,10 @@ def recent_records(records: DataFrame, n: int, date: str, *ties: str) -> DataFra
     return records.orderBy(F.desc(date), *ties).limit(n)
 
 
-def version_history(versions: DataFrame, piece: str = "month") -> DataFrame:
-    """Versions of each record in order: number, first date, days since the version before. A record's versions are cut into pieces of
-    time, so one record may have most of all rows."""
-    rows = with_previous(versions, "record", ("date", "version"), piece, ("date",))
+def version_history(versions: DataFrame, piece: str = "month", crowd: int = CROWD) -> DataFrame:
+    """Versions of each record in order: number, first date, days since the version before. A record of more than `crowd` versions is cut
+    into pieces of time, so one record may have most of all rows."""
+    rows = with_previous(versions, "record", ("date", "version"), piece, ("date",), crowd)
     return rows.select(
         *versions.columns,
         F.col("_number").alias("number"),

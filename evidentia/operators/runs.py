@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.ordered import with_previous
+from evidentia.operators.ordered import CROWD, with_previous
 
 # The states of a run and what may follow each.
 TRANSITIONS = {
@@ -33,11 +33,11 @@ def legal_steps(transitions: dict = TRANSITIONS, noted: tuple = NOTED) -> list[t
     return [(a, b) for a, after in transitions.items() for b in after] + [(s, s) for s in noted]
 
 
-def run_event_audit(events: DataFrame, transitions: dict = TRANSITIONS, start: str = "draft", noted: tuple = NOTED, piece: str = "day") -> DataFrame:
-    """Every event with its run's state before it, and whether the step is allowed; only `start` may open a run. A run's events are cut
-    into pieces of time, so one run may have most of all rows."""
+def run_event_audit(events: DataFrame, transitions: dict = TRANSITIONS, start: str = "draft", noted: tuple = NOTED, piece: str = "hour", crowd: int = CROWD) -> DataFrame:
+    """Every event with its run's state before it, and whether the step is allowed; only `start` may open a run. A run of more than
+    `crowd` events is cut into pieces of time, so one run may have most of all rows."""
     steps = F.array(*(F.lit(f"{a}>{b}") for a, b in legal_steps(transitions, noted)))
-    rows = with_previous(events, "run_id", ("at", "seq"), piece, ("state",))
+    rows = with_previous(events, "run_id", ("at", "seq"), piece, ("state",), crowd)
     rows = rows.select(*events.columns, F.col("_before")["state"].alias("previous"))
     known = F.array_contains(steps, F.concat_ws(">", "previous", "state"))
     return rows.withColumn("allowed", F.coalesce(F.when(F.col("previous").isNull(), F.col("state") == start).otherwise(known), F.lit(False)))

@@ -18,20 +18,20 @@ def versions(spark):
     return spark.createDataFrame(rows, "record string, version long, date date")
 
 
-@pytest.mark.parametrize("piece", ["day", "month", "year"])
-def test_version_history_equals_whole_windows(spark, piece):
+@pytest.mark.parametrize("piece, crowd", [("day", 0), ("month", 50), ("month", 2), ("year", 0), ("month", ordered.CROWD)])
+def test_version_history_equals_whole_windows(spark, piece, crowd):
     df = versions(spark)
     w = Window.partitionBy("record").orderBy("date", "version")
     want = df.select("*", F.row_number().over(w).cast("long").alias("number"), F.first("date").over(w).alias("first_date"), F.datediff("date", F.lag("date").over(w)).alias("gap_days"))
-    got = evidence.version_history(df, piece)
+    got = evidence.version_history(df, piece, crowd)
     assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
-    assert evidence.version_history(df.limit(0), piece).count() == 0
+    assert evidence.version_history(df.limit(0), piece, crowd).count() == 0
 
 
 def test_no_task_holds_a_hot_group(spark):
-    """Both windows of the plan are over pieces or over one row per piece."""
+    """The hot record is cut into pieces of a tenth of its rows, and is numbered through."""
     df = versions(spark).withColumn("extra", F.lit(1))
-    out = ordered.with_previous(df, "record", ("date", "version"), "month", ("version",))
+    out = ordered.with_previous(df, "record", ("date", "version"), "month", ("version",), 50)
     assert {"extra", "_number", "_first", "_before"} <= set(out.columns)
     hot = df.where("record = 'hot'").groupBy(F.date_trunc("month", "date")).count()
     assert hot.count() > 10 and hot.agg(F.max("count")).first()[0] < 40
@@ -39,12 +39,13 @@ def test_no_task_holds_a_hot_group(spark):
     assert numbers == list(range(1, 301))
 
 
-def test_audit_over_midnight(spark):
+@pytest.mark.parametrize("crowd", [0, 3, ordered.CROWD])
+def test_audit_over_pieces(spark, crowd):
     at = lambda h: datetime.datetime(2024, 5, 1) + datetime.timedelta(hours=h)
     states = ["draft", "queued", "running", "running", "completed", "queued"]
     rows = [("a", at(10 * k), k, s) for k, s in enumerate(states)] + [("b", None, 0, "queued"), ("b", at(0), 1, "running"), (None, at(1), 0, "draft")]
     df = spark.createDataFrame(rows, "run_id string, at timestamp, seq long, state string")
-    got = {(r["run_id"], r["seq"]): (r["previous"], r["allowed"]) for r in runs.run_event_audit(df).collect()}
+    got = {(r["run_id"], r["seq"]): (r["previous"], r["allowed"]) for r in runs.run_event_audit(df, crowd=crowd).collect()}
     assert [got["a", k] for k in range(6)] == [(None, True), ("draft", True), ("queued", True), ("running", True), ("running", True), ("completed", False)]
     assert got["b", 0] == (None, False) and got["b", 1] == ("queued", True) and got[None, 0] == (None, True)
 
