@@ -87,63 +87,70 @@ def stream_run_status(events: DataFrame, snapshot: Snapshot, checkpoint: str) ->
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
-SESSIONS = "started long, last long, ended long, told boolean"
+SESSIONS = "started array<long>, last array<long>, ended array<long>, told array<boolean>, timer long"
 
 
 class Sessions(StatefulProcessor):
-    """The open sessions of a run, each until the watermark is `gap` past its last event."""
+    """The open sessions of a run, each until the watermark is `gap` past its last event. They are one value, and a run has one timer, for
+    what comes next of all its sessions: a batch costs a run a few calls to its state, however many sessions it has. A timer that
+    comes too early finds nothing to do and sets the next one."""
 
     def __init__(self, terminal: list, limit_us: int, gap_us: int):
         self.terminal, self.limit_us, self.gap_us = set(terminal), limit_us, gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.sessions = handle, handle.getListState("sessions", SESSIONS)
+        self.handle, self.sessions = handle, handle.getValueState("sessions", SESSIONS)
 
-    def held(self) -> list[list]:
-        return [list(s) for s in self.sessions.get()] if self.sessions.exists() else []
-
-    def keep(self, open_sessions: list[list]) -> None:
-        if open_sessions:
-            self.sessions.put([tuple(s) for s in open_sessions])
-        else:
-            self.sessions.clear()
+    def held(self) -> tuple[list[list], int | None]:
+        """The sessions, and the timer that was set last."""
+        found = self.sessions.get()
+        return ([list(s) for s in zip(*found[:4], strict=True)], found[4]) if found is not None else ([], None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))
-        ends = events["state"].isin(self.terminal)
-        new = [[int(at), int(at), int(at) if end else None, False] for at, end in zip(events["at_us"], ends, strict=True)]
+        open_sessions, timer = self.held()
+        for batch in rows:
+            for at, state in zip(batch["at_us"].tolist(), batch["state"].tolist(), strict=True):
+                open_sessions.append([at, at, at if state in self.terminal else None, False])
         merged: list[list] = []
-        for s in sorted(self.held() + new, key=lambda s: s[0]):
+        for s in sorted(open_sessions, key=lambda s: s[0]):
             if merged and s[0] - merged[-1][1] <= self.gap_us:
                 m = merged[-1]
                 m[1] = max(m[1], s[1])
-                m[2] = min((x for x in (m[2], s[2]) if x is not None), default=None)
+                m[2] = s[2] if m[2] is None else m[2] if s[2] is None else min(m[2], s[2])
                 m[3] = m[3] or s[3]
             else:
                 merged.append(s)
-        yield self.looked_at(key, merged, timerValues.getCurrentWatermarkInMs())
+        yield from self.looked_at(key, merged, timer, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.looked_at(key, self.held(), timerValues.getCurrentWatermarkInMs())
+        yield from self.looked_at(key, *self.held(), timerValues.getCurrentWatermarkInMs())
 
-    def looked_at(self, key, sessions: list[list], watermark_ms: int) -> pd.DataFrame:
+    def looked_at(self, key, sessions: list[list], timer: int | None, watermark_ms: int) -> Iterator[pd.DataFrame]:
         """Tells the sessions whose limit has passed, drops those that are over, and sets a timer for what comes next."""
-        out, left, due = [], [], lambda us: us // 1000 + 1
+        out, left, wanted = [], [], []
         for s in sessions:
             limit = s[0] + self.limit_us
-            if not s[3] and due(limit) <= watermark_ms and (s[2] is None or s[2] > limit):
-                s[3] = True
-                out.append((key[0], s[0]))
-            if max(due(s[1] + self.gap_us), due(limit)) > watermark_ms:
+            due = limit // 1000 + 1
+            if due <= watermark_ms:
+                if not s[3] and (s[2] is None or s[2] > limit):
+                    s[3] = True
+                    out.append(s[0])
+            else:
+                wanted.append(due)
+            over = max((s[1] + self.gap_us) // 1000 + 1, due)
+            if over > watermark_ms:
                 left.append(s)
-        self.keep(left)
-        wanted = {t for s in left for t in (due(s[0] + self.limit_us), max(due(s[1] + self.gap_us), due(s[0] + self.limit_us))) if t > watermark_ms}
-        for t in list(self.handle.listTimers()):
-            if t not in wanted:
-                self.handle.deleteTimer(t)
-        for t in wanted:
-            self.handle.registerTimer(t)
-        return pd.DataFrame(out, columns=["run_id", "started_us"]).astype({"started_us": "int64"})
+                wanted.append(over)
+        if left:
+            soonest = min(wanted)
+            if timer is None or timer <= watermark_ms or soonest < timer:
+                self.handle.registerTimer(soonest)
+                timer = soonest
+            self.sessions.update((*map(list, zip(*left, strict=True)), timer))
+        elif sessions:
+            self.sessions.clear()
+        if out:
+            yield pd.DataFrame({"run_id": key[0], "started_us": out})
 
     def close(self) -> None:
         pass
@@ -157,7 +164,8 @@ def stream_overdue_runs(events: DataFrame, terminal: list[str], minutes: int = 3
         raise ValueError("a session must not close before its limit")
     processor = Sessions(terminal, minutes * 60_000_000, gap_minutes * 60_000_000)
     marked = events.withColumn("at_us", F.unix_micros("at")).withWatermark("at", lateness)
-    return marked.groupBy("run_id").transformWithStateInPandas(processor, "run_id long, started_us long", "append", "eventTime")
+    rows = marked.select("run_id", "at", "at_us", "state")
+    return rows.groupBy("run_id").transformWithStateInPandas(processor, "run_id long, started_us long", "append", "eventTime")
 
 
 def stream_dedupe(events: DataFrame, keys: list[str], lateness: str) -> DataFrame:

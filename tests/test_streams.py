@@ -4,10 +4,13 @@ import datetime
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import runs
+from evidentia.plans import runs as plan_runs
+from evidentia.plans import streams
 from evidentia.streaming import arrivals
 from evidentia.streaming import run_streams as st
 from evidentia.streaming.snapshot import Snapshot
@@ -71,6 +74,62 @@ def test_overdue_stream_equals_its_twin_on_random_events(spark, tmp_path):
     assert got == sorted(map(tuple, want.collect())) and len(got) > 20
 
 
+class Calls:
+    """Stands in for the handle and the value of a processor: keeps the value and the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.append(t)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_run_has_one_timer_however_many_sessions(spark):
+    handle, processor, hour = Calls(), st.Sessions(["completed"], 30 * 60_000_000, 30 * 60_000_000), 3_600_000_000
+    processor.init(handle)
+    handle.watermark = 0
+    rows = pd.DataFrame({"at_us": [k * hour for k in range(300)], "state": "running"})
+    assert list(processor.handleInputRows((7,), iter([rows]), handle)) == []
+    assert handle.timers == [30 * 60_000 + 1] and handle.calls <= 4 and len(handle.value[0]) == 300
+    handle.watermark = 200 * hour // 1000
+    told = pd.concat(processor.handleExpiredTimer((7,), handle, None))
+    assert told["started_us"].tolist() == [k * hour for k in range(200)] and set(told["run_id"]) == {7}
+    assert handle.timers[1:] == [handle.watermark + 30 * 60_000 + 1] and handle.calls <= 8 and len(handle.value[0]) == 100
+    handle.watermark = 400 * hour // 1000
+    assert len(pd.concat(processor.handleExpiredTimer((7,), handle, None))) == 100 and handle.value is None
+
+
+def test_the_overdue_query_reads_files_in_any_order_of_time(spark, tmp_path):
+    for i, hours in enumerate([(9, 1, 5), (2, 8), (3, 1)]):
+        rows = [(10 * i + k, at(h, k), h % 2, "view") for k, h in enumerate(hours)]
+        put(spark, f"{tmp_path}/events.parquet", i, rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    os.makedirs(tmp_path / "flat")
+    parts = sorted(p for p in (tmp_path / "events.parquet").rglob("*.parquet") if p.is_file())
+    (tmp_path / "flat/events.parquet").mkdir()
+    for i, p in enumerate(parts):
+        p.rename(tmp_path / f"flat/events.parquet/part-{i}.parquet")
+    got = sorted(map(tuple, streams.overdue(spark, f"{tmp_path}/flat").collect()))
+    want = plan_runs.QUERIES["st3_overdue_sessions_batch"](spark, f"{tmp_path}/flat")
+    assert got == sorted(map(tuple, want.collect())) and len(got) >= 5
+
+
 def test_a_run_that_goes_on_after_a_gap_is_two_sessions(spark):
     rows = [(1, at(10, 0), 1, "a"), (1, at(10, 30), 2, "a"), (1, at(11, 0, 1), 3, "a"), (1, at(11, 10), 4, "done"), (2, at(15, 0), 5, "a")]
     got = runs.overdue_sessions(spark.createDataFrame(rows, EVENTS), ["done"]).select("run_id", F.date_format("started", "HH:mm:ss").alias("s"))
