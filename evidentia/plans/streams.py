@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidentia.plans import runs as plan
+from evidentia.sources import files
 from evidentia.streaming import arrivals
 from evidentia.streaming import run_streams as st
 from evidentia.streaming.snapshot import Snapshot
@@ -47,7 +48,7 @@ def overdue(s, d):
 
 
 def validated(s, d):
-    """Pages as files: one folder each, named by the page, as Spark's writer names the files inside. Every seventh has CRLF line ends,
+    """Pages as files, named by the page, that tasks write. Every seventh has CRLF line ends,
     every fourth is JSON, every ninth of these broken. Sizes are declared with LF line ends, some wrong, some left out; every
     thirteenth page is declared again under a name that never comes."""
     pages, at, n = s.read.parquet(f"{d}/pages.parquet"), folder(s), F.col("page_id")
@@ -56,15 +57,14 @@ def validated(s, d):
     name = F.concat(n.cast("string"), F.when(n % 4 == 1, ".json").otherwise(".md"))
     rows = pages.select(name.alias("file"), n, text.alias("text"))
     content = F.when(n % 7 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    rows.select("file", content.alias("text")).write.partitionBy("file").text(f"{at}/files")
+    files.write_texts(rows.select("file", F.concat(content, F.lit("\n")).alias("text")), f"{at}/files")
     size = F.when(n % 11 != 0, F.octet_length("text") + F.when(n % 5 == 0, 7).otherwise(1)).cast("long")
     paths = F.explode(F.filter(F.array("file", F.when(n % 13 == 0, F.concat(F.lit("gone-"), "file"))), lambda p: p.isNotNull()))
     declared = rows.select((n % 50).cast("string").alias("case_id"), size.alias("bytes"), paths.alias("path"), F.lit("2000-01-01").cast("timestamp").alias("at"))
     declared.withColumn("artifact_id", F.col("path")).write.parquet(f"{at}/declared")
     schema = "case_id string, bytes long, path string, at timestamp, artifact_id string"
-    files = arrivals.arriving_files(s, f"{at}/files", F.regexp_extract("path", "file=([^/]+)/", 1))
-    checks = arrivals.stream_validate_files(files, s.readStream.schema(schema).parquet(f"{at}/declared"))
-    return s.read.parquet(st.drained(checks, f"{at}/run"))
+    checks = arrivals.stream_validate_files(arrivals.arriving_files(s, f"{at}/files"), s.readStream.schema(schema).parquet(f"{at}/declared"))
+    return s.read.parquet(st.drained(checks, f"{at}/run", settings=arrivals.MANY_FILES))
 
 
 def deduped(s, d):

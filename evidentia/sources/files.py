@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
+from evidentia.sources.fastq import opened
 
 CASE = "struct<id: string, title: string, status: string, summary: string, next_step: string, case_path: string, preview: string>"
 CATALOGUE = f"plugins array<struct<id: string, name: string, version: string, kind: string, readme: string, showcases: array<{CASE}>>>"
@@ -238,6 +240,22 @@ def write_json_export(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.partitionBy(*partition_by).mode("errorifexists").json(path)
 
 
+def write_texts(rows: DataFrame, folder: str) -> int:
+    """Writes each row (file, text) as a UTF-8 file of its own, into a folder for each task; their number. A task that is tried again
+    writes its files over. folder: a local path or a URI that pyarrow.fs knows."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = opened(f"{folder}/{TaskContext.get().partitionId():05d}")
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["file"], batch["text"], strict=True):
+                with store.open_output_stream(f"{path}/{name}") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    return rows.repartition("file").mapInPandas(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def write_csv_with_provenance(df: DataFrame, path: str, bounds: list[str]) -> DataFrame:
     """Writes CSV; returns the sidecar: one row per file with bytes and sha256, the rows written and the columns' bounds. Rows and
     bounds are observed while the rows are written, so df is worked out once; only the files' bytes are read again."""

@@ -20,7 +20,6 @@ from evidentia.operators import checks
 
 FILE = "file_bytes long, lf_bytes long, crlf_bytes long, content_ok boolean"
 DECLARED = "case_id string, artifact_id string, bytes long"
-NUMBERS = ("bytes", "file_bytes", "lf_bytes", "crlf_bytes")
 
 
 def arriving_files(spark: SparkSession, folder: str, name: Column | None = None) -> DataFrame:
@@ -34,47 +33,60 @@ def arriving_files(spark: SparkSession, folder: str, name: Column | None = None)
     return stats.select("path", "at", F.col("bytes").alias("file_bytes"), "lf_bytes", "crlf_bytes", tx.content_ok(F.col("media_type"), F.col("content")).alias("content_ok"))
 
 
+#: Settings for a stream of many small files: paths that a task lists, and files that a task reads, in large numbers.
+MANY_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64", "spark.sql.files.openCostInBytes": "65536"}
+
+
 class Arrivals(StatefulProcessor):
+    """A path's file and the artifacts that wait for one, a value each, and one timer for what comes next; a timer that comes too early
+    finds nothing to do and sets the next one. So a batch costs a path a few calls to its state."""
+
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.file = handle.getValueState("file", f"{FILE}, due long")
-        self.declared = handle.getListState("declared", f"{DECLARED}, due long")
+        self.declared = handle.getValueState("declared", "case_ids array<string>, artifact_ids array<string>, bytes array<long>, dues array<long>")
+
+    def held(self) -> tuple[tuple | None, list[tuple]]:
+        waiting = self.declared.get()
+        return self.file.get(), list(zip(*waiting, strict=True)) if waiting is not None else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.held()
+        file, waiting = before[0], list(before[1])
         for batch in rows:
-            plain = batch.astype(object).where(batch.notna(), None)
-            for r in plain.itertuples(index=False):
-                due = r.at_ms + self.wait_ms
+            for r in batch.itertuples(index=False):
+                due = int(r.at_ms) + self.wait_ms
                 if r.is_file:
-                    self.file.update((*(int(x) for x in (r.file_bytes, r.lf_bytes, r.crlf_bytes)), bool(r.content_ok), due))
+                    file = (int(r.file_bytes), int(r.lf_bytes), int(r.crlf_bytes), bool(r.content_ok), due)
                 else:
-                    self.declared.appendValue((r.case_id, r.artifact_id, None if r.bytes is None else int(r.bytes), due))
-        yield self.told(key, timerValues.getCurrentWatermarkInMs())
+                    waiting.append((*(None if pd.isna(x) else x for x in (r.case_id, r.artifact_id)), None if pd.isna(r.bytes) else int(r.bytes), due))
+        yield from self.told(key, before, file, waiting, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.told(key, timerValues.getCurrentWatermarkInMs())
+        before = self.held()
+        yield from self.told(key, before, *before, timerValues.getCurrentWatermarkInMs())
 
-    def told(self, key, watermark_ms: int) -> pd.DataFrame:
-        file = self.file.get() if self.file.exists() else None
-        waiting = list(self.declared.get()) if self.declared.exists() else []
+    def told(self, key, before: tuple, file: tuple | None, waiting: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
         now = [d for d in waiting if file is not None or d[3] <= watermark_ms]
         left = [d for d in waiting if file is None and d[3] > watermark_ms]
         out = [(key[0], *d[:3], *(file[:4] if file is not None else (None,) * 4)) for d in now]
-        if left:
-            self.declared.put([tuple(d) for d in left])
-        elif waiting:
-            self.declared.clear()
         if file is not None and file[4] <= watermark_ms:
+            file = None
+        if left and left != before[1]:
+            self.declared.update(tuple(map(list, zip(*left, strict=True))))
+        elif before[1] and not left:
+            self.declared.clear()
+        if file is not None and file != before[0]:
+            self.file.update(file)
+        elif before[0] is not None and file is None:
             self.file.clear()
-        elif file is not None:
-            left = [*left, file]
-        for t in {d[-1] for d in left}:
-            self.handle.registerTimer(t)
-        found = pd.DataFrame(out, columns=["path", "case_id", "artifact_id", "bytes", "file_bytes", "lf_bytes", "crlf_bytes", "content_ok"])
-        return found.astype(dict.fromkeys(NUMBERS, "Int64") | {"content_ok": "boolean"})
+        if left or file is not None:
+            self.handle.registerTimer(min([d[3] for d in left] + ([file[4]] if file is not None else [])))
+        if out:
+            yield pd.DataFrame(out, columns=["path", "case_id", "artifact_id", "bytes", "file_bytes", "lf_bytes", "crlf_bytes", "content_ok"], dtype=object)
 
     def close(self) -> None:
         pass

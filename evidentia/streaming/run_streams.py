@@ -178,12 +178,12 @@ def stream_state_counts(events: DataFrame, window: str, lateness: str, slide: st
     return runs.state_counts(events.withWatermark("at", lateness), window, slide)
 
 
-def started(stream: DataFrame, folder: str, idle_batches: bool = True) -> StreamingQuery:
+def started(stream: DataFrame, folder: str, idle_batches: bool = True, settings: dict[str, str] | None = None) -> StreamingQuery:
     """Starts a stream over all that is there, into Parquet in folder/out; its state stands in a RocksDB store. idle_batches: whether
-    batches without rows run, which event-time timers and windows need at the end; a time to live asks for them without end. The
-    session's own settings are as before when this returns."""
+    batches without rows run, which event-time timers and windows need at the end; a time to live asks for them without end.
+    settings: of the query alone. The session's own settings are as before when this returns."""
     conf = stream.sparkSession.conf
-    own = {STORE: ROCKS, IDLE: str(idle_batches).lower()}
+    own = {STORE: ROCKS, IDLE: str(idle_batches).lower(), **(settings or {})}
     before = {k: conf.get(k, None) for k in own}
     for k, v in own.items():
         conf.set(k, v)
@@ -195,7 +195,7 @@ def started(stream: DataFrame, folder: str, idle_batches: bool = True) -> Stream
             conf.set(k, v) if v is not None else conf.unset(k)
 
 
-def drained(stream: DataFrame, folder: str, idle_batches: bool = True) -> str:
+def drained(stream: DataFrame, folder: str, idle_batches: bool = True, settings: dict[str, str] | None = None) -> str:
     """Runs a stream over all that is there; the folder of its results. Run again with the same folder, it goes on where it was."""
-    started(stream, folder, idle_batches).awaitTermination()
+    started(stream, folder, idle_batches, settings).awaitTermination()
     return f"{folder}/out"

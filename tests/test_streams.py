@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import runs
 from evidentia.plans import runs as plan_runs
 from evidentia.plans import streams
+from evidentia.sources import files
 from evidentia.streaming import arrivals
 from evidentia.streaming import run_streams as st
 from evidentia.streaming.snapshot import Snapshot
@@ -235,3 +236,29 @@ def test_arriving_files_are_checked(spark, tmp_path):
     # what is still awaited comes in time, after a restart
     (tmp_path / "in" / "late.md").write_text("late")
     assert run() == found | {"size:l": (True, "4", "4"), "content:l": (True, md, md)}
+
+
+def test_a_path_has_one_timer_and_few_calls(spark):
+    file, declared, processor = Calls(), Calls(), arrivals.Arrivals(1000)
+    processor.handle, processor.file, processor.declared = file, file, declared
+    file.watermark = 0
+    one = dict.fromkeys(["case_id", "artifact_id", "bytes", "file_bytes", "lf_bytes", "crlf_bytes", "content_ok"]) | {"is_file": False, "case_id": "c"}
+    rows = pd.DataFrame([one | {"artifact_id": f"a{k}", "bytes": k or None, "at_ms": 10 * k} for k in range(100)])
+    assert list(processor.handleInputRows(("p",), iter([rows]), file)) == [] and file.timers == [1000]
+    file.watermark = 1495
+    told = pd.concat(processor.handleExpiredTimer(("p",), file, None))
+    assert told["artifact_id"].tolist() == [f"a{k}" for k in range(50)] and told["bytes"].tolist() == [None, *range(1, 50)] and told["file_bytes"].isna().all()
+    assert file.timers == [1000, 1500] and file.calls + declared.calls <= 8
+    come = pd.DataFrame([one | {"is_file": True, "file_bytes": 3, "lf_bytes": 3, "crlf_bytes": 4, "content_ok": True, "at_ms": 2000}])
+    told = pd.concat(processor.handleInputRows(("p",), iter([come]), file))
+    assert len(told) == 50 and set(told["file_bytes"]) == {3} and declared.value is None and file.timers[2:] == [3000]
+    file.watermark = 3000
+    assert list(processor.handleExpiredTimer(("p",), file, None)) == [] and file.value is None
+
+
+def test_texts_are_written_by_tasks_one_file_each(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k}.md", f"é{k}\r\n") for k in range(300)], "file string, text string").repartition(3)
+    assert files.write_texts(rows, str(tmp_path / "out")) == 300
+    got = {p.name: p.read_bytes() for p in (tmp_path / "out").rglob("*.md")}
+    assert got == {f"{k}.md": f"é{k}\r\n".encode() for k in range(300)}
+    assert len(list((tmp_path / "out").iterdir())) < 300  # a folder for each task, none for each file
