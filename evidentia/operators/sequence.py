@@ -5,6 +5,8 @@ Alignment rows: alignment_id, row_no, seq_id, sequence; `-` is a gap.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,10 +152,20 @@ def first_n(records: DataFrame, n: int, key: str, *order: str) -> DataFrame:
     return records.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
-def translated(codons: Column) -> Column:
-    """Amino acids of an array of codons; X for a codon with another letter."""
-    code = F.create_map(*(F.lit(x) for i, a in enumerate(AMINO_ACIDS) for x in (BASES[i // 16] + BASES[i // 4 % 4] + BASES[i % 4], a)))
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(code, c), F.lit("X"))), "")
+@F.pandas_udf("string")
+def translated(coding: pd.Series) -> pd.Series:
+    """Amino acids of the whole codons of a text, one after the other; X for a codon with another letter. Each letter is looked at once."""
+    code = np.full(256, 64, np.int16)
+    code[[ord(b) for b in BASES]] = np.arange(4)
+    acids = np.frombuffer((AMINO_ACIDS + "X").encode(), np.uint8)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        x = code[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)][: len(text) // 3 * 3].reshape(-1, 3)
+        return acids[np.minimum(x @ np.array([16, 4, 1], np.int16), 64)].tobytes().decode()
+
+    return pd.Series([one(t) for t in coding], dtype=object)
 
 
 #: Letters of bases, with those that stand for several, and their complements.
@@ -175,8 +187,7 @@ def cds_translation_check(features: DataFrame, genomes: DataFrame) -> DataFrame:
     rows = features.withColumns({"_exons": one, "_first": first}).join(genomes.select("accession", F.upper("sequence").alias("sequence")), "accession")
     rows = rows.withColumn("dna", spliced(F.col("sequence"), F.col("_exons")))
     coding = F.substring(F.col("dna"), F.col("_first").cast("int"), F.length("dna"))
-    codons = F.regexp_extract_all(coding, F.lit(r"[\s\S]{3}"), F.lit(0))
-    rows = rows.withColumn("protein", F.regexp_replace(translated(codons), r"\*$", ""))
+    rows = rows.withColumn("protein", F.regexp_replace(translated(coding), r"\*$", ""))
     return rows.select(
         "accession",
         "feature_no",

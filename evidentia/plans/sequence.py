@@ -50,13 +50,14 @@ def cds(spark, d):
     exon = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), odd.alias("complement"))
     one, two = exon(F.lit(4), F.floor(n / 2)), exon(F.floor(n / 2) + 10, n)
     t = t.where("sequence IS NOT NULL")
-    # the features' translations come from a table that other tools would have written: here from SQL text functions
-    codon = F.expr("transform(sequence(0, greatest(0, length(dna) div 3 - 1)), k -> substring('" + sq.AMINO_ACIDS + "', 1 + 16 * (locate(substring(dna, 3 * k + 1, 1), 'TCAG') - 1) + 4 * (locate(substring(dna, 3 * k + 2, 1), 'TCAG') - 1) + locate(substring(dna, 3 * k + 3, 1), 'TCAG') - 1, 1))")
+    # the features' translations come from a table that other tools would have written: here from SQL text functions,
+    # codon by codon, so that no place is looked for from the start of a long text again
     dna = F.concat(F.substring("sequence", F.lit(4), F.floor(n / 2).cast("int") - 3), F.substring("sequence", (F.floor(n / 2) + 10).cast("int"), n))
     first = (F.col("accession") % 3 + 1).cast("int")
     rows = t.where(n >= 40).withColumn("dna", F.when(odd, F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna))
     rows = rows.withColumn("dna", F.substring("dna", first, F.length("dna")))
-    protein = F.regexp_replace(F.array_join(codon, ""), r"\*$", "")
+    acid = F.expr("transform(regexp_extract_all(dna, '...', 0), c -> substring('" + sq.AMINO_ACIDS + "', 1 + 16 * (locate(substring(c, 1, 1), 'TCAG') - 1) + 4 * (locate(substring(c, 2, 1), 'TCAG') - 1) + locate(substring(c, 3, 1), 'TCAG') - 1, 1))")
+    protein = F.regexp_replace(F.array_join(acid, ""), r"\*$", "")
     said = F.when(F.col("accession") % 3 == 0, protein).when(F.col("accession") % 3 == 1, F.concat(protein, F.lit("M")))
     f = rows.select("accession", F.lit(1).alias("feature_no"), F.when(odd, F.array(two, one)).otherwise(F.array(one, two)).alias("exons"), said.alias("translation"), first.alias("codon_start"))
     return sq.cds_translation_check(f, t)

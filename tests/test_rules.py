@@ -1,6 +1,7 @@
 """The rules of the catalogue, checks and runs on literal cases, right and wrong."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from evidentia.operators import evidence as ev
 from evidentia.operators import runs
 from evidentia.operators import sequence as sq
 from evidentia.plans import runs as plan
+from evidentia.plans import sequence as sequence_plans
 from evidentia.streaming import run_streams as st
 from evidentia.streaming.snapshot import Snapshot
 
@@ -320,7 +322,7 @@ def test_stretches_of_long_rows(spark):
 def test_translation_and_mutations_that_fail(spark):
     genomes = spark.createDataFrame([("g", "ccATGAAACTTTAAgg")], "accession string, sequence string")
     rows = [("g", 1, 3, 14, False, "MKL"), ("g", 2, 3, 14, False, "MKV"), ("g", 3, 3, 14, True, None), ("g", 4, 3, 13, False, "MKL")]
-    got = {r["feature_no"]: (r["bases"], r["residues"], r["ok"]) for r in sq.cds_translation_check(
+    got = {r["feature_no"]: (r["bases"], r["ok"]) for r in sq.cds_translation_check(
         spark.createDataFrame(rows, "accession string, feature_no int, start int, end int, complement boolean, translation string"),
         genomes,
     ).collect()}
@@ -376,3 +378,16 @@ def test_long_runs_of_blanks_take_little_time(spark):
     text = "One." + " " * 200_000 + "Two" + " " * 200_000 + "x -" + "\t" * 100_000 + "end" + " " * 100_000
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(tx.split_statements(F.col("t")).alias("s")).first()["s"] == ["One.", "Two" + " " * 200_000 + "x", "end"]
+
+
+def test_translation_of_a_long_text_takes_time_in_proportion(spark, tmp_path):
+    rows = [(k, "acgtgctaggt" * 180_000) for k in (0, 1)]  # two million letters: their square would take over half an hour
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = {r["accession"]: (r["bases"], r["ok"]) for r in sequence_plans.cds(spark, str(tmp_path)).collect()}
+    assert got == {0: (1_979_988, True), 1: (1_979_988, False)} and time.time() - began < 120
+
+
+def test_codons_with_other_letters_are_unknown(spark):
+    rows = spark.createDataFrame([("ATGNNNTAA",), ("AT",), ("",), (None,), ("é\U0001f600TATG",)], "x string")
+    assert [r[0] for r in rows.select(sq.translated("x")).collect()] == ["MX*", "", "", None, "XM"]
