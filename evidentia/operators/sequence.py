@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evidentia.operators.packed import bit_planes, column_counts, compared_pairs, position_sums
 
@@ -152,7 +153,7 @@ def first_n(records: DataFrame, n: int, key: str, *order: str) -> DataFrame:
     return records.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def translated(coding: pd.Series) -> pd.Series:
     """Amino acids of the whole codons of a text, one after the other; X for a codon with another letter. Each letter is looked at once."""
     code = np.full(256, 64, np.int16)
