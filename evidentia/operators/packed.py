@@ -137,11 +137,39 @@ class Counts:
         return at, top[at], total[at]
 
 
+#: Rows that a task gives out at a time.
+OUT_ROWS = 1 << 17
+
+
 def column_counts(alignment: DataFrame) -> DataFrame:
-    """alignment_id, col (from 1), top (rows with the most common residue) and residues (rows with any), of columns that have residues.
+    """alignment_id, col (from 1), top (rows with the most common residue) and residues (rows with any), of columns that have residues."""
+
+    def columns(name, k: int, at: np.ndarray, top: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"alignment_id": name, "col": (at + k * WIDE + 1).astype(np.int32), "top": top, "residues": total})
+
+    return by_stretch(alignment, columns, "col int, top long, residues long")
+
+
+def full_runs(alignment: DataFrame, min_length: int) -> DataFrame:
+    """alignment_id, first_col, last_col of the maximal runs, inside a stretch of WIDE columns, of columns whose residues are all alike. Runs
+    shorter than min_length are left out, but not where they end at a border of the stretch."""
+
+    def runs(name, k: int, at: np.ndarray, top: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        full = at[top == total]
+        cut = np.flatnonzero(np.diff(full) > 1)
+        first, last = full[np.concatenate([[0], cut + 1])] if len(full) else full, full[np.concatenate([cut, [len(full) - 1]])] if len(full) else full
+        keep = (last - first + 1 >= min_length) | (first == 0) | (last == WIDE - 1)
+        return pd.DataFrame({"alignment_id": name, "first_col": first[keep] + k * WIDE + 1, "last_col": last[keep] + k * WIDE + 1})
+
+    return by_stretch(alignment, runs, "first_col long, last_col long")
+
+
+def by_stretch(alignment: DataFrame, told, schema: str) -> DataFrame:
+    """alignment_id and what told(alignment_id, stretch, columns from 0, top, residues) makes of each stretch of WIDE columns.
 
     A task adds up what it has of each stretch of columns, in bounded memory, and sends one entry per stretch and residue; entries of a
-    stretch are merged one after the other. So no group of rows is ever held, however many rows an alignment has."""
+    stretch are merged one after the other. So no group of rows is ever held, however many rows an alignment has, and results go out as
+    soon as there are OUT_ROWS of them."""
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, Counts] = {}
@@ -170,29 +198,27 @@ def column_counts(alignment: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["alignment_id", "stretch", "residue", "data"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own = None, None
+        key, own, out, rows = None, None, [], 0
         for batch in batches:
-            out = []
             for name, k, residue, data in zip(batch["alignment_id"], batch["stretch"], batch["residue"], batch["data"], strict=True):
                 if (name, k) != key:
                     if own is not None:
-                        out.append(told(*key, own))
+                        out.append(told(*key, *own.summary()))
+                        rows += len(out[-1])
+                    if rows >= OUT_ROWS:
+                        yield pd.concat(out)
+                        out, rows = [], 0
                     key, own = (name, k), Counts()
                 own.take(residue, data)
-            if out:
-                yield pd.concat(out)
         if own is not None:
-            yield told(*key, own)
-
-    def told(name, k: int, own: Counts) -> pd.DataFrame:
-        at, top, total = own.summary()
-        return pd.DataFrame({"alignment_id": name, "col": (at + k * WIDE + 1).astype(np.int32), "top": top, "residues": total})
+            out.append(told(*key, *own.summary()))
+            yield pd.concat(out)
 
     kind = dict(alignment.dtypes)["alignment_id"]
     rows = alignment.where(F.length("sequence") > 0).select("alignment_id", "sequence")
     parts = rows.mapInPandas(add_up, f"alignment_id {kind}, stretch int, residue int, data binary")
     parts = parts.repartition("alignment_id", "stretch").sortWithinPartitions("alignment_id", "stretch")
-    return parts.mapInPandas(merge, f"alignment_id {kind}, col int, top long, residues long")
+    return parts.mapInPandas(merge, f"alignment_id {kind}, {schema}")
 
 
 #: Positions of reads whose sums a task holds at a time.

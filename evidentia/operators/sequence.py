@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from evidentia.operators.packed import bit_planes, column_counts, compared_pairs, position_sums
+from evidentia.operators.packed import bit_planes, column_counts, compared_pairs, full_runs, position_sums
 
 # The standard genetic code, codons in the order of bases TCAG.
 BASES = "TCAG"
@@ -87,13 +87,12 @@ def ungapped_positions(alignment: DataFrame, reference_row: int = 0) -> DataFram
 
 def conserved_runs(alignment: DataFrame, min_length: int, reference_row: int = 0) -> DataFrame:
     """Maximal runs of columns with identity 1.0: first and last column, and the reference's residue numbers there."""
-    full = column_identity(alignment).where("top = residues").select("alignment_id", "col")
-    island = F.col("col") - F.row_number().over(Window.partitionBy("alignment_id").orderBy("col"))
-    runs = full.withColumn("island", island).groupBy("alignment_id", "island").agg(
-        F.min("col").alias("first_col"),
-        F.max("col").alias("last_col"),
-        F.count("*").alias("columns"),
-    ).where(F.col("columns") >= min_length).drop("island")
+    # runs inside stretches of columns, those that meet at a border of two made one; columns themselves are never rows
+    order = Window.partitionBy("alignment_id").orderBy("first_col")
+    opens = F.coalesce(F.lag("last_col").over(order) + 1 != F.col("first_col"), F.lit(True))
+    parts = full_runs(alignment, min_length).withColumn("opens", opens.cast("long")).withColumn("island", F.sum("opens").over(order))
+    runs = parts.groupBy("alignment_id", "island").agg(F.min("first_col").alias("first_col"), F.max("last_col").alias("last_col"))
+    runs = runs.withColumn("columns", F.col("last_col") - F.col("first_col") + 1).where(F.col("columns") >= min_length).drop("island")
     # the reference's residue number at a column, from the piece that holds it
     reference = stretches(alignment.where(F.col("row_no") == reference_row)).select("alignment_id", "stretch", "piece", "before")
 

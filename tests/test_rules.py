@@ -10,6 +10,7 @@ from evidentia.functions import text as tx
 from evidentia.operators import catalogue as ca
 from evidentia.operators import checks as ck
 from evidentia.operators import evidence as ev
+from evidentia.operators import packed
 from evidentia.operators import runs
 from evidentia.operators import sequence as sq
 from evidentia.plans import runs as plan
@@ -391,3 +392,13 @@ def test_translation_of_a_long_text_takes_time_in_proportion(spark, tmp_path):
 def test_codons_with_other_letters_are_unknown(spark):
     rows = spark.createDataFrame([("ATGNNNTAA",), ("AT",), ("",), (None,), ("é\U0001f600TATG",)], "x string")
     assert [r[0] for r in rows.select(sq.translated("x")).collect()] == ["MX*", "", "", None, "XM"]
+
+
+def test_runs_across_stretches_are_one_and_columns_are_no_rows(spark):
+    w = packed.WIDE
+    a = "a" * w + "c" + "a" * (w - 3) + "gc" + "a" * (w + 2) + "t"
+    b = "a" * w + "c" + "a" * (w - 3) + "ct" + "a" * (w + 2) + "t"
+    rows = spark.createDataFrame([(1, 0, 1, a), (1, 1, 2, b), (2, 0, 3, "-ac"), (2, 1, 4, "ga-")], "alignment_id long, row_no int, seq_id long, sequence string")
+    got = sorted(tuple(r) for r in sq.conserved_runs(rows, 2).select("alignment_id", "first_col", "last_col", "columns", "ref_start", "ref_end").collect())
+    assert got == [(1, 1, 2 * w - 2, 2 * w - 2, 1, 2 * w - 2), (1, 2 * w + 1, 3 * w + 3, w + 3, 2 * w + 1, 3 * w + 3), (2, 1, 3, 3, None, 2)]
+    assert packed.full_runs(rows, 2).count() == 5  # not some 12,000 columns
