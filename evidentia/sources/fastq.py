@@ -80,6 +80,21 @@ class Range(InputPartition):
     first: int = 0  # records of the file before this range
 
 
+#: Ranges are dealt out over so many tasks, or one for so many stored bytes where that is more.
+TASKS, TASK_BYTES = 64, 64 << 20
+
+
+@dataclass
+class Task(InputPartition):
+    parts: list[Range]
+
+
+def dealt(parts: list[Range]) -> list[Task]:
+    """Neighbouring ranges in tasks, so that short ranges do not make a task each."""
+    n = min(len(parts), max(TASKS, sum(p.end - p.start for p in parts) // TASK_BYTES))
+    return [Task(parts[len(parts) * k // n : len(parts) * (k + 1) // n]) for k in range(n)]
+
+
 def kind_of(path: str) -> str:
     store, p = opened(path)
     with store.open_input_file(p) as f:
@@ -256,14 +271,18 @@ class FastqReader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", 64 << 20))
         self.starts = json.loads(options.get("starts", "{}"))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Task]:
         out = ranges(self.glob, self.range_bytes)
         for part in out:
             starts = self.starts.get(part.path)
             part.first = starts[part.range_no] if starts else 0
-        return out
+        return dealt(out)
+
+    def read(self, task: Task) -> Iterator[pa.RecordBatch]:
+        for part in task.parts:
+            yield from self.read_range(part)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read_range(self, part: Range) -> Iterator[pa.RecordBatch]:
         if self.counting:
             yield pa.RecordBatch.from_pydict({"path": [part.path], "range_no": pa.array([part.range_no], pa.int32()), "records": [sum(1 for _ in records(part))]})
             return

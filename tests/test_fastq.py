@@ -137,3 +137,11 @@ def test_a_large_file_needs_little_memory(tmp_path):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert sum(1 for p in fastq.ranges(str(tmp_path / "big.gz"), 64 << 20) for _ in fastq.records(p)) == 100 * times
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100 << 10  # KiB
+
+
+def test_short_ranges_do_not_make_a_task_each():
+    parts = [fastq.Range("p", k, 100 * k, 100 * k + 100, "plain") for k in range(1000)]
+    tasks = fastq.dealt(parts)
+    assert len(tasks) == fastq.TASKS and [p for t in tasks for p in t.parts] == parts
+    large = [fastq.Range("p", k, k << 26, (k + 1) << 26, "plain") for k in range(300)]
+    assert [len(t.parts) for t in fastq.dealt(large)] == [1] * 300 and [len(t.parts) for t in fastq.dealt(parts[:3])] == [1] * 3
