@@ -1,22 +1,24 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy by Spark tasks.
 
 A text is its words (runs of letters, lower-cased). A word is embedded as the sum of hashed embeddings: of itself and of
 its first code points, so that compounds of one stem are alike. Filters of several widths run over the words and are max-pooled over the
 whole text; a linear layer gives a logit. As pooling takes the largest value wherever it stands, a text of any length is
-scored whole, stretch by stretch, with the stretches overlapping by the widest filter less one.
-
-Labels are learned from a bounded sample: the `most_rows` / 2 of each label with the smallest hash of doc_id; of their texts, those of at
-most `most_words` words and 20 times as many characters (parameters). Tasks turn these rows into word numbers; only the numbers come
-to the driver.
-Four fifths of the sample train the network; on the rest a threshold is calibrated for each language: the one that tells
+learned and scored whole, stretch by stretch, with the stretches overlapping by the widest filter less one.
+
+All labelled rows that may be learned from teach the network, the languages and the thresholds, with their whole texts. The
+rows, as word numbers, are dealt by a hash into blocks of some `block_rows` rows (fewer where texts are long), a written row each. In a round, tasks train
+a copy of the network on each block, and the copies are averaged: a slot over the blocks that changed it, all else over all
+blocks. What comes to the driver has the size of the network. Averages are of fixed-point numbers, so that they do not
+depend on how blocks meet in tasks. One block needs no rounds: its task makes all passes.
+Then a threshold is calibrated for each language, from counts of all rows by label and logit (in cells of 1 / CELLS): the one that tells
 labels apart best, taken as the middle of the best gap and drawn towards the common one where a language has few rows. A text's
-language is what a word-frequency model of the sample's non-null languages makes of its words; a language label never reaches a score. The
+language is what a word-frequency model of the rows with non-null languages makes of its words; a language label never reaches a score. The
 score is the logistic function of logit less threshold.
 
 Cases: null, empty and wordless texts have no words: all filters pool to 0, and the score is that of the last bias. Rows with null
 labels or ids are never learned from; a doc_id with several labels counts once for each. If no row or only one label can be
-learned from, the score of every text is the share of that label (0 without any). Ties at the border of the sample go to the smaller doc_id,
-then to the smaller hash of the text. An empty table gives an empty result. Extra columns are ignored; repeated rows give repeated results.
+learned from, the score of every text is the share of that label (0 without any). More than MOST_LANGUAGES languages are an
+error, as each takes 128 KB of the model that is broadcast. An empty table gives an empty result. Extra columns are ignored; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -31,15 +33,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import give_back, only, saved
+from evidentia.llm.common import give_back, only, saved, summed
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Slots of the embedding table, its width, filters of each width, and code points of the stems that are hashed.
 SLOTS, DIM, FILTERS, WIDTHS, STEMS = 1 << 15, 16, 16, (1, 2, 3), (4, 6)
-#: Characters that a learned text may have for each of its most words.
-LETTERS_A_WORD = 20
 #: Words that a task keeps numbered, characters of text that are split at once.
 VOCABULARY, PIECE_CHARS = 1 << 18, 1 << 18
+#: Words of a learned text that are embedded at once.
+STRETCH = 1 << 14
+#: Bytes of text, about, that a block of learned rows holds at most; languages at most.
+BLOCK_BYTES, MOST_LANGUAGES = 1 << 26, 500
+#: Cells of logits for each unit, the largest logit told apart, and the units of averages.
+CELLS, LARGEST, UNITS = 256, 32, 1 << 24
 #: Texts seen in training, all passes together, and the fewest and most passes.
 VISITS, PASSES = 14000, (4, 40)
 BATCH, RATE, DROP, DECAY = 32, 0.06, 0.2, 1e-4
@@ -108,7 +114,10 @@ class Network:
 
     def embedded(self, slots: np.ndarray) -> np.ndarray:
         """A row per word, from its row of slots."""
-        return self.table[slots].sum(1)
+        x = self.table.take(slots[:, 0], 0)
+        for kind in range(1, slots.shape[1]):
+            x += self.table.take(slots[:, kind], 0)
+        return x
 
     def pooled(self, words: np.ndarray, out: np.ndarray) -> None:
         """Raises out to the filters' largest values over consecutive words (rows of embedded()), at least 0."""
@@ -127,17 +136,32 @@ class Network:
     def logit(self, pooled: np.ndarray) -> float:
         return float(pooled @ self.dense) + self.bias
 
+    def best(self, slots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The pooled values of a whole text, and for each width the place at which each filter's largest value starts."""
+        out = np.zeros(len(self.dense), np.float32)
+        top = [np.full(FILTERS, -np.inf, np.float32) for _ in WIDTHS]
+        where = [np.zeros(FILTERS, np.int64) for _ in WIDTHS]
+        every = np.concatenate([k[j] for w, k in zip(WIDTHS, self.kernels, strict=True) for j in range(w)], axis=1).T
+        for start in range(0, len(slots), STRETCH):
+            x = self.embedded(slots[start : start + STRETCH + WIDTHS[-1] - 1])
+            each, first = every @ x.T, 0  # a row per filter and place, so that the largest are found along rows
+            for k, w in enumerate(WIDTHS):
+                if len(x) >= w:
+                    z = each[first * FILTERS : (first + 1) * FILTERS, : len(x) - w + 1]
+                    for j in range(1, w):
+                        z = z + each[(first + j) * FILTERS : (first + j + 1) * FILTERS, j : len(x) - w + 1 + j]
+                    at = z.argmax(1)
+                    value = z[np.arange(FILTERS), at]
+                    where[k] = np.where(value > top[k], at + start, where[k])
+                    top[k] = np.maximum(value, top[k])
+                first += w
+        for k in range(len(WIDTHS)):
+            out[k * FILTERS : (k + 1) * FILTERS] = np.maximum(top[k] + self.biases[k], 0)
+        return out, where
+
     def gradients(self, slots: np.ndarray, label: float) -> tuple:
         """Of one text's cross entropy: (slots, their rows), kernels, biases, dense, bias. Only the windows that were pooled matter."""
-        x = self.table[slots].sum(1)
-        out, where = np.zeros(len(self.dense), np.float32), []
-        for k, w in enumerate(WIDTHS):
-            at = np.zeros(FILTERS, np.int64)
-            if len(x) >= w:
-                z = sum(x[j : len(x) - w + 1 + j] @ self.kernels[k][j] for j in range(w))
-                at = z.argmax(0)
-                out[k * FILTERS : (k + 1) * FILTERS] = np.maximum(z[at, np.arange(FILTERS)] + self.biases[k], 0)
-            where.append(at)
+        out, where = self.best(slots)
         wrong = 1 / (1 + np.exp(-np.clip(float(out @ self.dense) + self.bias, -30, 30))) - label
         back = np.where(out > 0, wrong * self.dense, 0).astype(np.float32)
         rows, steps, kernels, biases = [], [], [], []
@@ -146,8 +170,8 @@ class Network:
             grad = np.zeros_like(self.kernels[k])
             if own.any():
                 for j in range(w):
-                    grad[j] = x[at + j].T * own
                     rows.append(slots[at + j])
+                    grad[j] = self.embedded(rows[-1]).T * own
                     steps.append(self.kernels[k][j].T * own[:, None])
             kernels.append(grad)
             biases.append(own)
@@ -157,27 +181,59 @@ class Network:
         return rows, steps, kernels, biases, wrong * out, wrong
 
 
-def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
-    """Adaptive gradient steps over mini-batches; the rarer label weighs more, and some words are left out of each pass."""
-    rng = np.random.default_rng(seed)
-    net = Network.fresh(rng)
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-    seen = [np.full(SLOTS, 1e-3, np.float32), *(np.full_like(k, 1e-3) for k in net.kernels), *(np.full_like(b, 1e-3) for b in net.biases), np.full_like(net.dense, 1e-3)]
-    seen_bias = 1e-3
+@dataclass
+class State:
+    """A network in training, and the sums of its squared steps: of each slot, of the other parameters."""
+
+    net: Network
+    seen: list[np.ndarray]
+
+    @classmethod
+    def fresh(cls, seed: int = 7) -> State:
+        net = Network.fresh(np.random.default_rng(seed))
+        return cls(net, [np.full(SLOTS, 1e-3, np.float32), *(np.full_like(v, 1e-3) for v in (*net.kernels, *net.biases, net.dense)), np.full(1, 1e-3)])
+
+    def copy(self) -> State:
+        net = self.net
+        own = Network(net.table.copy(), [k.copy() for k in net.kernels], [b.copy() for b in net.biases], net.dense.copy(), net.bias)
+        return State(own, [s.copy() for s in self.seen])
+
+    def flat(self) -> np.ndarray:
+        """All but the slots as one row: parameters, then their sums."""
+        net = self.net
+        return np.concatenate([np.ravel(v).astype(np.float64) for v in (*net.kernels, *net.biases, net.dense, [net.bias], *self.seen[1:])])
+
+    def take(self, flat: np.ndarray) -> None:
+        """Sets what flat() gives."""
+        net, at = self.net, 0
+        for value in (*net.kernels, *net.biases, net.dense, None, *self.seen[1:]):
+            if value is None:
+                net.bias, at = float(flat[at]), at + 1
+            else:
+                value[...] = flat[at : at + value.size].reshape(value.shape)
+                at += value.size
+
+
+def learn(state: State, texts: list[np.ndarray], labels: np.ndarray, share: float, passes: int, seed: int) -> np.ndarray:
+    """Adaptive gradient steps over mini-batches, in place; the rarer label weighs more (share: of label 1 among all rows), and
+    some words are left out of each pass. Gives the slots that were changed."""
+    rng, net, seen = np.random.default_rng(seed), state.net, state.seen
+    weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+    touched = np.zeros(SLOTS, bool)
 
     def step(value: np.ndarray, grad: np.ndarray, square: np.ndarray) -> None:
         grad = grad / BATCH + DECAY * value
         square += grad * grad
         value -= RATE * grad / np.sqrt(square)
 
-    for _ in range(int(np.clip(VISITS // len(texts), *PASSES))):
+    for _ in range(passes):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             rows, steps, totals, bias = [], [], None, 0.0
             for i in order[at : at + BATCH]:
                 slots = texts[i]
                 if len(slots) > 1:
-                    slots = slots[rng.random(len(slots)) >= DROP]
+                    slots = slots[rng.random(len(slots), np.float32) >= DROP]
                 if not len(slots):
                     continue
                 own_rows, own_steps, *grads, wrong = net.gradients(slots, labels[i])
@@ -188,18 +244,19 @@ def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Netwo
                 bias += wrong * weight[i]
             if totals is None:
                 continue
-            used, where = np.unique(np.concatenate(rows), return_inverse=True)
-            grad = np.zeros((len(used), DIM), np.float32)
-            np.add.at(grad, where, np.concatenate(steps))
-            grad /= BATCH
+            rows = np.concatenate(rows)
+            by_slot = np.argsort(rows, kind="stable")
+            used, starts = np.unique(rows[by_slot], return_index=True)
+            grad = np.add.reduceat(np.concatenate(steps)[by_slot], starts) / np.float32(BATCH)
             seen[0][used] += (grad * grad).mean(1)
             net.table[used] -= RATE * grad / np.sqrt(seen[0][used])[:, None]
-            for value, total, square in zip((*net.kernels, *net.biases, net.dense), totals, seen[1:], strict=True):
+            touched[used] = True
+            for value, total, square in zip((*net.kernels, *net.biases, net.dense), totals, seen[1:-1], strict=True):
                 step(value, total.astype(np.float32), square)
             bias /= BATCH
-            seen_bias += bias * bias
-            net.bias -= RATE * bias / seen_bias**0.5
-    return net
+            seen[-1] += bias * bias
+            net.bias -= RATE * bias / float(seen[-1][0]) ** 0.5
+    return touched
 
 
 @dataclass
@@ -207,34 +264,30 @@ class Languages:
     names: list[str]
     logs: np.ndarray  # SLOTS x languages: log of the share of each slot
 
+    def likelihoods(self, slots: np.ndarray) -> np.ndarray:
+        """Of a text in each language, as a log."""
+        total = np.zeros(len(self.names))
+        for start in range(0, len(slots), STRETCH):
+            total += self.logs.take(slots[start : start + STRETCH, 0], 0).sum(0, dtype=np.float64)
+        return total
 
-def languages_of(texts: list[np.ndarray], langs: list[str | None]) -> Languages:
-    names = sorted({x for x in langs if x is not None})
-    counts = np.full((SLOTS, len(names)), 0.1)
-    for slots, lang in zip(texts, langs, strict=True):
-        if lang is not None:
-            np.add.at(counts[:, names.index(lang)], slots[:, 0], 1)
-    return Languages(names, np.log(counts / counts.sum(0)).astype(np.float32))
 
-
-def threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap at which as few labels as possible are told wrong, both labels weighing alike; of several, the widest."""
-    order = np.argsort(logits, kind="stable")
-    x, y = logits[order], labels[order]
-    ones, zeros = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+def threshold(values: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float:
+    """The middle of the gap at which as few labels as possible are told wrong, both labels weighing alike; of several, the widest.
+    values: distinct and ascending logits; ones, zeros: rows of each label there."""
     # the cut after place i: ones up to it are missed, zeros beyond it are false alarms, which count twice
-    wrong = np.cumsum(y)[:-1] / ones + 2 * (zeros - np.cumsum(1 - y)[:-1]) / zeros
-    gap = np.diff(x)
-    best = np.flatnonzero((wrong <= wrong[gap > 0].min() + 1e-12) & (gap > 0)) if (gap > 0).any() else np.zeros(0, np.int64)
-    if not len(best):
-        return float(x.mean())
+    wrong = np.cumsum(ones)[:-1] / max(ones.sum(), 1) + 2 * (zeros.sum() - np.cumsum(zeros)[:-1]) / max(zeros.sum(), 1)
+    if not len(wrong):
+        return float(values.mean()) if len(values) else 0.0
+    gap = np.diff(values)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     i = best[gap[best].argmax()]
-    return float((x[i] + x[i + 1]) / 2)
+    return float((values[i] + values[i + 1]) / 2)
 
 
 @dataclass
 class Model:
-    share: float  # of label 1 in the sample; the score of all texts where there is no network
+    share: float  # of label 1 among the learned rows; the score of all texts where there is no network
     network: Network | None
     languages: Languages | None
     common: float
@@ -292,77 +345,156 @@ def scores(model: Model, texts: list[str | None], reader: Reader | None) -> list
 FEW = 10
 
 
-def fitted(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
-    """A model of texts as slots; every fifth row calibrates the thresholds."""
-    labels = np.asarray(labels, np.float64)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(float(labels.mean()) if len(labels) else 0.0, None, None, 0.0, np.zeros(0))
-    held = np.arange(len(labels)) % 5 == 4
-    if min(labels[held].sum(), (1 - labels[held]).sum(), labels[~held].sum(), (1 - labels[~held]).sum()) < 1:
-        held[:] = False
-    learn = np.flatnonzero(~held)
-    net, known = trained([texts[i] for i in learn], labels[learn]), languages_of(texts, langs)
-    test = np.flatnonzero(held) if held.any() else learn
-    logits, own = np.zeros(len(test)), np.full(len(test), -1)
-    for place, i in enumerate(test):
-        pooled = np.zeros(len(WIDTHS) * FILTERS, np.float32)
-        if len(texts[i]):
-            net.pooled(net.embedded(texts[i]), pooled)
-            if known.names:
-                own[place] = known.logs[texts[i][:, 0]].sum(0, dtype=np.float64).argmax()
-        logits[place] = net.logit(pooled)
-    common, each = threshold(logits, labels[test]), []
-    for k in range(len(known.names)):
-        rows = own == k
-        few = min(labels[test][rows].sum(), (1 - labels[test][rows]).sum())
-        trust = few / (few + FEW)
-        each.append(trust * threshold(logits[rows], labels[test][rows]) + (1 - trust) * common if few else common)
-    return Model(float(labels.mean()), net, known, common, np.array(each))
-
-
 def held_out_rows():
     """The rows kept from training: crc32 of doc_id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_words: int) -> pd.DataFrame:
-    """toxic, lang and slots of a bounded number of labelled rows, half of each label where there are enough.
-
-    The labels are chosen first, by a hash of doc_id; the chosen ones are most_rows at most, so they are sent to all tasks and
-    no text is shuffled. Documents that share a chosen id are cut to most_rows as well."""
+def blocks_of(docs: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
+    """All labelled rows that may be learned from, dealt into blocks by a hash of doc_id and text, a row each: block, ones and zeros (rows of
+    each label), toxic (a byte a row), lengths (words of each row), slots (of all words, in order) and langs."""
     marks = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out_rows()).distinct()
-    marks = marks.withColumn("o", F.xxhash64("doc_id"))
-    chosen = [marks.where(F.col("toxic") == k).orderBy("o", "doc_id").limit(most_rows // 2) for k in (0, 1)]
-    chosen = saved(chosen[0].unionByName(chosen[1]), "toxic-labels")
-    rows = only(docs, "doc_id", "text", "lang").where(F.length(F.coalesce("text", F.lit(""))) <= LETTERS_A_WORD * most_words)
-    rows = rows.join(F.broadcast(chosen), "doc_id").orderBy("o", "doc_id", F.xxhash64("text"), "toxic").limit(most_rows)
+    rows = only(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL").where(~held_out_rows())
+    n = marks.count()
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-n // block_rows), -(-n * size["bytes"] // max(size["rows"], 1) // BLOCK_BYTES))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = Numbers()
         for batch in batches:
-            slots = [slots_of_text(t, numbers) for t in batch["text"]]
+            slots = [slots_of_text(t, numbers).astype(np.uint16).tobytes() for t in batch["text"]]
             if len(numbers) > VOCABULARY:
                 numbers = Numbers()
-            keep = [len(s) <= most_words for s in slots]
-            out = batch.drop(columns="text").assign(slots=[s.tobytes() for s in slots], doc_id=batch["doc_id"].astype("Int64"), toxic=batch["toxic"].astype("Int64"))
-            yield out[keep]
+            yield batch.drop(columns="text").assign(slots=slots)
         give_back()
 
-    rows = saved(rows.select("o", "doc_id", "text", "toxic", "lang"), "toxic-rows")
-    numbered = rows.mapInPandas(count, "o long, doc_id long, toxic int, lang string, slots binary")
-    return numbered.toPandas().sort_values(["o", "doc_id", "slots", "toxic"]).reset_index(drop=True)
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["o", "slots", "toxic"])
+        toxic = rows["toxic"].to_numpy(np.int8)
+        lengths = np.array([len(s) // (2 + 2 * len(STEMS)) for s in rows["slots"]], np.int64)
+        langs = [[x if isinstance(x, str) else None for x in rows["lang"]]]
+        parts = {"block": rows["block"].iloc[:1].to_numpy(), "ones": [int(toxic.sum())], "zeros": [int((1 - toxic).sum())], "toxic": [toxic.tobytes()]}
+        return pd.DataFrame(parts | {"lengths": [lengths.tobytes()], "slots": [b"".join(rows["slots"])], "langs": langs})
+
+    rows = rows.withColumn("o", F.xxhash64("doc_id", "text")).join(marks.hint("merge"), "doc_id")
+    rows = rows.select("o", F.pmod("o", F.lit(blocks)).cast("int").alias("block"), F.col("toxic").cast("int").alias("toxic"), "lang", "text")
+    rows = rows.mapInPandas(count, "o long, block int, toxic int, lang string, slots binary")
+    packed = rows.groupBy("block").applyInPandas(pack, "block int, ones long, zeros long, toxic binary, lengths binary, slots binary, langs array<string>")
+    return saved(packed, "toxic-blocks")
+
+
+def texts_of(block) -> list[np.ndarray]:
+    """Slots of the texts of a block."""
+    slots = np.frombuffer(block.slots, np.uint16).reshape(-1, 1 + len(STEMS))
+    return np.split(slots, np.cumsum(np.frombuffer(block.lengths, np.int64))[:-1])
+
+
+def trained(blocks: DataFrame, n: int, share: float) -> Network:
+    """Rounds of a pass over each block; n rows in all."""
+    sc, state, passes = blocks.sparkSession.sparkContext, State.fresh(), int(np.clip(VISITS // n, *PASSES))
+    flat, alone = len(state.flat()), blocks.count() == 1
+    wide = -(-flat // (DIM + 2))
+    columns = blocks.select("block", "toxic", "lengths", "slots")
+    for turn in range(1 if alone else passes):
+        shared = sc.broadcast(state)  # its size is set by SLOTS
+
+        def copies(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+            for batch in batches:
+                for block in batch.itertuples():
+                    own, out = shared.value.copy(), np.zeros((SLOTS + wide + 1, DIM + 2))
+                    labels = np.frombuffer(block.toxic, np.int8).astype(np.float64)
+                    used = learn(own, texts_of(block), labels, share, passes if alone else 1, [7, turn, int(block.block)])
+                    out[:SLOTS][used] = np.hstack([own.net.table[used], own.seen[0][used, None], np.ones((used.sum(), 1))])
+                    out[SLOTS:-1].flat[:flat] = own.flat()
+                    out[:, : DIM + 1], out[-1, 0] = np.rint(out[:, : DIM + 1] * UNITS), 1
+                    out[SLOTS:-1, DIM + 1] = np.rint(out[SLOTS:-1, DIM + 1] * UNITS)
+                    yield out
+            give_back()
+
+        total = summed(columns, copies, (SLOTS + wide + 1, DIM + 2))
+        times = total[:SLOTS, DIM + 1]
+        used = times > 0
+        mean = total[:SLOTS, : DIM + 1][used] / times[used, None] / UNITS
+        state.net.table[used], state.seen[0][used] = mean[:, :DIM], mean[:, DIM]
+        state.take(total[SLOTS:-1].ravel()[:flat] / total[-1, 0] / UNITS)
+    return state.net
+
+
+def languages_of(blocks: DataFrame) -> Languages:
+    """Shares of each slot of whole words in the texts of each language."""
+    found = blocks.select(F.explode("langs").alias("lang")).where("lang IS NOT NULL").distinct().limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = sorted(r["lang"] for r in found)
+    if not names:
+        return Languages([], np.zeros((SLOTS, 0), np.float32))
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for block in batch.itertuples():
+                out, words = np.zeros((SLOTS, len(names))), np.frombuffer(block.slots, np.uint16)[:: 1 + len(STEMS)]
+                of = np.repeat([names.index(x) if x is not None else -1 for x in block.langs], np.frombuffer(block.lengths, np.int64))
+                for k in range(len(names)):
+                    out[:, k] = np.bincount(words[of == k], minlength=SLOTS)
+                yield out
+
+    total = summed(blocks.select("lengths", "slots", "langs"), counts, (SLOTS, len(names))) + 0.1
+    return Languages(names, np.log(total / total.sum(0)).astype(np.float32))
+
+
+def cells_of(blocks: DataFrame, net: Network, known: Languages) -> pd.DataFrame:
+    """Rows of each label (ones, zeros) by likeliest language (-1: none) and cell of logits; there are no more of these than languages and cells."""
+    shared = blocks.sparkSession.sparkContext.broadcast((net, known))  # its size is set by SLOTS and MOST_LANGUAGES
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net, known = shared.value
+        for batch in batches:
+            for block in batch.itertuples():
+                found = []
+                for slots in texts_of(block):
+                    logit = np.clip(net.logit(net.best(slots)[0]), -LARGEST, LARGEST)
+                    lang = int(known.likelihoods(slots).argmax()) if len(slots) and known.names else -1
+                    found.append((lang, int(np.floor(logit * CELLS))))
+                toxic = np.frombuffer(block.toxic, np.int8).astype(np.int64)
+                rows = pd.DataFrame(found, columns=["lang", "cell"]).assign(ones=toxic, zeros=1 - toxic)
+                yield rows.groupby(["lang", "cell"], as_index=False).sum()
+        give_back()
+
+    cells = blocks.select("toxic", "lengths", "slots").mapInPandas(read, "lang int, cell int, ones long, zeros long")
+    return cells.groupBy("lang", "cell").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toPandas()
+
+
+def calibrated(cells: pd.DataFrame, languages: int) -> tuple[float, np.ndarray]:
+    """The common threshold and that of each language."""
+
+    def cut(rows: pd.DataFrame) -> float:
+        rows = rows.groupby("cell", as_index=False)[["ones", "zeros"]].sum().sort_values("cell")
+        return threshold((rows["cell"].to_numpy() + 0.5) / CELLS, rows["ones"].to_numpy(), rows["zeros"].to_numpy())
+
+    common, each = cut(cells), []
+    for k in range(languages):
+        rows = cells[cells["lang"] == k]
+        few = min(rows["ones"].sum(), rows["zeros"].sum())
+        trust = few / (few + FEW)
+        each.append(trust * cut(rows) + (1 - trust) * common if few else common)
+    return common, np.array(each)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words: int = 5000) -> Model:
-    """Fits on at most `most_rows` labelled rows of at most `most_words` words each."""
-    rows = sample(docs, labels, most_rows, most_words)
-    texts = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(STEMS)) for x in rows["slots"]]
-    return fitted(texts, rows["toxic"].to_numpy(np.float64), [x if isinstance(x, str) else None for x in rows["lang"]])
+def train(docs: DataFrame, labels: DataFrame, block_rows: int = 4000) -> Model:
+    """Fits on all labelled rows that may be learned from, in blocks of `block_rows`."""
+    blocks = blocks_of(docs, labels, block_rows)
+    of = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "zeros"))).first()
+    n = of["ones"] + of["zeros"]
+    share = of["ones"] / n if n else 0.0
+    if share in (0.0, 1.0):
+        return Model(share, None, None, 0.0, np.zeros(0))
+    net, known = trained(blocks, n, share), languages_of(blocks)
+    return Model(share, net, known, *calibrated(cells_of(blocks, net, known), len(known.names)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text; from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by SLOTS and the sample's languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by SLOTS and MOST_LANGUAGES
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -377,6 +509,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", held_out_rows().alias("held_out"), "score", "predicted")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_words: int = 5000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, block_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every document."""
-    return predict(docs, train(docs, labels, most_rows, most_words))
+    return predict(docs, train(docs, labels, block_rows))

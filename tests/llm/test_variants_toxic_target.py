@@ -274,3 +274,52 @@ def test_a_text_is_scored_whole_in_pieces(monkeypatch):
     parts = toxicity.Reader(net, langs).read(text)
     assert abs(whole[0] - parts[0]) < 1e-4 and whole[1] == parts[1]
     assert toxicity.Reader(net, langs).read(None) == toxicity.Reader(net, langs).read(" 12 ") == (net.bias, -1)
+
+
+def test_all_labelled_rows_and_whole_texts_teach(spark):
+    """More rows than a sample would hold; each is in one block, whole."""
+    rows = toxic_docs(6, 5600)
+    rows.append((7001, " ".join(f"ab{chr(97 + i % 26)}" for i in range(30000)), None, 0))
+    marks = [(r[0], r[3]) for r in rows] + [(1, 1 - rows[1][3]), (99999, 1), (None, 0)]
+    docs = spark.createDataFrame([*[r[:3] for r in rows], (2, "again", "en")], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    want = sorted(
+        (toxic, len(re.findall("[a-z]+", text))) for i, toxic in marks for j, text in [*[r[:2] for r in rows], (2, "again")] if i == j and zlib.crc32(str(i).encode()) % 5
+    )
+    blocks = toxicity.blocks_of(docs, labels, 1600).collect()
+    got = [(int(t), int(n)) for b in blocks for t, n in zip(np.frombuffer(b["toxic"], np.int8), np.frombuffer(b["lengths"], np.int64), strict=True)]
+    assert sorted(got) == want and len(want) > 4400 and len(blocks) == 3
+    assert all(len(b["slots"]) == 6 * np.frombuffer(b["lengths"], np.int64).sum() and len(b["langs"]) == len(b["toxic"]) for b in blocks)
+    # copies that are averaged tell the labels, however the input is dealt
+    found = [{(r["doc_id"], r["score"]): r for r in toxicity.toxicity(d, labels, 1600).collect()} for d in (docs, docs.repartition(7))]
+    assert set(found[0]) == set(found[1])
+    toxic = {r[0]: r[3] for r in rows if r[0] != 2}
+    held = [r for r in found[0].values() if r["held_out"] and r["doc_id"] in toxic]
+    assert len(held) > 1000 and sum(r["predicted"] == toxic[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_labels_of_long_texts_are_learned(spark):
+    """Texts of 6,000 words; the toxic ones have one word that tells them."""
+    rng = random.Random(2)
+    rows = [(i, i % 2, [rng.choice(("other", "words", "here", "stand")) for _ in range(6000)]) for i in range(60)]
+    for _, toxic, words in rows:
+        words[rng.randrange(6000)] = "vile" if toxic else "mild"
+    docs = spark.createDataFrame([(i, " ".join(w), "en") for i, _, w in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert found == {r[0]: r[1] for r in rows}
+
+
+def test_stretches_change_no_gradient(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.fresh(rng)
+    slots = rng.integers(0, toxicity.SLOTS, (500, 3)).astype(np.uint16)
+    whole, pooled = net.best(slots), np.zeros(len(net.dense), np.float32)
+    net.pooled(net.embedded(slots), pooled)
+    assert np.allclose(whole[0], pooled, atol=1e-5)
+    monkeypatch.setattr(toxicity, "STRETCH", 7)
+    parts = net.best(slots)
+    assert np.allclose(whole[0], parts[0], atol=1e-5) and all((a == b).all() for a, b in zip(whole[1], parts[1], strict=True))
+    cells = toxicity.pd.DataFrame({"lang": [0, 0, 1, 1], "cell": [-512, 511, -256, 1023], "ones": [0, 90, 0, 30], "zeros": [90, 0, 30, 0]})
+    common, each = toxicity.calibrated(cells, 3)
+    assert common == (-256 + 511 + 1) / 512 and abs(each[0] - 0.1 * common) < 1e-9 and each[2] == common
