@@ -3,6 +3,9 @@
 Every stage works on all that its predecessor kept. Near duplicates are told by row, whatever the doc_id: rows that repeat
 doc_id and text are one, rows that share only a doc_id are not, and a null doc_id joins groups like any other. Leaks are told
 by row in the same way: a leaking row goes whatever its doc_id, and a clean row that shares the doc_id stays.
+
+The first stage sets `lang` to the language that it predicts from the text; the label of the input is only learned from. All later
+stages hand it on, and the last one gives it beside the digests of each document.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ MIN_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised."""
+    """Keeps the documents whose language is recognised, and states it as their lang."""
     return language_id.recognised(docs.select(*COLUMNS), language_id.train(docs, ~language_id.held_out_rows()), MIN_SCORE)
 
 
@@ -82,8 +85,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
-    return byte_bpe.bpe_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    """Token counts and digests of what is left, and the language that the first stage found."""
+    return byte_bpe.bpe_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, carry=("lang",))
 
 
 STAGES = [

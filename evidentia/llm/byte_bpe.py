@@ -91,8 +91,9 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     return only(docs, "doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def bpe_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests are taken beside the encoder, so ids stay in the task."""
+def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests are taken beside the encoder, so ids stay in the task.
+    carry: further columns of docs, handed on unchanged."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,10 +108,12 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                     hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(),
                     hashlib.sha256(coder.decode_bytes(ids)).hexdigest(),
                 ))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield found.assign(**{c: batch[c].to_numpy() for c in carry})
         release()
 
-    return only(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return only(docs, "doc_id", "text", *carry).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + schema)
 
 
 def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -72,16 +72,23 @@ class Model:
         return k @ self.weights
 
     def closeness(self, texts: list[str]) -> np.ndarray:
-        """The largest share |S(x) & S(y)| / min(|S(x)|, |S(y)|) of each text with a landmark, less what a presence vector as
+        return self.told(texts)[0]
+
+    def told(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The closeness of each text and the place of its language, that of the highest score.
+
+        Closeness: the largest share |S(x) & S(y)| / min(|S(x)|, |S(y)|) of each text with a landmark, less what a presence vector as
         full as the text's shares by chance. It depends neither on the text's length nor on the number of languages."""
         x = rows_of(texts)
         level = self.landmarks.max(1)
         size = level.astype(np.float64) ** -2
         use = size >= np.median(size) / 2  # nearly any text holds a tiny landmark
         n = x.sum(1, dtype=np.float64)[:, None]
-        share = (x @ self.landmarks[use].T) / level[use] / np.maximum(np.minimum(n, size[use]), 1)
+        product = x @ self.landmarks.T
+        share = product[:, use] / level[use] / np.maximum(np.minimum(n, size[use]), 1)
         full = (n / x.shape[1]).ravel()
-        return np.where(full < 1, (share.max(1) - full) / np.maximum(1 - full, 1e-9), 1.0)
+        scores = (product / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))) @ self.weights
+        return np.where(full < 1, (share.max(1) - full) / np.maximum(1 - full, 1e-9), 1.0), scores.argmax(1)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -198,19 +205,24 @@ def language_id(docs: DataFrame, per_language: int = 200, landmarks: int = 64) -
 
 
 def recognised(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
-    """The rows of docs, unchanged, whose text has a closeness of min_score or more to a landmark."""
+    """The rows of docs whose text has a closeness of min_score or more to a landmark; lang is the language predicted from the
+    text, whatever it was, all else is unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            good = np.zeros(len(texts), bool)
+            good, langs = np.zeros(len(texts), bool), [None] * len(texts)
             known = [i for i, t in enumerate(texts) if m and has_letter(t)]
             for at in range(0, len(known), BATCH):
                 own = known[at : at + BATCH]
-                good[own] = m.closeness([texts[i] for i in own]) >= min_score
-            yield batch.filter(pa.array(good))
+                closeness, places = m.told([texts[i] for i in own])
+                good[own] = closeness >= min_score
+                for i, j in zip(own, places, strict=True):
+                    langs[i] = m.languages[j]
+            columns = [pa.array(langs, pa.string()) if n == "lang" else batch.column(k) for k, n in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(good))
         give_back()
 
     return docs.mapInArrow(keep, docs.schema)

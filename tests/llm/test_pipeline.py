@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -143,3 +144,24 @@ def test_all_stages_against_brute_force(spark, tmp_path):
             ids = coder.encode_ordinary(t)
             want[i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())] += 1
     assert got == want and len(want) > 50 and any(len(t) < 500 for i, t in cut if i and 200 <= i < 205)
+
+
+def test_languages_found_first_reach_the_last_stage(spark, tmp_path):
+    """Labels that are missing or wrong; what the text tells goes on through all stages."""
+    r = np.random.default_rng(3)
+    parts = {"en": ["the", "ing", "er", "an", "re", "tion", "ou", "th"], "de": ["sch", "ein", "ung", "ich", "keit", "von", "au", "gé"]}
+    truth = {i: ("en", "de")[i % 2] for i in range(60)}
+    texts = {i: syllables(r, parts[lang], 80) for i, lang in truth.items()}
+    wrong = {i: ("de", "en")[i % 2] for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}  # rows that are not learned from
+    labels = truth | {i: None for i in range(40, 50)} | wrong
+    assert len(wrong) > 5
+    rows = [(i, texts[i], labels[i], "s", len(texts[i])) for i in truth]
+    rows += [(1000, texts[44] + " more", None, "s", 1), (1001, "漢字仮名交文" * 9, "en", "s", 54)]  # a near copy, and no known language
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, syllables(r, parts["en"], 25))], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    found = {x["doc_id"]: x for x in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert {i: x["lang"] for i, x in found.items()} == truth | {1000: "en"}
+    assert all((x["text"], x["source"], x["n_chars"]) == (t, s, n) for i, t, _, s, n in rows if (x := found.get(i)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"]: x["lang"] for x in got} == truth and len(got) == 60
