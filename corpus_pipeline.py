@@ -10,9 +10,6 @@ stages hand it on, and the last one gives it beside the digests of each document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +19,6 @@ from evidentia.llm.common import saved
 from evidentia.llm.queries import RANKS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Texts whose closeness to every landmark is less are rejected, as are texts without letters.
 MIN_SCORE = 0.2
 
@@ -61,20 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every repeated 200-byte string out of the texts; a character that is cut in part goes whole."""
-    found = suffix_dedup.suffix_dedup(docs, carry=("lang", "source"))
-
-    def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch["kept"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "text": texts,
-                "lang": batch["lang"],
-                "source": batch["source"],
-                "n_chars": [len(t) for t in texts],
-            })
-
-    return found.select("doc_id", "kept", "lang", "source").mapInPandas(text, SCHEMA)
+    return suffix_dedup.texts_left(docs, carry=("lang", "source")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

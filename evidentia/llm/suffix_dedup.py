@@ -18,8 +18,8 @@ Aligned at anchors, equal strings always meet in one column, so a column keeps i
 into one transform, which costs the collection's size per round, is not needed.
 
 Cases: null text is empty; texts under 200 bytes lose nothing; equal rows are copies of each other; null doc_ids are kept
-apart by their texts. Other columns are left out, but for those to carry; an empty table gives an empty result. Texts over 4 MiB
-are anchored slice by slice. A chunk's rows must come in the same order when a lost task runs again, as those of a written
+apart by their texts. Other columns are left out, but for those to carry; an empty table gives an empty result. Texts are
+anchored in slices of about 256 KiB. A chunk's rows must come in the same order when a lost task runs again, as those of a written
 table do.
 """
 
@@ -40,7 +40,7 @@ GRAM = 32
 WIDTH = 6
 #: Bits of a window's minimum that hold the gram's place in its slice; the rest are its hash.
 PLACE_BITS = 22
-SLICE = (1 << PLACE_BITS) - (1 << 16)
+SLICE = (1 << 18) - (1 << 10)
 #: No UTF-8 text holds this byte; it stands for what lies outside a segment.
 OUTSIDE = 255
 #: Bytes of text per collection, about.
@@ -64,7 +64,8 @@ def sliding_places(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: hash of each anchor, first window start, number of windows, offset of the anchor from the first."""
+    """Of one text: hash of each anchor, first window start, number of windows, offset of the anchor from the first. An anchor's
+    hash is the least of many, so it is mixed again: by its own leading bits nearly all anchors would share a bucket."""
     found = []
     for a in range(0, max(0, len(text) - length + 1), SLICE):
         part = text[a : a + SLICE + length - 1]
@@ -72,7 +73,7 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         hashes = kb.mixed(kb.rolling(kb.BYTE_VALUES[part], at, at + GRAM, kb.BASE))
         place = sliding_places((hashes & ~np.uint64((1 << PLACE_BITS) - 1)) | at.astype(np.uint64), length - GRAM + 1)
         starts, sizes = kb.group_sizes(place)
-        found.append((hashes[place[starts]], starts + a, sizes, place[starts] - starts))
+        found.append((kb.mixed(hashes[place[starts]]), starts + a, sizes, place[starts] - starts))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -87,13 +88,8 @@ def repeated_segments(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
         rids = chunk["_rid"].to_numpy(np.int64)
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in chunk["text"]]
         ends = np.cumsum([len(r) for r in raw])
-        if len(raw) and ends[-1] <= SLICE:  # all texts at once; windows that cross texts are left out afterwards
-            hashes, starts, sizes, offsets = anchors(np.frombuffer(b"".join(raw), np.uint8), length)
-            hashes, starts, sizes, offsets, text = inside_texts(hashes, starts, sizes, offsets, ends, length)
-        else:
-            each = [anchors(np.frombuffer(r, np.uint8), length) for r in raw]
-            text = np.repeat(np.arange(len(raw)), [len(x[0]) for x in each])
-            hashes, starts, sizes, offsets = (np.concatenate(x) for x in zip(*each, strict=True))
+        # all texts at once; windows that cross texts are left out afterwards
+        hashes, starts, sizes, offsets, text = inside_texts(*anchors(np.frombuffer(b"".join(raw), np.uint8), length), ends, length)
         # anchors of one hash go as one entry with their number; numbered as they appear, so most follow each other
         _, first, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         appear = np.argsort(first, kind="stable")
@@ -202,16 +198,16 @@ def neighbours_after(prefix: np.ndarray, order: np.ndarray, symbols: np.ndarray,
     return new
 
 
-def repeated_in_collection(segments: list[bytes], offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window start in it) of every window that also starts in another segment, in order. Segments hold whole
-    windows; offsets are those of their anchors."""
+def repeated_in_collection(segments: list[bytes], offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first and last window start in it) of every run of windows that also start in another segment, in order.
+    Segments hold whole windows; offsets are those of their anchors."""
     m, reach = len(segments), length - GRAM
     # column after column, in the order of the rounds; a collection is bounded, so they stand in memory and not in a file
     columns = np.full((reach + length, m), OUTSIDE, np.uint8)
     for i, (data, off) in enumerate(zip(segments, offsets, strict=True)):
         columns[reach - off : reach - off + len(data), i] = np.frombuffer(data, np.uint8)
     order, prefix = np.arange(m), np.zeros(m, np.uint8)
-    found = []
+    repeated = np.zeros((m, reach + 3), np.int8)  # by window start, between two borders
     for c in range(len(columns) - 1, -1, -1):
         own = columns[c][order]
         stable = np.argsort(own, kind="stable")
@@ -219,14 +215,12 @@ def repeated_in_collection(segments: list[bytes], offsets: np.ndarray, length: i
         order = order[stable]
         if c <= reach:
             hit = np.flatnonzero(prefix >= length)
-            if len(hit):
-                which = np.unique(np.concatenate([order[hit], order[hit - 1]]))
-                found.append((which, c - reach + offsets[which]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    which, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, which))
-    return which[order], start[order]
+            for which in (order[hit], order[hit - 1]):
+                repeated[which, c - reach + offsets[which] + 1] = 1
+    del columns
+    step = np.diff(repeated, axis=1)
+    which, first = np.nonzero(step == 1)
+    return which, first, np.nonzero(step == -1)[1] - 1
 
 
 def piece(rids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, segments: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -292,14 +286,14 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int, frequent: int = F
     def collection(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         part, fan, salt = (int(x) for x in key)
         rids, starts, sizes, offsets, segs = unpieced(group, length)
-        which, at = repeated_in_collection(segs, offsets, length)
-        at = at + starts[which]
-        order = np.lexsort((at, rids[which]))
-        rid, at = rids[which][order], at[order]
+        which, first, last = repeated_in_collection(segs, offsets, length)
+        rid, at, end = rids[which], starts[which] + first, starts[which] + last + length
+        order = np.lexsort((at, rid))
+        rid, at, end = rid[order], at[order], end[order]
         first = np.ones(len(at), bool)
-        first[1:] = (rid[1:] != rid[:-1]) | (at[1:] > at[:-1] + length)
+        first[1:] = (rid[1:] != rid[:-1]) | (at[1:] > end[:-1])
         a = np.flatnonzero(first)
-        ends = at[np.append(a[1:] - 1, len(at) - 1)] + length if len(at) else at
+        ends = end[np.append(a[1:] - 1, len(at) - 1)] if len(at) else end
         begins, counts = kb.group_sizes(rid[a])
         nothing = (None,) * 6
         rows = [(rid[a[s]], np.stack([at[a[s : s + n]], ends[s : s + n]], 1).ravel().astype(np.int32), *nothing) for s, n in zip(begins, counts, strict=True)]
@@ -333,32 +327,60 @@ def merged(spans: list[np.ndarray]) -> list[int]:
     return np.stack([flat[first, 0], ends], 1).ravel().tolist()
 
 
+def without(text: str | None, own: list[np.ndarray] | None) -> tuple[int, list[int], bytes]:
+    """Bytes of a text, the runs that its spans make up, flat, and the bytes left."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    runs = [] if own is None or not len(own) else merged(list(own))
+    kept, last = [], 0
+    for a, b in zip(runs[::2], runs[1::2], strict=True):
+        kept.append(raw[last:a])
+        last = b
+    return len(raw), runs, b"".join([*kept, raw[last:]])
+
+
+def with_spans(docs: DataFrame, length: int, carry: tuple[str, ...], frequent: int, fan_in: int) -> DataFrame:
+    """doc_id, text, spans of all collections (null: none), and the columns named in carry."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rid"), *carry)
+    parts = repeated_spans(with_row_key(docs), length, text_bytes(docs), frequent, fan_in)
+    spans = parts.groupBy("_rid").agg(F.collect_list("spans").alias("spans"))
+    # spans are far larger in memory than in their file, so their size there may not choose a broadcast
+    return keyed.join(spans.hint("merge"), "_rid", "left").select("doc_id", "text", "spans", *carry)
+
+
 def suffix_dedup(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = (), frequent: int = FREQUENT, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (removed byte offsets start, end, ...), kept (the bytes left) of every
     whole text, and the string columns named in carry; one that has the name of a result is an error. frequent and fan_in only
     set how work is dealt out."""
     if clash := {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "spans", "kept", "_rid"} & set(carry):
         raise ValueError(f"columns that cannot be carried: {sorted(clash)}")
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rid"), *carry)
-    parts = repeated_spans(with_row_key(docs), length, text_bytes(docs), frequent, fan_in)
-    spans = parts.groupBy("_rid").agg(F.collect_list("spans").alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, own in zip(batch["text"], batch["spans"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                runs = [] if own is None or not len(own) else merged(list(own))
-                kept, last = [], 0
-                for a, b in zip(runs[::2], runs[1::2], strict=True):
-                    kept.append(raw[last:a])
-                    last = b
-                kept = b"".join([*kept, raw[last:]])
-                out.append((len(raw), len(raw) - len(kept), len(runs) // 2, runs, kept))
+                size, runs, kept = without(text, own)
+                out.append((size, size - len(kept), len(runs) // 2, runs, kept))
             done = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
             yield pd.concat([batch[["doc_id", *carry]].astype({"doc_id": "Int64"}).reset_index(drop=True), done], axis=1)
+        give_back()
+
+    more = "".join(f"{c} string, " for c in carry)
+    schema = f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary"
+    return with_spans(docs, length, carry, frequent, fan_in).mapInPandas(cut, schema)
+
+
+def texts_left(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (what suffix_dedup() leaves of it; a character that is cut in part goes whole), n_chars, and the string
+    columns named in carry. Texts are cut and read in one pass, so a task keeps one Python worker busy and not two."""
+    if clash := {"doc_id", "text", "n_chars", "spans", "_rid"} & set(carry):
+        raise ValueError(f"columns that cannot be carried: {sorted(clash)}")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [without(text, own)[2].decode("utf-8", "ignore") for text, own in zip(batch["text"], batch["spans"], strict=True)]
+            left = batch[["doc_id", *carry]].astype({"doc_id": "Int64"})
+            yield left.assign(text=texts, n_chars=[len(t) for t in texts])
+        give_back()
 
-    # spans are far larger in memory than in their file, so their size there may not choose a broadcast
-    both = keyed.join(spans.hint("merge"), "_rid", "left").select("doc_id", "text", "spans", *carry)
     more = "".join(f"{c} string, " for c in carry)
-    return both.mapInPandas(cut, f"doc_id long, {more}n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary")
+    return with_spans(docs, length, carry, FREQUENT, FAN_IN).mapInPandas(cut, f"doc_id long, {more}text string, n_chars long")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -136,6 +137,28 @@ def test_suffix_dedup_deals_out_frequent_anchors(spark):
             spark.conf.set(k, v)
 
 
+def test_suffix_dedup_deals_anchors_evenly_and_in_little_memory():
+    """Anchors are least hashes; their keys fill all buckets alike, and neither a chunk's anchors nor a collection take much memory."""
+    r = np.random.default_rng(8)
+    text = r.integers(97, 123, 1 << 20).astype(np.uint8)
+    suffix_dedup.anchors(text[:5000], 200)
+    tracemalloc.start()
+    keys, starts, sizes, offsets = suffix_dedup.anchors(text, 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    shares = np.bincount((np.unique(keys) >> np.uint64(58)).astype(np.int64), minlength=64) / len(np.unique(keys))
+    assert most < 40e6 and 0.01 < shares.min() and shares.max() < 0.025
+    assert starts[0] == 0 and (starts[1:] == starts[:-1] + sizes[:-1]).all() and starts[-1] + sizes[-1] == len(text) - 199
+    # twice 2,000 segments, whose windows are all repeated
+    segments = [text[a : a + n + 199].tobytes() for a, n in zip(starts[:2000], sizes[:2000])] * 2
+    tracemalloc.start()
+    found = suffix_dedup.repeated_in_collection(segments, np.tile(offsets[:2000], 2), 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in found] == [list(range(4000)), [0] * 4000, np.tile(sizes[:2000] - 1, 2).tolist()]
+    assert most < 8e6
+
+
 def test_substring_dedup_against_brute_force(spark):
     df = documents(spark)
     rows = rows_of(df)
