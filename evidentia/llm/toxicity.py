@@ -36,12 +36,18 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import give_back, only, saved, summed
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Whether a code point of up to 16 bits is part of a word.
+LETTERS = np.array([WORD.match(chr(c)) is not None for c in range(1 << 16)])
 #: Slots of the embedding table, its width, filters of each width, and code points of the stems that are hashed.
 SLOTS, DIM, FILTERS, WIDTHS, STEMS = 1 << 15, 16, 16, (1, 2, 3), (4, 6)
-#: Words that a task keeps numbered, characters of text that are split at once.
-VOCABULARY, PIECE_CHARS = 1 << 18, 1 << 18
-#: Words of a learned text that are embedded at once.
-STRETCH = 1 << 14
+#: Words that are hashed at once, characters of text that are split at once.
+VOCABULARY, PIECE_CHARS = 1 << 16, 1 << 18
+#: Bytes of a word at most that are hashed beside those of other words; the steps of crc32 by byte.
+SHORT, CRC = 64, np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, (CRC >> 1) ^ np.uint32(0xEDB88320), CRC >> 1)
+#: Words of a text that the filters run over at once; what they give fits into a core's cache.
+STRETCH = 1 << 10
 #: Bytes of text, about, that a block of learned rows holds at most; languages at most.
 BLOCK_BYTES, MOST_LANGUAGES = 1 << 26, 500
 #: Cells of logits for each unit, the largest logit told apart, and the units of averages.
@@ -51,51 +57,71 @@ VISITS, PASSES = 14000, (4, 40)
 BATCH, RATE, DROP, DECAY = 32, 0.06, 0.2, 1e-4
 
 
-def slots_of(words: list[str]) -> np.ndarray:
-    """Slots of each word and of its stems (a row a word); each kind is hashed apart."""
-    kinds = [[zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]]
-    kinds += [[zlib.crc32(w[:k].encode("utf-8", "surrogatepass"), k) for w in words] for k in STEMS]
-    return (np.array(kinds, np.int64).reshape(len(kinds), len(words)).T % SLOTS).astype(np.int32)
-
-
-class Numbers(dict):
-    """Words numbered as they come, and the slots of each."""
-
-    def __init__(self):
-        super().__init__()
-        self.slots, self.new = np.zeros((0, 1 + len(STEMS)), np.int32), []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
-        return n
-
-    def of(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            done = len(self) - len(self.new)
-            if len(self) > len(self.slots):
-                self.slots = np.concatenate([self.slots[:done], np.zeros((len(self) + len(self.new), self.slots.shape[1]), np.int32)])
-            self.slots[done : len(self)] = slots_of(self.new)
-            self.new = []
-        return at
-
-
-def word_lists(text: str | None) -> Iterator[list[str]]:
-    """The words of the whole text, a piece of it at a time; pieces end between words."""
-    lowered, start = (text or "").lower(), 0
-    while start < len(lowered):
-        end = min(len(lowered), start + PIECE_CHARS)
-        while end < len(lowered) and WORD.match(lowered, end - 1, end + 1):
-            end += 1
-        yield WORD.findall(lowered, start, end)
-        start = end
+def crc32s(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """zlib.crc32(data[start : start + length], first) of each stretch of bytes (all longer than 0), many side by side."""
+    out = np.empty(len(starts), np.uint32)
+    for begin in range(0, len(starts), VOCABULARY):
+        at, length, crc = (x[begin : begin + VOCABULARY] for x in (starts, lengths, out))
+        order = np.argsort(np.minimum(length, SHORT + 1).astype(np.uint8), kind="stable")[::-1]
+        more = len(order) - np.cumsum(np.bincount(np.minimum(length, SHORT + 1), minlength=SHORT + 1))  # stretches longer than i
+        long = int(more[SHORT])
+        here, state = at[order], np.full(len(order), first ^ 0xFFFFFFFF, np.uint32)
+        for i in range(SHORT):
+            if more[i] == long:
+                break
+            own = state[long : more[i]]
+            own[:] = CRC.take((own ^ data.take(here[long : more[i]] + i)) & 255) ^ (own >> 8)
+        crc[order] = ~state
+        for k in order[:long]:
+            crc[k] = zlib.crc32(data[at[k] : at[k] + length[k]], first)
+    return out
 
 
-def slots_of_text(text: str | None, numbers: Numbers) -> np.ndarray:
-    """Slots (words x kinds) of all words of a text."""
-    out = [numbers.slots[at] for words in word_lists(text) if len(at := numbers.of(words))]
-    return np.concatenate(out) if out else np.zeros((0, 1 + len(STEMS)), np.int32)
+def slots_of(pieces: list[str]) -> list[np.ndarray]:
+    """Slots of each word of lower-cased pieces of text and of its stems (a row a word); each kind is hashed apart."""
+    joined = " ".join(pieces)
+    if len(joined) > 2 * PIECE_CHARS:  # one piece that ends in a very long word: no arrays of its code points
+        kinds = [[zlib.crc32(w[:k].encode("utf-8", "surrogatepass"), k or 0) for k in (None, *STEMS)] for w in WORD.findall(joined)]
+        return [np.array(kinds, np.int64).reshape(-1, 1 + len(STEMS)) % SLOTS]
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = LETTERS.take(codes, mode="clip")
+    for i in np.flatnonzero(codes >= len(LETTERS)):
+        letter[i] = WORD.match(chr(codes[i])) is not None
+    edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    at = np.zeros(len(codes) + 1, np.int64)  # the byte at which each code point starts
+    np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64), out=at[1:])
+    begin = at[starts]
+    kinds = [crc32s(data, begin, at[ends] - begin, 0)]
+    kinds += [crc32s(data, begin, at[np.minimum(starts + k, ends)] - begin, k) for k in STEMS]
+    slots = (np.array(kinds, np.int64) % SLOTS).T
+    return np.split(slots, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in pieces[:-1]])))
+
+
+def pieces_of(texts: list[str | None]) -> Iterator[tuple[int, str]]:
+    """The texts, lower-cased, in pieces that end between words, each with the place of its text."""
+    for i, text in enumerate(texts):
+        lowered, start = (text or "").lower(), 0
+        while start < len(lowered):
+            end = min(len(lowered), start + PIECE_CHARS)
+            while end < len(lowered) and WORD.match(lowered, end - 1, end + 1):
+                end += 1
+            yield i, lowered[start:end]
+            start = end
+
+
+def slots_of_texts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """Slots (words x kinds) of all words of the texts, by piece, each with the place of its text; short pieces are hashed together."""
+    held, size = [], 0
+    for i, piece in pieces_of(texts):
+        if held and size + len(piece) > PIECE_CHARS:
+            yield from zip([i for i, _ in held], slots_of([p for _, p in held]), strict=True)
+            held, size = [], 0
+        held.append((i, piece))
+        size += len(piece)
+    if held:
+        yield from zip([i for i, _ in held], slots_of([p for _, p in held]), strict=True)
 
 
 @dataclass
@@ -119,19 +145,27 @@ class Network:
             x += self.table.take(slots[:, kind], 0)
         return x
 
+    def responses(self, words: np.ndarray) -> list[np.ndarray | None]:
+        """Of a stretch of consecutive words (rows of embedded()), for each width, the filters' values without their biases: a row per
+        filter and a column per place (None where the stretch is too short)."""
+        every = np.concatenate([k[j] for w, k in zip(WIDTHS, self.kernels, strict=True) for j in range(w)], axis=1).T
+        each, first, found = every @ words.T, 0, []  # places along rows, where sums and maxima are fast
+        for w in WIDTHS:
+            parts = [each[(first + j) * FILTERS : (first + j + 1) * FILTERS, j : len(words) - w + 1 + j] for j in range(w)] if len(words) >= w else [None]
+            z = parts[0]
+            for part in parts[1:]:
+                z = z + part
+            found.append(z)
+            first += w
+        return found
+
     def pooled(self, words: np.ndarray, out: np.ndarray) -> None:
         """Raises out to the filters' largest values over consecutive words (rows of embedded()), at least 0."""
-        each = words @ np.concatenate([k[j] for w, k in zip(WIDTHS, self.kernels, strict=True) for j in range(w)], axis=1)
-        first = 0
-        for k, w in enumerate(WIDTHS):
-            if len(words) >= w:
-                parts = [each[j : len(words) - w + 1 + j, (first + j) * FILTERS : (first + j + 1) * FILTERS] for j in range(w)]
-                z = parts[0]
-                for part in parts[1:]:
-                    z = z + part
-                own = out[k * FILTERS : (k + 1) * FILTERS]
-                np.maximum(own, z.max(0) + self.biases[k], out=own)
-            first += w
+        for start in range(0, len(words), STRETCH):
+            for k, z in enumerate(self.responses(words[start : start + STRETCH + WIDTHS[-1] - 1])):
+                if z is not None:
+                    own = out[k * FILTERS : (k + 1) * FILTERS]
+                    np.maximum(own, z.max(1) + self.biases[k], out=own)
 
     def logit(self, pooled: np.ndarray) -> float:
         return float(pooled @ self.dense) + self.bias
@@ -141,44 +175,47 @@ class Network:
         out = np.zeros(len(self.dense), np.float32)
         top = [np.full(FILTERS, -np.inf, np.float32) for _ in WIDTHS]
         where = [np.zeros(FILTERS, np.int64) for _ in WIDTHS]
-        every = np.concatenate([k[j] for w, k in zip(WIDTHS, self.kernels, strict=True) for j in range(w)], axis=1).T
         for start in range(0, len(slots), STRETCH):
-            x = self.embedded(slots[start : start + STRETCH + WIDTHS[-1] - 1])
-            each, first = every @ x.T, 0  # a row per filter and place, so that the largest are found along rows
-            for k, w in enumerate(WIDTHS):
-                if len(x) >= w:
-                    z = each[first * FILTERS : (first + 1) * FILTERS, : len(x) - w + 1]
-                    for j in range(1, w):
-                        z = z + each[(first + j) * FILTERS : (first + j + 1) * FILTERS, j : len(x) - w + 1 + j]
+            for k, z in enumerate(self.responses(self.embedded(slots[start : start + STRETCH + WIDTHS[-1] - 1]))):
+                if z is not None:
                     at = z.argmax(1)
                     value = z[np.arange(FILTERS), at]
                     where[k] = np.where(value > top[k], at + start, where[k])
                     top[k] = np.maximum(value, top[k])
-                first += w
         for k in range(len(WIDTHS)):
             out[k * FILTERS : (k + 1) * FILTERS] = np.maximum(top[k] + self.biases[k], 0)
         return out, where
 
     def gradients(self, slots: np.ndarray, label: float) -> tuple:
-        """Of one text's cross entropy: (slots, their rows), kernels, biases, dense, bias. Only the windows that were pooled matter."""
-        out, where = self.best(slots)
-        wrong = 1 / (1 + np.exp(-np.clip(float(out @ self.dense) + self.bias, -30, 30))) - label
-        back = np.where(out > 0, wrong * self.dense, 0).astype(np.float32)
-        rows, steps, kernels, biases = [], [], [], []
-        for k, w in enumerate(WIDTHS):
-            own, at = back[k * FILTERS : (k + 1) * FILTERS], where[k]
-            grad = np.zeros_like(self.kernels[k])
-            if own.any():
-                for j in range(w):
-                    rows.append(slots[at + j])
-                    grad[j] = self.embedded(rows[-1]).T * own
-                    steps.append(self.kernels[k][j].T * own[:, None])
-            kernels.append(grad)
-            biases.append(own)
-        kinds = slots.shape[1]
-        rows = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int64)
-        steps = np.repeat(np.concatenate(steps), kinds, axis=0) if steps else np.zeros((0, DIM), np.float32)
-        return rows, steps, kernels, biases, wrong * out, wrong
+        """Those of one text."""
+        return self.batch_gradients([slots], np.array([label]), np.ones(1))
+
+    def batch_gradients(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tuple:
+        """Of the weighted sum of the texts' cross entropies: (slots of words, a row of steps for each word), kernels, biases, dense, bias.
+        Only the windows that were pooled matter."""
+        found = [self.best(slots) for slots in texts]
+        out, where = np.stack([o for o, _ in found]), np.stack([np.concatenate(w) for _, w in found])
+        logits = np.array([float(o @ self.dense) + self.bias for o in out])
+        wrong = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels
+        back = np.where(out > 0, wrong[:, None] * self.dense, 0).astype(np.float32)
+        # the words of all pooled windows of a text: by width, place in the window and filter
+        rows = np.stack([slots.take(at[FILTER_OF] + PLACE_OF, 0, mode="clip") for slots, at in zip(texts, where, strict=True)])
+        used = back.reshape(len(texts), len(WIDTHS), FILTERS).any(2)[:, FILTER_OF // FILTERS]
+        own = back[:, FILTER_OF, None]
+        words = self.embedded(rows.reshape(-1, rows.shape[2])).reshape(*own.shape[:2], DIM)
+        every = np.concatenate([k[j].T for w, k in zip(WIDTHS, self.kernels, strict=True) for j in range(w)])
+        steps = every * own * weights[:, None, None]
+        total = (words * own * weights[:, None, None]).sum(0)
+        ends = np.cumsum([w * FILTERS for w in WIDTHS])
+        kernels = [total[end - w * FILTERS : end].reshape(w, FILTERS, DIM).transpose(0, 2, 1) for w, end in zip(WIDTHS, ends, strict=True)]
+        biases = np.split((back * weights[:, None]).sum(0), len(WIDTHS))
+        dense = (wrong[:, None] * out * weights[:, None]).sum(0)
+        return rows[used], steps[used][:, None], kernels, biases, dense, float((wrong * weights).sum())
+
+
+#: For each word of the windows that all filters pool: the filter, and the word's place in the window.
+FILTER_OF = np.array([k * FILTERS + f for k, w in enumerate(WIDTHS) for _ in range(w) for f in range(FILTERS)])
+PLACE_OF = np.array([j for w in WIDTHS for j in range(w) for _ in range(FILTERS)])
 
 
 @dataclass
@@ -229,25 +266,23 @@ def learn(state: State, texts: list[np.ndarray], labels: np.ndarray, share: floa
     for _ in range(passes):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
-            rows, steps, totals, bias = [], [], None, 0.0
+            batch = []
             for i in order[at : at + BATCH]:
                 slots = texts[i]
                 if len(slots) > 1:
                     slots = slots[rng.random(len(slots), np.float32) >= DROP]
-                if not len(slots):
-                    continue
-                own_rows, own_steps, *grads, wrong = net.gradients(slots, labels[i])
-                grads = [g * weight[i] for g in (*grads[0], *grads[1], grads[2])]
-                totals = grads if totals is None else [a + b for a, b in zip(totals, grads, strict=True)]
-                rows.append(own_rows)
-                steps.append(own_steps * weight[i])
-                bias += wrong * weight[i]
-            if totals is None:
+                if len(slots):
+                    batch.append((i, slots))
+            if not batch:
                 continue
-            rows = np.concatenate(rows)
-            by_slot = np.argsort(rows, kind="stable")
-            used, starts = np.unique(rows[by_slot], return_index=True)
-            grad = np.add.reduceat(np.concatenate(steps)[by_slot], starts) / np.float32(BATCH)
+            own = [i for i, _ in batch]
+            rows, steps, *grads, bias = net.batch_gradients([slots for _, slots in batch], labels[own], weight[own])
+            totals = (*grads[0], *grads[1], grads[2])
+            by_slot = np.argsort(rows, axis=None, kind="stable")
+            ordered = rows.ravel()[by_slot]
+            starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+            used = ordered[starts]
+            grad = np.add.reduceat(steps[by_slot // rows.shape[1], 0], starts) / np.float32(BATCH) if len(starts) else np.zeros((0, DIM))
             seen[0][used] += (grad * grad).mean(1)
             net.table[used] -= RATE * grad / np.sqrt(seen[0][used])[:, None]
             touched[used] = True
@@ -294,48 +329,44 @@ class Model:
     thresholds: np.ndarray  # one per language
 
 
+@dataclass
 class Reader:
-    """Reads whole texts with a model; words are numbered once and forgotten when there are too many."""
-
-    def __init__(self, network: Network, languages: Languages):
-        self.network, self.languages = network, languages
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers, self.done, self.words = Numbers(), 0, np.zeros((0, DIM + len(self.languages.names)), np.float32)
-
-    def known(self, words: list[str]) -> np.ndarray:
-        """The words' embeddings, and beside them the logs of their shares in each language."""
-        if len(self.numbers) > VOCABULARY:
-            self.forget()
-        at, n = self.numbers.of(words), len(self.numbers)
-        if n > len(self.words):
-            self.words = np.concatenate([self.words, np.zeros((2 * n - len(self.words), self.words.shape[1]), np.float32)])
-        if n > self.done:
-            slots = self.numbers.slots[self.done : n]
-            self.words[self.done : n] = np.hstack([self.network.embedded(slots), self.languages.logs[slots[:, 0]]])
-            self.done = n
-        return self.words[at]
+    """Reads whole texts with a model."""
+
+    network: Network
+    languages: Languages
+
+    def read_all(self, texts: list[str | None]) -> list[tuple[float, int]]:
+        """Of each text the logit, and the place of the likeliest language by its words (-1 without words or languages)."""
+        out, nothing = [], np.zeros((0, 1 + len(STEMS)), np.int64)
+        pooled, total, tail = np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(self.languages.names)), nothing
+
+        def close() -> None:
+            nonlocal pooled, total, tail
+            out.append((self.network.logit(pooled), int(total.argmax()) if len(tail) and len(total) else -1))
+            pooled, total, tail = np.zeros_like(pooled), np.zeros_like(total), nothing
+
+        for i, slots in slots_of_texts(texts):
+            while len(out) < i:
+                close()
+            if len(slots):
+                whole = np.concatenate([tail, slots]) if len(tail) else slots
+                self.network.pooled(self.network.embedded(whole), pooled)
+                total += self.languages.likelihoods(slots)
+                tail = whole[-(WIDTHS[-1] - 1) :]
+        while len(out) < len(texts):
+            close()
+        return out
 
     def read(self, text: str | None) -> tuple[float, int]:
-        """The logit, and the place of the likeliest language by the text's words (-1 without words or languages)."""
-        pooled, tail = np.zeros(len(WIDTHS) * FILTERS, np.float32), []
-        total, seen = np.zeros(len(self.languages.names)), False
-        for words in word_lists(text):
-            if words:
-                rows, seen = self.known(tail + words), True
-                self.network.pooled(rows[:, :DIM], pooled)
-                total += rows[len(tail) :, DIM:].sum(0, dtype=np.float64)
-                tail = (tail + words)[-(WIDTHS[-1] - 1) :]
-        return self.network.logit(pooled), int(total.argmax()) if seen and len(total) else -1
+        return self.read_all([text])[0]
 
 
 def scores(model: Model, texts: list[str | None], reader: Reader | None) -> list[float]:
     if model.network is None:
         return [model.share] * len(texts)
     out = []
-    for text in texts:
-        z, lang = reader.read(text)
+    for z, lang in reader.read_all(texts):
         z -= model.thresholds[lang] if lang >= 0 else model.common
         out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
     return out
@@ -360,12 +391,11 @@ def blocks_of(docs: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
     blocks = max(1, -(-n // block_rows), -(-n * size["bytes"] // max(size["rows"], 1) // BLOCK_BYTES))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = Numbers()
         for batch in batches:
-            slots = [slots_of_text(t, numbers).astype(np.uint16).tobytes() for t in batch["text"]]
-            if len(numbers) > VOCABULARY:
-                numbers = Numbers()
-            yield batch.drop(columns="text").assign(slots=slots)
+            slots = [[] for _ in range(len(batch))]
+            for i, found in slots_of_texts(batch["text"].tolist()):
+                slots[i].append(found.astype(np.uint16).tobytes())
+            yield batch.drop(columns="text").assign(slots=[b"".join(x) for x in slots])
         give_back()
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -323,3 +324,58 @@ def test_stretches_change_no_gradient(monkeypatch):
     cells = toxicity.pd.DataFrame({"lang": [0, 0, 1, 1], "cell": [-512, 511, -256, 1023], "ones": [0, 90, 0, 30], "zeros": [90, 0, 30, 0]})
     common, each = toxicity.calibrated(cells, 3)
     assert common == (-256 + 511 + 1) / 512 and abs(each[0] - 0.1 * common) < 1e-9 and each[2] == common
+
+
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """Calls of Python functions do not grow with the words of a text, new ones included."""
+    net = toxicity.Network.fresh(np.random.default_rng(4))
+    reader = toxicity.Reader(net, toxicity.Languages(["a"], np.zeros((toxicity.SLOTS, 1), np.float32)))
+
+    def calls(n):
+        text, seen = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}é" for i in range(n)), [0]
+
+        def count(*_):
+            seen[0] += 1
+
+        sys.setprofile(count)
+        try:
+            reader.read(text)
+        finally:
+            sys.setprofile(None)
+        return seen[0]
+
+    calls(10)
+    assert calls(6000) < calls(10) + 1500
+
+
+@pytest.mark.parametrize(("words", "chars", "short"), [(1 << 16, 1 << 18, 64), (7, 40, 5)])
+def test_slots_are_crc32_of_words_and_stems(monkeypatch, words, chars, short):
+    monkeypatch.setattr(toxicity, "VOCABULARY", words)
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", chars)
+    monkeypatch.setattr(toxicity, "SHORT", short)
+    long = "x" * 64 + " " + "é" * 33 + " " + "ab" * 5000
+    texts = [None, "", "12 _", "Ärger a_b x²½ İstanbul ΣΑΣ", long, "漢字かな \U00010400\U00010428b \U0001f600a \ud800z", "ab", *["Wort word mot " * 30] * 5, " "]
+    got = [[] for _ in texts]
+    for i, slots in toxicity.slots_of_texts(texts):
+        got[i] += slots.tolist()
+
+    def of(part, first=0):
+        return zlib.crc32(part.encode("utf-8", "surrogatepass"), first) % toxicity.SLOTS
+
+    assert got == [[[of(w), *(of(w[:k], k) for k in toxicity.STEMS)] for w in re.findall(r"[^\W\d_]+", (t or "").lower())] for t in texts]
+
+
+def test_gradients_of_a_batch_are_the_weighted_sum():
+    rng = np.random.default_rng(6)
+    net = toxicity.Network.fresh(rng)
+    texts = [rng.integers(0, 90, (n, 3)).astype(np.uint16) for n in (1, 2, 3, 40, 1500)]
+    labels, weights = rng.integers(0, 2, 5).astype(float), rng.random(5) + 0.5
+    rows, steps, *got = net.batch_gradients(texts, labels, weights)
+    table, want = np.zeros((2, *net.table.shape)), 0
+    np.add.at(table[0], rows, steps)
+    for slots, label, weight in zip(texts, labels, weights, strict=True):
+        own_rows, own_steps, *own = net.gradients(slots, label)
+        np.add.at(table[1], own_rows, own_steps * weight)
+        want = want + weight * np.concatenate([np.ravel(v) for v in (*own[0], *own[1], own[2], own[3])])
+    assert np.allclose(table[0], table[1], atol=1e-6)
+    assert np.allclose(np.concatenate([np.ravel(v) for v in (*got[0], *got[1], got[2], got[3])]), want, atol=1e-5)
