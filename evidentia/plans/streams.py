@@ -63,8 +63,9 @@ def validated(s, d):
     declared = rows.select((n % 50).cast("string").alias("case_id"), size.alias("bytes"), paths.alias("path"), F.lit("2000-01-01").cast("timestamp").alias("at"))
     declared.withColumn("artifact_id", F.col("path")).write.parquet(f"{at}/declared")
     schema = "case_id string, bytes long, path string, at timestamp, artifact_id string"
-    checks = arrivals.stream_validate_files(arrivals.arriving_files(s, f"{at}/files"), s.readStream.schema(schema).parquet(f"{at}/declared"))
-    return s.read.parquet(st.drained(checks, f"{at}/run", settings=arrivals.MANY_FILES))
+    arrived = arrivals.arriving_files(s, f"{at}/files", log=f"{at}/arrived")
+    checks = arrivals.stream_validate_files(arrived, s.readStream.schema(schema).parquet(f"{at}/declared"))
+    return s.read.parquet(st.drained(checks, f"{at}/run"))
 
 
 def deduped(s, d):

@@ -1,6 +1,7 @@
 """Streams over small literal inputs: state, timers, restarts, snapshots and arriving files."""
 
 import datetime
+import hashlib
 import os
 import random
 
@@ -238,6 +239,48 @@ def test_arriving_files_are_checked(spark, tmp_path):
     assert run() == found | {"size:l": (True, "4", "4"), "content:l": (True, md, md)}
 
 
+def test_listed_files_are_those_in_the_folder_and_come_once(spark, tmp_path):
+    top = tmp_path / "in"
+    (top / "a b/c").mkdir(parents=True)
+    (top / "_temporary").mkdir()
+    put = {"x y%20#.md": b"hi", "a b/c/\u00e9.json": b"{}", "a b/empty.md": b"", "z.md.gz": b"\x1f\x8bzz", "a b/big.csv": b"a,b\r\n" * 1_000_000}
+    for name, content in (put | {"_temporary/part.md": b"x", ".hidden.md": b"x"}).items():
+        (top / name).write_bytes(content)
+
+    def came(folder, log):
+        files = arrivals.read_listed(spark, folder, f"{tmp_path}/{log}")
+        return sorted(map(tuple, spark.read.parquet(st.drained(files, f"{tmp_path}/{log}-run")).select("path", "length", F.md5("content"), F.unix_micros("modificationTime")).collect()))
+
+    def there(names, prefix):
+        return sorted((f"{prefix}{top}/{n}", len(c), hashlib.md5(c).hexdigest(), os.stat(top / n).st_mtime_ns // 1000) for n, c in names.items())
+
+    arrivals.list_files(spark, f"file://{top}/", f"{tmp_path}/uri")
+    assert came(f"file://{top}/", "uri") == there(put, "file://")
+    arrivals.list_files(spark, str(top), f"{tmp_path}/log")
+    assert came(str(top), "log") == there(put, "")
+    # what came later is added, at any depth, also with an older time; what was there is not
+    (top / "new").mkdir()
+    later = {"new/late.md": b"late", "a b/old.md": b"old"}
+    for name, content in later.items():
+        (top / name).write_bytes(content)
+    os.utime(top / "a b/old.md", (1e9, 1e9))
+    for _ in range(2):
+        arrivals.list_files(spark, str(top), f"{tmp_path}/log")
+    assert came(str(top), "log") == there(put | later, "")
+    os.mkdir(tmp_path / "none")
+    arrivals.list_files(spark, f"{tmp_path}/none", f"{tmp_path}/empty")
+    assert came(f"{tmp_path}/none", "empty") == []
+
+
+def test_the_driver_names_no_arriving_file(spark, tmp_path, monkeypatch):
+    spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(streams, "folder", lambda _: f"{tmp_path}/run")
+    assert streams.validated(spark, str(tmp_path)).count() == 2 * (400 + 31)
+    logs = [p for p in (tmp_path / "run/run/checkpoint/sources").glob("*/[0-9]*")]
+    # a file's source keeps each of its files in the driver, and logs them
+    assert 0 < sum(p.read_text().count('"path"') for p in logs) < 100
+
+
 def test_a_path_has_one_timer_and_few_calls(spark):
     file, declared, processor = Calls(), Calls(), arrivals.Arrivals(1000)
     processor.handle, processor.file, processor.declared = file, file, declared
